@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontamination, line_dedup, merkle, mixing, sharding, token_output
+from tallyspark.llm import decontamination, line_dedup, merkle, mixing, near_dedup, quality, secrets, sharding, token_counts, token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1_query,
+    "op2_secret_scan": secrets.op2_query,
+    "op3_near_dedup": near_dedup.op3_query,
+    "op4_quality_classifier": quality.op4_query,
     "op5_source_mixing": mixing.op5_query,
+    "op6_token_counts": token_counts.op6_query,
     "op7_sharding": sharding.op7_query,
     "op8_token_binary_output": token_output.op8_query,
     "op9_document_fingerprints": merkle.op9_query,

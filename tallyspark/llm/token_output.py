@@ -56,13 +56,14 @@ class Encoder:
 
     LIMIT = 300_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, special_as_text: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = special_as_text
         self._known: dict[str, bytes] = {}
         self.bits = max(1, max(self._tokenizer.get_vocab().values()).bit_length())
 
@@ -139,11 +140,18 @@ class PackedFile:
         return np.concatenate(parts)[first - a * self.block : last - a * self.block]
 
 
-def save(folder: str, name: str, content: bytes) -> str:
-    """Write one file whole; a reader never sees a part of it."""
+def store_of(uri: str):
+    """The pyarrow file system of a URI or plain path, and the path in it."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") else f"file://{folder}")
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def save(folder: str, name: str, content: bytes) -> str:
+    """Write one file whole; a reader never sees a part of it."""
+    store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/_{name}") as out:
         out.write(content)
