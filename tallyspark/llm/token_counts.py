@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.lineage import new_folder, written
-from tallyspark.llm.token_output import NULL_ID, Encoder, default_tokenizer, save, store_of
+from tallyspark.llm.token_output import NULL_ID, default_tokenizer, encoder_of, save, store_of
 
 END_ID = 49407  # the vocabulary's own end of text; no text encodes to it, as special tokens' names count as text
 BLOCK_IDS = 1 << 20
@@ -35,7 +35,7 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, en
     path = tokenizer or default_tokenizer()
 
     def write(batches):
-        encoder, partition, part = Encoder(path, special_as_text=True), TaskContext.get().partitionId(), 0
+        encoder, partition, part = encoder_of(path, special_as_text=True), TaskContext.get().partitionId(), 0
         chunks, doc_ids, n = [], [], 0
 
         def close():
