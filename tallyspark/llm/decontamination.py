@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.llm.words import words
 
 HITS = "struct<n_words:bigint,items:array<string>,hit_from:array<int>,hit_to:array<int>>"
@@ -133,7 +134,7 @@ def cut_hits(text: Column, hits: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text: str = "text", **options) -> DataFrame:
     """Drop contaminated documents (``mode="documents"``) or cut their hit words out (``mode="spans"``)."""
-    hits = next(n for n in (f"hits_{k}" for k in range(10**6)) if n not in docs.columns)
+    hits = unused(docs, "hits")
     scanned = docs.withColumn(hits, hit_column(F.col(text), benchmark, **options))
     if mode == "documents":
         return scanned.where(F.size(F.col(hits)["hit_from"]) == 0).drop(hits)

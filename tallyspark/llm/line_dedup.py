@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import written
 
 MIN_KEY = 10
@@ -37,13 +38,13 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def drop_bitmaps(docs: DataFrame, *, min_key: int = MIN_KEY, heavy: int = HEAVY) -> DataFrame:
+def drop_bitmaps(docs: DataFrame, *, min_key: int = MIN_KEY, heavy: int | None = None) -> DataFrame:
     """Per document with a dropped line: doc_id, text_hash and ``dropped``, the bitmap's words (index, bits) in order."""
     placed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keyed = placed.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_key)
     rows = keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"))
     rows = written(rows, "line-hashes")
-    limit = max(1, rows.count() // heavy)
+    limit = max(1, rows.count() // (heavy or HEAVY))
     frequent = (
         rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
         .where(F.col("n") > limit)  # so at most `heavy` rows
@@ -75,11 +76,12 @@ def kept_text(text: Column, dense: Column) -> Column:
     return F.array_join(F.filter(_lines(text), lambda line, k: bit(k) == 0), "\n")
 
 
-def with_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the column ``dropped``: words (index, bits) of the line bitmap, null where nothing is dropped."""
-    bitmaps = drop_bitmaps(docs, **options).select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "dropped")
-    on = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_hash"))
-    return docs.join(bitmaps, on, "left").drop("of_id", "of_hash")
+def with_bitmaps(docs: DataFrame, name: str = "dropped", **options) -> DataFrame:
+    """``docs`` with one more column: words (index, bits) of the line bitmap, null where nothing is dropped."""
+    of_id, of_hash = unused(docs, "of_id"), unused(docs, "of_hash")
+    bitmaps = drop_bitmaps(docs, **options).select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("dropped").alias(name))
+    on = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.xxhash64("text") == F.col(of_hash))
+    return docs.join(bitmaps, on, "left").drop(of_id, of_hash)
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

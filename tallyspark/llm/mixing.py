@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import cut_lineage, written
 
 WEIGHTS = (3, 1, 2)
@@ -135,16 +136,13 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: one row for each copy taken."""
-    marked = docs.withColumns(_KEYS)
-    sized = marked.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.col("mix_mark").alias("mark"))
-    copies = pareto_mix(sized, **options).groupBy("doc_id", "source", "mark").agg(F.max("copies").alias("mix_copies"))
-    copies = copies.where(F.col("mix_copies") > 0).select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("mark").alias("mix_of"), "mix_copies")
-    on = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_mark") == F.col("mix_of"))
-    joined = marked.join(copies, on).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_copies")
-    return joined.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).drop("mix_copies")
-
-
-_KEYS = {"mix_mark": F.md5(F.coalesce(F.col("text"), F.lit("")))}
+    mark, of_id, of_source, of_mark, copies = (unused(docs, stem) for stem in ("mark", "of_id", "of_source", "of_mark", "copies"))
+    marked = docs.withColumn(mark, F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    sized = marked.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.col(mark).alias("mark"))
+    taken = pareto_mix(sized, **options).groupBy(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("mark").alias(of_mark)).agg(F.max("copies").alias(copies))
+    on = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col(mark) == F.col(of_mark))
+    joined = marked.join(taken.where(F.col(copies) > 0), on)
+    return joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import cut_lineage
 
 MAX_ROWS = 20_000
@@ -126,7 +127,7 @@ def score(docs: DataFrame, ensemble: dict, name: str = "score") -> DataFrame:
     if math.isinf(ensemble["bias"]):
         return docs.withColumn(name, F.lit(1.0))
     stats = F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    held = next(n for n in (f"stats_{k}" for k in range(10**6)) if n not in docs.columns)
+    held = unused(docs, "stats")
     total = F.lit(ensemble["bias"])
     for weight, rule in ensemble["rules"]:
         total = total + F.lit(weight) * rule_column(rule, lambda n: F.col(held)[n])
@@ -136,7 +137,7 @@ def score(docs: DataFrame, ensemble: dict, name: str = "score") -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that score at least ``threshold``; the fit leaves held-out labels alone."""
     ensemble = fit(docs, labels.where(~held_out(F.col("doc_id"))), **options)
-    name = next(n for n in (f"score_{k}" for k in range(10**6)) if n not in docs.columns)
+    name = unused(docs, "score")
     return score(docs, ensemble, name).where(F.col(name) >= threshold).drop(name)
 
 
