@@ -12,6 +12,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, entities, graph, joins, ledger, matching, picks
+from tallyspark.plans import marts
 from tallyspark.sources import tables
 
 QUERIES: dict = {}
@@ -517,3 +518,91 @@ def dq_accepted_values(t):
 def dq_several_values(t):
     """Parts that resolve to more than one supplier nation."""
     return DQ.several_values(t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), ["l_partkey"], "s_nationkey")
+
+
+def _budget_lines(t) -> DataFrame:
+    """Budget lines made of order lines: programs of brands, editions of ship years, with every trap the marts know."""
+    rows = _lines(t).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    back, final = F.col("l_linenumber") % 3, F.col("l_linestatus") == "F"
+    late = F.when(F.col("p_size") % 7 == 0, "request").otherwise("total")
+    slug = F.when(back == 2, "actuals").when((back == 1) & final, "total").when(back == 1, "enacted").otherwise(late)
+    return rows.select(
+        F.when(F.col("l_returnflag") == "R", "R-1").when(F.col("l_returnflag") == "A", "P-1").otherwise(F.when(F.col("p_size") % 5 == 0, "P-1R").otherwise("R-1")).alias("exhibit"),
+        (F.col("ship_year") + back).alias("fiscal_year"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("1"), (F.col("s_nationkey") % 4).cast("string"))).otherwise("20").alias("account"),
+        F.lit("title").alias("account_title"),
+        F.when(F.col("p_size") % 4 == 0, F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("F")), (F.col("s_nationkey") % 3 + 1).cast("int"))).otherwise("D").alias("organization"),
+        F.when(F.col("p_size") % 2 == 0, "02").alias("budget_activity"),
+        F.when((F.col("p_brand") == "Brand#9") & (F.col("p_size") > 40), "9999999999").otherwise(F.concat_ws("-", "p_brand", F.col("p_size").cast("string"))).alias("pe_bli"),
+        F.when(F.col("l_suppkey") % 11 != 0, F.col("p_type")).alias("title"),
+        F.concat(F.lit("fy_"), F.col("ship_year").cast("string"), F.lit("_"), slug).alias("amount_type"),
+        F.col("cents").alias("amount_thousands"),
+        F.when(F.col("l_suppkey") % 13 != 0, F.col("l_suppkey")).alias("source_document_id"),
+    )
+
+
+BUDGET_LINES = """(SELECT CASE WHEN l_returnflag = 'R' THEN 'R-1' WHEN l_returnflag = 'A' THEN 'P-1' WHEN p_size % 5 = 0 THEN 'P-1R' ELSE 'R-1' END AS exhibit,
+  ship_year + l_linenumber % 3 AS fiscal_year, CASE WHEN p_size % 3 = 0 THEN '1' || (s_nationkey % 4) ELSE '20' END AS account,
+  CASE WHEN p_size % 4 = 0 THEN ['A', 'N', 'F'][s_nationkey % 3 + 1] ELSE 'D' END AS organization, CASE WHEN p_size % 2 = 0 THEN '02' END AS budget_activity,
+  CASE WHEN p_brand = 'Brand#9' AND p_size > 40 THEN '9999999999' ELSE p_brand || '-' || p_size END AS pe_bli, CASE WHEN l_suppkey % 11 <> 0 THEN p_type END AS title,
+  'fy_' || ship_year || '_' || CASE WHEN l_linenumber % 3 = 2 THEN 'actuals' WHEN l_linenumber % 3 = 1 THEN CASE WHEN l_linestatus = 'F' THEN 'total' ELSE 'enacted' END WHEN p_size % 7 = 0 THEN 'request' ELSE 'total' END AS amount_type,
+  cents AS amount, CASE WHEN l_suppkey % 13 <> 0 THEN l_suppkey END AS doc
+  FROM """ + LINES + """ JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+_SLOTS = ["fy_1998_actuals", "fy_1999_total", "fy_2000_total"]
+
+
+@_query(f"""WITH s AS (SELECT pe_bli, organization, amount_type, account, sum(amount) AS v FROM {BUDGET_LINES} WHERE title IS NOT NULL AND amount_type IN ('fy_1998_actuals', 'fy_1999_total', 'fy_2000_total') GROUP BY ALL),
+  c AS (SELECT pe_bli, organization, bool_or(n > 1) AS any_hit, bool_or(n > 1 AND amount_type = 'fy_2000_total' AND pe_bli <> '9999999999') AS new_hit FROM (SELECT pe_bli, organization, amount_type, count(DISTINCT account) AS n FROM s GROUP BY ALL) GROUP BY ALL),
+  p AS (SELECT pe_bli, organization, account AS stable FROM (SELECT pe_bli, organization, account, row_number() OVER (PARTITION BY pe_bli, organization ORDER BY sum(v) DESC, account) AS rn FROM s GROUP BY pe_bli, organization, account) WHERE rn = 1),
+  w AS (SELECT s.pe_bli, s.organization, CASE WHEN any_hit THEN account ELSE stable END AS account, amount_type, v FROM s JOIN c USING (pe_bli, organization) JOIN p USING (pe_bli, organization) WHERE new_hit OR NOT any_hit OR account = stable)
+  SELECT pe_bli, organization, account, CAST(sum(v) FILTER (amount_type = 'fy_1998_actuals') AS BIGINT) AS fy_1998_actuals, CAST(sum(v) FILTER (amount_type = 'fy_1999_total') AS BIGINT) AS fy_1999_total,
+    CAST(sum(v) FILTER (amount_type = 'fy_2000_total') AS BIGINT) AS fy_2000_total, 'title' AS account_title, CAST(sum(v) FILTER (amount_type = 'fy_2000_total') - sum(v) FILTER (amount_type = 'fy_1999_total') AS BIGINT) AS change,
+    round(100.0::DOUBLE * (sum(v) FILTER (amount_type = 'fy_2000_total') - sum(v) FILTER (amount_type = 'fy_1999_total')) / nullif(sum(v) FILTER (amount_type = 'fy_1999_total'), 0), 2) + 0 AS pct_change FROM w GROUP BY ALL""")
+def budget_trajectory(t):
+    """The trajectory mart over budget lines made of order lines."""
+    return marts.budget_trajectory(_budget_lines(t), _SLOTS)
+
+
+_SERIES = f"""b AS (SELECT * FROM {BUDGET_LINES}),
+  ca AS (SELECT DISTINCT pe_bli FROM (SELECT pe_bli FROM b WHERE fiscal_year = 2000 AND title IS NOT NULL AND pe_bli <> '9999999999' GROUP BY pe_bli, amount_type HAVING count(DISTINCT account) > 1)),
+  co AS (SELECT DISTINCT pe_bli FROM (SELECT pe_bli FROM b WHERE fiscal_year = 2000 AND title IS NOT NULL AND pe_bli <> '9999999999' GROUP BY pe_bli, amount_type HAVING count(DISTINCT organization) > 1)),
+  v AS (SELECT * FROM (VALUES ('PriorYear', 1, 'actuals', 2), ('CurrentYear', 1, 'total', 1), ('CurrentYear', 2, 'enacted', 1), ('BudgetYearOne', 1, 'total', 0), ('BudgetYearOne', 3, 'request', 0)) AS x(scenario, priority, word, back)),
+  g AS (SELECT b.*, scenario, priority, back, CASE WHEN ca.pe_bli IS NOT NULL THEN account END AS acc, CASE WHEN co.pe_bli IS NOT NULL THEN organization END AS org,
+      substr(sha256(coalesce('h' || doc, '') || '|' || exhibit || '|' || fiscal_year || '|' || account || '|' || organization || '|' || coalesce(budget_activity, '') || '|' || b.pe_bli || '|' || amount_type), 1, 16) AS fact
+    FROM b JOIN v ON amount_type = 'fy_' || (fiscal_year - back) || '_' || word LEFT JOIN ca ON ca.pe_bli = b.pe_bli LEFT JOIN co ON co.pe_bli = b.pe_bli),
+  s AS (SELECT pe_bli, fiscal_year, scenario, priority, back, amount_type, acc, org, sum(amount) AS v, count(*) AS n, CASE WHEN count(*) = 1 THEN min(fact) END AS f FROM g WHERE exhibit IN ('R-1', 'P-1') AND doc IS NOT NULL AND pe_bli <> '9999999999' GROUP BY ALL),
+  l AS (SELECT pe_bli, fiscal_year, scenario, amount_type, acc, org, sum(amount) AS v FROM g WHERE exhibit <> 'P-1R' GROUP BY ALL),
+  k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY pe_bli, acc, org, fiscal_year, scenario ORDER BY priority) = 1),
+  series AS (SELECT pe_bli, CAST(fiscal_year - back AS INT) AS fy, CAST(fiscal_year AS INT) AS edition, CASE scenario WHEN 'PriorYear' THEN 'actuals' WHEN 'CurrentYear' THEN 'enacted' ELSE 'request' END AS kind, CAST(v AS BIGINT) AS amount, amount_type, acc AS account, org AS organization, n AS n_source_rows, f AS source_fact_id
+    FROM k WHERE EXISTS (SELECT 1 FROM l WHERE l.pe_bli = k.pe_bli AND l.fiscal_year = k.fiscal_year AND l.scenario = k.scenario AND l.acc IS NOT DISTINCT FROM k.acc AND l.org IS NOT DISTINCT FROM k.org AND abs(l.v - k.v) <= 0.5))"""
+
+
+def _series(t) -> DataFrame:
+    documents = t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("h"), F.col("s_suppkey").cast("string")).alias("sha256"))
+    return marts.decade_series(_budget_lines(t), documents, 2000)
+
+
+@_query(f"WITH {_SERIES} SELECT * FROM series")
+def decade_series(t):
+    """The decade mart over budget lines made of order lines: candidates, collisions, withholding, fact ids."""
+    return _series(t)
+
+
+@_query(f"""WITH {_SERIES}, r AS (SELECT * FROM series WHERE kind = 'request'), a AS (SELECT * FROM series WHERE kind = 'actuals'),
+  p AS (SELECT r, t, 'request_vs_request' AS diff_kind FROM r JOIN r AS t ON t.edition = r.edition + 1 AND r.pe_bli = t.pe_bli AND r.account IS NOT DISTINCT FROM t.account AND r.organization IS NOT DISTINCT FROM t.organization
+    UNION ALL SELECT r, t, 'request_vs_actuals' FROM r JOIN a AS t ON t.edition = r.edition + 2 AND t.fy = r.fy AND r.pe_bli = t.pe_bli AND r.account IS NOT DISTINCT FROM t.account AND r.organization IS NOT DISTINCT FROM t.organization)
+  SELECT r.pe_bli AS pe_bli, r.account AS account, r.organization AS organization, r.edition AS from_edition, r.fy AS from_fy, r.amount AS from_amount, r.amount_type AS from_amount_type, r.source_fact_id AS from_source_fact_id,
+    t.edition AS to_edition, t.fy AS to_fy, t.amount AS to_amount, t.amount_type AS to_amount_type, t.source_fact_id AS to_source_fact_id, diff_kind, t.amount - r.amount AS delta FROM p""")
+def book_diff(t):
+    """Requests against the next edition and against later actuals."""
+    return marts.book_diff(_series(t))
+
+
+@_query(f"""WITH e AS (SELECT organization AS a, account AS b, coalesce(budget_activity, '?') AS c, pe_bli AS d, amount AS v FROM {BUDGET_LINES} WHERE title IS NOT NULL AND amount_type = 'fy_2000_total'),
+  u AS (SELECT 'total' AS level_from, 'TOTAL' AS node_from, 'component' AS level_to, a AS node_to, a, v FROM e UNION ALL SELECT 'component', a, 'appropriation', a || '|' || b, a, v FROM e
+    UNION ALL SELECT 'appropriation', a || '|' || b, 'budget_activity', a || '|' || b || '|' || c, a, v FROM e UNION ALL SELECT 'budget_activity', a || '|' || b || '|' || c, 'program', a || '|' || b || '|' || c || '|' || d, a, v FROM e)
+  SELECT level_from, node_from, level_to, node_to, CAST(sum(v) AS BIGINT) AS amount, count(*) AS line_count, CASE a WHEN 'A' THEN 'Army' WHEN 'N' THEN 'Navy' ELSE a END AS component_label FROM u GROUP BY ALL""")
+def flow_edges(t):
+    """The budget river as edges of four levels."""
+    return marts.flow_edges(_budget_lines(t), "fy_2000_total", {"A": "Army", "N": "Navy"})
