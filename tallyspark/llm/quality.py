@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows:
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most `max_rows` narrow rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    rows = cut_lineage(rows.repartition(8, "doc_id").sortWithinPartitions("doc_id", *NAMES))  # the same rows in the same places each run
+    rows = cut_lineage(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", *NAMES))  # the same rows in the same places each run
     kinds = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n = sum(kinds.values())
     if len(kinds) < 2:
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows:
     from pyspark.ml.functions import array_to_vector
 
     vectors = truths.select("label", array_to_vector("truths").alias("rules"))
-    lasso_fit = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=80, tol=1e-6).fit(vectors)
+    lasso_fit = LogisticRegression(featuresCol="rules", labelCol="label", elasticNetParam=1.0, regParam=lasso, maxIter=40, tol=1e-6).fit(vectors)
     weights = lasso_fit.coefficients.toArray().tolist()
     return {"bias": float(lasso_fit.intercept), "rules": [(w, r) for w, r in zip(weights, rules, strict=True) if w]}
 
