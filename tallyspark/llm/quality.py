@@ -104,7 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows:
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most `max_rows` narrow rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    rows = cut_lineage(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", *NAMES))  # the same rows in the same places each run
+    # the same rows in the same places each run; few partitions, as every round of the fits is a job over them
+    rows = cut_lineage(rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", *NAMES)).coalesce(4)
     kinds = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n = sum(kinds.values())
     if len(kinds) < 2:

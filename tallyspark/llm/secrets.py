@@ -125,11 +125,11 @@ def scan(found: DataFrame, labelled: DataFrame, known_words: list[str], *, most:
     """
     order = [F.xxhash64("doc_id", "word_index", "token"), F.col("doc_id"), F.col("word_index")]
     halves = [labelled.where(F.col("label") == kind).orderBy(*order).limit(most // 2) for kind in (0.0, 1.0)]
-    sample = cut_lineage(halves[0].unionByName(halves[1]))
+    sample = cut_lineage(halves[0].unionByName(halves[1])).coalesce(4)
     if sample.select("label").distinct().count() < 2:
         return found.withColumn("shape_score", F.lit(1.0)).withColumn("score", F.lit(1.0))
     odds = transition_odds(sample)
-    train = cut_lineage(features(sample, odds, known_words).repartition(8, "doc_id", "word_index").sortWithinPartitions("doc_id", "word_index"))
+    train = cut_lineage(features(sample, odds, known_words).repartition(4, "doc_id", "word_index").sortWithinPartitions("doc_id", "word_index")).coalesce(4)
     scored = features(found, odds, known_words)
     for columns, vector, name in ((SHAPE, "shape_vector", "shape_score"), (SHAPE + PLACE, "all_vector", "score")):
         assemble = VectorAssembler(inputCols=columns, outputCol=vector)
