@@ -31,7 +31,10 @@ FILE_IDS = 32 << 20
 
 
 def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = END_ID, dtype: str = "<u2", file_ids: int = FILE_IDS) -> DataFrame:
-    """Write (doc_id, text) as flat files in ascending doc_id. Returns one row a document: path, ordinal, doc_id."""
+    """Write (doc_id, text) as flat files, in the order and tasks of the scan, so no text moves.
+
+    Returns one row a document: path, ordinal, doc_id. The files don't hold the ids; only this table does.
+    """
     path = tokenizer or default_tokenizer()
 
     def write(batches):
@@ -55,9 +58,7 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, en
         if doc_ids:
             yield close()
 
-    order = [F.col("doc_id").asc_nulls_last()]
-    placed = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return written(placed.mapInPandas(write, "path string, partition int, part int, ordinal bigint, doc_id bigint, file_ids bigint"), "flat-manifest")
+    return written(docs.select("doc_id", "text").mapInPandas(write, "path string, partition int, part int, ordinal bigint, doc_id bigint, file_ids bigint"), "flat-manifest")
 
 
 def count_tokens(spark: SparkSession, files: DataFrame, *, end_id: int = END_ID, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
