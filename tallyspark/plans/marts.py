@@ -171,3 +171,67 @@ def state_per_capita(spend: DataFrame, categories: DataFrame, population: DataFr
     both = placed.groupBy("comparable_category", "fiscal_year").agg(F.countDistinct("jurisdiction").alias("n")).where("n = 2")
     kept = placed.join(both, ["comparable_category", "fiscal_year"], "left_semi")
     return kept.withColumn("per_capita", F.round(F.try_divide(F.col("amount_usd"), F.nullif(F.col("population"), F.lit(0))), 2)).withColumnRenamed("as_of_time", "population_year")
+
+OUT_OF_SCOPE = ("AllPriorYears", "BudgetYearOneOOC")  # scenarios that no control total covers
+
+
+def dim_programs(lines: DataFrame, details: DataFrame, narratives: DataFrame, edition: int, current: str, prior: str) -> DataFrame:
+    """One row per program, split by account or organisation only where its details or lines collide on them.
+
+    Details reported in two volumes count once. The account comes from the details where these collide, else from
+    the line whose prior-year amount equals the details' (within half a thousand dollars). Accounts of a colliding
+    program that no detail reaches get a row of their own with the lines' title.
+    """
+    book = lines.where(F.col("fiscal_year") == edition)
+    now = book.where((F.col("amount_type") == current) & F.col("title").isNotNull() & (F.col("pe_bli") != SUBTOTAL))
+    several = lambda df, column: df.groupBy("pe_bli").agg((F.countDistinct(column) > 1).alias("hit")).where("hit").select("pe_bli")
+
+    same = ["pe_bli", "project_number", "scenario", "amount_millions", "xml_path", "account"]
+    once = details.where(F.col("fiscal_year") == edition).groupBy(*same).agg(F.max("org").alias("org"), F.max("exhibit_family").alias("exhibit_family"), F.bool_and("reconciled").alias("reconciled"))
+    slots = now.select("pe_bli", F.col("organization").alias("slot_org")).distinct()
+    by_org = several(now, "organization").withColumn("by_org", F.lit(True))
+    by_account = several(once.where(F.col("account").isNotNull()), "account").withColumn("by_account", F.lit(True))
+    flagged = once.join(by_org, "pe_bli", "left").join(by_account, "pe_bli", "left")
+    placed = flagged.join(slots.withColumnRenamed("slot_org", "org").withColumn("slot_org", F.col("org")), ["pe_bli", "org"], "left")
+    kept = placed.where(F.col("by_org").isNull() | F.col("slot_org").isNotNull())
+    in_scope = ~F.col("scenario").isin(*OUT_OF_SCOPE)
+    prior_row = (F.col("scenario") == "PriorYear") & F.col("project_number").isNull()
+    programs = kept.groupBy("pe_bli", "slot_org", F.when(F.col("by_account"), F.col("account")).alias("detail_account")).agg(
+        F.max("org").alias("org"), F.max("exhibit_family").alias("exhibit_family"), F.countDistinct("project_number").alias("project_count"),
+        F.sum(F.when(prior_row, F.col("amount_millions"))).alias("prior_millions"), F.bool_and("reconciled").alias("fully_reconciled"),
+        F.bool_and(F.when(in_scope, F.col("reconciled"))).alias("reconciled_in_scope"), F.first("by_org", ignorenulls=True).alias("by_org"),
+    ).drop("slot_org")
+
+    def scoped(account: Column, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, Column]:
+        renamed = rows.select(F.col("pe_bli").alias("b_pe"), F.col("account").alias("b_account"), F.col("organization").alias("b_org"), *[F.col(c).alias(f"b_{c}") for c in columns])
+        on = (F.col("pe_bli") == F.col("b_pe")) & joins.optional_scope(account, F.col("b_account")) & (F.col("by_org").isNull() | (F.col("b_org") == F.col("org")))
+        return renamed, on
+
+    line_rows, on = scoped(F.col("detail_account"), book.where(F.col("amount_type") == prior), ["amount_thousands", "account_title"])
+    near = F.abs(F.col("b_amount_thousands") / 1000.0 - F.col("prior_millions")) < 0.0005
+    key = ["pe_bli", "org", "detail_account"]
+    match = picks.pick_first(programs.join(line_rows, on & near), key, [F.asc("b_account"), F.asc("b_account_title")]).select(*key, F.col("b_account").alias("match_account"), F.col("b_account_title").alias("match_title"))
+    known = joins.null_safe_join(programs, match, key, "left")
+    titles = book.where(F.col("account").isNotNull()).groupBy("pe_bli", F.col("account").alias("detail_account")).agg(F.max("account_title").alias("own_title"))
+    known = known.join(titles, ["pe_bli", "detail_account"], "left").select(
+        "pe_bli", "org", "exhibit_family", "project_count", "prior_millions", "fully_reconciled", "reconciled_in_scope", "by_org",
+        F.coalesce("detail_account", "match_account").alias("account"), F.coalesce("match_title", "own_title").alias("account_title"),
+    )
+    by_title = now.groupBy("pe_bli", "account", "organization", "title").agg(F.sum("amount_thousands").alias("k"))
+    dominant = picks.pick_first(by_title, ["pe_bli", "account", "organization"], [F.desc("k"), F.asc("title")])
+    grain = [c for c in known.columns if c != "by_org"]
+    for name, rows in (("dominant", dominant), ("any_line", book)):
+        found, on = scoped(F.col("account"), rows, ["title"])
+        known = known.join(found, on, "left").groupBy(*known.columns).agg(F.max("b_title").alias(name))
+    told = narratives.where((F.col("fiscal_year").cast("int") == edition) & F.col("title").isNotNull()).groupBy("pe_bli").agg(F.max("title").alias("told"))
+    matched = known.join(told, "pe_bli", "left").select(*grain, F.coalesce("dominant", "any_line", "told").alias("title"))
+
+    split = several(now, "account")
+    open_slots = now.join(split, "pe_bli", "left_semi").groupBy("pe_bli", "account").agg(F.max("account_title").alias("account_title")).join(matched.select("pe_bli", "account"), ["pe_bli", "account"], "left_anti")
+    own_lines = book.where(F.col("title").isNotNull()).groupBy("pe_bli", "account").agg(F.max("organization").alias("org"), F.max("title").alias("any_line"))
+    best = dominant.groupBy("pe_bli", "account").agg(F.max("title").alias("dominant"))
+    synthesised = open_slots.join(own_lines, ["pe_bli", "account"], "left").join(best, ["pe_bli", "account"], "left").select(
+        "pe_bli", "org", F.lit(None).cast("string").alias("exhibit_family"), F.lit(0).cast("bigint").alias("project_count"), F.lit(None).cast("double").alias("prior_millions"),
+        F.lit(None).cast("boolean").alias("fully_reconciled"), F.lit(None).cast("boolean").alias("reconciled_in_scope"), "account", "account_title", F.coalesce("dominant", "any_line").alias("title"),
+    ).where(F.col("title").isNotNull())
+    return matched.unionByName(synthesised)

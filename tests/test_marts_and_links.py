@@ -137,3 +137,27 @@ def test_program_concentration_counts_an_award_once(spark):
     got = marts.program_concentration(pins, tx, xwalk).first()
     assert (got.hhi, got.members, got.top_member) == (5200.0, 2, "F1")
     assert marts.program_trajectory(spark.createDataFrame([("p", "A1", "A", 1.0, 2.0), ("p", "A1", "N", 3.0, None)], "pe_bli string, account string, organization string, s1 double, s2 double"), ["s1", "s2"]).where(F.col("s1") == 4.0).count() == 1
+
+
+def test_dim_programs(spark):
+    now, prior = "fy_2026_total", "fy_2024_actuals"
+    data = [
+        line("plain", now, 5, title="Plain"), line("plain", prior, 1500, title="Plain"), line("plain", now, 9, title="Larger name"),
+        line("split", now, 5, account="A1", title="Split one"), line("split", now, 6, account="A2", title="Split two"),
+        line("orgs", now, 5, org="A", title="Army side"), line("orgs", now, 6, org="N", title="Navy side"), line("plain", now, 1, edition=2025, title="AAA old"),
+    ]
+    schema = "pe_bli string, project_number string, project_title string, scenario string, amount_millions double, xml_path string, reconciled boolean, org string, exhibit_family string, fiscal_year int, document_id int, account string"
+    detail = lambda pe, project, scenario, amount, ok, org="A", doc=1, account=None, year=2026: (pe, project, "t", scenario, amount, f"/{pe}/{project}/{scenario}", ok, org, "rdte", year, doc, account)
+    details = [
+        detail("plain", None, "PriorYear", 1.5, True), detail("plain", None, "PriorYear", 1.5, True, doc=2), detail("plain", "p1", "PriorYear", 1.5, True), detail("plain", None, "AllPriorYears", 9.0, False),
+        detail("split", "p1", "PriorYear", 2.0, True, account="A1"), detail("orgs", "p1", "PriorYear", 1.0, True, org="A"), detail("orgs", "p2", "PriorYear", 1.0, False, org="N"), detail("orgs", "p3", "PriorYear", 1.0, True, org="X"),
+        detail("told", "p1", "PriorYear", 1.0, True), detail("plain", "p9", "PriorYear", 1.0, True, year=2025),
+    ]
+    narratives = spark.createDataFrame([("told", "Told title", "2026"), ("told", "Zold", "2025")], "pe_bli string, title string, fiscal_year string")
+    got = {(r.pe_bli, r.org, r.account): r for r in marts.dim_programs(spark.createDataFrame(data, LINES), spark.createDataFrame(details, schema), narratives, 2026, now, prior).collect()}
+    plain = got.pop(("plain", "A", "A1"))
+    assert (plain.prior_millions, plain.project_count, plain.fully_reconciled, plain.reconciled_in_scope, plain.title, plain.account_title) == (1.5, 1, False, True, "Larger name", "title A1")
+    assert {k: (r.title, r.project_count, r.reconciled_in_scope) for k, r in got.items()} == {
+        ("split", "A", None): ("Split two", 1, True), ("split", "A", "A1"): ("Split one", 0, None), ("split", "A", "A2"): ("Split two", 0, None),
+        ("orgs", "A", None): ("Army side", 1, True), ("orgs", "N", None): ("Navy side", 1, False), ("told", "A", None): ("Told title", 1, True),
+    }
