@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
-from tallyspark.operators import chains, entities, graph, joins, ledger, matching, picks
+from tallyspark.operators import chains, entities, gates, graph, joins, ledger, links, matching, picks
 from tallyspark.plans import marts
 from tallyspark.sources import tables
 
@@ -606,3 +606,105 @@ def book_diff(t):
 def flow_edges(t):
     """The budget river as edges of four levels."""
     return marts.flow_edges(_budget_lines(t), "fy_2000_total", {"A": "Army", "N": "Navy"})
+
+
+@_query("""SELECT w AS word, count(*) AS n_parts, CAST(sum(round(p_retailprice * 100)) AS BIGINT) AS cents FROM (SELECT p_partkey, p_retailprice, unnest(list_distinct(string_split(p_name, ' '))) AS w FROM part) WHERE w IN ('red', 'ring', 'bolt', 'blue') GROUP BY w""")
+def list_membership(t):
+    """Rows whose delimited list holds a value, as one exploded join."""
+    spark = t("part").sparkSession
+    asked = spark.createDataFrame([("red",), ("ring",), ("bolt",), ("blue",)], "word string")
+    joined = joins.list_member_join(asked, t("part"), "word", "p_name", " ")
+    return joined.groupBy("word").agg(F.count("*").alias("n_parts"), F.sum(S.cents(F.col("p_retailprice"))).alias("cents"))
+
+
+@_query("""WITH s AS (SELECT CAST(s_suppkey AS VARCHAR) AS family_key, CAST(round(s_acctbal * 100) AS BIGINT) AS amount, CASE s_suppkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CASE WHEN s_suppkey % 2 = 0 THEN 'N' || s_nationkey END AS fam FROM supplier),
+  n AS (SELECT coalesce(fam, family_key) AS family, * FROM s)
+  SELECT family, CAST(sum(amount) AS BIGINT) AS amount, count(*) AS members, CASE max(CASE confidence WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS worst_confidence, arg_max(family_key, (amount, family_key)) AS largest_member FROM n GROUP BY family""")
+def family_rollup(t):
+    """Suppliers folded into curated families with the worst confidence by rank."""
+    confidence = F.when(F.col("s_suppkey") % 3 == 0, "high").when(F.col("s_suppkey") % 3 == 1, "medium").otherwise("low")
+    rows = t("supplier").select(F.col("s_suppkey").cast("string").alias("family_key"), S.cents(F.col("s_acctbal")).alias("amount"), confidence.alias("confidence"), "s_suppkey", "s_nationkey")
+    members = rows.where("s_suppkey % 2 = 0").select("family_key", F.concat(F.lit("N"), F.col("s_nationkey").cast("string")).alias("family"))
+    return entities.family_rollup(rows.drop("s_suppkey", "s_nationkey"), members)
+
+
+@_query("""WITH s AS (SELECT c_nationkey, c_name, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
+  SELECT c_nationkey, c_name, CAST(v AS BIGINT) AS cents, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY v DESC, c_name) AS INT) AS place FROM s QUALIFY place <= 2""")
+def top_names(t):
+    """The two names with most money per nation."""
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("cents", S.cents(F.col("o_totalprice")))
+    return entities.top_names(rows, "c_nationkey", "c_name", "cents")
+
+
+@_query("""SELECT p_brand || p_size AS k, count(*) AS members, count(CASE WHEN p_type <> 'PROMO' THEN p_type END) AS with_account, count(DISTINCT CASE WHEN p_type <> 'PROMO' THEN p_type END) AS accounts,
+  count(CASE WHEN p_type <> 'PROMO' THEN p_type END) = count(*) AND count(DISTINCT CASE WHEN p_type <> 'PROMO' THEN p_type END) = count(*) AS resolvable FROM part GROUP BY ALL HAVING count(*) > 1""")
+def split_keys(t):
+    """Shared keys whose members all have accounts of their own, and those that can't be told apart."""
+    rows = t("part").select(F.concat("p_brand", F.col("p_size").cast("string")).alias("k"), F.nullif("p_type", F.lit("PROMO")).alias("account"))
+    return links.split_keys(rows, "k", "account")
+
+
+@_query("SELECT l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) = 1")
+def exactly_one(t):
+    """Parts whose evidence names exactly one supplier."""
+    return links.exactly_one(t("lineitem").where("l_returnflag = 'R' AND l_quantity > 45"), ["l_partkey"], "l_suppkey")
+
+
+@_query("""WITH b AS (SELECT l_partkey, l_suppkey, 1 AS n FROM lineitem WHERE l_quantity = 50 UNION ALL SELECT l_partkey, l_suppkey, 0 FROM lineitem WHERE l_quantity = 1)
+  SELECT l_partkey, count(DISTINCT l_suppkey) AS values FROM b GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1 AND max(n) = 1""")
+def contradictions(t):
+    """Keys on which incoming claims disagree with standing ones or with each other."""
+    return links.contradictions(t("lineitem").where("l_quantity = 50"), t("lineitem").where("l_quantity = 1"), ["l_partkey"], "l_suppkey")
+
+
+@_query("""WITH c AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_discount >= 0.1), v AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'accept' ELSE 'reject' END AS verdict FROM part WHERE p_size <= 30)
+  SELECT CASE WHEN c.k IS NULL THEN 'stale' WHEN verdict IS NULL THEN 'unadjudicated' WHEN verdict = 'accept' THEN 'accepted' ELSE 'rejected' END AS state, count(*) AS count FROM c FULL JOIN v ON c.k = v.k GROUP BY ALL""")
+def verdict_report(t):
+    """Accepted, rejected, unadjudicated and stale candidates."""
+    candidates = t("lineitem").where("l_discount >= 0.1D").select(F.col("l_partkey").alias("k"))
+    verdicts = t("part").where("p_size <= 30").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, "accept").otherwise("reject").alias("verdict"))
+    return links.verdict_report(candidates, verdicts, ["k"])
+
+
+@_query("""WITH a AS (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS v FROM orders GROUP BY ALL), b AS (SELECT o_custkey, CAST(sum(cents) AS BIGINT) AS v FROM """ + LINES + """ JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+  SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.v AS left_total, b.v AS right_total, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN round(CASE WHEN greatest(abs(a.v), abs(b.v)) > 0 THEN abs(a.v - b.v)::DOUBLE / greatest(abs(a.v), abs(b.v)) * 100 ELSE 0 END, 4) END AS difference_pct,
+    a.v IS NOT NULL AND b.v IS NOT NULL AND abs(a.v - b.v)::DOUBLE / greatest(abs(a.v), abs(b.v)) * 100 <= 25 AS passed FROM a FULL JOIN b ON a.o_custkey = b.o_custkey""")
+def group_reconciliation(t):
+    """Customers' order totals against their lines, in per cent of the larger."""
+    orders = t("orders").select("o_custkey", S.cents(F.col("o_totalprice")).alias("cents"))
+    return gates.group_reconciliation(orders, _sales(t).select("o_custkey", "cents"), "o_custkey", "cents", tolerance_pct=25)
+
+
+@_query("SELECT count(*) FILTER (l_linestatus = 'F') AS held, count(*) AS total, round(count(*) FILTER (l_linestatus = 'F')::DOUBLE / count(*), 6) AS share, count(*) FILTER (l_linestatus = 'F')::DOUBLE / count(*) >= 0.4 AS passed FROM lineitem")
+def share_gate(t):
+    """The share of final lines against a floor."""
+    return gates.share_gate(t("lineitem"), F.col("l_linestatus") == "F", 0.4)
+
+
+@_query("""WITH k AS (SELECT text, min((lang, doc_id)) AS m FROM documents GROUP BY text)
+  SELECT doc_id, lang, struct_extract_at(m, 2) AS kept_id, doc_id <> struct_extract_at(m, 2) AS superseded FROM documents JOIN k USING (text)""")
+def collapse_duplicates(t):
+    """Documents of equal content: the lowest title stays, the others are superseded."""
+    docs = t("documents").select("doc_id", "lang", F.sha2("text", 256).alias("hash"))
+    return ledger.collapse_duplicates(docs, ["hash"], "lang", "doc_id").select("doc_id", "lang", "kept_id", "superseded")
+
+
+@_query("""WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS fact_id, CASE WHEN o_orderkey % 5 = 0 THEN 'difference' ELSE 'sum' END AS operation, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders),
+  i AS (SELECT CAST(l_orderkey AS VARCHAR) AS fact_id, l_linenumber, min(cents) AS v FROM """ + LINES + """ WHERE l_linenumber <= 2 GROUP BY ALL),
+  s AS (SELECT d.fact_id, d.operation, d.v, sum(CASE WHEN d.operation = 'difference' AND l_linenumber > 1 THEN -i.v ELSE i.v END) AS r, count(i.v) AS n FROM d LEFT JOIN i ON i.fact_id = d.fact_id GROUP BY ALL)
+  SELECT fact_id, operation, CAST(r AS BIGINT) AS recomputed, CAST(n AS BIGINT) AS resolved, CASE WHEN n < 2 THEN 'unresolved_input' WHEN r <> v THEN 'mismatch' ELSE 'ok' END AS verdict FROM s""")
+def verify_derived(t):
+    """Order totals recomputed as facts from two input facts each."""
+    key = F.col("o_orderkey").cast("string")
+    inputs = F.array(F.concat(key, F.lit("-1")), F.concat(key, F.lit("-2")))
+    derived = t("orders").select(key.alias("fact_id"), F.when(F.col("o_orderkey") % 5 == 0, "difference").otherwise("sum").alias("operation"), inputs.alias("inputs"), S.cents(F.col("o_totalprice")).alias("value"))
+    facts = _lines(t).groupBy(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("fact_id")).agg(F.min("cents").alias("value"))
+    return ledger.verify_derived(derived, facts).select("fact_id", "operation", F.col("recomputed").cast("bigint").alias("recomputed"), "resolved", "verdict")
+
+
+@_query(f"""WITH {_SERIES}, cells AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY pe_bli, account, organization, fy, kind ORDER BY edition DESC, amount DESC) = 1)
+  SELECT pe_bli, account, organization, fy, max(amount) FILTER (kind = 'request') AS request, max(source_fact_id) FILTER (kind = 'request') AS request_fact, max(amount) FILTER (kind = 'enacted') AS enacted, max(amount) FILTER (kind = 'actuals') AS actuals FROM cells GROUP BY ALL""")
+def years_matrix(t):
+    """Programs by year with a cell for each kind; absent stays absent."""
+    wide = marts.years_matrix(_series(t), ["request", "enacted", "actuals"])
+    return wide.select("pe_bli", "account", "organization", "fy", F.col("request.amount").alias("request"), F.col("request.source_fact_id").alias("request_fact"), F.col("enacted.amount").alias("enacted"), F.col("actuals.amount").alias("actuals"))
