@@ -135,10 +135,12 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         yield _frame(rows)
 
     scanned = cut_lineage(placed.mapInPandas(scan, RESULT + ", part int, first_text string, last_text string"))
-    # one row a partition: each seam takes the first text of the next partition, the last one that of the first
+    # one row a partition: each seam takes the first text of the next partition, the last one that of the first;
+    # only partition numbers meet in the window, the texts are joined to them
     seams = scanned.where(F.col("first_text").isNotNull())
     ahead, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    seams = seams.withColumn("next_text", F.coalesce(F.lead("first_text").over(ahead), F.first("first_text").over(whole)))
+    following = seams.select("part", F.coalesce(F.lead("part").over(ahead), F.first("part").over(whole)).alias("after"))
+    seams = seams.join(following, "part").join(seams.select(F.col("part").alias("after"), F.col("first_text").alias("next_text")), "after")
 
     def close(batches):
         for batch in batches:
