@@ -76,3 +76,12 @@ def guard_overwrite(standing_rows: int, new_rows: int, failed: int, tried: int,
         raise ValueError(f"{failed} of {tried} inputs failed")
     if new_rows < least_kept * standing_rows:
         raise ValueError(f"{new_rows} rows would replace {standing_rows}")
+
+
+def breakdowns(derived: DataFrame, facts: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """The signed inputs of each derived fact that sum exactly to it; facts that don't decompose have no rows."""
+    sign = F.when((F.col("operation") == "difference") & (F.col("pos") > 0), -1).otherwise(1)
+    parts = derived.select("fact_id", "operation", F.col("value").alias("recorded"), F.size("inputs").alias("n_inputs"), F.posexplode("inputs").alias("pos", "input_id"))
+    rows = parts.join(facts.select(F.col("fact_id").alias("input_id"), F.col("value").alias("input_value")), "input_id").withColumn("amount", (sign * F.col("input_value")).cast("decimal(38,6)"))
+    whole = rows.groupBy("fact_id", "recorded", "n_inputs").agg(F.sum("amount").alias("total"), F.count("*").alias("n")).where((F.col("n") == F.col("n_inputs")) & (F.abs(F.col("total") - F.col("recorded")) <= tolerance)).select("fact_id")
+    return rows.join(whole, "fact_id", "left_semi").select("fact_id", "pos", "input_id", "amount")

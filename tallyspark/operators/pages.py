@@ -99,3 +99,24 @@ def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8) -> Da
     joined = terms.join(counts, "alias", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     tier = F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "sole").when(F.col("candidates") <= most, "ambiguous").otherwise("too_many")
     return joined.select("alias", "candidates", tier.alias("tier"), F.when(F.col("candidates") <= most, F.col("programs")).alias("programs"))
+
+
+def payment_rates(pages: DataFrame) -> DataFrame:
+    """Improper-payment pages (page_id, program, agency, html) to yearly rates with the amount they imply.
+
+    One pass reads outlays per year from the summary cards, one the exact rates from the chart of each year; a year
+    needs both. The amount is the rounded share of the outlays.
+    """
+    html = F.coalesce("html", F.lit(""))
+    cards = pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(r'(?s)(<div[^>]*metrics-summary[^>]*data-year="\d{4}".*?</div>)'), 1)).alias("card"))
+    outlays = cards.select("page_id", F.regexp_extract("card", r'data-year="(\d{4})"', 1).cast("int").alias("fy"), F.get(money_mentions(_spelled(F.col("card"))), F.lit(0)).alias("outlays_usd"))
+    outlays = outlays.where(F.col("outlays_usd").isNotNull()).groupBy("page_id", "fy").agg(F.max("outlays_usd").alias("outlays_usd"))
+    charts = pages.select("page_id", "program", "agency", F.explode(F.regexp_extract_all(html, F.lit(r"(?s)(<h2[^>]*>[^<]*FY\s*\d{4}.*?<canvas[^>]*>)"), 1)).alias("chart"))
+    attribute = lambda name: F.regexp_extract("chart", name + r'="([^"]*)"', 1).try_cast("double")
+    rates = charts.select("page_id", "program", "agency", F.regexp_extract("chart", r"FY\s*(\d{4})", 1).cast("int").alias("fy"), attribute("data-improper").alias("rate_pct"), attribute("data-unknown").alias("unknown_rate_pct"))
+    return rates.where(F.col("rate_pct").isNotNull()).join(outlays, ["page_id", "fy"]).withColumn("derived_improper_amount_usd", F.round(F.col("outlays_usd") * F.col("rate_pct") / 100))
+
+
+def _spelled(text: Column) -> Column:
+    """``$1,234.5 M`` as ``$1,234.5 million``, and B as billion, so that one reader of money serves both."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\$\s?[0-9][0-9,.]*)\s*M\b", "$1 million"), r"(\$\s?[0-9][0-9,.]*)\s*B\b", "$1 billion")

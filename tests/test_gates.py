@@ -82,3 +82,35 @@ def test_maps_hops_manifest_and_bundles(spark):
     awards = spark.createDataFrame([("p", "w", "high")], "pe_bli string, award_piid string, confidence string")
     document = json.loads(gates.program_bundle(programs, lines, details, ledger, awards, top=1).first().document)
     assert [x["fact_id"] for x in document["projects"]] == ["f1"] and document["awards"][0]["award_piid"] == "w"
+
+
+def test_pair_tags_sources_and_restamp(spark):
+    from tallyspark.operators import links
+
+    pairs = spark.createDataFrame([("a", "p"), ("a", "q"), ("a", "r"), ("b", "p"), ("c", "p"), ("d", "p"), ("e", "p")], "award_piid string, pe_bli string")
+    verdicts = spark.createDataFrame([("a", "pinned", ["p", "q"], False), ("b", "pinned", ["p"], True), ("c", "pinned", ["p"], False), ("d", "contradicted", None, None), ("e", "insufficient", None, True)], "award_piid string, verdict string, best_pes array<string>, is_own_agency boolean")
+    surviving = spark.createDataFrame([("a", "p")], "award_piid string, pe_bli string")
+    got = {(r.award_piid, r.pe_bli): (r.adjudicated_confidence, r.pair_reason) for r in links.pair_tags(pairs, verdicts, surviving).collect()}
+    assert got == {
+        ("a", "p"): ("high", "pinned-here"), ("a", "q"): ("low", "pin-refuted"), ("a", "r"): ("low", "pinned-elsewhere:p"), ("b", "p"): ("medium", "unpinned-pool"),
+        ("c", "p"): ("low", "account-only"), ("d", "p"): ("reject", "contradicted"), ("e", "p"): ("low", "insufficient-evidence"),
+    }
+    evidence = spark.createDataFrame([("a", "announcement", "u1"), ("a", "subaward", "u0")], "award_piid string, source_kind string, source_url string")
+    snapshots = spark.createDataFrame([("u1", "w", "h", "2025-01-02T00:00:00Z")], "source_url string, archived_url string, sha256 string, fetched_at string")
+    sources = {r.award_piid: (r.source_url, r.archived_url) for r in links.link_sources(pairs.where("pe_bli = 'p'"), evidence, snapshots).collect()}
+    assert sources["a"] == ("u1", "w") and sources["b"] == (None, None)
+    stored = spark.createDataFrame([("x", "normalized"), ("y", "normalized")], "k string, tier string")
+    rowset, counts = links.restamp(stored, spark.createDataFrame([("x", "exact_family")], "k string, tier string"), ["k"])
+    assert rows(rowset) == [("x", "exact_family"), ("y", "none")] and rows(counts) == [("normalized", "exact_family", 1), ("normalized", "none", 1)]
+
+
+def test_breakdowns_and_payment_rates(spark):
+    from tallyspark.operators import ledger, pages
+
+    facts = spark.createDataFrame([("f1", 10.0), ("f2", 4.0)], "fact_id string, value double")
+    derived = spark.createDataFrame([("d1", "difference", ["f1", "f2"], 6.0), ("d2", "sum", ["f1", "f2"], 15.0), ("d3", "sum", ["f1", "f9"], 10.0)], "fact_id string, operation string, inputs array<string>, value double")
+    assert [(r.fact_id, r.input_id, float(r.amount)) for r in ledger.breakdowns(derived, facts).orderBy("pos").collect()] == [("d1", "f1", 10.0), ("d1", "f2", -4.0)]
+    html = '<div class="metrics-summary" data-year="2024"><p>$2,000.5 M</p><p>FY 2024 outlays</p></div><div class="metrics-summary" data-year="2023"><p>none</p></div><h2>FY 2024 improper payment estimates</h2><canvas class="c" data-improper="2.5" data-unknown=""></canvas><h2>FY 2023 estimates</h2><canvas data-improper="9"></canvas>'
+    page = spark.createDataFrame([(1, "Program", "Agency", html)], "page_id int, program string, agency string, html string")
+    got = [(r.fy, r.rate_pct, r.unknown_rate_pct, r.outlays_usd, r.derived_improper_amount_usd) for r in pages.payment_rates(page).collect()]
+    assert got == [(2024, 2.5, None, 2000500000, 50012500.0)]
