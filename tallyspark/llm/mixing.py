@@ -29,6 +29,7 @@ from tallyspark.functions.lineage import cut_lineage, written
 WEIGHTS = (3, 1, 2)
 BINS = 4096
 FILL_ROUNDS = 3
+FEW_SOURCES = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -80,9 +81,13 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
         .withColumnRenamed("source", "of_source")
     )
+    sources = cut_lineage(sources)
+    # tables of one row a source go to every task while there are few sources; with more, Spark chooses, so that
+    # documents move by their source only where the sources are many
+    beside = F.broadcast if sources.count() <= FEW_SOURCES else lambda df: df
     same = F.col("source").eqNullSafe(F.col("of_source"))
     drawn = (
-        sized.join(sources, same)
+        sized.join(beside(sources), same)
         .withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("mark")))
         .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.greatest(F.col("rest"), F.lit(1e-12)) / (1 - F.col("rest"))))
         .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
@@ -100,7 +105,7 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
         .agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("cut"))
         .select(F.col("source").alias("of_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("cut_before"))
     )
-    placed = drawn.join(cuts, same, "left").drop("of_source")
+    placed = drawn.join(beside(cuts), same, "left").drop("of_source")
     ranked = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_cut = F.col("bin") == F.col("cut_bin")
     inside = placed.where(at_cut).withColumn("upto", F.col("cut_before") + F.sum("size").over(ranked))
@@ -122,7 +127,7 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
     rounds = []
     for _ in range(FILL_ROUNDS):
         found = (
-            unused.join(gaps, same)
+            unused.join(beside(gaps), same)
             .where((F.col("as_fit.size") <= F.col("gap")) & (F.col("fit").isNull() | (F.col("as_fit") < F.col("fit"))))
             .groupBy(F.col("of_source"), "gap")
             .agg(F.max("as_fit").alias("fit"))
@@ -130,7 +135,7 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
         gaps = cut_lineage(found.select("of_source", (F.col("gap") - F.col("fit.size")).alias("gap"), "fit"))
         rounds.append(gaps.select("of_source", "fit"))
     fits = reduce(DataFrame.unionByName, rounds).groupBy("of_source").agg(F.collect_list("fit").alias("fits"))
-    taken = chosen.join(fits, same, "left").withColumn("extra", F.col("extra") | F.coalesce(F.array_contains("fits", F.col("as_fit")), F.lit(False)))
+    taken = chosen.join(beside(fits), same, "left").withColumn("extra", F.col("extra") | F.coalesce(F.array_contains("fits", F.col("as_fit")), F.lit(False)))
     return taken.select("doc_id", "source", "size", "mark", "source_size", "target", (F.col("whole") + F.col("extra").cast("int")).cast("bigint").alias("copies"))
 
 
