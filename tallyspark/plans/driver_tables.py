@@ -708,3 +708,35 @@ def years_matrix(t):
     """Programs by year with a cell for each kind; absent stays absent."""
     wide = marts.years_matrix(_series(t), ["request", "enacted", "actuals"])
     return wide.select("pe_bli", "account", "organization", "fy", F.col("request.amount").alias("request"), F.col("request.source_fact_id").alias("request_fact"), F.col("enacted.amount").alias("enacted"), F.col("actuals.amount").alias("actuals"))
+
+
+@_query("""WITH tx AS (SELECT CAST(l_suppkey AS VARCHAR) AS uei, s_name || CASE WHEN ship_year % 2 = 0 THEN ', Inc.' ELSE ' LLC' END AS name, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'P' || (c_nationkey % 4) END AS parent_uei,
+      CASE WHEN l_suppkey % 5 = 0 OR l_suppkey % 7 = 0 THEN NULL ELSE 'NATION_' || (c_nationkey % 4) || ' Corp' END AS parent_name, cents FROM """ + LINES + """ JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+  t AS (SELECT uei, sum(cents) AS total FROM tx GROUP BY uei),
+  n AS (SELECT uei, name FROM (SELECT uei, name, row_number() OVER (PARTITION BY uei ORDER BY sum(cents) DESC, name) AS rn FROM tx GROUP BY uei, name) WHERE rn = 1),
+  p AS (SELECT uei, parent_uei, parent_name FROM (SELECT uei, parent_uei, parent_name, row_number() OVER (PARTITION BY uei ORDER BY sum(cents) DESC, count(*) DESC, parent_uei NULLS LAST, parent_name NULLS LAST) AS rn FROM tx GROUP BY uei, parent_uei, parent_name) WHERE rn = 1),
+  k AS (SELECT t.uei, total, name, parent_uei, parent_name, CASE WHEN parent_name IS NOT NULL THEN replace(replace(upper(parent_name), '_', ' '), ' CORP', '') WHEN parent_uei IS NOT NULL THEN parent_uei ELSE replace(regexp_replace(upper(name), '(, INC\\.| LLC)$', ''), '#', ' ') END AS family_key,
+      CASE WHEN parent_name IS NOT NULL THEN 'parent_name' WHEN parent_uei IS NOT NULL THEN 'parent_uei' ELSE 'recipient_name' END AS method FROM t JOIN n USING (uei) JOIN p USING (uei))
+  SELECT family_key, uei AS recipient_uei, CAST(total AS BIGINT) AS total_obligation, name AS recipient_name, parent_uei, parent_name, method,
+    CASE WHEN method <> 'recipient_name' AND count(DISTINCT parent_uei) OVER (PARTITION BY family_key) <= 1 THEN 'high' ELSE 'medium' END AS confidence FROM k""")
+def entity_xwalk(t):
+    """Suppliers as recipients: whole parent pairs by money, name-first families, confidence by family."""
+    rows = _sales(t, customer_nation=True).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    nation, none = (F.col("c_nationkey") % 4).cast("string"), F.col("l_suppkey") % 5 == 0
+    tx = rows.select(
+        F.col("l_suppkey").cast("string").alias("recipient_uei"), F.concat("s_name", F.when(F.col("ship_year") % 2 == 0, ", Inc.").otherwise(" LLC")).alias("recipient_name"),
+        F.when(~none, F.concat(F.lit("P"), nation)).alias("parent_uei"), F.when(~none & (F.col("l_suppkey") % 7 != 0), F.concat(F.lit("NATION_"), nation, F.lit(" Corp"))).alias("parent_name"), F.col("cents").alias("obligation"),
+    )
+    return entities.entity_crosswalk(tx)
+
+
+@_query("""WITH c AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type || ' ' || p_name || ' Inc.' ELSE p_name || ' Holdings' END AS client_name, CASE WHEN p_size % 2 = 0 THEN upper(p_type || ' ' || p_name) ELSE upper(p_name) || ' HOLDINGS' END AS norm FROM part WHERE p_size <= 20),
+  f AS (SELECT DISTINCT upper(p_name) AS family_key FROM part UNION SELECT DISTINCT upper(p_type || ' ' || p_name) FROM part WHERE p_size > 40)
+  SELECT client_name, family_key, CASE WHEN norm = family_key THEN 'exact_family' ELSE 'normalized' END AS tier, CASE WHEN norm = family_key THEN 0 ELSE 2 END AS tier_rank FROM c JOIN f ON contains(' ' || norm || ' ', ' ' || family_key || ' ')""")
+def client_tiers(t):
+    """Client names against families: exact names and whole word runs, by equi joins."""
+    named = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", "p_type", "p_name", F.lit("Inc."))).otherwise(F.concat_ws(" ", "p_name", F.lit("Holdings")))
+    clients = t("part").where("p_size <= 20").select(named.alias("client_name")).distinct()
+    families = t("part").select(F.upper("p_name").alias("family_key")).unionByName(t("part").where("p_size > 40").select(F.upper(F.concat_ws(" ", "p_type", "p_name")).alias("family_key"))).distinct()
+    none = families.where("false")
+    return links.match_clients(clients, families, none.withColumn("lda_client_name", F.lit("")), none.withColumn("raw_name", F.lit("")))
