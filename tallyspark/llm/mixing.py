@@ -6,7 +6,10 @@
 3. The rest ``p = c - floor(c)`` is its inclusion probability. Each document draws a uniform ``u`` from a hash
    of its id, and documents are ranked by the Pareto variable ``(u / (1 - u)) / (p / (1 - p))``. The sample is
    fixed in size, measured in ``size`` units: the ranking is cut where it comes nearest below what is left of
-   the target, and a few rounds then add the largest unused document that still fits.
+   the target, and ``FILL_ROUNDS`` rounds then add the largest unused document that still fits.
+4. While a source has unused documents that fit its gap, these alone are ranked and cut again, so a document that
+   is too long for the gap keeps none behind it out. Each round takes one document at least. Only the registered
+   query stops before this step, as its SQL does.
 
 No source is sorted as a whole. Sizes are summed by (source, bin of the Pareto variable); a window over those
 sums finds the bin that holds the cut, and only that bin's documents are ranked, so a source with a third of
@@ -70,8 +73,11 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``sized``: doc_id, source, size and mark (tells rows of one id apart). Adds source_size, target, copies."""
+def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0, until_full: bool = True) -> DataFrame:
+    """``sized``: doc_id, source, size and mark (tells rows of one id apart). Adds source_size, target, copies.
+
+    Without ``until_full``, a source may end with unused documents that fit its gap.
+    """
     per_source = targets(sized, weights=weights, epochs=epochs, most=most)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = (
@@ -136,9 +142,45 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
         rounds.append(gaps.select("of_source", "fit"))
     fits = reduce(DataFrame.unionByName, rounds).groupBy("of_source").agg(F.collect_list("fit").alias("fits"))
     taken = chosen.join(beside(fits), same, "left").withColumn("extra", F.col("extra") | F.coalesce(F.array_contains("fits", F.col("as_fit")), F.lit(False)))
+    if until_full:
+        taken = _filled(taken.drop("of_source"), beside)
     return taken.select("doc_id", "source", "size", "mark", "source_size", "target", (F.col("whole") + F.col("extra").cast("int")).cast("bigint").alias("copies"))
 
 
+def _filled(taken: DataFrame, beside) -> DataFrame:
+    """``taken`` with more rows marked ``extra``, until no source has an unused document that fits its gap."""
+    same = F.col("source").eqNullSafe(F.col("of_source"))
+    got = F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))
+    gaps = cut_lineage(taken.groupBy(F.col("source").alias("of_source"), "need").agg(got.alias("got")).select("of_source", (F.col("need") - F.col("got")).alias("gap")))
+    left = taken.where(~F.col("extra") & (F.col("rest") > 0) & (F.col("size") > 0)).join(beside(gaps), same).where("size <= gap")
+    # equal rows are taken together, so they count as one
+    left = written(left.groupBy("source", "bin", "rank", "doc_id", "mark").agg(F.sum("size").alias("size")), "mix-left")
+    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "mark").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rounds = []
+    while True:
+        left = written(left.join(beside(gaps), same).where("size <= gap").drop("of_source"), "mix-fitting")
+        if left.isEmpty():
+            break
+        bins = left.groupBy("source", "bin", "gap").agg(F.sum("size").alias("bin_size")).withColumn("upto", F.sum("bin_size").over(upto))
+        cuts = bins.where("upto > gap").groupBy(F.col("source").alias("of_source")).agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("cut"))
+        placed = left.join(beside(cuts), same, "left").drop("of_source")
+        at_cut = F.coalesce(F.col("bin") == F.col("cut.bin"), F.lit(False))
+        inside = placed.where(at_cut).withColumn("now", F.col("cut.before") + F.sum("size").over(ranked) <= F.col("gap"))
+        outside = placed.where(~at_cut).withColumn("now", F.coalesce(F.col("bin") < F.col("cut.bin"), F.lit(True)))
+        placed = written(inside.unionByName(outside).drop("cut"), "mix-round")
+        now = F.sum(F.when(F.col("now"), F.col("size")).otherwise(0))
+        gaps = cut_lineage(placed.groupBy(F.col("source").alias("of_source"), "gap").agg(now.alias("got")).select("of_source", (F.col("gap") - F.col("got")).alias("gap")))
+        rounds.append(placed.where("now").select(F.col("source").alias("of_source"), F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")))
+        left = placed.where("NOT now").drop("now", "gap")
+    if not rounds:
+        return taken
+    more = reduce(DataFrame.unionByName, rounds)
+    more = F.broadcast(more) if more.count() <= FEW_SOURCES else more
+    on = same & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark"))
+    return taken.join(more, on, "left").withColumn("extra", F.col("extra") | F.col("of_mark").isNotNull())
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents, with the columns of ``docs``: one row for each copy taken."""
     mark, of_id, of_source, of_mark, copies = (unused(docs, stem) for stem in ("mark", "of_id", "of_source", "of_mark", "copies"))
@@ -153,7 +195,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op5_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
-    return pareto_mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return pareto_mix(sized, until_full=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP5_SQL = r"""

@@ -216,6 +216,20 @@ def test_mixture_meets_targets_and_reruns_agree(spark):
         assert 0 <= target - taken[source] <= 25
 
 
+def test_mixture_fills_a_source_beside_one_dominant_document(spark):
+    """No document is added twice, none that fits is left, whatever place the long one has in the ranking."""
+    sizes = [(s, n) for s in ("a", "b", None) for n in [4_000] + [10] * 150 + [7] * 50]
+    sized = spark.createDataFrame([(k, s, n, str(k)) for k, (s, n) in enumerate(sizes)], "doc_id bigint, source string, size bigint, mark string")
+    for seed in range(2):
+        rows = mixing.pareto_mix(sized, weights=(1,), epochs=0.5, seed=seed).collect()
+        assert len(rows) == len(sizes)
+        for source in ("a", "b", None):
+            mine = [r for r in rows if r.source == source]
+            gap = mine[0].target - sum(r.copies * r.size for r in mine)
+            assert gap >= 0 and not [r for r in mine if r.copies == 0 and r.size <= gap]
+            assert sum(r.copies for r in mine if r.size < 100) == 200  # all the short ones: 1,850 of 2,925 words
+
+
 def test_mixture_of_odd_rows_repeats_documents(spark):
     docs = odd_docs(spark).withColumn("mix_id", F.lit(1))
     mixed = mixing.mix(docs)
