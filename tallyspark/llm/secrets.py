@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame and Spark ML functions only.
 
-Candidates are the white-space separated tokens of whole texts that hold a run of at least ``MIN_RUN`` letters,
-digits and ``+ / _ -``. Each gets: its length and character mix, the mean log-odds of its character transitions,
+Candidates are all runs of at least ``MIN_RUN`` letters, digits and ``+ / _ -`` in the white-space separated words of
+whole texts, several in a word too, and what is assigned to a name such as ``password``, however short. Each gets: its length and character mix, the mean log-odds of its character transitions,
 how much of it dictionary words cover, its path, and what the neighbouring words say. A random forest trained
 from labelled findings turns that into a probability; findings under the threshold are false positives.
 
@@ -10,7 +10,8 @@ words, so both travel as literals of bounded size whatever the corpus. The fores
 labelled findings, taken by a hash of what they are.
 
 Labels: ``scan`` takes any table of labelled findings. The query has none given, so its labels come from plain
-rules: a token assigned to a name such as ``token`` or ``password`` is a secret; a word of running prose or a
+rules: a token assigned to a name such as ``token`` or ``password`` is a secret (a short one if it has letters and
+digits), the name itself is not labelled; a word of running prose or a
 bare number is not; every other finding is unlabelled. As these look at neighbouring words, a second forest
 leaves the neighbours out and gives ``shape_score``, so that agreement of the two says something.
 
@@ -35,18 +36,45 @@ MAX_FINDINGS = 20_000
 THRESHOLD = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
 NAMED = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+# a run with its padding, if that doesn't assign the next run; and such a name with a sign of assignment right before a run
+RUN = r"[A-Za-z0-9+/_-]+(?:={1,2}(?=[\"'`]?(?:[,;&)\]}]|[^A-Za-z0-9+/_-]*$)))?"
+ASSIGNED_NAME = NAMED + r"[A-Za-z0-9_.-]*(\s+key)?[\"'`\])]*\s*[:=][^A-Za-z0-9]*$"
 
 
 def candidates(docs: DataFrame, *, path: str = "source", min_run: int = MIN_RUN) -> DataFrame:
-    """doc_id, path, word_index, token, and the two words before and one after, for every candidate of ``text``."""
+    """doc_id, path, word_index, offset (in the word), token, the two words before and one after, for every candidate.
+
+    What the neighbours say is tested on whole words and on the runs before a candidate in its own word; only the
+    copies of the neighbours that are kept are cut, to the 64 characters next to the word.
+    """
     words = F.split(F.coalesce("text", F.lit("")), SPACE)
-    long = F.filter(F.transform(F.col("words"), lambda w, k: F.struct(k.alias("k"), w.alias("w"))), lambda p: (F.char_length(p["w"]) >= min_run) & p["w"].rlike(rf"[A-Za-z0-9+/_-]{{{min_run},}}"))
-    found = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), words.alias("words")).select("doc_id", "path", "words", F.explode(long).alias("c"))
-    at = lambda step: F.coalesce(F.get("words", F.col("c.k") + step), F.lit(""))
-    token = F.regexp_extract(F.col("c.w"), rf"([A-Za-z0-9+/_-]{{{min_run},}}={{0,2}})", 1)
+    is_long = lambda run: run.rlike(rf"[A-Za-z0-9+/_-]{{{min_run}}}")
+    get = lambda k: F.coalesce(F.get("words", k), F.lit(""))
+    sign = lambda w: F.contains(w, F.lit("=")) | F.contains(w, F.lit(":"))
+    may_hold = lambda p: is_long(p["w"]) | ((sign(p["w"]) | sign(get(p["k"] - 1))) & F.concat_ws(" ", get(p["k"] - 2), get(p["k"] - 1), p["w"]).rlike(NAMED))
+    held = F.filter(F.transform(F.col("words"), lambda w, k: F.struct(k.alias("k"), w.alias("w"))), may_hold)
+    found = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), words.alias("words")).select("doc_id", "path", "words", F.explode(held).alias("c"))
+    at = lambda step: get(F.col("c.k") + step)
+    # what stands between runs and the runs by turns: every second piece is a run
+    pieces = F.split(F.regexp_replace(F.translate("c.w", "\x01", "\x02"), RUN, "\x01$0\x01"), "\x01", -1)
+    found = found.select("doc_id", "path", F.col("c.k").cast("bigint").alias("word_index"), F.col("c.w").alias("word"), at(-2).alias("before2"), at(-1).alias("before1"), at(1).alias("after1"), pieces.alias("pieces"))
+
+    def run_at(i: Column) -> Column:
+        near = F.concat_ws("", F.slice("pieces", F.greatest(i - 6, F.lit(1)), F.least(i - 1, F.lit(6))))
+        lead = F.when(i <= 6, F.concat_ws(" ", "before2", "before1", near)).otherwise(near)
+        return F.struct(i.alias("i"), F.element_at("pieces", i).alias("run"), lead.alias("lead"))
+
+    runs = F.when(F.size("pieces") >= 3, F.transform(F.sequence(F.lit(2), F.greatest(F.size("pieces"), F.lit(2)), F.lit(2)), run_at)).otherwise(F.array())
+    kept = F.filter(runs, lambda r: is_long(r["run"]) | r["lead"].rlike(ASSIGNED_NAME))
+    found = found.withColumn("r", F.explode(kept))
+    # a short value goes on to the next delimiter, as passwords hold other characters too
+    value = F.regexp_extract(F.concat_ws("", F.slice("pieces", F.col("r.i"), F.size("pieces"))), r"^[^\"'`,;&<>(){}\[\]]+", 0)
     return found.select(
-        "doc_id", "path", F.col("c.k").cast("bigint").alias("word_index"), token.alias("token"), F.col("c.w").alias("word"),
-        F.substring(at(-2), 1, 64).alias("before2"), F.substring(at(-1), 1, 64).alias("before1"), F.substring(at(1), 1, 64).alias("after1"),
+        "doc_id", "path", "word_index", F.aggregate(F.slice("pieces", 1, F.col("r.i") - 1), F.lit(0), lambda n, p: n + F.char_length(p)).alias("offset"),
+        F.when(is_long(F.col("r.run")), F.col("r.run")).otherwise(value).alias("token"), "word",
+        F.right("before2", F.lit(64)).alias("before2"), F.right("before1", F.lit(64)).alias("before1"), F.substring("after1", 1, 64).alias("after1"),
+        F.col("r.lead").rlike(r"[:=][^A-Za-z0-9]*$").alias("is_assigned"), F.col("r.lead").rlike(NAMED).alias("is_named"),
+        F.col("r.lead").rlike(ASSIGNED_NAME).alias("has_secret_name"), F.col("after1").rlike("^[a-z]+[.,;]?$").alias("is_before_prose"),
     )
 
 
@@ -87,7 +115,6 @@ def features(found: DataFrame, odds: dict[str, float], known_words: list[str]) -
     pairs = _pairs(_classes(token))
     odds_sum = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.element_at(table, p), F.lit(0.0)))
     bare = F.regexp_replace(F.lower(token), "|".join(sorted(known_words, key=lambda w: (-len(w), w))), "") if known_words else F.lower(token)
-    beside = F.concat_ws(" ", "before2", "before1", F.col("word"))
     return found.withColumns({
         "length": size,
         "digit_share": count("[0-9]") / size,
@@ -100,9 +127,9 @@ def features(found: DataFrame, odds: dict[str, float], known_words: list[str]) -
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
         "path_example": F.col("path").rlike("(?i)test|example|sample|mock|doc").cast("double"),
         "path_config": F.col("path").rlike(r"(?i)\.(env|ini|cfg|conf|ya?ml|json|toml|properties)$").cast("double"),
-        "assigned": F.col("before1").rlike("[:=]$").cast("double"),
-        "named": beside.rlike(NAMED).cast("double"),
-        "prose_after": F.col("after1").rlike("^[a-z]+[.,;]?$").cast("double"),
+        "assigned": F.col("is_assigned").cast("double"),
+        "named": F.col("is_named").cast("double"),
+        "prose_after": F.col("is_before_prose").cast("double"),
     })
 
 
@@ -112,9 +139,9 @@ PLACE = ["assigned", "named", "prose_after"]
 
 def place_labels(found: DataFrame) -> DataFrame:
     """Labelled findings by the rules of the module's text: label 1.0 or 0.0, others left out."""
-    beside = F.concat_ws(" ", "before2", "before1", F.col("word"))
-    assigned = beside.rlike(NAMED) & (F.col("before1").rlike("[:=]$") | F.col("word").rlike("[:=]"))
-    prose = F.col("word").rlike(r"^([A-Za-z]+|[0-9]+)[.,;:!?]*$") & ~beside.rlike(NAMED)
+    is_value = F.col("token").rlike(rf"[A-Za-z0-9+/_-]{{{MIN_RUN}}}") | (F.col("token").rlike("[A-Za-z]") & F.col("token").rlike("[0-9]"))
+    assigned = F.col("has_secret_name") & is_value
+    prose = F.col("word").rlike(r"^([A-Za-z]+|[0-9]+)[.,;:!?]*$") & ~F.col("is_named")
     return found.withColumn("label", F.when(assigned, 1.0).when(prose, 0.0)).where(F.col("label").isNotNull())
 
 
@@ -123,13 +150,13 @@ def scan(found: DataFrame, labelled: DataFrame, known_words: list[str], *, most:
 
     Both kinds get half of ``most`` findings at most, so a rare kind is never crowded out.
     """
-    order = [F.xxhash64("doc_id", "word_index", "token"), F.col("doc_id"), F.col("word_index")]
+    order = [F.xxhash64("doc_id", "word_index", "token"), F.col("doc_id"), F.col("word_index"), F.col("offset")]
     halves = [labelled.where(F.col("label") == kind).orderBy(*order).limit(most // 2) for kind in (0.0, 1.0)]
     sample = cut_lineage(halves[0].unionByName(halves[1])).coalesce(4)
     if sample.select("label").distinct().count() < 2:
         return found.withColumn("shape_score", F.lit(1.0)).withColumn("score", F.lit(1.0))
     odds = transition_odds(sample)
-    train = cut_lineage(features(sample, odds, known_words).repartition(4, "doc_id", "word_index").sortWithinPartitions("doc_id", "word_index")).coalesce(4)
+    train = cut_lineage(features(sample, odds, known_words).repartition(4, "doc_id", "word_index").sortWithinPartitions("doc_id", "word_index", "offset")).coalesce(4)
     scored = features(found, odds, known_words)
     for columns, vector, name in ((SHAPE, "shape_vector", "shape_score"), (SHAPE + PLACE, "all_vector", "score")):
         assemble = VectorAssembler(inputCols=columns, outputCol=vector)

@@ -101,6 +101,25 @@ def test_secret_scan_finds_assigned_tokens_and_dismisses_prose(spark):
     assert secrets.scan(odd, secrets.place_labels(odd), []).count() == 0
 
 
+def test_secret_candidates_are_all_runs_and_what_is_assigned_to_a_name(spark):
+    key, far = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x" * 70
+    texts = {
+        f"export AWS_SECRET_ACCESS_KEY={key}": [("AWS_SECRET_ACCESS_KEY", 0, None), (key, 22, 1.0)],
+        f"see https://a-very-long-host-name/path?key={key}&n=1": [("//a-very-long-host-name/path", 6, None), (key, 39, None)],
+        f'{{"user":"bob","password":"hunter2","note_of_some_length":"{key}"}}': [("hunter2", 26, 1.0), ("note_of_some_length", 36, None), (key, 58, None)],
+        "password = p@ss.w0rd and pwd: hunter2": [("p@ss.w0rd", 0, 1.0), ("hunter2", 0, 1.0)],
+        f"{far}_token= {key}": [(f"{far}_token=", 0, None), (key, 0, 1.0)],
+        f"a \"{key}==\", b": [(f"{key}==", 1, None)],
+        "= : ==": [],
+    }
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    found = secrets.candidates(docs)
+    labels = {(r.doc_id, r.word_index, r.offset): r.label for r in secrets.place_labels(found).collect()}
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.word_index, r.offset))
+    for k, wanted in enumerate(texts.values()):
+        assert [(r.token, r.offset, labels.get((k, r.word_index, r.offset))) for r in rows if r.doc_id == k] == wanted
+
+
 # 3 ------------------------------------------------------------------------------------------------------------
 
 
