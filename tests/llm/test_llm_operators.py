@@ -161,6 +161,18 @@ def test_near_classes_match_brute_force(spark, small):
     assert {r.doc_id: r.class_id for r in found.collect()} == brute_classes(dict(enumerate(texts)))
 
 
+@pytest.mark.parametrize("small", [16, 1])
+def test_near_classes_lose_no_link_of_short_texts(spark, small):
+    """4 of 5 shingles in common, 5 of 6, 8 of 10: few of the sketches' minima agree. A small key bound takes the family blocks."""
+    rng = random.Random(3)
+    texts = []
+    for n in [8] * 250 + [9] * 60 + [12] * 60:
+        text = ["w%d" % rng.randrange(10**6) for _ in range(n)]
+        texts += [" ".join(text), " ".join([*text, "more"] + (["words"] if n == 12 else []))]
+    found = near_dedup.near_duplicate_classes(docs_of(spark, texts), small=small)
+    assert {r.doc_id: r.class_id for r in found.collect()} == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_near_classes_of_odd_rows(spark):
     found = near_dedup.near_duplicate_classes(odd_docs(spark)).collect()
     assert len(found) == 8
