@@ -391,7 +391,7 @@ def contiguous_containment(t):
     """Names whose words stand in a row inside longer names, by an n-gram join."""
     short = t("part").select(F.col("p_name").alias("short_name")).distinct()
     long = t("part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name", "p_brand").alias("long_name"))
-    return matching.contained_in(short, long, "short_name", "p_partkey", "short_name", "long_name", longest=3)
+    return matching.contained_in(short, long, "short_name", "p_partkey", "short_name", "long_name")
 
 
 @_query(r"""WITH w AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(upper(text), '[^A-Z0-9]+'))) AS term FROM benchmark),

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
-from tallyspark.operators import chains, entities, graph, joins, ledger, matching, picks
+from tallyspark.operators import chains, entities, graph, joins, ledger, links, matching, picks
 from tallyspark.sources import tables
 from tallyspark.streaming.ingest import ingest_new_files
 
@@ -202,3 +202,14 @@ def test_assertions(spark):
     pins = spark.createDataFrame([(2, 7), (3, 1)], "k int, v int")
     assert DQ.differs_from_pins(df.where("k = 2"), pins, ["k"], "v").count() == 2
     assert rows(DQ.symmetric_difference(df.select("k"), df.select("k").distinct())) == [(1, "left")]
+
+
+def test_names_of_ten_words_are_contained(spark):
+    name = "one two three four five six seven eight nine ten"
+    short = spark.createDataFrame([(1, name), (2, "four five")], "k int, s string")
+    long = spark.createDataFrame([(9, f"before {name} after"), (8, name[:-4])], "t int, s2 string")
+    assert sorted(map(tuple, matching.contained_in(short, long, "k", "t", "s", "s2").collect())) == [(1, 9, 10), (2, 8, 2), (2, 9, 2)]
+    assert matching.contained_in(short.limit(0), long, "k", "t", "s", "s2").count() == 0
+    none = spark.createDataFrame([], "lda_client_name string, raw_name string, family_key string")
+    clients, families = spark.createDataFrame([(f"Old {name}",)], "client_name string"), spark.createDataFrame([(name.upper(),)], "family_key string")
+    assert [r.tier for r in links.match_clients(clients, families, none, none).collect()] == ["normalized"]
