@@ -51,20 +51,23 @@ def drop_mirrored(edges: DataFrame, source: str, target: str, period: str) -> Da
     return edges.join(back, later, "left_anti")
 
 
-def longest_path_steps(edges: DataFrame, source: str = "src", target: str = "dst", rounds: int = 200) -> DataFrame:
+def longest_path_steps(edges: DataFrame, source: str = "src", target: str = "dst", rounds: int | None = None) -> DataFrame:
     """(node, step, cyclic): the longest path to each node; nodes on or behind a cycle stand one past the deepest.
 
     Each round removes the nodes that nothing left points to, and their step is the round's number: the longest
-    path from a start. What never becomes free lies on or behind a cycle.
+    path from a start. What never becomes free lies on or behind a cycle. Given ``rounds`` that don't suffice are an
+    error, as nodes on no cycle would else be flagged.
     """
     left = cut_lineage(edges.select(F.col(source).alias("src"), F.col(target).alias("dst")).where("src <> dst").distinct())
     nodes = cut_lineage(edges.select(F.explode(F.array(source, target)).alias("node")).where("node IS NOT NULL").distinct())
     done, step = None, 0
-    while step < rounds:
+    while True:
         blocked = left.select(F.col("dst").alias("node")).distinct()
         free = cut_lineage(nodes.join(blocked, "node", "left_anti").withColumn("step", F.lit(step)))
         if free.limit(1).count() == 0:
             break
+        if rounds is not None and step >= rounds:
+            raise RuntimeError(f"{rounds} rounds don't reach the end of the longest path")
         done = free if done is None else done.unionByName(free)
         nodes = cut_lineage(nodes.join(free, "node", "left_anti"))
         left = cut_lineage(left.join(free.select(F.col("node").alias("src")), "src", "left_anti"))

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.operators import chains, gates, succession
@@ -114,3 +115,10 @@ def test_breakdowns_and_payment_rates(spark):
     page = spark.createDataFrame([(1, "Program", "Agency", html)], "page_id int, program string, agency string, html string")
     got = [(r.fy, r.rate_pct, r.unknown_rate_pct, r.outlays_usd, r.derived_improper_amount_usd) for r in pages.payment_rates(page).collect()]
     assert got == [(2024, 2.5, None, 2000500000, 50012500.0)]
+
+
+def test_longest_path_steps_flag_no_path_as_a_cycle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    with pytest.raises(RuntimeError):
+        chains.longest_path_steps(edges, rounds=2)
+    assert rows(chains.longest_path_steps(edges, rounds=3)) == [("a", 0, False), ("b", 1, False), ("c", 2, False)]
