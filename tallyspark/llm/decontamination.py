@@ -1,8 +1,8 @@
 """Benchmark decontamination: a hash set of normalised benchmark n-grams against every training window.
 
-The benchmark's windows form a hash set that travels with the scan. It is sent whole only while its text is
-within ``block_bytes``; a larger benchmark is cut into blocks of about that size, and the same scan applies
-one block after the other to each batch of texts, so what a task holds stays bounded and no text is shuffled.
+The benchmark's windows form a hash set that travels with the scan. A benchmark whose text is over
+``block_bytes`` is cut into blocks of about that size, and the same scan applies one block after the other to
+each batch of texts, so no text is shuffled. The blocks bound no memory: the driver and every task hold them all.
 Every hash match is verified word by word before it counts.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an item
