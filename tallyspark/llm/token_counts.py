@@ -9,7 +9,8 @@ ids since the last separator. A document may run over any number of blocks.
 
 Defined cases: an empty file holds no document; two separators in a row close an empty document of one id (the
 separator counts as a token of its document); ids after a file's last separator are one last, unclosed
-document; a null or empty text writes only its separator.
+document; a null or empty text writes only its separator. Ids are two bytes wide where the vocabulary allows, else
+four; a width that is given and can't hold the vocabulary is an error. Document ids of any size are kept exactly.
 """
 
 from __future__ import annotations
@@ -23,19 +24,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.lineage import new_folder, written
-from tallyspark.llm.token_output import NULL_ID, default_tokenizer, encoder_of, save, store_of
+from tallyspark.llm.token_output import default_tokenizer, encoder_of, save, store_of
 
 END_ID = 49407  # the vocabulary's own end of text; no text encodes to it, as special tokens' names count as text
 BLOCK_IDS = 1 << 20
 FILE_IDS = 32 << 20
 
 
-def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = END_ID, dtype: str = "<u2", file_ids: int = FILE_IDS) -> DataFrame:
+def id_type(tokenizer: str | None = None, end_id: int = END_ID, dtype: str | None = None) -> str:
+    """The numpy type of the files' ids: what the vocabulary and the separator need, or the given one if it suffices."""
+    bits = max(encoder_of(tokenizer or default_tokenizer(), special_as_text=True).bits, int(end_id).bit_length())
+    if dtype is not None and np.iinfo(dtype).max < 2**bits - 1:
+        raise ValueError(f"{dtype} can't hold ids of {bits} bits")
+    return dtype or ("<u2" if bits <= 16 else "<u4")
+
+
+def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = END_ID, dtype: str | None = None, file_ids: int = FILE_IDS) -> DataFrame:
     """Write (doc_id, text) as flat files, in the order and tasks of the scan, so no text moves.
 
     Returns one row a document: path, ordinal, doc_id. The files don't hold the ids; only this table does.
     """
     path = tokenizer or default_tokenizer()
+    dtype = id_type(path, end_id, dtype)
 
     def write(batches):
         encoder, partition, part = encoder_of(path, special_as_text=True), TaskContext.get().partitionId(), 0
@@ -43,14 +53,13 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, en
 
         def close():
             saved = save(folder, f"flat-{partition:06d}-{part:06d}-{uuid.uuid4().hex}.ids", b"".join(chunks))
-            ids = pd.array([None if i == NULL_ID else i for i in doc_ids], "Int64")
-            return pd.DataFrame({"path": saved, "partition": partition, "part": part, "ordinal": range(len(doc_ids)), "doc_id": ids, "file_ids": n})
+            return pd.DataFrame({"path": saved, "partition": partition, "part": part, "ordinal": range(len(doc_ids)), "doc_id": doc_ids, "file_ids": n})
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 ids = encoder.encode(text)
                 chunks += [ids.astype(dtype).tobytes(), np.array([end_id], dtype).tobytes()]
-                doc_ids.append(NULL_ID if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(doc_id)  # as text, so that a null beside it doesn't round it
                 n += len(ids) + 1
                 if n >= file_ids:
                     yield close()
@@ -58,7 +67,8 @@ def write_flat(docs: DataFrame, folder: str, *, tokenizer: str | None = None, en
         if doc_ids:
             yield close()
 
-    return written(docs.select("doc_id", "text").mapInPandas(write, "path string, partition int, part int, ordinal bigint, doc_id bigint, file_ids bigint"), "flat-manifest")
+    listed = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(write, "path string, partition int, part int, ordinal bigint, doc_id string, file_ids bigint")
+    return written(listed.withColumn("doc_id", F.col("doc_id").cast("bigint")), "flat-manifest")
 
 
 def count_tokens(spark: SparkSession, files: DataFrame, *, end_id: int = END_ID, dtype: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -104,5 +114,5 @@ def op6_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     manifest = write_flat(docs, new_folder(spark, "flat-tokens"))
     files = manifest.groupBy("path").agg(F.first("file_ids").alias("file_ids"))
-    counted = count_tokens(spark, files)
+    counted = count_tokens(spark, files, dtype=id_type())
     return counted.join(manifest.select("path", "ordinal", "doc_id"), ["path", "ordinal"]).select("doc_id", "ordinal", F.col("start"), "n_tokens")

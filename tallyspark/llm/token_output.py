@@ -2,9 +2,10 @@
 
 File format (little-endian), one file per range of documents:
 
-    magic "TLYPACK1" | bits u32 | block u32 | n_docs u64 | n_ids u64
-    doc_ids   i64[n_docs]      null ids are written as the smallest i64
+    magic "TLYPACK2" | bits u32 | block u32 | n_docs u64 | n_ids u64
+    doc_ids   i64[n_docs]      0 where the id is null
     doc_ends  u64[n_docs]      running count of ids, so any document can be found
+    no_id     u8[n_docs]       1 where the id is null
     offsets   u64[n_blocks+1]  byte offset of each block in the payload
     payload   blocks of ``block`` ids, ``bits`` bits each, low bit first, each block padded to a byte
 
@@ -19,7 +20,8 @@ any file system it knows works; the folder must be shared.
 Encoding remembers the ids of words (see ``Encoder``), which saves most of the tokenizer's work.
 
 Defined cases: null and empty texts hold only the end id; rows with a null id come last; rows of one id are
-ordered by text; an empty table writes no file and returns no rows.
+ordered by text; an empty table writes no file and returns no rows. Ids of any size are kept exactly: they reach
+the Python functions as text, since a batch with a null would turn whole numbers into floating ones.
 """
 
 from __future__ import annotations
@@ -38,11 +40,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.lineage import cut_lineage, new_folder
 
-MAGIC = b"TLYPACK1"
+MAGIC = b"TLYPACK2"
 END_ID = 1
 BLOCK = 4096
 FILE_IDS = 8 << 20
-NULL_ID = np.iinfo(np.int64).min
 
 
 def default_tokenizer() -> str:
@@ -153,13 +154,19 @@ def unpack(payload: bytes, bits: int, n: int) -> np.ndarray:
     return rows.reshape(-1).view("<u4")
 
 
-def file_bytes(doc_ids: list[int], ids: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
+def whole_number(text) -> int | None:
+    """An id that came as text, exactly; None for null."""
+    return None if pd.isna(text) else int(text)
+
+
+def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], bits: int, block: int = BLOCK) -> bytes:
     """One file's content for documents in order."""
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     blocks = [pack(flat[k : k + block], bits) for k in range(0, len(flat), block)]
     head = MAGIC + np.array([bits, block], "<u4").tobytes() + np.array([len(ids), len(flat)], "<u8").tobytes()
     ends, offsets = np.cumsum([len(x) for x in ids], dtype="<u8"), np.cumsum([0, *map(len, blocks)], dtype="<u8")
-    return b"".join([head, np.array(doc_ids, "<i8").tobytes(), ends.tobytes(), offsets.tobytes(), *blocks])
+    numbers, missing = np.array([i or 0 for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8)
+    return b"".join([head, numbers.tobytes(), ends.tobytes(), missing.tobytes(), offsets.tobytes(), *blocks])
 
 
 class PackedFile:
@@ -170,11 +177,13 @@ class PackedFile:
             raise ValueError("not a packed token file")
         self.bits, self.block = (int(x) for x in np.frombuffer(content, "<u4", 2, 8))
         self.n_docs, self.n_ids = (int(x) for x in np.frombuffer(content, "<u8", 2, 16))
-        self.doc_ids = np.frombuffer(content, "<i8", self.n_docs, 32)
+        missing = np.frombuffer(content, np.uint8, self.n_docs, 32 + 16 * self.n_docs).tolist()
+        numbers = np.frombuffer(content, "<i8", self.n_docs, 32).tolist()
+        self.doc_ids = [None if gone else number for number, gone in zip(numbers, missing, strict=True)]
         self.doc_ends = np.frombuffer(content, "<u8", self.n_docs, 32 + 8 * self.n_docs)
         n_blocks = -(-self.n_ids // self.block)
-        self.offsets = np.frombuffer(content, "<u8", n_blocks + 1, 32 + 16 * self.n_docs)
-        self._content, self._start = content, 32 + 16 * self.n_docs + 8 * (n_blocks + 1)
+        self.offsets = np.frombuffer(content, "<u8", n_blocks + 1, 32 + 17 * self.n_docs)
+        self._content, self._start = content, 32 + 17 * self.n_docs + 8 * (n_blocks + 1)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         if first >= last:
@@ -224,7 +233,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                doc_ids.append(NULL_ID if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(whole_number(doc_id))
                 ids.append(np.concatenate([encoder.encode(text), end]))
                 n += len(ids[-1])
                 if n >= file_ids:
@@ -235,7 +244,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
 
     order = [F.col("doc_id").asc_nulls_last()]
     sorted_docs = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    return cut_lineage(sorted_docs.mapInPandas(write, MANIFEST))
+    return cut_lineage(sorted_docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(write, MANIFEST))
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -252,17 +261,16 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 packed, first, rows = PackedFile(content), 0, []
                 flat, name = packed.ids(0, packed.n_ids), path.rsplit("/", 1)[-1]
-                for doc_id, last in zip(packed.doc_ids.tolist(), packed.doc_ends.tolist(), strict=True):
-                    rows.append((name, None if doc_id == NULL_ID else doc_id, first, last - first, zlib.crc32(flat[first:last])))
+                for doc_id, last in zip(packed.doc_ids, packed.doc_ends.tolist(), strict=True):
+                    rows.append((name, None if doc_id is None else str(doc_id), first, last - first, zlib.crc32(flat[first:last])))
                     first = last
-                out = pd.DataFrame(rows, columns=["file", "doc_id", "first", "n_tokens", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["file", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     # the files' contents stay where they are read; only their narrow rows meet the manifest, which also leaves
     # out files that no successful attempt has listed
-    rows = files.select("path", "content").mapInPandas(read, "file string, doc_id bigint, first bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = files.select("path", "content").mapInPandas(read, "file string, doc_id string, first bigint, n_tokens bigint, ids_crc32 bigint")
     joined = rows.join(placed.select("name", "before"), F.col("file") == F.col("name"))
-    return joined.select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return joined.select(F.col("doc_id").cast("bigint"), (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
