@@ -44,4 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a compact, prunable checkpoint."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    result = df.sparkSession.read.schema(df.schema).parquet(path)
+    result.written_to = path
+    return result
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``written`` that nothing will read again."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions_of(spark: SparkSession) -> int:
+    """How many shuffle partitions the session asks for, which should follow its data."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.lineage import partitions_of
+
 
 def _and(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
@@ -45,9 +47,9 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
 
     Both sides meet in one exchange on the keys and one ordered pass carries the last right row forward, so no
     range join multiplies rows. At equal times the right row counts; of right rows at one time the largest
-    values win.
+    values win. A null time is no time: such a right row is never found, and a left row without a time finds none.
     """
-    rights = right.groupBy(*keys, right_time).agg(F.max(F.struct(*values)).alias("as_of_pick")).select(
+    rights = right.where(F.col(right_time).isNotNull()).groupBy(*keys, right_time).agg(F.max(F.struct(*values)).alias("as_of_pick")).select(
         *keys, F.col(right_time).alias("as_of_at"), F.lit(0).alias("as_of_side"), F.struct(F.col(right_time).alias("as_of_time"), *[F.col(f"as_of_pick.{v}").alias(v) for v in values]).alias("as_of_row")
     )
     others = [c for c in left.columns if c not in keys]
@@ -76,3 +78,16 @@ def list_member_join(lines: DataFrame, awards: DataFrame, member: str, listed: s
 def optional_scope(scope: Column, value: Column) -> Column:
     """A join's residual that holds where the scope is null or equal to the value."""
     return scope.isNull() | (scope == value)
+
+
+def counted_join(rows: DataFrame, counted: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join to a table with one row a key that says how many of the ``total`` rows hold it.
+
+    Keys held by more rows than a shuffle partition's share would fill a task, so they are broadcast and their rows
+    stay in place. As their counts sum to ``total``, there are no more such keys than shuffle partitions.
+    """
+    limit = max(1, total // partitions_of(rows.sparkSession))
+    heavy = counted.where(F.col(count) > limit)
+    hot = rows.join(F.broadcast(heavy), keys)
+    cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(counted.where(F.col(count) <= limit), keys)
+    return hot.unionByName(cold)
