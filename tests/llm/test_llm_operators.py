@@ -125,7 +125,7 @@ def test_secret_candidates_are_all_runs_and_what_is_assigned_to_a_name(spark):
 
 def brute_classes(texts):
     hashes = WordHashes()
-    shingles = {k: near_dedup.labelled_shingles(words(t), hashes) for k, t in texts.items()}
+    read = {k: near_dedup._read(t, hashes) for k, t in texts.items()}
     parent = {k: k for k in texts}
 
     def root(x):
@@ -136,7 +136,7 @@ def brute_classes(texts):
     keys = sorted(texts)
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
-            if words(texts[a]) and words(texts[a]) == words(texts[b]) or near_dedup.similar(shingles[a], shingles[b]):
+            if words(texts[a]) and words(texts[a]) == words(texts[b]) or near_dedup.similar(read[a][0], read[b][0], read[a][1], read[b][1]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {k: root(k) for k in texts}
@@ -181,8 +181,64 @@ def test_near_classes_of_odd_rows(spark):
     assert near_dedup.near_duplicate_classes(odd_docs(spark).limit(0)).count() == 0
     docs = odd_docs(spark).withColumn("drop_id", F.lit(0))
     kept = near_dedup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and kept.count() == 8
-
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6]  # the repeated row once
+
+
+def test_alignment_is_the_longest_common_run_of_words():
+    rng = random.Random(4)
+    for _ in range(300):
+        a = [rng.randrange(12) for _ in range(rng.randint(1, 40))]
+        b = [x for x in a if rng.random() > 0.2] + [rng.randrange(12) for _ in range(rng.randint(0, 5))]
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        wide = near_dedup.common_run(np.array(a, np.uint64), np.array(b, np.uint64), 60)
+        assert wide == table[-1][-1]
+        narrow = near_dedup.common_run(np.array(a, np.uint64), np.array(b, np.uint64), max(len(a), len(b)) // 5 + 1)
+        enough = lambda run: 5 * run >= 4 * max(len(a), len(b))  # noqa: B023, E731
+        assert narrow <= wide and enough(narrow) == enough(wide)
+
+
+def test_near_classes_catch_planted_copies(spark):
+    """Copies with 1 to 6 words in a hundred replaced, dropped or added: nine in ten at least are caught, and nothing else."""
+    rng = random.Random(11)
+    vocabulary = ["w%d" % k for k in range(5000)]
+    texts, planted = [], 0
+    for _ in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 600))]
+        copy = []
+        rate = rng.uniform(0.01, 0.06)
+        for word in base:
+            draw = rng.random() / rate
+            copy += [rng.choice(vocabulary)] if draw < 0.4 else [] if draw < 0.7 else [word, rng.choice(vocabulary)] if draw < 1 else [word]
+        texts += [" ".join(base), " ".join(copy)]
+        planted += 1
+    found = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs_of(spark, texts)).collect()}
+    assert all(c in (k, k - 1) and (c == k or k % 2) for k, c in found.items())
+    assert sum(found[k] == k - 1 for k in range(1, len(texts), 2)) >= 0.95 * planted
+
+
+def test_texts_that_quote_one_passage_stay_apart_and_their_copies_meet(spark):
+    """All texts hold a long common passage, so its keys are large; only what is half alike besides links."""
+    rng = random.Random(13)
+    passage = " ".join("p%d" % k for k in range(60))
+    texts = [f"{' '.join('a%d' % rng.randrange(10**6) for _ in range(50))} {passage} {' '.join('b%d' % rng.randrange(10**6) for _ in range(40))}" for _ in range(60)]
+    texts += [edited(t, rng, 3) for t in texts[:30]]
+    found = near_dedup.near_duplicate_classes(docs_of(spark, texts), small=3, block_rows=16)
+    got = {r.doc_id: r.class_id for r in found.collect()}
+    assert got == brute_classes(dict(enumerate(texts)))
+    assert sum(got[60 + k] == k for k in range(30)) >= 28 and all(got[k] == k for k in range(60))
+
+
+def test_ids_with_several_texts_and_repeated_rows(spark):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "seven, eight nine ten eleven TWELVE"), (2, "..."), (3, "nothing like it at all here"),
+            (3, "nothing like it at all here"), (None, "Nothing like it at all here!"), (None, "only here once more again"), (None, "Only here once more again"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicate_classes(docs).collect())
+    assert found == {(1, 1): 2, (2, 1): 2, (3, 3): 2, (None, 3): 1, (None, None): 3}
+    kept = sorted(((r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(1, rows[0][1]), (3, rows[4][1]), (None, "Only here once more again"), (None, None)], key=str)
 
 # 4 ------------------------------------------------------------------------------------------------------------
 
@@ -288,9 +344,9 @@ def test_encoder_gives_the_librarys_ids():
 def test_packing_is_an_exact_round_trip_with_random_access(bits):
     rng = np.random.default_rng(bits)
     ids = [rng.integers(0, 2**bits, n, dtype=np.uint64).astype(np.uint32) for n in (0, 1, 5, 130, 64)]
-    packed = token_output.PackedFile(token_output.file_bytes([9, 8, 7, 6, 5], ids, bits, block=32))
+    packed = token_output.PackedFile(token_output.file_bytes([9, None, 7, -(2**63), 5], ids, bits, block=32))
     flat = np.concatenate(ids)
-    assert packed.doc_ids.tolist() == [9, 8, 7, 6, 5]
+    assert packed.doc_ids == [9, None, 7, -(2**63), 5]
     for first, last in ((0, len(flat)), (3, 4), (31, 97), (200, 200)):
         assert packed.ids(first, last).tolist() == flat[first:last].tolist()
 
@@ -377,6 +433,12 @@ def test_communication_matrix_has_its_margins_and_law():
 # 9 ------------------------------------------------------------------------------------------------------------
 
 
+def brute_likeness(a, b):
+    pieces = [Counter(p for line in t.splitlines(keepends=True) for p in [*merkle.PIECE.findall(line.rstrip("\n")), *(["\n"] if line.endswith("\n") else [])]) for t in (a, b)]
+    size = sum(len(p) * n for p, n in (pieces[0] + pieces[1]).items())
+    return 2 * sum(len(p) * n for p, n in (pieces[0] & pieces[1]).items()) / size if size else 1.0
+
+
 def test_fingerprints_follow_equality_and_edits(spark):
     texts, rng = corpus(seed=6, n=40, size=300)
     texts = [re.sub(" ", lambda m: rng.choice([" ", " ", " ", ". ", "\n"]), t) for t in texts]
@@ -389,7 +451,9 @@ def test_fingerprints_follow_equality_and_edits(spark):
         new = text[: len(text) - cut] + following[:cut]
         row = got[k]
         assert row.n_chars == len(text) and row.edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
-        assert row.fingerprint == merkle.tree(text)[0] and row.edited_fingerprint == merkle.tree(new)[0]
+        assert row.fingerprint == merkle.fingerprint(text)[0].hex() and row.edited_fingerprint == merkle.fingerprint(new)[0].hex()
+        assert bytes(row.tree) == merkle.fingerprint(text)[1]
+        assert row.near_edited == pytest.approx(brute_likeness(text, new)) and row.near_next == pytest.approx(brute_likeness(text, following))
         assert (row.fingerprint == row.edited_fingerprint) == (text == new)
         if len(text) > 300:
             assert 0.5 < row.near_edited < 0.95 and row.near_next < 0.2
@@ -401,10 +465,58 @@ def test_fingerprints_follow_equality_and_edits(spark):
 def test_locate_edits_names_the_changed_paragraph():
     old = "\n".join(f"paragraph number {k} says something" for k in range(40))
     new = old.replace("number 17 says", "number 17 denies")
-    sections = merkle.tree(new)[1]
-    assert [sections[i][j][0] for i, j in merkle.locate_edits(old, new)] and len(merkle.locate_edits(old, new)) == 1
-    assert merkle.locate_edits(old, old) == []
+    trees = [merkle.fingerprint(t)[1] for t in (old, new)]
+    found = merkle.locate_edits(*trees)
+    paragraphs = [(i, j) for i, section in enumerate(merkle.sections_of(trees[1])) for j, _ in enumerate(section)]
+    assert len(found) == 1 and paragraphs.index(found[0]) == 17
+    assert merkle.locate_edits(trees[0], trees[0]) == [] and 0.9 < merkle.likeness(*trees) < 1
+    assert merkle.fingerprint("?" * 1000 + "." * 90 + "x" * 500)[0] != merkle.fingerprint("?" * 1001 + "." * 89 + "x" * 500)[0]
+
 
+BIG = 2**60
+
+
+def big_ids(spark, texts):
+    """Neighbouring ids that a floating number can't tell apart, with a null id among them, in one batch."""
+    rows = [(BIG + k, t) for k, t in enumerate(texts)] + [(None, "the text without an id"), (-(2**63), "the smallest id of all")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+
+
+def test_large_ids_beside_a_null_are_kept_exactly(spark):
+    from tallyspark.functions.lineage import new_folder
+
+    texts, _ = corpus(seed=21, n=6)
+    docs = big_ids(spark, texts)
+    want = {BIG + k: t for k, t in enumerate(texts)} | {None: "the text without an id", -(2**63): "the smallest id of all"}
+    got = {r.doc_id: r for r in merkle.compare_with_next(docs).collect()}
+    assert {k: r.fingerprint for k, r in got.items()} == {k: merkle.fingerprint(t)[0].hex() for k, t in want.items()}
+    assert {r.doc_id: r.fingerprint for r in merkle.fingerprints(docs).collect()} == {k: r.fingerprint for k, r in got.items()}
+    encoder = token_output.Encoder(token_output.default_tokenizer())
+    packed = token_output.read_tokens(spark, token_output.write_tokens(docs, new_folder(spark, "t"))).collect()
+    assert {r.doc_id: r.n_tokens for r in packed} == {k: len(encoder.encode(t)) + 1 for k, t in want.items()}
+    manifest = token_counts.write_flat(docs, new_folder(spark, "f"))
+    counted = token_counts.count_tokens(spark, manifest.groupBy("path").agg(F.first("file_ids").alias("file_ids")))
+    flat = {r.doc_id: r.n_tokens for r in counted.join(manifest.drop("file_ids"), ["path", "ordinal"]).collect()}
+    assert flat == {k: len(encoder.encode(t)) + 1 for k, t in want.items()}
+    found = near_dedup.near_duplicate_classes(docs).collect()
+    assert {r.doc_id for r in found} == set(want) and all(r.class_id == r.doc_id for r in found)
+
+
+def test_flat_files_refuse_a_width_that_is_too_small():
+    assert token_counts.id_type() == "<u2" and token_counts.id_type(end_id=1 << 20) == "<u4"
+    with pytest.raises(ValueError):
+        token_counts.id_type(dtype="<u1")
+
+
+def test_token_count_query_counts_every_document(spark, tmp_path):
+    texts, _ = corpus(seed=22, n=20)
+    docs_of(spark, [*texts, None, "", "<|endoftext|> as text"]).write.parquet(str(tmp_path / "documents.parquet"))
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(token_output.default_tokenizer())
+    plain.encode_special_tokens = True
+    got = {r.doc_id: r.n_tokens for r in token_counts.op6_query(spark, str(tmp_path)).collect()}
+    assert got == {k: len(plain.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate([*texts, None, "", "<|endoftext|> as text"])}
 
 # 10 -----------------------------------------------------------------------------------------------------------
 
