@@ -1,9 +1,11 @@
 """Benchmark decontamination: a hash set of normalised benchmark n-grams against every training window.
 
-The benchmark's windows form a hash set that travels with the scan. A benchmark whose text is over
-``block_bytes`` is cut into blocks of about that size, and the same scan applies one block after the other to
-each batch of texts, so no text is shuffled. The blocks bound no memory: the driver and every task hold them all.
-Every hash match is verified word by word before it counts.
+The benchmark's windows form a hash set that is broadcast once to the scan of the texts. What the driver and a task
+hold is bounded by ``block_bytes`` (or by one item, if that is longer): a benchmark whose text is longer is cut into
+blocks of about that size, and one block after the other is collected, broadcast, scanned with and given up. Such a
+scan keeps only the texts that it hits, by two hashes of the text, so equal texts share their hits; the blocks' hits
+are merged by those hashes and joined back. The number of scans grows with the benchmark, the memory doesn't. Every
+hash match is verified word by word before it counts.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; an item
 with a null id still marks words but is not listed; repeated items are listed once; an empty benchmark leaves
@@ -13,6 +15,7 @@ every document clean. Other columns, whatever their names, pass through.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -21,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import unused
-from tallyspark.llm.words import words
+from tallyspark.functions.lineage import written
+from tallyspark.llm.words import WORD, words
 
 HITS = "struct<n_words:bigint,items:array<string>,hit_from:array<int>,hit_to:array<int>>"
 _PRIME = 0x9E3779B97F4A7C15
@@ -71,21 +75,16 @@ class NgramSet:
                     items |= owners
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
+    """How many blocks there are, and a function that collects one of them."""
     narrow = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
     size = narrow.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     count = max(1, -(-size // block_bytes))
-    return [
-        [(r.i, r.t) for r in narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()]
-        for k in range(count)
-    ]
+    return count, lambda k: [(r.i, r.t) for r in narrow.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()]
 
 
-def hit_column(
-    text: Column, benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20
-) -> Column:
-    """A struct per text: its words, the items that occur, and the runs ``[hit_from, hit_to)`` of hit words."""
-    sets = [NgramSet(block, window) for block in _blocks(benchmark, id_col, text_col, block_bytes)]
+def _scan(text: Column, ngrams) -> Column:
+    """The hits struct of each text against one broadcast set."""
 
     @F.pandas_udf(HITS)
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -93,8 +92,7 @@ def hit_column(
         for text in texts:
             found = words(text)
             hit, items = np.zeros(len(found), bool), set()
-            for ngrams in sets:
-                ngrams.scan(found, hit, items)
+            ngrams.value.scan(found, hit, items)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             rows.append((len(found), sorted(items), edges[::2].tolist(), edges[1::2].tolist()))
         return pd.DataFrame(rows, columns=["n_words", "items", "hit_from", "hit_to"])
@@ -102,6 +100,49 @@ def hit_column(
     return scan.asNondeterministic()(text)
 
 
+def _merged(hits: Column) -> Column:
+    """One hits struct from the structs of several blocks."""
+
+    @F.pandas_udf(HITS)
+    def merge(lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for parts in lists:
+            n_words, items = int(parts[0]["n_words"]), sorted({i for part in parts for i in part["items"]})
+            hit = np.zeros(n_words, bool)
+            for part in parts:
+                for start, end in zip(part["hit_from"], part["hit_to"], strict=True):
+                    hit[start:end] = True
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+            rows.append((n_words, items, edges[::2].tolist(), edges[1::2].tolist()))
+        return pd.DataFrame(rows, columns=["n_words", "items", "hit_from", "hit_to"])
+
+    return merge(hits)
+
+
+def with_hits(
+    docs: DataFrame, benchmark: DataFrame, name: str = "hits", *, text: str = "text", id_col: str = "item_id", text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20
+) -> DataFrame:
+    """``docs`` with a struct per text: its words, the items that occur, and the runs ``[hit_from, hit_to)`` of hit words."""
+    count, block = _blocks(benchmark, id_col, text_col, block_bytes)
+    context = docs.sparkSession.sparkContext
+    if count == 1:
+        return docs.withColumn(name, _scan(F.col(text), context.broadcast(NgramSet(block(0), window))))
+    h1, h2 = unused(docs, "h1"), unused(docs, "h2")
+    marked = docs.withColumns({h1: F.xxhash64(text), h2: F.xxhash64(F.lit("2"), F.col(text))})
+    found = []
+    for k in range(count):
+        ngrams = context.broadcast(NgramSet(block(k), window))
+        part = marked.where(F.col(text).isNotNull()).select(h1, h2, _scan(F.col(text), ngrams).alias(name)).where(F.size(F.col(name)["hit_from"]) > 0)
+        found.append(written(part.dropDuplicates([h1, h2]), "hits-of-block"))
+        ngrams.destroy()
+    # a text has at most one row a block
+    hits = reduce(DataFrame.unionByName, found).groupBy(h1, h2).agg(F.collect_list(name).alias(name)).withColumn(name, _merged(F.col(name)))
+    n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    none = F.struct(n_words.alias("n_words"), F.array().cast("array<string>").alias("items"), F.array().cast("array<int>").alias("hit_from"), F.array().cast("array<int>").alias("hit_to"))
+    joined = marked.join(hits, [h1, h2], "left")
+    return joined.select(*docs.columns, F.coalesce(name, none).alias(name))
+
+
 def hit_words(hits: Column) -> Column:
     """How many words the runs of a hits struct cover."""
     pairs = F.zip_with(hits["hit_from"], hits["hit_to"], lambda a, b: (b - a).cast("bigint"))
@@ -135,7 +176,7 @@ def cut_hits(text: Column, hits: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", text: str = "text", **options) -> DataFrame:
     """Drop contaminated documents (``mode="documents"``) or cut their hit words out (``mode="spans"``)."""
     hits = unused(docs, "hits")
-    scanned = docs.withColumn(hits, hit_column(F.col(text), benchmark, **options))
+    scanned = with_hits(docs, benchmark, hits, text=text, **options)
     if mode == "documents":
         return scanned.where(F.size(F.col(hits)["hit_from"]) == 0).drop(hits)
     if mode != "spans":
@@ -145,8 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documen
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    hits = hit_column(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select("doc_id", hits.alias("h")).select(
+    return with_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "h").select(
         "doc_id",
         F.col("h.n_words"),
         hit_words(F.col("h")).alias("n_hit"),
