@@ -5,9 +5,10 @@ and sorted by hash, document and position, and a window streams over that order:
 owner, and rows of later documents are dropped. Drops are folded into a bitmap per document, of which only the
 63-bit words that have a bit set are kept, and the bitmap alone is joined back to the text.
 
-A key with more than ``1 / heavy`` of all rows would fill a range partition. At most ``heavy`` keys can be so
-frequent, so they are found by an exact count (combined before the shuffle, which also gives each its smallest
-document), broadcast, and decided without moving their rows.
+A key with more rows than a shuffle partition's share would fill a range partition. There are no more such keys than
+shuffle partitions (``heavy``), so they are found by an exact count (combined before the shuffle, which also gives each
+its smallest document), broadcast, and decided without moving their rows. The share follows the session's number of
+shuffle partitions, which should follow the data.
 
 Defined cases: null text is one empty line; rows with a null id come last, and hold a line only where no row
 with an id does; rows of one id are one document, told apart by their text; empty input gives no rows.
@@ -19,10 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import unused
-from tallyspark.functions.lineage import written
+from tallyspark.functions.lineage import partitions_of, written
 
 MIN_KEY = 10
-HEAVY = 256
 WORD_BITS = 63
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
@@ -44,7 +44,7 @@ def drop_bitmaps(docs: DataFrame, *, min_key: int = MIN_KEY, heavy: int | None =
     keyed = placed.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_key)
     rows = keyed.select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("2"), "key").alias("h2"))
     rows = written(rows, "line-hashes")
-    limit = max(1, rows.count() // (heavy or HEAVY))
+    limit = max(1, rows.count() // (heavy or partitions_of(docs.sparkSession)))
     frequent = (
         rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
         .where(F.col("n") > limit)  # so at most `heavy` rows
@@ -85,15 +85,18 @@ def with_bitmaps(docs: DataFrame, name: str = "dropped", **options) -> DataFrame
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the bitmap of dropped lines as ``index:bits`` of its words that aren't 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_bitmaps(docs).withColumn("dense", _dense(F.col("dropped")))
     n_dropped = F.aggregate("dropped", F.lit(0).cast("bigint"), lambda n, word: n + F.bit_count(word["bits"]))
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept_text(F.col("text"), F.col("dense")))
+    bitmap = F.array_join(F.transform("dropped", lambda word: F.concat_ws(":", word["index"], word["bits"])), ",")
     return found.select(
         "doc_id",
         F.size(_lines(F.col("text"))).cast("bigint").alias("n_lines"),
         F.coalesce(n_dropped, F.lit(0)).cast("bigint").alias("n_dropped"),
         F.sha2(kept, 256).alias("kept_sha256"),
+        F.coalesce(bitmap, F.lit("")).alias("dropped_bits"),
     )
 
 
@@ -106,8 +109,15 @@ WITH line AS (
   FROM line
 ), owner AS (
   SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), found AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > owner) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR doc_id = owner), '')) AS kept_sha256
+  FROM keyed LEFT JOIN owner USING (key) GROUP BY doc_id
+), word AS (
+  SELECT doc_id, (pos - 1) // 63 AS index, bit_or(1::BIGINT << ((pos - 1) % 63)::INT) AS bits
+  FROM keyed JOIN owner USING (key) WHERE doc_id > owner GROUP BY ALL
+), bitmap AS (
+  SELECT doc_id, string_agg(index || ':' || bits, ',' ORDER BY index) AS dropped_bits FROM word GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id > owner) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (owner IS NULL OR doc_id = owner), '')) AS kept_sha256
-FROM keyed LEFT JOIN owner USING (key) GROUP BY doc_id
+SELECT doc_id, n_lines, n_dropped, kept_sha256, coalesce(dropped_bits, '') AS dropped_bits FROM found LEFT JOIN bitmap USING (doc_id)
 """
