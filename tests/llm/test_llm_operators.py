@@ -62,7 +62,7 @@ def test_decontamination_matches_brute_force_in_one_block_and_in_many(spark):
     docs = docs_of(spark, texts)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     for block in (32 << 20, 200):
-        found = docs.select("doc_id", decontamination.hit_column(F.col("text"), bench, block_bytes=block).alias("h")).select("doc_id", "h.n_words", decontamination.hit_words(F.col("h")).alias("n"), "h.items").collect()
+        found = decontamination.with_hits(docs, bench, "h", block_bytes=block).select("doc_id", "h.n_words", decontamination.hit_words(F.col("h")).alias("n"), "h.items").collect()
         assert {r[0]: (r[1], r[2], r[3]) for r in found} == {k: brute_hits(t, items) for k, t in enumerate(texts)}
 
 
@@ -70,10 +70,11 @@ def test_decontamination_removes_documents_or_spans_and_keeps_columns(spark):
     item = " ".join(LONG[:12])
     docs = docs_of(spark, [f"clean text. {item}! after it", "nothing here", None]).withColumn("hits_0", F.lit(1))
     bench = spark.createDataFrame([(1, item.upper())], "item_id bigint, text string")
-    kept = decontamination.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
-    cut = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, mode="spans").collect()}
-    assert cut == {0: "clean text. ! after it", 1: "nothing here", 2: None}
+    for block in (32 << 20, 16):
+        kept = decontamination.decontaminate(docs.withColumn("h1_0", F.lit(1)), bench, block_bytes=block)
+        assert kept.columns == [*docs.columns, "h1_0"] and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+        cut = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, mode="spans", block_bytes=block).collect()}
+        assert cut == {0: "clean text. ! after it", 1: "nothing here", 2: None}
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.decontaminate(odd_docs(spark), empty).count() == 8
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
@@ -415,6 +416,37 @@ def test_shards_are_exact_gapless_and_repeatable(spark):
     few = sharding.shard(odd_docs(spark).select("doc_id", "n_chars"), ["doc_id", "n_chars"]).collect()
     assert len(few) == 8 and len({r["shard"] for r in few}) == 8
     assert sharding.shard(rows.limit(0), ["doc_id", "size"]).count() == 0
+    clash = rows.withColumns({c: F.lit(7) for c in ("sender_0", "first", "second", "bin_0", "place", "local_0", "of_sender", "upto", "offset")})
+    named = sharding.shard(clash, ["doc_id", "size"])
+    assert named.columns == [*clash.columns, "shard", "slot"]
+    assert all(r.place == 7 and r.bin_0 == 7 for r in named.collect())
+
+
+def test_shards_in_many_bins_are_the_same_as_in_one_order(spark, monkeypatch):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id")).coalesce(2)
+    whole = {r.doc_id: (r["shard"], r.slot) for r in sharding.shard(rows, ["doc_id"], shards=5, blocks=2).collect()}
+    monkeypatch.setattr(sharding, "ROWS_A_BIN", 50)
+    binned = sharding.shard(rows, ["doc_id"], shards=5, blocks=2).collect()
+    by = defaultdict(list)
+    for r in binned:
+        by[r["shard"]].append(r.slot)
+    assert all(sorted(s) == list(range(400)) for s in by.values()) and len(by) == 5 and len(whole) == 2000
+    # every row is about as likely in any shard: no shard takes its rows from one part of the ids
+    assert all(abs(sum(r.doc_id for r in binned if r["shard"] == k) / 400 - 1000) < 150 for k in range(5))
+
+
+def test_sharding_query_against_the_texts(spark, tmp_path):
+    texts, _ = corpus(seed=30, n=70)
+    texts += ["é" * 5, "", None]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op7_query(spark, str(tmp_path)).collect()
+    sizes = {k: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for k, t in enumerate(texts)}
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == sizes and all(r.law == "rows" and r.grown_shard is None for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r.slot)
+    assert sorted(by) == list(range(24)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert {len(s) for s in by.values()} <= {len(texts) // 24, len(texts) // 24 + 1}
 
 
 def test_communication_matrix_has_its_margins_and_law():
@@ -428,6 +460,17 @@ def test_communication_matrix_has_its_margins_and_law():
         assert draws[k] / 20_000 == pytest.approx(comb(6, k) * comb(14, 5 - k) / comb(20, 5), abs=0.012)
     big = [sharding.hypergeometric(10**10, 3 * 10**10, 4 * 10**6, rng) for _ in range(50)]
     assert abs(sum(big) / 50 - 10**6) < 1500
+    from math import lgamma
+
+    law = [(sum(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) for n, k in ((4000, x), (6000, 5000 - x))), x) for x in range(1800, 2200)]
+    top = max(law)[0]
+    from math import exp
+
+    mass = {x: exp(w - top) for w, x in law}
+    total, drawn = sum(mass.values()), [sharding.hypergeometric(4000, 6000, 5000, rng) for _ in range(20_000)]  # by rejection
+    for cut in (1960, 1985, 2000, 2015, 2040):
+        assert sum(x <= cut for x in drawn) / 20_000 == pytest.approx(sum(m for x, m in mass.items() if x <= cut) / total, abs=0.012)
+    assert sharding.hypergeometric(10**11, 10**12, 3 * 10**10, rng) // 10**8 in (27, 26)
 
 
 # 9 ------------------------------------------------------------------------------------------------------------
@@ -533,7 +576,9 @@ def brute_lines(rows):
     for doc_id, text in rows:
         lines = (text or "").split("\n")
         kept = [x for x in lines if len(key(x)) < 10 or owner[key(x)] == doc_id]
-        out[doc_id] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+        drop = [k for k, x in enumerate(lines) if len(key(x)) >= 10 and owner[key(x)] != doc_id]
+        bits = ",".join(f"{w}:{sum(1 << k % 63 for k in drop if k // 63 == w)}" for w in sorted({k // 63 for k in drop}))
+        out[doc_id] = (len(lines), len(drop), hashlib.sha256("\n".join(kept).encode()).hexdigest(), bits)
     return out
 
 
@@ -545,8 +590,8 @@ def test_line_dedup_matches_brute_force(spark, tmp_path, heavy, monkeypatch):
     rows = [*enumerate(texts), (60, None), (61, ""), (62, "\n".join(["common boilerplate line"] * 200))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(line_dedup, "HEAVY", heavy)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.op10_query(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(line_dedup, "partitions_of", lambda session: heavy)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256, r.dropped_bits) for r in line_dedup.op10_query(spark, str(tmp_path)).collect()}
     assert got == brute_lines(rows)
 
 
