@@ -1,19 +1,20 @@
 """Secret scanning with a random forest that removes false positives, in DataFrame and Spark ML functions only.
 
 Candidates are all runs of at least ``MIN_RUN`` letters, digits and ``+ / _ -`` in the white-space separated words of
-whole texts, several in a word too, and what is assigned to a name such as ``password``, however short. Each gets: its length and character mix, the mean log-odds of its character transitions,
-how much of it dictionary words cover, its path, and what the neighbouring words say. A random forest trained
-from labelled findings turns that into a probability; findings under the threshold are false positives.
+whole texts, several in a word too, and what is assigned to a name such as ``password``, however short. A key block
+over several lines is a candidate a line. Each gets: its length and character mix, the mean log-odds of its character
+transitions, how much of it dictionary words cover, its path, and what the neighbouring words say. A random forest
+trained from labelled findings turns that into a probability; findings under the threshold are false positives.
 
-The transition table has one entry per pair of character classes and the dictionary at most ``DICTIONARY``
-words, so both travel as literals of bounded size whatever the corpus. The forest reads at most ``MAX_FINDINGS``
-labelled findings, taken by a hash of what they are.
+The transition table has one entry per pair of five character classes and the dictionary at most ``DICTIONARY``
+words in one prefix-tree pattern, so both are of bounded size whatever the corpus, and both take time in proportion
+to a token's length. The forest reads at most ``MAX_FINDINGS`` labelled findings, taken by a hash of what they are.
 
-Labels: ``scan`` takes any table of labelled findings. The query has none given, so its labels come from plain
-rules: a token assigned to a name such as ``token`` or ``password`` is a secret (a short one if it has letters and
-digits), the name itself is not labelled; a word of running prose or a
-bare number is not; every other finding is unlabelled. As these look at neighbouring words, a second forest
-leaves the neighbours out and gives ``shape_score``, so that agreement of the two says something.
+Labels: ``scan`` takes any table of labelled findings and by default reads every feature. The query has no labelled
+findings given, so it learns from two views: labels come from what stands *before* a token alone (assigned to a name
+such as ``token``: a secret; after a plain word without such a name: not; else none), and the forest that decides reads
+the token itself, its path and the word *after* it, none of which the labels look at. ``shape_score`` reads the token
+and path only.
 
 Defined cases: null and empty texts hold no candidate; a token found twice in one text is two findings; a null
 path counts as an empty path; without labels of both kinds every finding scores 1, so nothing is dismissed
@@ -22,16 +23,20 @@ without evidence; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import cut_lineage, written
 
 MIN_RUN = 16
-DICTIONARY = 400
+DICTIONARY = 4000
+CLASSES = "0faA-"
 MAX_FINDINGS = 20_000
 THRESHOLD = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
@@ -51,7 +56,7 @@ def candidates(docs: DataFrame, *, path: str = "source", min_run: int = MIN_RUN)
     is_long = lambda run: run.rlike(rf"[A-Za-z0-9+/_-]{{{min_run}}}")
     get = lambda k: F.coalesce(F.get("words", k), F.lit(""))
     sign = lambda w: F.contains(w, F.lit("=")) | F.contains(w, F.lit(":"))
-    may_hold = lambda p: is_long(p["w"]) | ((sign(p["w"]) | sign(get(p["k"] - 1))) & F.concat_ws(" ", get(p["k"] - 2), get(p["k"] - 1), p["w"]).rlike(NAMED))
+    may_hold = lambda p: is_long(p["w"]) | ((sign(p["w"]) | sign(get(p["k"] - 1)) | sign(get(p["k"] - 2))) & F.concat_ws(" ", get(p["k"] - 2), get(p["k"] - 1), p["w"]).rlike(NAMED))
     held = F.filter(F.transform(F.col("words"), lambda w, k: F.struct(k.alias("k"), w.alias("w"))), may_hold)
     found = docs.select("doc_id", F.coalesce(F.col(path), F.lit("")).alias("path"), words.alias("words")).select("doc_id", "path", "words", F.explode(held).alias("c"))
     at = lambda step: get(F.col("c.k") + step)
@@ -84,26 +89,49 @@ def dictionary(docs: DataFrame, *, most: int = DICTIONARY) -> list[str]:
     return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most).collect()]
 
 
+def _prefix_tree(known: list[str]) -> str:
+    """One pattern for all words, longest first, which tries a letter once however many words share it."""
+    tree: dict = {}
+    for word in known:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [letter + pattern(below) for letter, below in sorted(node.items()) if letter]
+        if not ways:
+            return ""
+        inner = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{inner}?" if "" in node else inner
+
+    return pattern(tree)
+
+
+_UPPER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_LOW = "ghijklmnopqrstuvwxyz"
+
+
 def _classes(token: Column) -> Column:
     """The token with each character replaced by its class: a lower, A upper, 0 digit, f hex letter, - other."""
-    kind = token
-    for pattern, mark in ((r"[0-9]", "0"), (r"[a-f]", "f"), (r"[g-z]", "a"), (r"[A-Z]", "A")):
-        kind = F.regexp_replace(kind, pattern, mark)
+    kind = F.translate(token, _DIGITS + "abcdef" + _LOW + _UPPER, "0" * 10 + "f" * 6 + "a" * 20 + "A" * 26)
     return F.regexp_replace(kind, r"[^0faA]", "-")
 
 
-def _pairs(kind: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(kind) - 1, F.lit(1))), lambda k: F.substring(kind, k, F.lit(2)))
+def _pair_counts(kind: Column) -> dict[str, Column]:
+    """How often each pair of neighbouring classes occurs, overlapping ones too, by pair."""
+    return {x + y: F.regexp_count(kind, F.lit(f"{x}(?={y})")) for x in CLASSES for y in CLASSES}
 
 
 def transition_odds(labelled: DataFrame) -> dict[str, float]:
-    """Log-odds of each pair of character classes between secrets and others; at most 25 entries."""
-    pairs = labelled.select("label", F.explode(_pairs(_classes(F.col("token")))).alias("pair")).groupBy("pair").pivot("label", [0.0, 1.0]).count().na.fill(0)
-    rows = [(r["pair"], r["0.0"], r["1.0"]) for r in pairs.collect()]
-    import math
-
-    totals = [sum(r[k] for r in rows) + len(rows) for k in (1, 2)]
-    return {p: math.log((b + 1) / totals[1]) - math.log((a + 1) / totals[0]) for p, a, b in sorted(rows)}
+    """Log-odds of each of the 25 pairs of character classes between secrets and others."""
+    counts = _pair_counts(F.col("kind"))
+    sums = labelled.select("label", _classes(F.col("token")).alias("kind")).groupBy("label").agg(*[F.sum(c).alias(f"pair_{k}") for k, c in enumerate(counts.values())])
+    found = {r["label"]: [r[f"pair_{k}"] + 1 for k in range(len(counts))] for r in sums.collect()}
+    if len(found) < 2:
+        return {}
+    totals = {label: sum(numbers) for label, numbers in found.items()}
+    return {pair: math.log(found[1.0][k] / totals[1.0]) - math.log(found[0.0][k] / totals[0.0]) for k, pair in enumerate(counts)}
 
 
 def features(found: DataFrame, odds: dict[str, float], known_words: list[str]) -> DataFrame:
@@ -111,18 +139,19 @@ def features(found: DataFrame, odds: dict[str, float], known_words: list[str]) -
     token = F.col("token")
     size = F.greatest(F.char_length(token), F.lit(1)).cast("double")
     count = lambda pattern: F.regexp_count(token, F.lit(pattern)).cast("double")
-    table = F.create_map(*[F.lit(x) for pair in odds.items() for x in pair]) if odds else F.expr("cast(map() as map<string,double>)")
-    pairs = _pairs(_classes(token))
-    odds_sum = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.coalesce(F.element_at(table, p), F.lit(0.0)))
-    bare = F.regexp_replace(F.lower(token), "|".join(sorted(known_words, key=lambda w: (-len(w), w))), "") if known_words else F.lower(token)
-    return found.withColumns({
+    kind = unused(found, "kind")
+    odds_sum = F.lit(0.0)
+    for pair, number in _pair_counts(F.col(kind)).items():
+        odds_sum = odds_sum + number * F.lit(odds.get(pair, 0.0))
+    bare = F.regexp_replace(F.lower(token), _prefix_tree(known_words), "") if known_words else F.lower(token)
+    return found.withColumn(kind, _classes(token)).withColumns({
         "length": size,
         "digit_share": count("[0-9]") / size,
         "upper_share": count("[A-Z]") / size,
         "switches": count(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]|(?<=[a-z])[A-Z]") / size,
         "distinct": F.size(F.array_distinct(F.split(token, ""))) / size,
         "vowels": count("(?i)[aeiou]") / size,
-        "transitions": odds_sum / F.size(pairs),
+        "transitions": odds_sum / size,
         "covered": (size - F.char_length(bare)) / size,
         "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
         "path_example": F.col("path").rlike("(?i)test|example|sample|mock|doc").cast("double"),
@@ -130,24 +159,27 @@ def features(found: DataFrame, odds: dict[str, float], known_words: list[str]) -
         "assigned": F.col("is_assigned").cast("double"),
         "named": F.col("is_named").cast("double"),
         "prose_after": F.col("is_before_prose").cast("double"),
-    })
+        "after_length": F.char_length("after1").cast("double"),
+        "after_letters": F.regexp_count("after1", F.lit("[A-Za-z]")).cast("double"),
+    }).drop(kind)
 
 
 SHAPE = ["length", "digit_share", "upper_share", "switches", "distinct", "vowels", "transitions", "covered", "path_depth", "path_example", "path_config"]
-PLACE = ["assigned", "named", "prose_after"]
+AFTER = ["prose_after", "after_length", "after_letters"]
+PLACE = ["assigned", "named", *AFTER]
 
 
 def place_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings by the rules of the module's text: label 1.0 or 0.0, others left out."""
-    is_value = F.col("token").rlike(rf"[A-Za-z0-9+/_-]{{{MIN_RUN}}}") | (F.col("token").rlike("[A-Za-z]") & F.col("token").rlike("[0-9]"))
-    assigned = F.col("has_secret_name") & is_value
-    prose = F.col("word").rlike(r"^([A-Za-z]+|[0-9]+)[.,;:!?]*$") & ~F.col("is_named")
-    return found.withColumn("label", F.when(assigned, 1.0).when(prose, 0.0)).where(F.col("label").isNotNull())
+    """Labelled findings by what stands before a token alone: label 1.0 or 0.0, others left out."""
+    prose = F.col("before1").rlike(r"^[a-z]+[.,;]?$") & ~F.col("is_named") & ~F.col("is_assigned")
+    return found.withColumn("label", F.when(F.col("has_secret_name"), 1.0).when(prose, 0.0)).where(F.col("label").isNotNull())
 
 
-def scan(found: DataFrame, labelled: DataFrame, known_words: list[str], *, most: int = MAX_FINDINGS, trees: int = 30, depth: int = 6) -> DataFrame:
+def scan(found: DataFrame, labelled: DataFrame, known_words: list[str], *, neighbours: list[str] = PLACE, most: int = MAX_FINDINGS, trees: int = 30, depth: int = 6) -> DataFrame:
     """Score candidates with forests trained from ``labelled`` (candidates with a 0.0/1.0 ``label``).
 
+    ``neighbours`` names the features of neighbouring words that the deciding forest reads; labels that were made from
+    some of them must leave these out.
     Both kinds get half of ``most`` findings at most, so a rare kind is never crowded out.
     """
     order = [F.xxhash64("doc_id", "word_index", "token"), F.col("doc_id"), F.col("word_index"), F.col("offset")]
@@ -158,7 +190,7 @@ def scan(found: DataFrame, labelled: DataFrame, known_words: list[str], *, most:
     odds = transition_odds(sample)
     train = cut_lineage(features(sample, odds, known_words).repartition(4, "doc_id", "word_index").sortWithinPartitions("doc_id", "word_index", "offset")).coalesce(4)
     scored = features(found, odds, known_words)
-    for columns, vector, name in ((SHAPE, "shape_vector", "shape_score"), (SHAPE + PLACE, "all_vector", "score")):
+    for columns, vector, name in ((SHAPE, "shape_vector", "shape_score"), (SHAPE + neighbours, "all_vector", "score")):
         assemble = VectorAssembler(inputCols=columns, outputCol=vector)
         forest = RandomForestClassifier(featuresCol=vector, labelCol="label", numTrees=trees, maxDepth=depth, seed=7, probabilityCol="forest_p", rawPredictionCol="forest_raw", predictionCol="forest_y")
         model = forest.fit(assemble.transform(train))
@@ -170,7 +202,7 @@ def op2_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     found = written(candidates(docs), "secret-candidates")
     labelled = place_labels(found).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
-    scored = scan(found, labelled, dictionary(docs))
+    scored = scan(found, labelled, dictionary(docs), neighbours=AFTER)
     return scored.select(
         "doc_id", "word_index", F.length("token").alias("n_chars"), F.sha2("token", 256).alias("token_sha256"),
         F.round("shape_score", 6).alias("shape_score"), F.round("score", 6).alias("score"), (F.col("score") >= THRESHOLD).alias("is_secret"),

@@ -89,7 +89,7 @@ def test_secret_scan_finds_assigned_tokens_and_dismisses_prose(spark):
     for k, text in enumerate(texts):
         token = hashlib.sha1(str(k).encode()).hexdigest()
         prose = "".join(rng.choice(LONG[:6]) for _ in range(4))
-        rows.append((k, f"{text} token = {token} {prose} rest", f"src/{k}.py" if k % 2 else None))
+        rows.append((k, f"{text} token = {token} then {prose} rest", f"src/{k}.py" if k % 2 else None))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     found = secrets.candidates(docs).cache()
     assert found.count() == 160
@@ -105,12 +105,12 @@ def test_secret_scan_finds_assigned_tokens_and_dismisses_prose(spark):
 def test_secret_candidates_are_all_runs_and_what_is_assigned_to_a_name(spark):
     key, far = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "x" * 70
     texts = {
-        f"export AWS_SECRET_ACCESS_KEY={key}": [("AWS_SECRET_ACCESS_KEY", 0, None), (key, 22, 1.0)],
+        f"export AWS_SECRET_ACCESS_KEY={key}": [("AWS_SECRET_ACCESS_KEY", 0, 0.0), (key, 22, 1.0)],
         f"see https://a-very-long-host-name/path?key={key}&n=1": [("//a-very-long-host-name/path", 6, None), (key, 39, None)],
         f'{{"user":"bob","password":"hunter2","note_of_some_length":"{key}"}}': [("hunter2", 26, 1.0), ("note_of_some_length", 36, None), (key, 58, None)],
         "password = p@ss.w0rd and pwd: hunter2": [("p@ss.w0rd", 0, 1.0), ("hunter2", 0, 1.0)],
         f"{far}_token= {key}": [(f"{far}_token=", 0, None), (key, 0, 1.0)],
-        f"a \"{key}==\", b": [(f"{key}==", 1, None)],
+        f"a \"{key}==\", b": [(f"{key}==", 1, 0.0)],
         "= : ==": [],
     }
     docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
@@ -121,6 +121,74 @@ def test_secret_candidates_are_all_runs_and_what_is_assigned_to_a_name(spark):
         assert [(r.token, r.offset, labels.get((k, r.word_index, r.offset))) for r in rows if r.doc_id == k] == wanted
 
 
+def brute_candidates(text):
+    """(word_index, offset, token) by plain loops over words and runs, without the operator's filter on words."""
+    run, name, found = re.compile(secrets.RUN), re.compile(secrets.ASSIGNED_NAME), []
+    all_words = re.split(secrets.SPACE, text or "")
+    for k, word in enumerate(all_words):
+        before = [all_words[j] if j >= 0 else "" for j in (k - 2, k - 1)]
+        pieces, at = [], 0
+        for m in run.finditer(word):
+            pieces += [word[at : m.start()], m.group()]
+            at = m.end()
+        pieces.append(word[at:])
+        for i in range(1, len(pieces), 2):
+            near = "".join(pieces[max(i - 6, 0) : i])
+            lead = " ".join([*before, near]) if i < 6 else near
+            value = re.match("[^\"'`,;&<>(){}\\[\\]]*", "".join(pieces[i:])).group()
+            if re.search("[A-Za-z0-9+/_-]{16}", pieces[i]):
+                found.append((k, sum(map(len, pieces[:i])), pieces[i]))
+            elif name.search(lead):
+                found.append((k, sum(map(len, pieces[:i])), value))
+    return found
+
+
+def test_secret_candidates_match_plain_loops(spark):
+    rng = random.Random(17)
+    bits = ["token", "password", "api_key", "=", ":", '"', "'", ",", "abc", "x" * 17, "Zz9+/_-" * 3, "==", "secret", "&", "?", "{", "}", "hunter2", "a.b", "ü", "auth", "-", "123456"]
+    texts = ["".join(rng.choice([*bits, " ", " ", "\n"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None), (1001, "")], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    got = defaultdict(list)
+    for r in secrets.candidates(docs).collect():
+        got[r.doc_id].append((r.word_index, r.offset, r.token))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(brute_candidates(t)) for k, t in enumerate(texts) if brute_candidates(t)}
+
+
+def test_secret_features_are_counted_per_character(spark):
+    """Pairs and coverage against plain loops; a very long token takes time in proportion to its length."""
+    rng = random.Random(2)
+    tokens = ["".join(rng.choice("abfgxyzABZ019+/_-@é") for _ in range(n)) for n in (1, 2, 17, 60)] + ["passwordsandcastle" * 3, "A0" * 100_000]
+    found = spark.createDataFrame([(k, t, "p/config.yml", "next,") for k, t in enumerate(tokens)], "doc_id bigint, token string, path string, after1 string")
+    found = found.withColumns({c: F.lit(True) for c in ("is_assigned", "is_named", "is_before_prose")}).withColumn("kind_0", F.lit("mine"))
+    odds = {x + y: 0.5 * i - j for i, x in enumerate(secrets.CLASSES) for j, y in enumerate(secrets.CLASSES)}
+    known = ["password", "pass", "sand", "sandcastle", "castle", "words"]
+    rows = {r.doc_id: r for r in secrets.features(found, odds, known).collect()}
+    kind = lambda c: "0" if c in "0123456789" else "f" if c in "abcdef" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "-"
+    for k, token in enumerate(tokens):
+        kinds = "".join(map(kind, token))
+        assert rows[k].transitions == pytest.approx(sum(odds[a + b] for a, b in zip(kinds, kinds[1:], strict=False)) / len(token))
+        bare = re.sub("|".join(sorted(known, key=lambda w: -len(w))), "", token.lower())
+        assert rows[k].covered == pytest.approx((len(token) - len(bare)) / len(token)) and rows[k].kind_0 == "mine"
+
+
+def test_secret_query_on_planted_secrets_and_look_alikes(spark, tmp_path):
+    """Of documents whose labels no forest saw: planted keys are secrets, long words and numbers aren't."""
+    texts, rng = corpus(seed=6, n=240)
+    rows, secret = [], {}
+    for k, text in enumerate(texts):
+        key = hashlib.sha1(str(k).encode()).hexdigest() if k % 3 else "".join(rng.choice("abcdefghijKLMNOPQRS0123456789+/") for _ in range(32))
+        lure = "".join(rng.choice(LONG[:6]) for _ in range(4)) if k % 2 else "9807" * 4
+        name = rng.choice(["token = ", "password: ", "api_key="])
+        half = text.split()[:10]
+        rows.append((k, " ".join([*half, f'{name}"{key}" {text} and', lure, *half]), "src"))
+        secret |= {(k, hashlib.sha256(key.encode()).hexdigest()): True, (k, hashlib.sha256(lure.encode()).hexdigest()): False}
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.token_sha256): r.is_secret for r in secrets.op2_query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(secret)
+    unseen = [k for k in got if zlib.crc32(str(k[0]).encode()) % 4 == 2]
+    assert len(unseen) > 60 and sum(got[k] == secret[k] for k in unseen) >= 0.97 * len(unseen)
+
+
 # 3 ------------------------------------------------------------------------------------------------------------
 
 
