@@ -3,17 +3,21 @@
 1. Targets: per source, a share of ``epochs`` times all sizes by weight; a target stops at ``most`` times its
    source's size and the excess goes to the others by weight (water filling over the per-source totals).
 2. Certain copies: a document wanted ``c`` times gets ``floor(c)`` whole copies.
-3. The rest ``p = c - floor(c)`` is its inclusion probability. Each document draws a uniform ``u`` from a hash
-   of its id, and documents are ranked by the Pareto variable ``(u / (1 - u)) / (p / (1 - p))``. The sample is
+3. The rest ``r = c - floor(c)`` is the share of the source that one more copy of some documents has to bring. Documents
+   are not equally likely to give it: the inclusion odds of a document are ``r / (1 - r)`` times its own ``odds``, by
+   default ``length_odds``, which favours texts of some length over scraps. Each document draws a uniform ``u`` from a
+   hash of its id, and documents are ranked by the Pareto variable ``(u / (1 - u)) / (p / (1 - p))``. The sample is
    fixed in size, measured in ``size`` units: the ranking is cut where it comes nearest below what is left of
-   the target, and ``FILL_ROUNDS`` rounds then add the largest unused document that still fits.
+   the target (which settles the common factor of the odds), and ``FILL_ROUNDS`` rounds then add the largest unused
+   document that still fits.
 4. While a source has unused documents that fit its gap, these alone are ranked and cut again, so a document that
    is too long for the gap keeps none behind it out. Each round takes one document at least. Only the registered
    query stops before this step, as its SQL does.
 
-No source is sorted as a whole. Sizes are summed by (source, bin of the Pareto variable); a window over those
-sums finds the bin that holds the cut, and only that bin's documents are ranked, so a source with a third of
-all rows costs no more than any other. Every draw comes from a hash, so reruns agree.
+No source is sorted as a whole. Sizes are summed by (source, bin of the Pareto variable), with as many bins as keep a
+bin of the largest source at about ``ROWS_A_BIN`` rows (``BINS`` at least); a window over those sums finds the bin that
+holds the cut, and only that bin's documents are ranked, so a source with a third of all rows costs no more than any
+other. The number of bins doesn't change what is taken. Every draw comes from a hash, so reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own, the last; documents of equal id,
 size and text share a draw and are taken together or by a fixed order; empty input gives no rows.
@@ -31,6 +35,7 @@ from tallyspark.functions.lineage import cut_lineage, written
 
 WEIGHTS = (3, 1, 2)
 BINS = 4096
+ROWS_A_BIN = 100_000
 FILL_ROUNDS = 3
 FEW_SOURCES = 50_000
 
@@ -73,12 +78,19 @@ def uniform(*keys: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0, until_full: bool = True) -> DataFrame:
+def length_odds(size: Column) -> Column:
+    """Inclusion odds by length: a text of 200 words or more four times those of one under 50, the rest twice."""
+    return F.when(size >= 200, 4.0).when(size >= 50, 2.0).otherwise(1.0)
+
+
+def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0, odds=length_odds, until_full: bool = True) -> DataFrame:
     """``sized``: doc_id, source, size and mark (tells rows of one id apart). Adds source_size, target, copies.
 
+    ``odds`` gives a document's own inclusion odds, above 0, from its size.
     Without ``until_full``, a source may end with unused documents that fit its gap.
     """
     per_source = targets(sized, weights=weights, epochs=epochs, most=most)
+    bins_each = max(BINS, (sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0) // ROWS_A_BIN)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     sources = (
         per_source.withColumn("wanted", wanted)
@@ -95,8 +107,8 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
     drawn = (
         sized.join(beside(sources), same)
         .withColumn("u", uniform(F.lit(seed), F.col("doc_id"), F.col("mark")))
-        .withColumn("rank", F.col("u") / (1 - F.col("u")) / (F.greatest(F.col("rest"), F.lit(1e-12)) / (1 - F.col("rest"))))
-        .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+        .withColumn("rank", F.col("u") / (1 - F.col("u")) / (odds(F.col("size")) * F.greatest(F.col("rest"), F.lit(1e-12)) / (1 - F.col("rest"))))
+        .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins_each))
         .drop("of_source", "wanted")
     )
     drawn = written(drawn, "mix-drawn")
@@ -225,7 +237,7 @@ targets AS (
          (('0x' || substr(md5(concat_ws(':', '0', coalesce(doc_id::VARCHAR, 'null'), mark)), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sized d JOIN split s ON d.source IS NOT DISTINCT FROM s.source
 ), ranked AS (
-  SELECT *, u / (1 - u) / (greatest(rest, 1e-12::DOUBLE) / (1 - rest)) AS rank FROM drawn
+  SELECT *, u / (1 - u) / ((CASE WHEN size >= 200 THEN 4 WHEN size >= 50 THEN 2 ELSE 1 END)::DOUBLE * greatest(rest, 1e-12::DOUBLE) / (1 - rest)) AS rank FROM drawn
 ), running AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(rank / (1 + rank) * 4096), rank, doc_id, mark ROWS UNBOUNDED PRECEDING) AS upto FROM ranked
 ), binned AS (
@@ -240,14 +252,14 @@ targets AS (
 ), unused AS (
   SELECT source, size, -u AS v, doc_id, mark FROM chosen WHERE NOT extra AND rest > 0 AND size > 0
 ), fit1 AS (
-  SELECT source, gap, size, v, doc_id, mark FROM unused JOIN gap0 USING (source) WHERE size <= gap
+  SELECT source, gap, size, v, doc_id, mark FROM (SELECT u.*, gap FROM unused u JOIN gap0 g ON u.source IS NOT DISTINCT FROM g.source) WHERE size <= gap
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY size DESC, v DESC, doc_id DESC, mark DESC) = 1
 ), fit2 AS (
-  SELECT u.source, f.gap - f.size AS gap, u.size, u.v, u.doc_id, u.mark FROM unused u JOIN fit1 f ON u.source = f.source
+  SELECT u.source, f.gap - f.size AS gap, u.size, u.v, u.doc_id, u.mark FROM unused u JOIN fit1 f ON u.source IS NOT DISTINCT FROM f.source
   WHERE u.size <= f.gap - f.size AND (u.size, u.v, u.doc_id, u.mark) < (f.size, f.v, f.doc_id, f.mark)
   QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY u.size DESC, u.v DESC, u.doc_id DESC, u.mark DESC) = 1
 ), fit3 AS (
-  SELECT u.source, f.gap - f.size AS gap, u.size, u.v, u.doc_id, u.mark FROM unused u JOIN fit2 f ON u.source = f.source
+  SELECT u.source, f.gap - f.size AS gap, u.size, u.v, u.doc_id, u.mark FROM unused u JOIN fit2 f ON u.source IS NOT DISTINCT FROM f.source
   WHERE u.size <= f.gap - f.size AND (u.size, u.v, u.doc_id, u.mark) < (f.size, f.v, f.doc_id, f.mark)
   QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY u.size DESC, u.v DESC, u.doc_id DESC, u.mark DESC) = 1
 ), fits AS (SELECT doc_id, mark FROM fit1 UNION ALL SELECT doc_id, mark FROM fit2 UNION ALL SELECT doc_id, mark FROM fit3)
