@@ -6,8 +6,8 @@ whose hash ends in three zero bits, so an inserted paragraph moves no later boun
 inner node is the SHA-256 of its level and its children, and the root also takes the number of code points. Equal
 roots mean equal texts; where roots differ, walking down the branches that differ finds the edits.
 
-A stored tree (column ``tree``) holds the sections and paragraphs with their hashes (16 bytes each) and sizes, and
-8 bytes of each leaf. ``likeness`` and ``locate_edits`` need nothing but two stored trees, no text.
+A stored tree (column ``tree``) holds the sections and paragraphs with 12 bytes of each paragraph's hash, and 4 bytes
+and the size of each leaf. ``likeness`` and ``locate_edits`` need nothing but two stored trees, no text.
 
 Likeness: the code points under leaves in common (as multisets), twice, over both texts' code points; 1 for two
 empty texts. It is symmetric and 1 for equal roots.
@@ -36,8 +36,8 @@ from tallyspark.functions.lineage import written
 
 PIECE = re.compile(r"[^.!?]{1,96}[.!?]{0,32}|[.!?]{1,128}")
 SECTION_MASK, SECTION_MOST = 7, 64
-LEAF = 8
-PARAGRAPH = struct.Struct("<?I16s")  # whether it closes a section, its leaves, its hash
+LEAF = 4
+PARAGRAPH = struct.Struct("<?I12s")  # whether it closes a section, its leaves, its hash
 
 
 def _node(level: bytes, children: list[bytes]) -> bytes:
@@ -57,7 +57,7 @@ def fingerprint(text: str | None) -> tuple[bytes, bytes]:
         top = _node(b"p", leaves)
         section.append(top)
         closes = not top[-1] & SECTION_MASK or len(section) == SECTION_MOST or k == len(lines) - 1
-        stored += [PARAGRAPH.pack(closes, len(leaves), top[:16]), b"".join([leaf[:LEAF] for leaf in leaves]), bytes(map(len, pieces))]
+        stored += [PARAGRAPH.pack(closes, len(leaves), top[:12]), b"".join([leaf[:LEAF] for leaf in leaves]), bytes(map(len, pieces))]
         if closes:
             tops.append(_node(b"s", section))
             section = []
