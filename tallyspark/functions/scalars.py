@@ -101,6 +101,32 @@ def is_line_key(key: Column) -> Column:
     return key.rlike(r"^[0-9]{4}[A-Z]-[A-Z]+-L")
 
 
+def line_anchor(key: Column) -> Column:
+    """The line number that a line key stands for, null for other keys: what a book prints beside the line."""
+    return F.nullif(F.regexp_extract(key, r"^[0-9]{4}[A-Z]-[A-Z]+-L(.+)$", 1), F.lit(""))
+
+
+# What books call an organisation, and its workbook code.
+ORG_ALIASES = {
+    "Joint_Urgent_Operational_Needs_Fund": "DEFW", "Missile_Defense_Agency": "MDA", "Office_of_Secretary_Of_Defense": "OSD", "Operational_Test_Evaluation_Defense": "OTE",
+    "United_States_Special_Operations_Command": "SOCOM", "Washington_Headquarters_Service": "WHS", "Defense_Wide": "DW", "Defense-Wide": "DW",
+}
+
+
+def workbook_org(org: Column, aliases: dict[str, str] = ORG_ALIASES) -> Column:
+    """The workbook code of an organisation as its book calls it; other names stay."""
+    return recode(org, aliases, org)
+
+
+def book_orgs(workbook: Column, aliases: dict[str, str] = ORG_ALIASES) -> Column:
+    """All names under which books may list a workbook code, the code itself first: ``workbook_org`` the other way round."""
+    names: dict[str, list[str]] = {}
+    for name, code in aliases.items():
+        names.setdefault(code, []).append(name)
+    table = F.create_map(*[x for code, found in names.items() for x in (F.lit(code), F.array(*map(F.lit, found)))])
+    return F.concat(F.array(workbook), F.coalesce(F.element_at(table, workbook), F.array().cast("array<string>")))
+
+
 def plain_quotes(text: Column) -> Column:
     """Typographic quotes and dashes to ASCII, white space runs to one space."""
     return F.trim(F.regexp_replace(F.translate(text, "‘’“”–—", "''\"\"--"), r"\s+", " "))
@@ -123,9 +149,8 @@ def normalized_name(name: Column) -> Column:
     text = F.trim(F.regexp_replace(F.regexp_replace(text, "[^A-Z0-9 ]+", " "), " +", " "))
     text = F.regexp_replace(text, "^(?:THE(?: |$))+", "")
     text = F.trim(F.regexp_replace(text, f"(?:(?:^| )(?:{suffix}|THE))+$", ""))
-    for _ in range(3):
-        text = F.regexp_replace(text, f"^(?!(?:{generic}) (?:{division})$)(.+?) (?:{division})$", "$1")
-    return text
+    # all division endings at once; a generic head keeps the first of several
+    return F.regexp_replace(text, f"^(?!(?:{generic}) (?:{division})$)((?:{generic}) (?:{division})(?= )|.+?)(?: (?:{division}))+$", "$1")
 
 
 def family_of(parent_id: Column, parent_name: Column, own_id: Column, own_name: Column) -> Column:

@@ -79,6 +79,34 @@ def top_n_other(df: DataFrame, group: list[str], key: str, value: str, n: int, o
     return shown.groupBy(*group, F.col("shown").alias(key)).agg(F.sum(value).alias(value), F.count("*").alias("members"))
 
 
+def top_n_levels(leaves: DataFrame, levels: list[str], value: str, n: int, *, shown: int = 12, other: str = "Other") -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a river of levels in which each level keeps its ``n`` largest nodes and folds the rest into one.
+
+    Node keys are paths (``a|b``), ranked by value, ties by key. A rest node counts its members, lists the ``shown``
+    largest of them and the value of those it doesn't list. Edges run through the rest nodes, so every level's values and
+    every node's edges sum to the same total. Only the ``n`` kept keys a level are sent to the rows.
+    """
+    paths = [f"path_{k}" for k in range(len(levels))]
+    routes = [f"route_{k}" for k in range(len(levels))]
+    whole = leaves.groupBy(*levels).agg(F.sum(value).alias("leaf"))
+    rows = whole.select("leaf", *[F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in levels[: k + 1]]), "|").alias(p) for k, p in enumerate(paths)])
+    nodes = None
+    for level, path, route in zip(levels, paths, routes, strict=True):
+        sums = rows.groupBy(F.col(path).alias("node")).agg(F.sum("leaf").alias("value"))
+        top = sums.orderBy(F.desc("value"), "node").limit(n)  # n rows
+        keep = F.broadcast(top.select(F.col("node").alias(path), F.lit(True).alias("is_top")))
+        rest = sums.join(F.broadcast(top.select("node")), "node", "left_anti")
+        first = rest.orderBy(F.desc("value"), "node").limit(shown).agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("rank"), "node"))).alias("listed"), F.sum("value").alias("listed_value"))
+        rest = rest.agg(F.count("*").alias("members"), F.sum("value").alias("value")).where("members > 0").crossJoin(first)  # one row each
+        kept = top.select(F.lit(level).alias("level"), "node", "value", F.lit(1).cast("bigint").alias("members"), F.lit(None).cast("string").alias("listed"), (F.col("value") * 0).alias("omitted_value"))
+        folded = rest.select(F.lit(level).alias("level"), F.lit(other).alias("node"), "value", "members", F.array_join(F.transform("listed", lambda x: x["node"]), ";").alias("listed"), (F.col("value") - F.coalesce("listed_value", F.lit(0))).alias("omitted_value"))
+        nodes = kept.unionByName(folded) if nodes is None else nodes.unionByName(kept).unionByName(folded)
+        rows = rows.join(keep, path, "left").withColumn(route, F.when(F.col("is_top"), F.col(path)).otherwise(F.lit(other))).drop("is_top")
+    steps = F.array(*[F.struct(F.lit(a).alias("level_from"), f.alias("node_from"), F.lit(b).alias("level_to"), t.alias("node_to")) for a, f, b, t in zip(["total", *levels], [F.lit("TOTAL"), *map(F.col, routes)], levels, map(F.col, routes), strict=False)])
+    edges = rows.groupBy(*routes).agg(F.sum("leaf").alias("leaf")).select("leaf", F.explode(steps).alias("e")).groupBy("e.level_from", "e.node_from", "e.level_to", "e.node_to").agg(F.sum("leaf").alias("amount"))
+    return nodes, edges
+
+
 def latest_weighted_rate(df: DataFrame, key: list[str], period: str, part: str, whole: str, digits: int = 4) -> DataFrame:
     """part / whole of each key's latest period, weighted by the whole; null where the whole is 0."""
     latest = F.max(period).over(Window.partitionBy(*key))

@@ -35,6 +35,26 @@ def totals_differ(a: DataFrame, b: DataFrame, keys: list[str], value: str, *, ab
     return both.where(F.col("left_total").isNull() | F.col("right_total").isNull() | (F.abs(F.col("left_total") - F.col("right_total")) > allowed))
 
 
+def values_disagree(df: DataFrame, parent: DataFrame, keys: list[str], value: str, tolerance: float = 0.0) -> DataFrame:
+    """Rows whose parent is missing or holds another value; two nulls agree, null keys are equal."""
+    right = parent.select(*[F.col(k).alias(f"right_{k}") for k in keys], F.col(value).alias("parent_value"), F.lit(True).alias("has_parent"))
+    joined = df.join(right, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"right_{k}")) for k in keys]), "left").drop(*[f"right_{k}" for k in keys])
+    same = F.coalesce(F.abs(F.col(value) - F.col("parent_value")) <= tolerance, F.col(value).isNull() & F.col("parent_value").isNull())
+    return joined.where(F.col("has_parent").isNull() | ~same).drop("has_parent")
+
+
+def double_counted(totals: DataFrame, rows: DataFrame, keys: list[str], unit: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """Totals that differ from their rows' with every unit taken once a key, however often it is listed."""
+    once = rows.groupBy(*keys, unit).agg(F.max(value).alias("unit_value")).groupBy(*keys).agg(F.sum("unit_value").alias("true_value"))
+    return totals.join(once, keys, "full_outer").where(~F.coalesce(F.abs(F.col(value) - F.col("true_value")) <= tolerance, F.lit(False)))
+
+
+def weak_evidence(mentions: DataFrame, kinds: list[str], stop: list[str], evidence: str = "evidence", matched: str = "matched") -> DataFrame:
+    """Mentions whose evidence is of no accepted kind, or one of whose matched terms is a stop word; must be empty."""
+    terms = F.transform(F.split(F.coalesce(matched, F.lit("")), r"\|"), lambda t: F.upper(F.trim(t)))
+    return mentions.where(~F.coalesce(F.col(evidence).isin(*kinds), F.lit(False)) | F.arrays_overlap(terms, F.array(*map(F.lit, stop))))
+
+
 def flow_imbalance(edges: DataFrame, value: str = "amount") -> DataFrame:
     """Inner nodes where what comes in differs from what goes out; roots and leaves are left out."""
     into = edges.groupBy(F.col("node_to").alias("node")).agg(F.sum(value).alias("value_in"))

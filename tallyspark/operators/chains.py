@@ -25,17 +25,16 @@ def one_to_one_chains(edges: DataFrame, source: str = "src", target: str = "dst"
     kept = cut_lineage(one_to_one_edges(edges, source, target))
     nodes = kept.select(F.col("src").alias("node")).unionByName(kept.select(F.col("dst").alias("node"))).distinct()
     jump = nodes.join(kept.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left").select("node", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("step"), F.coalesce("up", "node").alias("root"))
+    before = None
     for _ in range(rounds):
         jump = cut_lineage(jump)
-        if jump.where("up is not null").limit(1).count() == 0:
+        left = jump.where("up is not null").count()
+        if left in (0, before):  # done, or only cycles are left
             break
+        before = left
         above = jump.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("step").alias("step2"), F.col("root").alias("root2"))
         moved = jump.join(above, "up", "left")
-        grown = moved.select("node", F.col("up2").alias("up"), (F.col("step") + F.coalesce("step2", F.lit(0))).alias("step"), F.coalesce("root2", "root").alias("root"))
-        if grown.where("up is not null").count() == jump.where("up is not null").count():
-            jump = cut_lineage(grown)  # only cycles are left
-            break
-        jump = grown
+        jump = moved.select("node", F.col("up2").alias("up"), (F.col("step") + F.coalesce("step2", F.lit(0))).alias("step"), F.coalesce("root2", "root").alias("root"))
     return jump.where("up is null").select("node", "root", "step")
 
 

@@ -75,6 +75,45 @@ def family_rollup(rows: DataFrame, membership: DataFrame, *, key="family_key", a
     return folded.select("family", amount, "members", F.col(f"w.{confidence}").alias("worst_confidence"), "largest_member")
 
 
+def display_labels(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Entities under their curated display name where there is one (aliases: family_key, display_name)."""
+    named = entities.join(aliases.select("family_key", F.col("display_name").alias("curated_name")), "family_key", "left")
+    return named.withColumn("display_name", F.coalesce("curated_name", "display_name")).drop("curated_name")
+
+
+def display_alias_defects(aliases: DataFrame, entities: DataFrame, sourced: list[str], unsourced: list[str], least_note: int = 40) -> DataFrame:
+    """(family_key, defect) of curated names that can't stand; must be empty.
+
+    aliases: family_key, display_name, evidence, source_url, source_date, measured_on, note. Evidence of the ``sourced``
+    kinds has an https source no later than the measurement, that of the ``unsourced`` kinds has none.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rows = aliases.withColumn("times", F.count("*").over(Window.partitionBy("family_key")))
+    known = entities.select("family_key", F.lit(True).alias("is_known")).distinct()
+    rows = rows.join(known, "family_key", "left")
+    has_source = F.col("evidence").isin(*sourced)
+    defects = {
+        "blank": blank("family_key") | blank("display_name") | blank("evidence") | blank("note") | blank("measured_on"),
+        "unknown evidence": ~F.col("evidence").isin(*sourced, *unsourced),
+        "two names": F.col("times") > 1,
+        "no lower-case letter": ~F.col("display_name").rlike("[a-z]"),
+        "source missing": has_source & (blank("source_url") | ~F.col("source_url").startswith("https://") | blank("source_date")),
+        "source without document": ~has_source & ~(blank("source_url") & blank("source_date")),
+        "measured before its source": has_source & (F.col("measured_on") < F.col("source_date")),
+        "short note": F.char_length("note") < least_note,
+        "unknown family": F.col("is_known").isNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in defects.items()]))
+    return rows.select("family_key", F.explode(found).alias("defect")).distinct()
+
+
+def family_loss(rows: DataFrame, folded: DataFrame, amount: str = "amount") -> DataFrame:
+    """What a rollup lost: totals and members before and after, if they differ; must be empty."""
+    before = rows.agg(F.sum(amount).alias("total_before"), F.count("*").alias("members_before"))
+    after = folded.agg(F.sum(amount).alias("total_after"), F.sum("members").alias("members_after"))
+    return before.crossJoin(after).where(~F.col("total_before").eqNullSafe(F.col("total_after")) | ~F.col("members_before").eqNullSafe(F.col("members_after")))  # one row each
+
+
 def best_claim(claims: DataFrame, filing: str, tier_rank: str, weight: str, family: str) -> DataFrame:
     """One claim a filing: the strongest tier, ties to the larger family, then by name."""
     return pick_first(claims, [filing], [F.asc(tier_rank), F.desc_nulls_last(weight), F.asc(family)])

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import canonical_number, plain_quotes
 from tallyspark.operators.picks import pick_first
-from tallyspark.operators.succession import CODE, clauses, has_negation, names_code
+from tallyspark.operators.succession import CODE, clauses, has_negation, named_pairs, names_code
 
 
 def share_gate(df: DataFrame, holds: Column, least: float, *, weight: str | None = None) -> DataFrame:
@@ -58,37 +58,69 @@ def drift_check(standing: DataFrame, reloaded: DataFrame, grain: list[str], valu
     return figures.crossJoin(blanks).withColumn("passed", (F.col("old_rows") == F.col("new_rows")) & (F.col("moved_grains") == 0) & (F.col("blanks") == 0))  # one row each
 
 
-RELATIONS = ["realigned", "renamed", "split", "merged", "transferred"]
+def reload_partition(standing: DataFrame, reloaded: DataFrame, out: str, staging: str, partition: list[str], grain: list[str], value: str, required: list[str]) -> DataFrame:
+    """Replace the partitions of ``out`` that a reload holds, if it drifts from the standing rows nowhere; else raise.
 
+    The reload is written to ``staging`` and checked as read back from there; only then are its partitions swapped in.
+    """
+    reloaded.write.mode("overwrite").parquet(staging)
+    staged = reloaded.sparkSession.read.schema(reloaded.schema).parquet(staging)
+    verdict = drift_check(standing, staged, grain, value, required)
+    if not (found := verdict.first()).passed:
+        raise ValueError(f"the reload drifts: {found.asDict()}")
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(out)
+    return verdict
+
+
+# Relations that an edge may have; words by which a clause calls its own move a passing one.
+RELATIONS = ["realigned", "renamed", "split", "merged"]
+TRANSIENT = ["one-time", "one time", "onetime", "temporary", "temporarily"]
 
-def verify_proposals(proposals: DataFrame, candidates: DataFrame, existing: DataFrame, known: DataFrame) -> DataFrame:
-    """Proposed edges (clause_id, src, dst, relation, quote) with the first rule that refuses each, or null.
 
-    candidates: clause_id, pe_bli (the narrating program), clause, codes, following; existing: src, dst; known:
-    pe_bli. The rules, in order: unknown clause, self loop, malformed code, end not named by clause or narrator,
-    narrator supplied to a clause about others, unknown relation, quote not in the clause, clause taken back,
-    unknown program, pair already stated, pair proposed before.
+def verify_proposals(proposals: DataFrame, candidates: DataFrame, existing: DataFrame, known: DataFrame, confirmations: DataFrame | None = None, *, require_confirmation: bool = False) -> DataFrame:
+    """Proposed edges (clause_id, src, dst, relation) with the first rule that refuses each, or null.
+
+    candidates: clause_id, pe_bli (the narrating program), clause, codes, following; existing: src, dst; known: pe_bli;
+    confirmations: clause_id, src, dst, agrees. The rules' labels are fixed values; they are tried in the order below. A
+    pair is a duplicate once an earlier clause's proposal of it stands; one refused confirmation refuses its pair.
     """
     joined = proposals.join(candidates.select("clause_id", "pe_bli", "clause", "codes", "following"), "clause_id", "left")
     ids = known.select("pe_bli").distinct()
     joined = joined.join(ids.select(F.col("pe_bli").alias("src"), F.lit(True).alias("src_known")), "src", "left").join(ids.select(F.col("pe_bli").alias("dst"), F.lit(True).alias("dst_known")), "dst", "left")
     joined = joined.join(existing.select("src", "dst", F.lit(True).alias("is_stated")).distinct(), ["src", "dst"], "left")
     src, dst, own, clause = (F.col(c) for c in ("src", "dst", "pe_bli", "clause"))
-    named = lambda end: names_code(clause, end) | (end == own)
-    supplied = ((src == own) & ~names_code(clause, src)) | ((dst == own) & ~names_code(clause, dst))
+    blank = lambda end: F.coalesce(F.trim(end), F.lit("")) == ""
+    inside = lambda end: names_code(clause, end)
+    supplied = ((src == own) & ~inside(src)) | ((dst == own) & ~inside(dst))
+    both = named_pairs(clause)
     taken_back = has_negation(clause) | (has_negation(F.col("following")) & (names_code(F.col("following"), src) | names_code(F.col("following"), dst)))
-    refusal = (
-        F.when(clause.isNull(), "V0-orphan").when((F.coalesce(src, F.lit("")) == "") | (F.coalesce(dst, F.lit("")) == "") | (src == dst), "V7-self-loop")
-        .when(~src.rlike(f"^{CODE}$") | ~dst.rlike(f"^{CODE}$"), "V3-shape").when(~(named(src) & named(dst)), "V1-fabricated-endpoint")
-        .when(supplied & (F.size("codes") > 1), "V2-this-pairing-in-multi-code-clause").when(~F.col("relation").isin(*RELATIONS), "V4-relation")
-        .when(~F.contains(clause, F.coalesce("quote", F.lit(""))), "V5-quote").when(taken_back, "V6-retracted")
-        .when(F.col("src_known").isNull() | F.col("dst_known").isNull(), "V8-unknown-program").when(F.col("is_stated").isNotNull(), "V9-already-stated")
-    )
-    ruled = joined.withColumn("refusal", refusal)
-    first = pick_first(ruled.where(F.col("refusal").isNull()), ["src", "dst"], [F.asc("clause_id"), F.asc("relation"), F.asc("quote")]).select("clause_id", "src", "dst", "relation", "quote", F.lit(True).alias("is_first"))
-    marked = ruled.join(first, ["clause_id", "src", "dst", "relation", "quote"], "left")
-    again = F.when(F.col("refusal").isNull() & F.col("is_first").isNull(), "V10-duplicate").otherwise(F.col("refusal"))
-    return marked.select("clause_id", "src", "dst", "relation", "quote", again.alias("refusal"))
+    rules = [
+        ("V0-orphan", clause.isNull()),
+        ("V7-self-loop", blank(src) | blank(dst) | (src == dst)),
+        ("V3-shape", ~src.rlike(f"^{CODE}$") | ~dst.rlike(f"^{CODE}$")),
+        ("V1-fabricated-endpoint", ~((inside(src) | (src == own)) & (inside(dst) | (dst == own)))),
+        ("V2-this-pairing-in-multi-code-clause", supplied & (F.size("codes") > 1)),
+        ("V4-relation", ~F.coalesce(F.col("relation").isin(*RELATIONS), F.lit(False))),
+        ("V9-contradicts-named-pairs", (F.size(both) > 0) & ~F.exists(both, lambda p: (p["src"] == src) & (p["dst"] == dst))),
+        ("V5-retracted", taken_back),
+        ("V3b-unknown-pe", F.col("src_known").isNull() | F.col("dst_known").isNull()),
+        ("V7-already-stated", F.col("is_stated").isNotNull()),
+    ]
+    first = F.coalesce(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(label)) for label, broken in rules])
+    ruled = joined.withColumn("refusal", first)
+    if confirmations is not None:
+        agreed = confirmations.join(candidates.select("clause_id"), "clause_id", "left_semi").groupBy("src", "dst").agg(F.bool_and("agrees").alias("agrees"))
+        ruled = ruled.join(agreed, ["src", "dst"], "left")
+    else:
+        ruled = ruled.withColumn("agrees", F.lit(None).cast("boolean"))
+    passing = F.lower(clause).rlike("|".join(TRANSIENT))
+    refused = F.coalesce(~F.col("agrees"), F.lit(require_confirmation))
+    late = F.when(passing, "V11-transient").when(refused, "V10-unconfirmed")
+    place = F.struct("clause_id", "relation")
+    stands = F.min(F.when(F.col("refusal").isNull() & late.isNull(), place)).over(Window.partitionBy("src", "dst"))
+    told = ruled.withColumn("stands", stands)
+    again = F.when(F.col("stands").isNotNull() & (place > F.col("stands")), "V7-duplicate").otherwise(late)
+    return told.select("clause_id", "src", "dst", "relation", F.coalesce("refusal", again).alias("refusal"))
 
 
 def ratified_edges(verdicts: DataFrame, narratives: DataFrame) -> DataFrame:
@@ -131,15 +163,24 @@ def first_failing_hop(lines: DataFrame, hops: list[tuple[str, DataFrame]], key:
     return state.select(key, failing.alias("first_failing"))
 
 
-def manifest(datasets: dict[str, DataFrame], scopes: DataFrame) -> DataFrame:
-    """Rows of each exported dataset beside its scope sentence; a dataset without one is flagged."""
+def manifest(datasets: dict[str, DataFrame], scopes: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Rows of each exported dataset, and bytes where it is read from files, beside its scope sentence.
+
+    A dataset without a sentence is flagged, and with ``strict`` an error.
+    """
     spark = scopes.sparkSession
-    counts = None
+    counts = spark.createDataFrame([], "dataset string, n_rows bigint, bytes bigint")
     for name, df in datasets.items():
-        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("dataset"), "n_rows")
-        counts = one if counts is None else counts.unionByName(one)
-    counts = counts if counts is not None else spark.createDataFrame([], "dataset string, n_rows bigint")
-    return counts.join(scopes.select("dataset", "scope"), "dataset", "left").withColumn("documented", F.coalesce(F.trim("scope") != "", F.lit(False)))
+        if df.inputFiles():
+            files = df.groupBy("_metadata.file_path").agg(F.count("*").alias("n"), F.max("_metadata.file_size").alias("size"))
+            one = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+        else:
+            one = df.agg(F.count("*").alias("n_rows"), F.lit(None).cast("bigint").alias("bytes"))
+        counts = counts.unionByName(one.select(F.lit(name).alias("dataset"), "n_rows", "bytes"))
+    found = counts.join(scopes.select("dataset", "scope"), "dataset", "left").withColumn("documented", F.coalesce(F.trim("scope") != "", F.lit(False)))
+    if strict and (bare := [r.dataset for r in found.where("NOT documented").select("dataset").collect()]):
+        raise ValueError(f"datasets without a scope sentence: {bare}")
+    return found
 
 
 def program_bundle(programs: DataFrame, lines: DataFrame, details: DataFrame, ledger: DataFrame, awards: DataFrame, top: int = 5) -> DataFrame:

@@ -69,6 +69,18 @@ def edition_join(rows: DataFrame, keys: list[str], edition: str, offset: int, va
     return null_safe_join(start, end, keys, also=_and(also)).drop(*[f"{side}_same_{c}" for side in ("from", "to") for c in also_equal])
 
 
+def qualified_lookup(rows: DataFrame, table: DataFrame, keys: list[str], qualifier: str, value: str) -> DataFrame:
+    """``rows`` with the table's value for their keys and qualifier; a null qualifier takes the keys' only row.
+
+    A qualifier that the table lacks finds nothing, and so do keys without qualifier that have several rows: the value
+    of another account is never borrowed.
+    """
+    exact = table.select(*keys, qualifier, F.col(value).alias("exact_value"))
+    only = table.groupBy(*keys).agg(F.count("*").alias("only_rows"), F.max(value).alias("only_value")).where("only_rows = 1").drop("only_rows")
+    joined = rows.join(exact, [*keys, qualifier], "left").join(only, keys, "left")
+    return joined.select(*rows.columns, F.when(F.col(qualifier).isNull(), F.col("only_value")).otherwise(F.col("exact_value")).alias(value))
+
+
 def list_member_join(lines: DataFrame, awards: DataFrame, member: str, listed: str, separator: str = ";") -> DataFrame:
     """Rows whose delimited list holds the line's value, as one exploded equi join instead of a scan per line."""
     exploded = awards.withColumn(member, F.explode(F.array_distinct(F.transform(F.split(listed, separator), lambda x: F.trim(x)))))

@@ -41,6 +41,53 @@ def reconcile_candidates(details: DataFrame, controls: DataFrame, keys: list[str
     )
 
 
+def gate_b(details: DataFrame, documents: DataFrame, lines: DataFrame, candidates: DataFrame, *, tolerance: float = 0.001) -> DataFrame:
+    """Program amounts of the details against the books' own lines, one row a (document, program, scenario, account).
+
+    details: document_id, pe_bli, scenario, project_number, account, amount_millions, superseded; documents: document_id,
+    exhibit, org, fiscal_year, consolidated; lines: exhibit, fiscal_year, organization, account, pe_bli, amount_type,
+    amount_thousands; candidates: edition, scenario, priority, amount_type.
+
+    A program without an amount of its own for a scenario is checked by the sum of its projects. Any candidate type
+    may match, in a consolidated volume of any one organisation; for the request of the edition's own year the total
+    less the reconciliation counts too, after the others. No line at all matches an explicit 0 only.
+    """
+    live = details.where(~F.coalesce("superseded", F.lit(False)))
+    key = ["document_id", "pe_bli", "scenario"]
+    own = live.where(F.col("project_number").isNull()).select(*key, "account", F.col("amount_millions").cast("decimal(38,6)").alias("amount"), F.lit("program").alias("basis"))
+    projects = live.where(F.col("project_number").isNotNull()).groupBy(*key).agg(F.min("account").alias("account"), F.sum(F.col("amount_millions").cast("decimal(38,6)")).alias("amount"))
+    asked = own.unionByName(projects.join(own.select(*key), key, "left_anti").withColumn("basis", F.lit("projects"))).join(documents, "document_id")
+    known = candidates.select(F.col("edition").alias("fiscal_year"), "scenario").distinct()
+    asked = asked.join(known, ["fiscal_year", "scenario"], "left_semi")
+
+    years = candidates.select("edition").distinct()
+    total, less = F.concat(F.lit("fy_"), F.col("edition"), F.lit("_total")), F.concat(F.lit("fy_"), F.col("edition"), F.lit("_reconciliation_request"))
+    request = F.lit("BudgetYearOne")
+    types = candidates.select("edition", "scenario", "priority", "amount_type", F.lit(1).alias("sign"))
+    for amount_type, sign in ((total, 1), (less, -1)):
+        types = types.unionByName(years.select("edition", request.alias("scenario"), F.lit(1 << 20).alias("priority"), amount_type.alias("amount_type"), F.lit(sign).alias("sign")))
+    sums = lines.groupBy("exhibit", F.col("fiscal_year").alias("edition"), "organization", F.col("account").alias("line_account"), "pe_bli", "amount_type").agg(F.sum(F.col("amount_thousands").cast("decimal(38,6)")).alias("thousands"))
+    typed = sums.join(types, ["edition", "amount_type"]).withColumnsRenamed({"exhibit": "line_exhibit", "pe_bli": "line_pe", "scenario": "line_scenario"})
+    of_line = (
+        (F.col("fiscal_year") == F.col("edition")) & (F.col("exhibit") == F.col("line_exhibit")) & (F.col("pe_bli") == F.col("line_pe")) & (F.col("scenario") == F.col("line_scenario"))
+        & (F.col("account").isNull() | (F.col("account") == F.col("line_account"))) & (F.col("consolidated") | (F.col("organization") == F.col("org")))
+    )
+    grain = [*key, "account", "amount", "basis"]
+    parts = asked.join(typed, of_line, "left").groupBy(*grain, "organization", "priority").agg(
+        F.sum(F.col("sign") * F.col("thousands") / 1000).alias("control"), F.countDistinct("sign").alias("signs"), F.max("amount_type").alias("candidate")
+    )
+    minus = F.col("priority") == 1 << 20  # counts only where both the total and the reconciliation are there
+    controls = parts.withColumn("control", F.when(F.coalesce(~minus, F.lit(True)) | (F.col("signs") == 2), F.col("control")))
+    controls = controls.withColumn("candidate", F.when(minus, F.lit("total_minus_reconciliation")).otherwise(F.col("candidate")))
+    fits = F.col("control").isNotNull() & (F.abs(F.col("control") - F.col("amount")) <= tolerance)
+    place = F.struct("priority", "organization")
+    judged = controls.groupBy(*grain).agg(
+        F.bool_or(fits).alias("fits"), F.count("control").alias("controls"), F.min_by("candidate", F.when(fits, place)).alias("fitting"), F.min_by("candidate", F.when(F.col("control").isNotNull(), place)).alias("nearest")
+    )
+    passed = F.col("fits") | ((F.col("controls") == 0) & (F.col("amount") == 0))
+    return judged.select(*grain, F.coalesce("fitting", "nearest").alias("candidate"), "controls", passed.alias("passed"))
+
+
 def children_match(parents: DataFrame, children: DataFrame, keys: list[str], amount: str, tolerance: float = 0.001) -> DataFrame:
     """Whether the children's sum equals the parent's amount, per key; parents without children don't appear."""
     sums = children.groupBy(*keys).agg(F.sum(amount).alias("child_sum"))

@@ -11,6 +11,7 @@ from tallyspark.sources.tables import paragraphs
 
 # Exhibit markers on budget-book pages.
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
+# What a contract number, a defined acronym and a designator look like in announcements and narratives.
 CONTRACT_NUMBER = r"\b([A-Z][A-Z0-9]{4,5}[- ]?\d{2}[- ]?[A-Z][- ]?[A-Z0-9]{4})\b"
 ACRONYM = r"\b([A-Z][A-Za-z0-9&/.-]*(?:[ -][A-Z0-9][A-Za-z0-9&/.-]*){1,7}\s+\([A-Z]{2,10}[0-9]{0,3}\))"
 DESIGNATOR = r"\b((?:AN/[A-Z]{3}-\d{1,3}[A-Z]?|[A-Z]{1,4}-\d{1,4}[A-Z]?|(?:DDG|CVN|SSN|SSBN|LPD|LHA|LCS|FFG|T-AO)\s?\d{2,4}))\b"
@@ -37,8 +38,11 @@ def fact_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """
     amount = F.col("amount_millions")
     asked = facts.where(amount.isNotNull() & (amount != 0)).select("fact_id", "document_id", "pe_bli", "project_number", "exhibit", F.explode(renderings(amount)).alias("number"))
-    printed = pages.select("document_id", "page", "text", F.regexp_extract("text", EXHIBIT, 1).alias("page_exhibit"), F.explode(numbers(F.col("text"))).alias("number"))
-    found = asked.join(printed, ["document_id", "number"]).where(F.contains("text", F.col("pe_bli"))).dropDuplicates(["fact_id", "page"])
+    # numbers meet without the text they are in; only pages that print a wanted number are read for the rest
+    printed = pages.select("document_id", "page", F.explode(numbers(F.col("text"))).alias("number"))
+    met = asked.join(printed, ["document_id", "number"]).drop("number").distinct()
+    told = pages.select("document_id", "page", "text", F.regexp_extract("text", EXHIBIT, 1).alias("page_exhibit"))
+    found = met.join(told, ["document_id", "page"]).where(F.contains("text", F.col("pe_bli")))
     words = F.split("text", "[^A-Za-z0-9]+")
     found = found.withColumn("on_exhibit", F.coalesce(F.col("page_exhibit") == F.col("exhibit"), F.lit(False))).withColumn("on_project", F.coalesce(F.array_contains(words, F.col("project_number")), F.lit(False)))
     fact = Window.partitionBy("fact_id")

@@ -28,8 +28,9 @@ def winner_margin(df: DataFrame, group: list[str], member: str, value: str, digi
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: list[str], n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` rows a stratum, by a hash of the key: the same rows every run, and no stratum is sorted by chance."""
-    return pick_first(df, strata, [F.xxhash64(F.lit(seed), *key), *[F.col(k) for k in key]], n)
+    """At most ``n`` rows a stratum, by an MD5 of the seed and the key: the same rows in every run and every engine."""
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    return pick_first(df, strata, [drawn, *[F.col(k) for k in key]], n)
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:

@@ -11,8 +11,8 @@ from tallyspark.operators.picks import pick_first
 
 # A program code; a clause, which a point between digits doesn't end; the rules in order of preference.
 CODE = r"(\d{7}(?:[A-Z][A-Z0-9]{0,3})?)"
-CLAUSE_CHAR = r"(?:[^.:]|(?<=\d)\.(?=\d))"
-CLAUSE = rf"{CLAUSE_CHAR}+(?:[.:]|$)"
+# The quantifiers are possessive, so that a clause of any length is read without a step of recursion a character.
+CLAUSE = r"(?:[^.:]|(?<=\d)\.(?=\d))[^.:]*+(?:(?<=\d)\.(?=\d)[^.:]*+)*+(?:[.:]|$)"
 _PROGRAM = r"(?:PE|program element)\s+"
 RULES = [
     (rf"transferred?\s+from\s+{_PROGRAM}{CODE}", "from", "realigned"),
@@ -21,8 +21,12 @@ RULES = [
     (rf"formerly\s+{_PROGRAM}{CODE}", "from", "renamed"),
     (rf"transferred?\s+to\s+{_PROGRAM}{CODE}", "to", "realigned"),
     (rf"realign\w*\s+to\s+{_PROGRAM}{CODE}", "to", "realigned"),
-    (rf"(?<!to )(?<!from ){_PROGRAM}{CODE}(?={CLAUSE_CHAR}*?(?:transferred?|realign\w*)\s+to\s+{_PROGRAM}\d)", "from", "realigned"),
+    (rf"(?<!to )(?<!from ){_PROGRAM}{CODE}(?=(?s:.*?)(?:transferred?|realign\w*)\s+to\s+{_PROGRAM}\d)", "from", "realigned"),
 ]
+# Verbs that make a clause worth reading, more of them than the rules know.
+VERBS = (
+    r"(?i)\b(?:transferr?ed?|transfers?|realign\w*|formerly|previously (?:funded|budgeted)|renamed|migrat\w*|moved|consolidat\w*|merged|split|restructur\w*)\b"
+)
 NEGATIONS = ["erroneously", "in error", "incorrectly", "realigned back", "transferred back", "will be returned", "rescinded"]
 
 
@@ -33,6 +37,19 @@ def clauses(narratives: DataFrame, body: str = "body") -> DataFrame:
     return found.select(*others, "all", F.posexplode("all").alias("pos", "clause")).withColumn("following", F.get("all", F.col("pos") + 1)).drop("all")
 
 
+def clause_candidates(narratives: DataFrame) -> DataFrame:
+    """Clauses with a verb of change and a program code: a stable id, the codes in order, and the clauses around.
+
+    narratives: pe_bli, fiscal_year, fact_id, body. A clause that a narrative repeats is one candidate, its first.
+    """
+    read = clauses(narratives).where(F.col("clause").rlike(VERBS))
+    codes = F.array_sort(F.array_distinct(F.regexp_extract_all("clause", F.lit(rf"(?<![A-Za-z0-9]){CODE}(?![A-Za-z0-9])"), 1)))
+    told = F.trim("clause")
+    rows = read.withColumn("codes", codes).where(F.size("codes") > 0).withColumn("clause_id", fact_id(F.col("fact_id"), told))
+    first = pick_first(rows, ["clause_id"], [F.asc("pos"), F.asc("pe_bli")])
+    return first.select("clause_id", "pe_bli", "fiscal_year", "fact_id", told.alias("clause"), F.trim(F.coalesce("following", F.lit(""))).alias("following"), "codes")
+
+
 def names_code(text: Column, code: Column) -> Column:
     """Whether the text names the code as a whole token."""
     return F.array_contains(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+"), code)
@@ -52,6 +69,15 @@ def _matches(clause: Column, way: str) -> Column:
     return F.concat(*[_named_by(clause, k, pattern, relation) for k, (pattern, direction, relation) in enumerate(RULES) if direction == way])
 
 
+def named_pairs(clause: Column) -> Column:
+    """The pairs (src, dst, rank, relation) of a clause that names both ends by itself."""
+    pair = lambda f, t: F.struct(
+        f["code"].alias("src"), t["code"].alias("dst"), (f["rank"] * 100 + t["rank"]).alias("rank"), F.when(f["relation"] == "renamed", t["relation"]).otherwise(f["relation"]).alias("relation")
+    )
+    crossed = F.flatten(F.transform(_matches(clause, "from"), lambda f: F.transform(_matches(clause, "to"), lambda t: pair(f, t))))
+    return F.filter(crossed, lambda p: p["src"] != p["dst"])
+
+
 def stated_edges(narratives: DataFrame) -> DataFrame:
     """Edges that narratives (pe_bli, fiscal_year, fact_id, body) state, one a pair, as the latest edition tells it.
 
@@ -61,15 +87,12 @@ def stated_edges(narratives: DataFrame) -> DataFrame:
     """
     read = clauses(narratives).withColumn("froms", _matches(F.col("clause"), "from")).withColumn("tos", _matches(F.col("clause"), "to"))
     read = read.where((F.size("froms") > 0) | (F.size("tos") > 0))
-    crossed = F.flatten(F.transform("froms", lambda f: F.transform("tos", lambda t: F.struct(
-        f["code"].alias("src"), t["code"].alias("dst"), (f["rank"] * 100 + t["rank"]).alias("rank"), F.when(f["relation"] == "renamed", t["relation"]).otherwise(f["relation"]).alias("relation")))))
-    crossed = F.filter(crossed, lambda p: p["src"] != p["dst"])
     own = F.col("pe_bli")
     single = F.concat(
         F.transform("froms", lambda f: F.struct(f["code"].alias("src"), own.alias("dst"), f["rank"].alias("rank"), f["relation"].alias("relation"))),
         F.transform("tos", lambda t: F.struct(own.alias("src"), t["code"].alias("dst"), (t["rank"] + 50).alias("rank"), t["relation"].alias("relation"))),
     )
-    pairs = read.withColumn("named", crossed).withColumn("p", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.filter(single, lambda p: p["src"] != p["dst"]))))
+    pairs = read.withColumn("named", named_pairs(F.col("clause"))).withColumn("p", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.filter(single, lambda p: p["src"] != p["dst"]))))
     rows = pairs.select("fiscal_year", "fact_id", "pos", "clause", "following", F.col("p.src").alias("src"), F.col("p.dst").alias("dst"), F.col("p.rank").alias("rank"), F.col("p.relation").alias("relation"))
     taken_back = has_negation(F.col("clause")) | (has_negation(F.col("following")) & (names_code(F.col("following"), F.col("src")) | names_code(F.col("following"), F.col("dst"))))
     first = pick_first(rows.where(~taken_back), ["src", "dst"], [F.desc("fiscal_year"), F.asc_nulls_last("fact_id"), F.asc("pos"), F.asc("rank"), F.asc("clause")])

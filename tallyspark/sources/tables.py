@@ -69,18 +69,58 @@ def _slug(header: str) -> str:
 
 
 def nested_filings(filings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nested filings to three tables: filings, activities with their entities, distinct lobbyists."""
-    flat = filings.select("filing_uuid", "filing_year", "income", "expenses", F.col("registrant.name").alias("registrant_name"), F.col("client.name").alias("client_name"))
+    """Nested filings to three tables: filings, activities with their entities, lobbyists once a (filing, name, position)."""
+    of = lambda name: F.col(name) if name in filings.columns else F.lit(None).cast("string")
+    flat = filings.select(
+        "filing_uuid", "filing_year", "income", "expenses", F.col("registrant.name").alias("registrant_name"), F.col("client.name").alias("client_name"),
+        of("url").alias("url"), of("filing_type").alias("filing_type"), of("filing_period").alias("filing_period"),
+    )
     acts = filings.select("filing_uuid", F.posexplode_outer("lobbying_activities").alias("activity", "a"))
-    activities = acts.where(F.col("a").isNotNull()).select("filing_uuid", "activity", F.col("a.general_issue_code").alias("issue_code"), F.col("a.description").alias("description"), F.to_json(F.col("a.government_entities.name")).alias("agencies_json"))
+    activities = acts.where(F.col("a").isNotNull()).select("filing_uuid", "activity", F.col("a.general_issue_code").alias("issue_code"), (F.col("a.general_issue_code_display") if "general_issue_code_display" in _fields(filings, "lobbying_activities") else F.col("a.general_issue_code")).alias("issue_display"), F.col("a.description").alias("description"), F.to_json(F.col("a.government_entities.name")).alias("agencies_json"))
     people = acts.select("filing_uuid", F.explode_outer("a.lobbyists").alias("l")).where(F.col("l").isNotNull())
-    lobbyists = people.select("filing_uuid", F.concat_ws(" ", "l.lobbyist.first_name", "l.lobbyist.last_name").alias("name"), F.col("l.covered_position").alias("covered_position")).dropDuplicates()
+    lobbyists = people.select("filing_uuid", F.concat_ws(" ", "l.lobbyist.first_name", "l.lobbyist.last_name").alias("name"), F.col("l.covered_position").alias("covered_position")).dropDuplicates(["filing_uuid", "name", "covered_position"])
     return flat, activities, lobbyists
 
 
+def _fields(df: DataFrame, column: str) -> list[str]:
+    """The field names of the structs in an array column."""
+    return df.schema[column].dataType.elementType.fieldNames()
+
+
+def unpivot_years(wide: DataFrame, codes: DataFrame, *, level: str = "SUMLEV", wanted: str = "040", code: str = "STATE", prefix: str = "POPESTIMATE", name: str = "population") -> DataFrame:
+    """(state, year, value) from a wide all-text table: rows of the wanted level, year columns as rows, codes named.
+
+    ``codes``: code, state. Blank values and codes without a name are left out.
+    """
+    years = [c for c in wide.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()]
+    rows = wide.where(F.col(level) == wanted).select(F.col(code).alias("code"), *[F.col(c).cast("string") for c in years])
+    long = rows.unpivot(["code"], years, "slot", name).where(F.coalesce(F.trim(name), F.lit("")) != "")
+    named = long.join(codes.select("code", "state"), "code")
+    return named.select("state", F.substring("slot", len(prefix) + 1, 4).cast("int").alias("year"), F.col(name).try_cast("bigint").alias(name))
+
+
+def melt_and_sum(wide: DataFrame, ids: list[str], *, key: str = "pe_bli", add: str | None = None, cell: str = "row_number") -> DataFrame:
+    """Rows of a display workbook to sums a line: ``Add`` rows only, ``FY ... Amount`` columns as slugged rows.
+
+    Footnote stars and the ending ``Amount`` go from the headers. A key with ``& / % #`` or white space in it is a
+    heading and no line. Amounts that are no numbers are left out. ``cells`` lists the rows (by the column ``cell``)
+    whose amounts a sum is made of.
+    """
+    stripped = {c: c.rstrip("*").strip() for c in wide.columns}
+    years = {c: _slug(h[: -len(" Amount")]) for c, h in stripped.items() if h.upper().startswith("FY ") and h.endswith(" Amount")}
+    label = F.trim(F.col(key).cast("string"))
+    kept = wide.where((F.coalesce(label, F.lit("")) != "") & ~label.rlike(r"[&/%#\s]"))
+    kept = kept if add is None else kept.where(F.lower(F.trim(F.col(add))) == "add")
+    named = [label.alias(key) if c == key else F.col(c) for c in ids]
+    long = kept.select(*named, F.col(cell).alias("cell"), *[F.col(f"`{c}`").cast("string").alias(slug) for c, slug in years.items()]).unpivot([*ids, "cell"], list(years.values()), "amount_type", "melted")
+    amount = F.trim("melted").try_cast("decimal(38,6)")
+    rows = long.withColumn("amount", amount).where(F.col("amount").isNotNull())
+    return rows.groupBy(*ids, "amount_type").agg(F.sum("amount").alias("amount"), F.array_sort(F.collect_list("cell")).alias("cells"))
+
+
 def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, pos, text) of every paragraph of every page, tags removed and the commonest entities resolved."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)<p>(.*?)(?:</p>|<br>|(?=<p>)|$)"), 1)
+    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<br\s*/?>|(?=<p[\s>])|$)"), 1)
     return pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, "pos", clean_html(F.col("raw")).alias("text"))
 
 

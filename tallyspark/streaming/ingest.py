@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 
 def ingest_new_files(spark: SparkSession, landing: str, out: str, checkpoint: str, schema: T.StructType, required: list[str]) -> None:
-    """Validate new all-text CSV files and append them to a Parquet lake partitioned by ``fy``; then stop.
+    """Validate new all-text CSV files and add them to a Parquet lake partitioned by ``fy`` and ``batch``; then stop.
 
-    The checkpoint remembers which files were read, so a second call takes only files that landed since. A row
-    with a blank required column goes to ``out/_rejected`` and stops nothing.
+    The checkpoint remembers which files were read, so a second call takes only files that landed since. Each batch
+    has partitions of its own and replaces them, so a batch that is tried again adds nothing twice. A file whose
+    header isn't the schema's stops the batch. A row with a blank required column goes to ``out/_rejected`` and stops
+    nothing. Read the lake with ``read_ingested``.
     """
     bad = F.lit(False)
     for column in required:
@@ -19,10 +21,16 @@ def ingest_new_files(spark: SparkSession, landing: str, out: str, checkpoint: st
 
     def write(batch: DataFrame, number: int) -> None:
         flagged = batch.withColumn("is_bad", bad).persist()
-        flagged.where(~F.col("is_bad")).drop("is_bad").write.mode("append").option("compression", "zstd").partitionBy("fy").parquet(f"{out}/data")
-        flagged.where("is_bad").drop("is_bad").write.mode("append").parquet(f"{out}/_rejected")
+        for rows, folder in ((flagged.where(~F.col("is_bad")), "data"), (flagged.where("is_bad"), "_rejected")):
+            path = f"{out}/{folder}/batch={number}"
+            rows.drop("is_bad").write.mode("overwrite").option("compression", "zstd").partitionBy("fy").parquet(path)
         flagged.unpersist()
 
-    stream = spark.readStream.schema(schema).option("header", True).csv(landing)
+    stream = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False).csv(landing)
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def read_ingested(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The rows ingested so far, with the columns of ``schema``."""
+    return spark.read.schema(schema).parquet(f"{out}/data").select(*schema.names)
