@@ -217,11 +217,13 @@ def hierarchy_edges(t):
     return A.hierarchy_edges(rows.withColumn("v", S.cents(F.col("o_totalprice"))), ["n_regionkey", "n_name", "c_mktsegment", "o_orderpriority"], "v")
 
 
-@_query(f"""WITH e AS (SELECT 'TOTAL' AS f, a AS t, sum(v) AS v FROM {_LEVELS} GROUP BY a UNION ALL SELECT a, a || '|' || b, sum(v) FROM {_LEVELS} GROUP BY a, b)
-  SELECT i.node, CAST(i.v AS BIGINT) AS value_in, CAST(o.v AS BIGINT) AS value_out FROM (SELECT t AS node, sum(v) AS v FROM e GROUP BY t) i JOIN (SELECT f AS node, sum(v) AS v FROM e GROUP BY f) o USING (node) WHERE i.v <> o.v""")
+@_query(f"""WITH e AS (SELECT 'TOTAL' AS f, a AS t, sum(v) AS v FROM {_LEVELS} GROUP BY a UNION ALL SELECT a, a || '|' || b, sum(v) FROM {_LEVELS} GROUP BY a, b UNION ALL SELECT a || '|' || b, a || '|' || b || '|' || c, sum(v) FROM {_LEVELS} GROUP BY a, b, c
+    UNION ALL SELECT a || '|' || b || '|' || c, a || '|' || b || '|' || c || '|' || d, sum(v) FROM {_LEVELS} GROUP BY a, b, c, d), x AS (SELECT f, t, v + CASE WHEN t LIKE '%BUILDING' OR t = '1' THEN 7 ELSE 0 END AS v FROM e)
+  SELECT i.node, CAST(i.v AS BIGINT) AS value_in, CAST(o.v AS BIGINT) AS value_out FROM (SELECT t AS node, sum(v) AS v FROM x GROUP BY t) i JOIN (SELECT f AS node, sum(v) AS v FROM x GROUP BY f) o USING (node) WHERE i.v <> o.v""")
 def hierarchy_conservation(t):
-    """Nodes whose inflow isn't their outflow; none."""
-    return DQ.flow_imbalance(hierarchy_edges(t))
+    """Nodes whose inflow isn't their outflow, after some edges of three levels were overstated."""
+    node = F.col("node_to")
+    return DQ.flow_imbalance(hierarchy_edges(t).withColumn("amount", F.col("amount") + F.when(node.like("%BUILDING") | (node == "1"), 7).otherwise(0)))
 
 
 @_query("""WITH y AS (SELECT p_brand, nullif(l_returnflag, 'N') AS flag, ship_year, CAST(sum(cents) AS BIGINT) AS v FROM """ + LINES + """ JOIN part ON l_partkey = p_partkey GROUP BY ALL)
@@ -348,17 +350,22 @@ def topn_other(t):
     return A.top_n_other(_lines(t).join(t("part"), F.col("l_partkey") == F.col("p_partkey")), ["l_returnflag"], "p_brand", "cents", 5)
 
 
-@_query()
+@_query("""SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('0|' || o_orderkey), o_orderkey) <= 10""")
 def stratified_pick(t):
     """Up to ten orders a status by a hash; the same ones every run."""
     return picks.stratified_sample(t("orders").select("o_orderkey", "o_orderstatus"), ["o_orderstatus"], ["o_orderkey"], 10)
 
 
-@_query("""SELECT p_partkey, upper(p_name) AS normal_name FROM part""")
+@_query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 5 THEN 'UNITED GLOBAL' WHEN 6 THEN 'UNITED CAPITAL' WHEN 7 THEN 'US ' || upper(p_name) WHEN 8 THEN upper(p_name) || ' ONE TWO' ELSE upper(p_name) END AS normal_name FROM part""")
 def name_normalise(t):
-    """Every spelling of a name comes back to the same normal form."""
-    endings = F.array(*[F.lit(x) for x in (", Inc.", " L.L.C.", " Company, The (Inc)", " Capital Corp", "")])
-    spelled = t("part").select("p_partkey", F.concat(F.lit("the "), F.col("p_name"), F.element_at(endings, (F.col("p_partkey") % 5 + 1).cast("int"))).alias("spelled"))
+    """Names under legal endings, divisions repeated and behind a generic head, points and articles, in their normal form."""
+    name, at = F.col("p_name"), F.col("p_partkey") % 9
+    forms = [
+        F.concat(F.lit("the "), name, F.lit(", Inc.")), F.concat(name, F.lit(" L.L.C.")), F.concat(F.lit("The "), name, F.lit(" Company, The (Inc)")), F.concat(name, F.lit(" Global Capital Global Capital Corp")),
+        F.concat(name, F.lit(" Defense Systems Mission Systems Tactical Systems North American Global Capital Global Capital")), F.lit("United Global Capital"), F.lit("United Capital LLC"),
+        F.concat(F.lit("U.S., "), name, F.lit("  CO.")), F.concat(name, F.lit("-one/TWO Ltd")),
+    ]
+    spelled = t("part").select("p_partkey", F.coalesce(*[F.when(at == k, form) for k, form in enumerate(forms)]).alias("spelled"))
     names = entities.name_table(spelled, "spelled")
     return spelled.join(names, "spelled").select("p_partkey", "normal_name")
 
@@ -394,14 +401,14 @@ def contiguous_containment(t):
     return matching.contained_in(short, long, "short_name", "p_partkey", "short_name", "long_name")
 
 
-@_query(r"""WITH w AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(upper(text), '[^A-Z0-9]+'))) AS term FROM benchmark),
-  t AS (SELECT min(item_id) AS item_id, term FROM w WHERE length(term) >= 9 GROUP BY term),
+@_query(r"""WITH w AS (SELECT item_id, regexp_split_to_array(upper(text), '[^A-Z0-9]+') AS a FROM benchmark),
+  t AS (SELECT item_id, term, min(place) AS place FROM (SELECT item_id, unnest(a) AS term, generate_subscripts(a, 1) AS place FROM w) WHERE length(term) >= 9 GROUP BY item_id, term),
   d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(upper(text), '[^A-Z0-9]+'))) AS term FROM documents)
-  SELECT doc_id, item_id, 'title_tokens' AS evidence, string_agg(term, ' ' ORDER BY term) AS matched FROM d JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 2""")
+  SELECT doc_id, item_id, 'title_tokens' AS evidence, string_agg(term, '|' ORDER BY place) AS matched FROM d JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 2""")
 def mention_tiers(t):
-    """Documents that mention an item by two telling words or more."""
+    """Documents that mention an item by two telling words or more; a word counts for every item that has it."""
     terms = matching.title_terms(t("benchmark"), "item_id", "text", least=9)
-    return matching.mentions(t("documents"), terms, "doc_id", "text", "item_id")
+    return matching.mentions(t("documents"), terms, "doc_id", "text", "item_id").drop("snippet")
 
 
 @_query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a href="([^"]*)">', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?is)<a href="([^"]*)">', 1), 1) AS pos FROM pages)
@@ -412,7 +419,10 @@ def page_links(t):
     return t("pages").select("page_id", F.posexplode(found).alias("pos", "href"))
 
 
-@_query()
+@_query(r"""WITH p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<br\s*/?>|$)', 1) AS all_p FROM pages),
+  q AS (SELECT page_id, unnest(all_p) AS raw, generate_subscripts(all_p, 1) AS pos FROM p),
+  c AS (SELECT page_id, CAST(pos - 1 AS INT) AS pos, replace(replace(replace(replace(replace(regexp_replace(raw, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM q)
+  SELECT page_id, pos, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, CAST(len(regexp_extract_all(t, '\$\s?[0-9][0-9,]*')) AS INT) AS n_amounts FROM c""")
 def page_paragraphs(t):
     """Clean paragraphs of every page with the money they name."""
     return tables.paragraphs(t("pages"), "page_id", "html").select("page_id", "pos", "text", F.size(matching.money_mentions(F.col("text"))).alias("n_amounts"))

@@ -33,7 +33,7 @@ def scenario_candidates(editions: DataFrame) -> DataFrame:
     """(edition, scenario, priority, years_back, amount_type) for every edition; the patterns are literal rows."""
     rows = [(scenario, k, back, slug) for (scenario, back), slugs in SCENARIOS.items() for k, slug in enumerate(slugs, 1)]
     patterns = editions.sparkSession.createDataFrame(rows, "scenario string, priority int, years_back int, slug string")
-    crossed = editions.select("edition").distinct().crossJoin(F.broadcast(patterns))
+    crossed = editions.select("edition").distinct().crossJoin(F.broadcast(patterns))  # literal rows
     return crossed.withColumn("amount_type", F.replace(F.col("slug"), F.lit("%d"), (F.col("edition") - F.col("years_back")).cast("string"))).drop("slug")
 
 
@@ -82,29 +82,36 @@ def decade_series(lines: DataFrame, documents: DataFrame, anchor_edition: int, t
     scenario's candidate slugs the first with rows is taken. A sum of one row carries that row's fact id.
     """
     programs = lines.where(F.col("pe_bli") != SUBTOTAL)
+    owners = ["account", "organization"]
     anchor = programs.where((F.col("fiscal_year") == anchor_edition) & F.col("title").isNotNull())
-    collides = [A.collisions(anchor, ["pe_bli"], ["amount_type"], c).withColumn(f"by_{c}", F.lit(True)) for c in ("account", "organization")]
+    slots = anchor.groupBy("pe_bli", "amount_type").agg(*[(F.countDistinct(c) > 1).alias(f"by_{c}") for c in owners])
+    collides = slots.groupBy("pe_bli").agg(*[F.bool_or(f"by_{c}").alias(f"by_{c}") for c in owners])
     fact = S.fact_id(
         F.col("sha256"), F.col("exhibit"), F.col("fiscal_year"), F.col("account"), F.col("organization"), F.col("budget_activity"), F.col("pe_bli"), F.col("amount_type"), absent_as_empty=(5,)
     )
+    # every pattern is a year and a word, so a slug meets its pattern by the word and how far its year lies back
+    slug = lambda k: F.regexp_extract("amount_type", r"^fy_(\d{4})_(.+)$", k)
+    patterns = lines.sparkSession.createDataFrame([(w[len("fy_%d_"):], back, scenario, k) for (scenario, back), words in SCENARIOS.items() for k, w in enumerate(words, 1)], "word string, years_back int, scenario string, priority int")
+    dated = programs.withColumn("word", slug(2)).withColumn("years_back", F.col("fiscal_year") - slug(1).try_cast("int"))
+    matched = dated.join(F.broadcast(patterns), ["word", "years_back"])  # a few literal rows
     hashes = documents.select(F.col("id").alias("source_document_id"), "sha256")
-    detail = programs.where(F.col("exhibit").isin("R-1", "P-1") & F.col("source_document_id").isNotNull()).join(hashes, "source_document_id", "left").withColumn("fact", fact)
-    candidates = F.broadcast(scenario_candidates(detail.select(F.col("fiscal_year").alias("edition"))))  # 18 rows an edition
-
-    def grained(rows: DataFrame, extra: list[str], *aggregates: Column) -> DataFrame:
-        joined = rows.withColumnRenamed("fiscal_year", "edition").join(candidates, ["edition", "amount_type"])
-        for clash in collides:
-            joined = joined.join(clash, "pe_bli", "left")
-        owners = [F.when(F.col(f"by_{c}"), F.col(c)).alias(c) for c in ("account", "organization")]
-        return joined.groupBy("pe_bli", "edition", "scenario", *extra, "amount_type", *owners).agg(F.sum("amount_thousands").alias("amount"), *aggregates)
-
-    sums = grained(detail, ["priority", "years_back"], F.count("*").alias("n_source_rows"), F.when(F.count("*") == 1, F.min("fact")).alias("source_fact_id"))
-    chosen = picks.pick_first(sums, ["pe_bli", "account", "organization", "edition", "scenario"], [F.asc("priority")])
-    lake = grained(lines.where(F.col("exhibit") != "P-1R"), []).select("pe_bli", "edition", "scenario", "account", "organization", F.col("amount").alias("lake_amount"))
-    near = F.abs(F.col("amount") - F.col("lake_amount")) <= tolerance
-    borne_out = joins.null_safe_join(chosen, lake, ["pe_bli", "edition", "scenario", "account", "organization"], "left_semi", also=near)
-    return borne_out.select(
-        "pe_bli", (F.col("edition") - F.col("years_back")).alias("fy"), "edition", S.recode(F.col("scenario"), KINDS).alias("kind"), "amount", "amount_type", "account", "organization", "n_source_rows", "source_fact_id"
+    known = matched.join(hashes, "source_document_id", "left").join(collides, "pe_bli", "left")
+
+    # one aggregate gives each slug's sum in the details and in the whole lake
+    is_detail = F.col("exhibit").isin("R-1", "P-1") & F.col("source_document_id").isNotNull()
+    detail = lambda value: F.when(is_detail, value)
+    sums = known.groupBy("pe_bli", F.col("fiscal_year").alias("edition"), "scenario", "priority", "years_back", "amount_type", *[F.when(F.col(f"by_{c}"), F.col(c)).alias(c) for c in owners]).agg(
+        F.sum(detail(F.col("amount_thousands"))).alias("amount"), F.count(detail(F.lit(1))).alias("n_source_rows"), F.min(detail(fact)).alias("fact"),
+        F.sum(F.when(F.col("exhibit") != "P-1R", F.col("amount_thousands"))).alias("lake_amount"),
+    )
+    # windows over one key: the first slug with details, and whether any slug's lake sum bears its amount out
+    cell = Window.partitionBy("pe_bli", "account", "organization", "edition", "scenario")
+    sums = sums.withColumn("first", F.min(F.when(F.col("n_source_rows") > 0, F.col("priority"))).over(cell))
+    sums = sums.withColumn("chosen", F.max(F.when(F.col("priority") == F.col("first"), F.col("amount"))).over(cell))
+    sums = sums.withColumn("borne_out", F.max(F.abs(F.col("lake_amount") - F.col("chosen")) <= tolerance).over(cell))
+    return sums.where((F.col("priority") == F.col("first")) & F.col("borne_out")).select(
+        "pe_bli", (F.col("edition") - F.col("years_back")).alias("fy"), "edition", S.recode(F.col("scenario"), KINDS).alias("kind"), "amount", "amount_type", "account", "organization", "n_source_rows",
+        F.when(F.col("n_source_rows") == 1, F.col("fact")).alias("source_fact_id"),
     )
 
 
@@ -127,8 +134,12 @@ def gap_events(diffs: DataFrame, least: float = 50_000, pct: float = 25.0) -> Da
 def years_matrix(series: DataFrame, kinds: list[str]) -> DataFrame:
     """One row per program and year with a cell per kind (amount and fact id); absent stays absent.
 
-    The newest edition that reports a cell wins.
+    The newest edition that reports a cell wins; an edition that reports it twice with different amounts is an error.
     """
+    told = ["pe_bli", "account", "organization", "fy", "kind", "edition"]
+    said_twice = F.raise_error(F.concat_ws(" ", F.lit("two amounts in one edition:"), *[F.col(c).cast("string") for c in told]))
+    clash = F.min("amount").over(Window.partitionBy(*told)) != F.max("amount").over(Window.partitionBy(*told))
+    series = series.withColumn("amount", F.when(clash, said_twice.cast(series.schema["amount"].dataType)).otherwise(F.col("amount")))
     latest = picks.pick_first(series, ["pe_bli", "account", "organization", "fy", "kind"], [F.desc("edition"), F.desc("amount")])
     cell = F.struct("amount", "source_fact_id", "edition")
     return latest.groupBy("pe_bli", "account", "organization", "fy").agg(*[F.max(F.when(F.col("kind") == k, cell)).alias(k) for k in kinds])
@@ -146,6 +157,81 @@ def flow_edges(lines: DataFrame, slot: str, labels: dict[str, str]) -> DataFrame
     return edges.withColumn("component_label", S.recode(head, labels, head))
 
 
+def spend_edges(contracts: DataFrame, xwalk: DataFrame) -> DataFrame:
+    """The spend river: total, sub-agency, office and family by year, competition class and offers bucket, in one pass.
+
+    contracts as ``staging.flow_contracts`` gives them. A family is the recipient's, else the fallback name, else its
+    id. Family nodes are keyed by the family alone, so all offices that pay it meet there.
+    """
+    named = contracts.join(xwalk.select("recipient_uei", F.col("family_key").alias("known")), "recipient_uei", "left")
+    rows = named.select("fiscal_year", "competed_class", "offers_bucket", "sub_agency", "office", F.coalesce("known", "recipient_fallback_name", "recipient_uei", F.lit("UNKNOWN RECIPIENT")).alias("family"), "obligation")
+    split, levels = ["fiscal_year", "competed_class", "offers_bucket"], ["sub_agency", "office", "family"]
+    sets = [[F.col(c) for c in split + levels[: k + 1]] for k in range(3)]
+    sums = rows.groupingSets(sets, *split, *levels).agg(F.sum("obligation").alias("amount"), F.count("*").alias("line_count"), F.grouping_id(*split, *levels).alias("gid"))
+    depth = 3 - F.bit_count("gid")
+    office = F.concat_ws("|", "sub_agency", "office")
+    at = lambda *names: F.element_at(F.array(*names), depth.cast("int"))
+    return sums.select(
+        "fiscal_year", at(F.lit("total"), F.lit("sub_agency"), F.lit("office")).alias("level_from"), at(F.lit("TOTAL"), F.col("sub_agency"), office).alias("node_from"),
+        at(F.lit("sub_agency"), F.lit("office"), F.lit("family")).alias("level_to"), at(F.col("sub_agency"), office, F.col("family")).alias("node_to"), "competed_class", "offers_bucket", "amount", "line_count",
+    )
+
+
+def feed_events(
+    trajectory: DataFrame, new: str, base: str, links: DataFrame, tx: DataFrame, xwalk: DataFrame, *,
+    least_base: float = 50_000, swing_pct: float = 50.0, least_matched: float = 5_000_000, entrants_since: int = 2024, least_entrant: float = 1_000_000, entrants: int = 25,
+) -> DataFrame:
+    """Events for the feed: swings, lines set to zero, concentrations and new families, under one schema.
+
+    A line is zeroed only where the newer book says 0, never where it says nothing.
+    """
+    programs = trajectory.where(F.col("pe_bli") != SUBTOTAL)
+    none = F.lit(None).cast("string")
+    event = lambda df, kind, pe, org, family, headline, comparison, pct, year: df.select(
+        F.lit(kind).alias("event_type"), pe.alias("pe_bli"), org.alias("organization"), family.alias("family_key"), headline.cast("double").alias("headline_value"),
+        comparison.cast("double").alias("comparison_value"), pct.cast("double").alias("pct_change"), year.cast("int").alias("fiscal_year"),
+    )
+    c, year = F.col, F.regexp_extract(F.lit(new), r"(\d{4})", 1).cast("int")
+    swings = programs.where((c("organization") != "") & (c(base) >= least_base) & c(new).isNotNull() & (F.abs("pct_change") >= swing_pct))
+    zeroed = programs.where((c(base) > 0) & (c(new) == 0))
+    paid = tx.where("obligation > 0")
+    linked = links.where("confidence = 'high'").select(c("award_piid").alias("award_id_piid"), "pe_bli").distinct()
+    known = xwalk.select("recipient_uei", "family_key")
+    members = paid.join(linked, "award_id_piid").join(known, "recipient_uei", "left").groupBy("pe_bli", "fiscal_year", F.coalesce("family_key", "recipient_uei").alias("family")).agg(F.sum("obligation").alias("dollars"))
+    share = F.lit(100.0) * c("dollars") / F.sum("dollars").over(Window.partitionBy("pe_bli", "fiscal_year"))
+    held = members.withColumn("share", share).groupBy("pe_bli", "fiscal_year").agg(F.sum(c("share") * c("share")).alias("hhi"), F.sum("dollars").alias("matched")).where(c("matched") >= least_matched)
+    first = paid.join(known, "recipient_uei").groupBy("family_key").agg(F.min("fiscal_year").alias("first_fy"), F.sum("obligation").alias("dollars"))
+    fresh = first.where((c("first_fy") >= entrants_since) & (c("dollars") >= least_entrant)).orderBy(F.desc("dollars"), "family_key").limit(entrants)
+    return A.union_all(
+        event(swings, "swing", c("pe_bli"), c("organization"), none, c(new), c(base), c("pct_change"), year), event(zeroed, "zeroed", c("pe_bli"), c("organization"), none, c(base), F.lit(0.0), none, year),
+        event(held, "concentration", c("pe_bli"), none, none, F.round("hhi", 4), c("matched"), none, c("fiscal_year")), event(fresh, "entrant", none, none, c("family_key"), c("dollars"), c("first_fy"), none, c("first_fy")),
+    )
+
+
+def district_programs(tx: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked money by district and program; an award of two programs counts in both, so sums over programs overstate."""
+    linked = links.where("confidence = 'high'").groupBy(F.col("award_piid").alias("award_id_piid"), "pe_bli").agg(F.min("program_title").alias("program_title"), F.min("organization").alias("organization"))
+    joined = tx.where(F.col("pop_district").isNotNull()).join(linked, "award_id_piid")
+    return joined.groupBy("pop_state", "pop_district", "pe_bli").agg(
+        F.min("program_title").alias("program_title"), F.min("organization").alias("organization"), F.countDistinct("transaction_key").alias("transaction_count"),
+        F.countDistinct("award_id_piid").alias("award_count"), F.countDistinct("recipient_uei").alias("recipient_count"), F.sum("obligation").alias("total_obligation"),
+    )
+
+
+def district_totals(tx: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked money by district, each award once however many programs it is linked to."""
+    linked = links.where("confidence = 'high'").select(F.col("award_piid").alias("award_id_piid")).distinct()
+    awards = tx.where(F.col("pop_district").isNotNull()).join(linked, "award_id_piid", "left_semi").groupBy("pop_state", "pop_district", "award_id_piid").agg(F.sum("obligation").alias("obligation"))
+    return awards.groupBy("pop_state", "pop_district").agg(F.count("award_id_piid").alias("award_count"), F.sum("obligation").alias("total_obligation"))
+
+
+def top_programs(programs: DataFrame, trajectory: DataFrame, value: str, n: int = 50) -> DataFrame:
+    """The ``n`` programs (pe_bli, title, org, account) with most money of a slot, each by its own account's row."""
+    named = programs.withColumn("organization", S.workbook_org(F.col("org")))
+    found = joins.qualified_lookup(named, trajectory, ["pe_bli", "organization"], "account", value)
+    return found.where(F.col(value).isNotNull()).orderBy(F.desc(value), "pe_bli", F.asc_nulls_first("account"), F.asc_nulls_first("title")).limit(n)
+
+
 def budget_to_awards(links: DataFrame, adjudications: DataFrame) -> DataFrame:
     """Links with their verdicts laid over: unadjudicated account+tokens links fall to medium; only high and medium appear."""
     verdicts = adjudications.select("award_piid", "pe_bli", "adjudicated_confidence")
@@ -164,7 +250,7 @@ def program_concentration(links: DataFrame, tx: DataFrame, xwalk: DataFrame) ->
 
 def state_per_capita(spend: DataFrame, categories: DataFrame, population: DataFrame) -> DataFrame:
     """Comparable categories by state and year over the population of the latest year not after it."""
-    mapped = spend.join(F.broadcast(categories), (spend["jurisdiction"] == categories["jurisdiction"]) & (spend["category"] == categories["raw_category"])).select(spend["jurisdiction"], "comparable_category", "fiscal_year", "amount_usd")
+    mapped = spend.join(categories.select("jurisdiction", F.col("raw_category").alias("category"), "comparable_category"), ["jurisdiction", "category"])
     sums = mapped.groupBy("jurisdiction", "comparable_category", "fiscal_year").agg(F.round(F.sum("amount_usd"), 2).alias("amount_usd"))
     people = population.select(F.col("state").alias("jurisdiction"), F.col("year"), "population")
     placed = joins.as_of_join(sums, people, ["jurisdiction"], "fiscal_year", "year", ["population"])

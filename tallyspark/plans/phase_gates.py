@@ -9,6 +9,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, gates, ledger
+from tallyspark.operators.graph import connected_components
 from tallyspark.plans import marts
 
 
@@ -56,6 +57,19 @@ def influence_gates(influence: DataFrame, families: DataFrame, mentions: DataFra
     }
 
 
+def state_gates(rows: DataFrame, categories: DataFrame, jurisdictions: list[str], least: int = 1) -> dict[str, DataFrame]:
+    """Every state row has a source, and at least ``least`` (category, year) are comparable in all jurisdictions.
+
+    rows: jurisdiction, category, fiscal_year, source_url; categories: jurisdiction, raw_category, comparable_category.
+    """
+    mapped = rows.join(categories.withColumnRenamed("raw_category", "category"), ["jurisdiction", "category"])
+    both = A.both_present(mapped, ["comparable_category", "fiscal_year"], "jurisdiction", jurisdictions).select("comparable_category", "fiscal_year").distinct()
+    return {
+        "rows_sourced": rows.where(F.coalesce(F.trim("source_url"), F.lit("")) == ""),
+        "comparable": both.agg(F.count("*").alias("n")).where(F.col("n") < least),
+    }
+
+
 def decade_gates(series: DataFrame, recomputed: DataFrame, editions: DataFrame) -> dict[str, DataFrame]:
     """Every edition is there, no year lies outside its edition's reach, and a recompute gives the same rows."""
     key = ["pe_bli", "fy", "edition", "kind", "account", "organization"]
@@ -70,8 +84,6 @@ def decade_gates(series: DataFrame, recomputed: DataFrame, editions: DataFrame)
 
 def lineage_gates(edges: DataFrame, narratives: DataFrame, families: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
     """Evidence verbatim, families exactly the components of the edges, store equal to the lake as a multiset."""
-    from tallyspark.operators.graph import connected_components
-
     found = connected_components(edges, "src", "dst")
     joined = families.select("node", "family").join(found, "node", "full_outer")
     # partitions are equal if each family meets one component and each component one family
@@ -98,8 +110,14 @@ def roll_down(details: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def chain_sums(edges: DataFrame, points: DataFrame) -> DataFrame:
-    """Money along each one-to-one chain: per root and year the sum of its nodes' points (pe_bli, fy, amount)."""
-    placed = chains.one_to_one_chains(edges)
+    """Money along each one-to-one chain: per root and year the sum of its nodes' points (pe_bli, fy, amount).
+
+    The root is the node that nothing leads to; a cycle has none and stands under its smallest node.
+    """
+    placed = chains.one_to_one_chains(edges).select("node", "root")
+    kept = chains.one_to_one_edges(edges).join(placed.select(F.col("node").alias("src")), "src", "left_anti")
+    cycles = connected_components(kept, "src", "dst")
+    placed = placed.unionByName(cycles.select("node", F.col("component").alias("root")))
     return points.join(placed.select(F.col("node").alias("pe_bli"), "root"), "pe_bli").groupBy("root", "fy").agg(F.sum("amount").alias("amount"), F.count("*").alias("nodes"))
 
 

@@ -76,6 +76,38 @@ def budget_details(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"fiscal_year": F.col("fiscal_year").try_cast("int"), "amount_millions": _number("amount_millions"), "document_id": F.col("document_id").try_cast("int"), "reconciled": S.is_true(F.col("reconciled"))})
 
 
+def mts_outlays(rows: DataFrame) -> DataFrame:
+    """Monthly outlays as they come."""
+    return rows
+
+
+def entity_xwalk(rows: DataFrame) -> DataFrame:
+    """The crosswalk with its money as a number."""
+    return rows.select("recipient_uei", "recipient_name", "parent_uei", "parent_name", "family_key", "method", "confidence", _number("total_obligation").alias("total_obligation"))
+
+
+def family_obligations_by_year(tx: DataFrame, xwalk: DataFrame) -> DataFrame:
+    joined = tx.join(xwalk.select("recipient_uei", "family_key"), "recipient_uei")
+    return joined.groupBy("family_key", "fiscal_year").agg(F.sum("obligation").alias("total_obligation"), F.count("*").alias("transaction_count"), F.countDistinct("recipient_uei").alias("uei_count"))
+
+
+def state_budget(rows: DataFrame) -> DataFrame:
+    """Budget rows beside their department's total of the year; totals' own rows and rows without department are left out.
+
+    One window serves both, so the rows are shuffled once.
+    """
+    kept = rows.where((F.coalesce("is_total", F.lit("False")) == "False") & F.col("department").isNotNull() & F.col("fiscal_year").isNotNull())
+    total = F.sum("amount_usd").over(Window.partitionBy("department", "fiscal_year"))
+    named = kept.withColumn("amount_usd", _number("amount_usd")).withColumn("recomputed_dept_total_usd", total)
+    return named.select("department", "agency", "category", "fund", "fiscal_year", "amount_usd", "source_url", "recomputed_dept_total_usd")
+
+
+def state_checkbook(rows: DataFrame, jurisdiction: str) -> DataFrame:
+    """Checkbook payments (all text) summed by department, category and year, to the cent."""
+    sums = rows.groupBy("department", "category", "fiscal_year").agg(F.sum(F.col("amount_usd").try_cast("decimal(38,2)")).alias("amount_usd"))
+    return sums.select(F.lit(jurisdiction).alias("jurisdiction"), "department", "category", "fiscal_year", F.col("amount_usd").cast("string").alias("amount_usd"))
+
+
 def dim_recipients(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("recipient_uei").isNotNull()).groupBy("recipient_uei").agg(
         F.max("recipient_name").alias("recipient_name"), F.max("recipient_parent_name").alias("recipient_parent_name"), F.sum("obligation").alias("total_obligation"),

@@ -47,14 +47,19 @@ def test_proposals_get_their_first_refusal(spark):
     known = spark.createDataFrame([("0601000A",), ("0602000A",), ("0603000A",), ("0604000A",), ("0605000A",)], "pe_bli string")
     stated = spark.createDataFrame([("0602000A", "0601000A")], "src string, dst string")
     data = [
-        ("c9", "0601000A", "0602000A", "realigned", "", "V0-orphan"), ("c1", "0601000A", "0601000A", "realigned", "", "V7-self-loop"), ("c1", "3010", "0602000A", "realigned", "", "V3-shape"),
-        ("c1", "0609000A", "0602000A", "realigned", "", "V1-fabricated-endpoint"), ("c1", "0603000A", "0602000A", "realigned", "", "V2-this-pairing-in-multi-code-clause"),
-        ("c1", "0601000A", "0602000A", "eaten", "", "V4-relation"), ("c1", "0601000A", "0602000A", "realigned", "not there", "V5-quote"), ("c2", "0604000A", "0605000A", "realigned", "", "V6-retracted"),
-        ("c1", "0602000A", "0601000A", "realigned", "", "V9-already-stated"), ("c1", "0601000A", "0602000A", "realigned", "transferred", None), ("c1", "0601000A", "0602000A", "renamed", "transferred", "V10-duplicate"),
+        ("c9", "0601000A", "0602000A", "realigned", "V0-orphan"), ("c1", "0601000A", "0601000A", "realigned", "V7-self-loop"), ("c1", "3010", "0602000A", "realigned", "V3-shape"),
+        ("c1", "0609000A", "0602000A", "realigned", "V1-fabricated-endpoint"), ("c1", "0603000A", "0602000A", "realigned", "V2-this-pairing-in-multi-code-clause"),
+        ("c1", "0601000A", "0602000A", "eaten", "V4-relation"), ("c2", "0604000A", "0605000A", "realigned", "V5-retracted"), ("c3", "0602000A", "0601000A", "merged", "V7-already-stated"),
+        ("c3", "0601000A", "0602000A", "realigned", None), ("c4", "0601000A", "0602000A", "realigned", "V7-duplicate"), ("c5", "0603000A", "0602000A", "split", "V9-contradicts-named-pairs"),
+        ("c3", "0603000A", "0606000A", "split", "V1-fabricated-endpoint"), ("c6", "0603000A", "0605000A", "split", "V11-transient"), ("c7", "0603000A", "0604000A", "split", "V10-unconfirmed"),
+        ("c7", "0603000A", "0606000A", "split", "V3b-unknown-pe"),
     ]
-    schema = "clause_id string, src string, dst string, relation string, quote string"
-    got = {tuple(r)[:5]: r.refusal for r in gates.verify_proposals(spark.createDataFrame([d[:5] for d in data], schema), clauses, stated, known).collect()}
-    assert got == {d[:5]: d[5] for d in data}
+    texts = {"c3": "0601000A was merged into 0602000A.", "c4": "0601000A was merged into 0602000A.", "c5": "Moved: transferred from PE 0601000A and transferred to PE 0602000A by 0603000A.", "c6": "A one-time move of 0603000A to 0605000A.", "c7": "0603000A, 0604000A and 0606000A were split."}
+    more = spark.createDataFrame([(k, "0603000A", v, ["0601000A"], None) for k, v in texts.items()], clauses.schema)
+    schema = "clause_id string, src string, dst string, relation string"
+    confirmed = spark.createDataFrame([("c7", "0603000A", "0604000A", True), ("c6", "0603000A", "0604000A", False), ("c3", "0601000A", "0602000A", True)], "clause_id string, src string, dst string, agrees boolean")
+    found = gates.verify_proposals(spark.createDataFrame([d[:4] for d in data], schema), clauses.unionByName(more), stated, known, confirmed)
+    assert {tuple(r)[:4]: r.refusal for r in found.collect()} == {d[:4]: d[4] for d in data}
 
 
 def test_evidence_and_ratified(spark):
