@@ -327,6 +327,39 @@ def test_quality_rules_hold_out_labels_and_separate_junk(spark):
     assert quality.fit(docs, labels.where(~quality.held_out(F.col("doc_id")))) == ensemble
 
 
+def brute_statistics(text):
+    text = text or ""
+    size, all_words = max(len(text), 1), re.split("[\\x20\\x09-\\x0D]+", text)
+    lines = [line for line in text.split("\n") if line]
+    n, n_lines = len(all_words), max(len(lines), 1)
+    share = lambda pattern: len(re.findall(pattern, text)) / size
+    return {
+        "log_size": np.log1p(size), "word_length": size / n, "symbols": share(r"[#$%&*+=<>@^_~\\{}\[\]/]"), "symbol_runs": len(re.findall(r"[#$%&*=~^_+]{2,}|!{2,}", text)) / n, "bars": share(r"\|"), "marks": share("[!?]"),
+        "stops": len(re.findall("[.,;:]", text)) / n, "capitals": share("[A-Z]"), "digits": share("[0-9]"), "new_words": len(set(all_words)) / n**0.5, "distinct_words": len(set(all_words)) / n, "distinct_lines": len(set(lines)) / n_lines,
+        "line_words": np.log1p(n / n_lines),
+    }
+
+
+def test_quality_query_scores_as_its_rules_say_by_hand(spark, tmp_path):
+    """Every statistic counted in Python, every rule tried, the weights summed: the compiled column gives the same score."""
+    texts, rng = corpus(seed=23, n=200)
+    texts = [" ".join(w + rng.choice(["###", "!!", "[]"]) for w in t.split()) if k % 4 == 0 else t.replace(" ", "\n", 3) for k, t in enumerate(texts)]
+    texts += [None, "", "É" * 50, "a\n\na", " lead and trail ", "# | ! 7"]
+    docs = docs_of(spark, texts)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(200)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text")
+    ensemble = quality.fit(read, spark.read.parquet(str(tmp_path / "labels.parquet")).where(~quality.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in quality.op4_query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and ensemble["rules"]
+    for k, text in enumerate(texts):
+        stats = brute_statistics(text)
+        total = ensemble["bias"] + sum(w * all(low < stats[quality.NAMES[at]] <= high for at, low, high in rule) for w, rule in ensemble["rules"])
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+        assert got[k].held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and got[k].predicted == int(got[k].score >= 0.7)
+
+
 def test_quality_without_labels_rejects_nothing_and_scores_odd_texts(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.keep_good(odd_docs(spark), none).count() == 8
@@ -399,6 +432,59 @@ def test_mixture_sql_keeps_a_source_without_a_name(spark, tmp_path):
     assert got == sorted(want)
 
 
+def brute_mix(rows):
+    """Copies by (doc_id) of (doc_id, text, source) rows with ids of their own, by the module's text in plain loops."""
+    space, copies = re.compile("[^\\x20\\x09-\\x0D]+"), {}
+    sized = [(k, s, len(space.findall(t or "")), hashlib.md5((t or "").encode()).hexdigest()) for k, t, s in rows]
+    sizes = Counter()
+    for _, source, size, _ in sized:
+        sizes[source] += size
+    for source, target in brute_targets(dict(sizes)).items():
+        wanted = target / sizes[source] if sizes[source] else 0.0
+        whole, need, ranked = int(wanted), target - int(wanted) * sizes[source], []
+        rest = wanted - whole
+        for k, _, size, mark in (r for r in sized if r[1] == source):
+            u = (int(hashlib.md5(f"0:{k}:{mark}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            odds = 4 if size >= 200 else 2 if size >= 50 else 1
+            ranked.append((u / (1 - u) / (odds * max(rest, 1e-12) / (1 - rest)), k, mark, size, u))
+            copies[k] = whole
+        if not rest:
+            continue
+        ranked.sort()
+        gap, taken, last = need, set(), None
+
+        def cut(pool, gap):
+            sums = np.cumsum([r[3] for r in pool])
+            return [r for r, total in zip(pool, sums, strict=True) if total <= gap]
+
+        first = cut(ranked, gap)
+        taken |= {r[1] for r in first}
+        gap -= sum(r[3] for r in first)
+        for _ in range(3):
+            fits = [(r[3], -r[4], r[1], r[2]) for r in ranked if r[1] not in taken and 0 < r[3] <= gap]
+            fits = [f for f in fits if last is None or f < last]
+            if not fits:
+                break
+            last = max(fits)
+            taken.add(last[2])
+            gap -= last[0]
+        while pool := [r for r in ranked if r[1] not in taken and 0 < r[3] <= gap]:
+            more = cut(pool, gap)
+            taken |= {r[1] for r in more}
+            gap -= sum(r[3] for r in more)
+        for k in taken:
+            copies[k] += 1
+    return copies
+
+
+def test_mixture_takes_what_plain_loops_take(spark):
+    texts, _ = corpus(seed=31, n=300, size=320)
+    sources = [["x", "y", None, "z"][k % 7 % 4] for k in range(300)]
+    docs = docs_of(spark, texts, sources)
+    got = Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert got == Counter({k: n for k, n in brute_mix(list(zip(range(300), texts, sources, strict=True))).items() if n})
+
+
 def test_mixture_fills_a_source_beside_one_dominant_document(spark):
     """No document is added twice, none that fits is left, whatever place the long one has in the ranking."""
     sizes = [(s, n) for s in ("a", "b", None) for n in [4_000] + [10] * 150 + [7] * 50]
@@ -701,7 +787,7 @@ def test_line_dedup_of_odd_rows(spark):
 # pipeline -----------------------------------------------------------------------------------------------------
 
 
-def test_pipeline_stages_take_effect(spark, tmp_path):
+def test_pipeline_stages_match_plain_loops(spark, tmp_path):
     import corpus_pipeline
 
     texts, rng = corpus(seed=12, n=160, size=120)
@@ -721,5 +807,17 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         kept.append({r.doc_id for r in docs.select("doc_id").collect()})
     everyone = set(range(160))
     assert kept[0] == everyone - set(range(100, 130)) and kept[1] == kept[0] - {40} and kept[2] == kept[1] - {50}
+    wanted = brute_mix([(k, texts[k], f"s{k % 3}") for k in sorted(kept[2])])
+    copies = Counter(r.doc_id for r in docs.select("doc_id").collect())
+    assert copies == Counter({k: n for k, n in wanted.items() if n})
+    from tokenizers import Tokenizer
+
+    plain, start, tokens = Tokenizer.from_file(token_output.default_tokenizer()), 0, []
+    for k in sorted(copies.elements()):
+        ids = plain.encode(texts[k], add_special_tokens=False).ids + [1]
+        tokens.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert out.count() == docs.count() and {r.doc_id for r in out.collect()} == kept[3]
+    assert sorted(map(tuple, out.collect())) == tokens
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, whole.collect())) == tokens
