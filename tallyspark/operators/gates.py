@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import canonical_number, plain_quotes
@@ -154,6 +154,32 @@ def stale_answers(expected: DataFrame, actual: DataFrame, tolerance: float = 0.0
     return both.where(~F.coalesce(same, F.lit(False)))
 
 
+def golden_answers(spark: SparkSession, questions: list[tuple[str, str, str]], tolerance: float = 0.0) -> DataFrame:
+    """Run each golden question (name, SQL over the session's views, expected value) and list those that differ now.
+
+    The answer of a question is the first column of its first row; a question without rows is answered by null.
+    """
+    actual = None
+    for name, sql, _ in questions:
+        answer = spark.sql(sql)
+        one = answer.limit(1).agg(F.max(F.col(f"`{answer.columns[0]}`").cast("string")).alias("value")).select(F.lit(name).alias("question"), "value")
+        actual = one if actual is None else actual.unionByName(one)
+    expected = spark.createDataFrame([(name, value) for name, _, value in questions], "question string, value string")
+    return stale_answers(expected, actual if actual is not None else expected, tolerance)
+
+
+def integrity_gate(exports: dict[str, tuple[DataFrame, DataFrame]], kind: str, key: str) -> DataFrame:
+    """Per exported dataset and kind: ids that only the export or only the ledger has or that repeat, and both row counts."""
+    found = None
+    for name, (export, ledger_rows) in exports.items():
+        rows = lambda df, side: df.groupBy(kind).agg(F.count("*").alias(f"{side}_rows"))
+        one = id_sets_agree(export, ledger_rows, kind, key).join(rows(export, "export"), kind, "left").join(rows(ledger_rows, "ledger"), kind, "left").na.fill(0, ["export_rows", "ledger_rows"])
+        clean = (F.col("only_left") == 0) & (F.col("only_right") == 0) & (F.col("repeated") == 0) & (F.col("export_rows") == F.col("ledger_rows"))
+        one = one.select(F.lit(name).alias("dataset"), kind, "only_left", "only_right", "repeated", "export_rows", "ledger_rows", clean.alias("passed"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def first_failing_hop(lines: DataFrame, hops: list[tuple[str, DataFrame]], key: str) -> DataFrame:
     """Each line with the first of the named tables that doesn't hold it, or null where the chain is whole."""
     state = lines.select(key).distinct()
@@ -183,10 +209,11 @@ def manifest(datasets: dict[str, DataFrame], scopes: DataFrame, *, strict: bool
     return found
 
 
-def program_bundle(programs: DataFrame, lines: DataFrame, details: DataFrame, ledger: DataFrame, awards: DataFrame, top: int = 5) -> DataFrame:
+def program_bundle(programs: DataFrame, lines: DataFrame, details: DataFrame, ledger: DataFrame, awards: DataFrame, top: int = 5, **others: DataFrame) -> DataFrame:
     """One JSON document a program: its lines, its largest projects whose fact is in the ledger, and its awards.
 
-    Lists are bounded by what one program has; projects by ``top``.
+    ``others`` are further tables with ``pe_bli``, such as narratives, mentions and events, each a list of its other
+    columns under its own name. Lists are bounded by what one program has; projects by ``top``.
     """
     projects = details.join(ledger.select("fact_id").distinct(), "fact_id", "left_semi").withColumn("size", F.abs("amount_millions"))
     projects = pick_first(projects, ["pe_bli"], [F.desc("size"), F.asc("project_number"), F.asc("fact_id")], top)
@@ -194,6 +221,7 @@ def program_bundle(programs: DataFrame, lines: DataFrame, details: DataFrame, le
     joined = programs.select("pe_bli", "title")
     for part in (
         nested(lines, "lines", "fiscal_year", "amount_type", "amount_thousands"), nested(projects, "projects", "project_number", "amount_millions", "fact_id"), nested(awards, "awards", "award_piid", "confidence"),
+        *[nested(df, name, *[c for c in df.columns if c != "pe_bli"]) for name, df in others.items()],
     ):
         joined = joined.join(part, "pe_bli", "left")
-    return joined.select("pe_bli", F.to_json(F.struct("pe_bli", "title", "lines", "projects", "awards")).alias("document"))
+    return joined.select("pe_bli", F.to_json(F.struct("pe_bli", "title", "lines", "projects", "awards", *others)).alias("document"))

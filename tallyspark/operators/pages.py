@@ -13,6 +13,7 @@ from tallyspark.sources.tables import paragraphs
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
 # What a contract number, a defined acronym and a designator look like in announcements and narratives.
 CONTRACT_NUMBER = r"\b([A-Z][A-Z0-9]{4,5}[- ]?\d{2}[- ]?[A-Z][- ]?[A-Z0-9]{4})\b"
+REFERRED = r"(?:(?i:contract ).{0,3}?|(?i:to contract).{0,19}?)"
 ACRONYM = r"\b([A-Z][A-Za-z0-9&/.-]*(?:[ -][A-Z0-9][A-Za-z0-9&/.-]*){1,7}\s+\([A-Z]{2,10}[0-9]{0,3}\))"
 DESIGNATOR = r"\b((?:AN/[A-Z]{3}-\d{1,3}[A-Z]?|[A-Z]{1,4}-\d{1,4}[A-Z]?|(?:DDG|CVN|SSN|SSBN|LPD|LHA|LCS|FFG|T-AO)\s?\d{2,4}))\b"
 
@@ -64,21 +65,43 @@ def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = 8) ->
     return found.groupBy("narrative_id").agg(F.min("page").alias("page"))
 
 
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def announcement_date(html: Column) -> Column:
+    """The day that an announcement's title or address names (``Contracts For May 3, 2024``), null where neither does."""
+    named = r"(?i)contracts?[\s-]+for[\s-]+([a-z]{3})[a-z]*\.?[\s-]*(\d{1,2})(?:,?\s+|-)(\d{4})"
+    part = lambda k: F.regexp_extract(html, named, k)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(1)))
+    return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0")), "yyyy-MM-dd"))
+
+
 def contract_records(articles: DataFrame, services: list[str]) -> DataFrame:
-    """Award paragraphs of announcement articles (article_id, html): service header carried forward, numbers, amounts."""
+    """Award paragraphs of announcement articles (article_id, html): day, service header carried forward, numbers, amounts.
+
+    A contract number that ``contract`` stands right before, or ``to contract`` shortly before, is one that the award
+    refers to; any other is an award's own.
+    """
     text = F.col("text")
     rows = paragraphs(articles, "article_id", "html").where("text <> ''")
     head = F.upper(F.regexp_replace(text, r"[ *.]+$", ""))
     is_head = head.rlike("^(" + "|".join(services) + ")") & (F.char_length(head) < 60) & ~F.contains(text, F.lit("$"))
     placed = carry_forward(rows.withColumn("head", F.when(is_head, head)), ["article_id"], "pos", "head", "service")
-    raw = F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1)
-    return placed.where(~is_head).select(
-        "article_id", "pos", "service", F.trim(F.substring_index("text", ",", 1)).alias("contractor"), F.transform(raw, lambda n: F.regexp_replace(n, "[- ]", "")).alias("piids"), F.slice(money_mentions(text), 1, 4).alias("amounts"), "text"
+    bare = lambda n: F.regexp_replace(n, "[- ]", "")
+    raw = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1), bare))
+    referred = F.transform(F.regexp_extract_all(text, F.lit(REFERRED + CONTRACT_NUMBER), 1), bare)
+    found = placed.where(~is_head).select(
+        "article_id", "pos", "service", F.trim(F.substring_index("text", ",", 1)).alias("contractor"), raw.alias("piids"), F.array_intersect(raw, referred).alias("referenced"),
+        F.slice(money_mentions(text), 1, 4).alias("amounts"), "text",
     ).where(F.size("piids") > 0)
+    return found.join(articles.select("article_id", announcement_date(F.col("html")).alias("announced")), "article_id")
 
 
 def lexicon_candidates(narratives: DataFrame, *, quotes: int = 3, around: int = 60) -> DataFrame:
-    """Names that narratives (pe_bli, title, body) define or use, per program, with a few quotes each."""
+    """Names that narratives (pe_bli, title, body) define or use, per program, with a few quotes each.
+
+    A name that several programs have is ambiguous.
+    """
 
     def found(column: str, pattern: str, source: str) -> DataFrame:
         names = narratives.select("pe_bli", F.coalesce(column, F.lit("")).alias("t"), F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(pattern), 1)).alias("name"))
@@ -90,19 +113,32 @@ def lexicon_candidates(narratives: DataFrame, *, quotes: int = 3, around: int =
     rows = rows.where(F.char_length("name").between(3, 90)).withColumn("key", F.lower("name"))
     place = F.row_number().over(Window.partitionBy("pe_bli", "key").orderBy("source", "quote"))
     kept = rows.withColumn("place", place).where(F.col("place") <= quotes)
-    return kept.groupBy("pe_bli", "key").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("source", "quote"))).alias("quotes"))
+    named = kept.groupBy("pe_bli", "key").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("source", "quote"))).alias("quotes"))
+    return named.withColumn("ambiguous", F.count("*").over(Window.partitionBy("key")) > 1)
 
 
-def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8) -> DataFrame:
-    """Programs whose title contains an alias (a short curated list), with how many there are and what that allows."""
+def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, money: DataFrame | None = None, mentions: DataFrame | None = None, seeded: DataFrame | None = None, longest_list: int = 10_000) -> DataFrame:
+    """Programs whose title contains an alias anywhere, with how many there are and what that allows.
+
+    The aliases are a curated list of ``longest_list`` at most (more is an error), so each title is searched for all
+    of them in one pass. By choice beside each: the money (pe_bli, amount) and mentions (pe_bli, n) of its programs, the
+    program that the alias is ``seeded`` for (alias, pe_bli), and whether that isn't among the candidates.
+    """
     terms = aliases.select(F.upper(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
-    words = titles.select("pe_bli", F.upper("title").alias("title"), F.explode(F.array_distinct(F.split(F.upper("title"), "[^A-Z0-9]+"))).alias("word"))
-    first = F.split("alias", "[^A-Z0-9]+")[0]
-    hits = words.join(terms.withColumn("word", first), "word").where(F.contains("title", F.col("alias"))).select("alias", "pe_bli").distinct()
-    counts = hits.groupBy("alias").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_set("pe_bli")).alias("programs"))
+    listed = sorted(r.alias for r in terms.limit(longest_list + 1).collect())
+    if len(listed) > longest_list:
+        raise ValueError(f"more than {longest_list} aliases")
+    asked = F.array(*map(F.lit, listed)).cast("array<string>")
+    hits = titles.select("pe_bli", F.explode(F.filter(asked, lambda a: F.contains(F.upper("title"), a))).alias("alias")).distinct()
+    beside = hits
+    for table, column in ((money, "amount"), (mentions, "n")):
+        beside = beside.withColumn(column, F.lit(None).cast("double")) if table is None else beside.join(table.groupBy("pe_bli").agg(F.sum(column).cast("double").alias(column)), "pe_bli", "left")
+    counts = beside.groupBy("alias").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_set("pe_bli")).alias("programs"), F.sum("amount").alias("amount"), F.sum("n").alias("mentions"))
     joined = terms.join(counts, "alias", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
+    seeds = terms.withColumn("seeded", F.lit(None).cast("string")) if seeded is None else seeded.groupBy(F.upper(F.trim("alias")).alias("alias")).agg(F.min("pe_bli").alias("seeded"))
     tier = F.when(F.col("candidates") == 0, "none").when(F.col("candidates") == 1, "sole").when(F.col("candidates") <= most, "ambiguous").otherwise("too_many")
-    return joined.select("alias", "candidates", tier.alias("tier"), F.when(F.col("candidates") <= most, F.col("programs")).alias("programs"))
+    conflict = F.col("seeded").isNotNull() & ~F.coalesce(F.array_contains("programs", F.col("seeded")), F.lit(False))
+    return joined.join(seeds, "alias", "left").select("alias", "candidates", tier.alias("tier"), F.when(F.col("candidates") <= most, F.col("programs")).alias("programs"), "amount", "mentions", "seeded", conflict.alias("seed_conflict"))
 
 
 def payment_rates(pages: DataFrame) -> DataFrame:

@@ -740,13 +740,22 @@ def entity_xwalk(t):
     return entities.entity_crosswalk(tx)
 
 
-@_query("""WITH c AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_type || ' ' || p_name || ' Inc.' ELSE p_name || ' Holdings' END AS client_name, CASE WHEN p_size % 2 = 0 THEN upper(p_type || ' ' || p_name) ELSE upper(p_name) || ' HOLDINGS' END AS norm FROM part WHERE p_size <= 20),
-  f AS (SELECT DISTINCT upper(p_name) AS family_key FROM part UNION SELECT DISTINCT upper(p_type || ' ' || p_name) FROM part WHERE p_size > 40)
-  SELECT client_name, family_key, CASE WHEN norm = family_key THEN 'exact_family' ELSE 'normalized' END AS tier, CASE WHEN norm = family_key THEN 0 ELSE 2 END AS tier_rank FROM c JOIN f ON contains(' ' || norm || ' ', ' ' || family_key || ' ')""")
+@_query("""WITH p AS (SELECT DISTINCT p_partkey % 5 AS kind, p_partkey % 40 AS n, upper(p_name) AS fam, p_type AS t FROM part),
+  f AS (SELECT DISTINCT fam AS family_key FROM p UNION SELECT DISTINCT 'LONE ' || fam || ' GROUP' FROM p),
+  c AS (SELECT kind, n, fam, CASE kind WHEN 0 THEN fam || ', Inc.' WHEN 1 THEN 'Alias no ' || n WHEN 2 THEN t || ' ' || fam || ' LLC' WHEN 3 THEN 'Raw no ' || n ELSE 'Lone ' || lower(fam) || ' Holdings' END AS client_name, t FROM p),
+  m AS (SELECT client_name, fam AS family_key, 0 AS r FROM c WHERE kind = 0 UNION ALL SELECT c.client_name, p.fam, 1 FROM c JOIN p ON p.n = c.n AND p.kind = 1 WHERE c.kind = 1 UNION ALL SELECT client_name, fam, 2 FROM c WHERE kind IN (2, 4)
+    UNION ALL SELECT c.client_name, p.fam, 3 FROM c JOIN p ON p.n = c.n AND p.kind = 3 WHERE c.kind = 3 UNION ALL SELECT client_name, 'LONE ' || fam || ' GROUP', 4 FROM c WHERE kind = 4)
+  SELECT client_name, family_key, ['exact_family', 'curated_alias', 'normalized', 'family_raw_name', 'suffix_residue'][min(r) + 1] AS tier, min(r) AS tier_rank FROM m GROUP BY client_name, family_key""")
 def client_tiers(t):
-    """Client names against families: exact names and whole word runs, by equi joins."""
-    named = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" ", "p_type", "p_name", F.lit("Inc."))).otherwise(F.concat_ws(" ", "p_name", F.lit("Holdings")))
-    clients = t("part").where("p_size <= 20").select(named.alias("client_name")).distinct()
-    families = t("part").select(F.upper("p_name").alias("family_key")).unionByName(t("part").where("p_size > 40").select(F.upper(F.concat_ws(" ", "p_type", "p_name")).alias("family_key"))).distinct()
-    none = families.where("false")
-    return links.match_clients(clients, families, none.withColumn("lda_client_name", F.lit("")), none.withColumn("raw_name", F.lit("")))
+    """Client names against families by all five tiers: the name, an alias, a word run, a raw name, what endings leave."""
+    kind, name = F.col("p_partkey") % 5, F.upper("p_name")
+    number = (F.col("p_partkey") % 40).cast("string")
+    named = (
+        F.when(kind == 0, F.concat(name, F.lit(", Inc."))).when(kind == 1, F.concat(F.lit("Alias no "), number)).when(kind == 2, F.concat_ws(" ", "p_type", name, F.lit("LLC")))
+        .when(kind == 3, F.concat(F.lit("Raw no "), number)).otherwise(F.concat(F.lit("Lone "), F.lower("p_name"), F.lit(" Holdings")))
+    )
+    keyed = t("part").select(kind.alias("kind"), number.alias("n"), name.alias("family_key"), named.alias("client_name")).distinct()
+    families = keyed.select("family_key").unionByName(keyed.select(F.concat(F.lit("LONE "), F.col("family_key"), F.lit(" GROUP")).alias("family_key"))).distinct()
+    aliases = keyed.where("kind = 1").select(F.concat(F.lit("ALIAS NO "), F.col("n"), F.lit(" Corp")).alias("lda_client_name"), "family_key")
+    raw = keyed.where("kind = 3").select(F.concat(F.lit("The Raw No "), F.col("n"), F.lit(" LTD")).alias("raw_name"), "family_key")
+    return links.match_clients(keyed.select("client_name").distinct(), families, aliases, raw)

@@ -570,3 +570,151 @@ def gate_b(t):
     lines = row("fy_2026_total", "true").unionByName(row("fy_2026_reconciliation_request", "p_size % 7 = 0"))
     candidates = marts.scenario_candidates(part.limit(1).select(F.lit(2026).alias("edition")))
     return ledger.gate_b(details, documents, lines, candidates).select("document_id", "pe_bli", "basis", c("amount").cast("bigint").alias("amount"), "candidate", "passed")
+
+
+# pages and gates --------------------------------------------------------------------------------------------------
+
+
+def _articles(t) -> DataFrame:
+    """Announcement articles made of orders: a title with its day, a service header, award paragraphs."""
+    lead = F.concat(F.lit("<title>Contracts For "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit('</title><p class="h">'), F.when(c("o_orderstatus") == "F", "NAVY").otherwise("ARMY"), F.lit("</p>"))
+    number = F.lpad(_text(c("o_orderkey") % 10000), 4, "0")
+    award = F.concat(F.lit("<p>Firm "), _text("o_custkey"), F.lit(", Town, was awarded a $1.5 million order (W912AB-24-C-"), number, F.lit(")"), F.when(c("o_custkey") % 2 == 0, F.concat(F.lit(" under contract N00019-20-D-"), number)).otherwise(F.lit("")), F.lit(" and $20,000 more.</p>"))
+    return t("orders").select(c("o_orderkey").alias("article_id"), F.concat(lead, award, F.lit("<p>No number here.</p>")).alias("html"))
+
+
+@_query("""SELECT o_orderkey AS article_id, CASE WHEN o_orderstatus = 'F' THEN 'NAVY' ELSE 'ARMY' END AS service, 'Firm ' || o_custkey AS contractor, 'W912AB24C' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || CASE WHEN o_custkey % 2 = 0 THEN ',N0001920D' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE '' END AS piids,
+  CASE WHEN o_custkey % 2 = 0 THEN 'N0001920D' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE '' END AS referenced, '1500000,20000' AS amounts, strftime(o_orderdate, '%Y-%m-%d') AS announced FROM orders""")
+def contract_records(t):
+    """Award paragraphs of articles with their day, service, numbers (own and referred to) and money."""
+    found = pages.contract_records(_articles(t), ["NAVY", "ARMY"])
+    own = F.filter("piids", lambda n: ~F.array_contains("referenced", n))
+    return found.select("article_id", "service", "contractor", F.array_join(F.concat(own, c("referenced")), ",").alias("piids"), F.array_join("referenced", ",").alias("referenced"), F.array_join("amounts", ",").alias("amounts"), F.date_format("announced", "yyyy-MM-dd").alias("announced"))
+
+
+def _fact_rows(t) -> DataFrame:
+    return t("part").select(
+        F.concat(F.lit("f"), _text("p_partkey")).alias("fact_id"), (c("p_partkey") % 20).alias("document_id"), F.concat(F.lit("06"), _text(c("p_partkey") % 7 + 10000), F.lit("A")).alias("pe_bli"), F.when(c("p_size") % 2 == 0, _text(c("p_partkey") % 10 + 100)).alias("project_number"),
+        F.when(c("p_size") % 3 == 0, "R-2").otherwise("R-3").alias("exhibit"), (c("p_partkey") % 300 + 1000).cast("double").alias("amount_millions"),
+    )
+
+
+@_query("""WITH f AS (SELECT 'f' || p_partkey AS fact_id, p_partkey % 20 AS d, p_partkey % 7 AS pe, CASE WHEN p_size % 2 = 0 THEN p_partkey % 10 + 100 END AS project, CASE WHEN p_size % 3 = 0 THEN 'R-2' ELSE 'R-3' END AS exhibit, p_partkey % 300 AS v FROM part),
+  g AS (SELECT p_partkey % 20 AS d, p_partkey AS page, p_partkey % 7 AS pe, p_partkey % 10 + 100 AS project, CASE WHEN p_partkey % 4 = 0 THEN 'R-2' ELSE 'R-3' END AS exhibit, p_partkey % 300 AS v FROM part WHERE p_partkey % 3 <> 0),
+  j AS (SELECT fact_id, page, g.exhibit = f.exhibit AS on_exhibit, coalesce(g.project = f.project, false) AS on_project FROM f JOIN g ON f.d = g.d AND f.v = g.v AND f.pe = g.pe),
+  k AS (SELECT *, bool_or(on_exhibit) OVER (PARTITION BY fact_id) AS any_exhibit, count(*) OVER (PARTITION BY fact_id) AS n FROM j), l AS (SELECT *, bool_or(on_project) OVER (PARTITION BY fact_id) AS any_project FROM k WHERE on_exhibit OR NOT any_exhibit),
+  p AS (SELECT fact_id, min(page) AS page, count(*) AS kept, max(n) AS n FROM l WHERE on_project OR NOT any_project GROUP BY fact_id)
+  SELECT f.fact_id, page, CASE WHEN page IS NULL THEN 'unresolved' WHEN kept = 1 THEN 'unique' ELSE 'ambiguous_first' END AS resolution, coalesce(n, 0) AS candidate_pages FROM f LEFT JOIN p ON p.fact_id = f.fact_id""")
+def fact_pages(t):
+    """The page that prints each fact: by code and amount, narrowed to its exhibit and project."""
+    text = F.concat(F.lit("Exhibit "), F.when(c("p_partkey") % 4 == 0, "R-2").otherwise("R-3"), F.lit(" of 06"), _text(c("p_partkey") % 7 + 10000), F.lit("A project "), _text(c("p_partkey") % 10 + 100), F.lit(" costs "), F.format_number((c("p_partkey") % 300 + 1000).cast("double"), 3), F.lit(" now, not 5"))
+    book = t("part").where("p_partkey % 3 <> 0").select((c("p_partkey") % 20).alias("document_id"), c("p_partkey").alias("page"), text.alias("text"))
+    return pages.fact_pages(_fact_rows(t), book)
+
+
+@_query("""WITH n AS (SELECT 'n' || p_partkey AS narrative_id, p_partkey % 9 AS d, p_partkey % 50 AS k FROM part) SELECT n.narrative_id, min(g.p_partkey) AS page FROM n JOIN part g ON g.p_partkey % 9 = n.d AND g.p_partkey % 50 = n.k GROUP BY ALL""")
+def narrative_pages(t):
+    """The first page with a narrative's opening words, white space evened out."""
+    opening = lambda gap: F.concat(F.lit("This"), F.lit(gap), F.lit("effort number "), _text(c("p_partkey") % 50), F.lit(" funds the work on many"), F.lit(gap), F.lit("parts"))
+    told = t("part").select(F.concat(F.lit("n"), _text("p_partkey")).alias("narrative_id"), (c("p_partkey") % 9).alias("document_id"), F.concat(opening(" "), F.lit(" and what follows "), _text("p_partkey")).alias("body"))
+    book = t("part").select((c("p_partkey") % 9).alias("document_id"), c("p_partkey").alias("page"), F.concat(F.lit("Page head. "), opening("\n  "), F.lit(" and more")).alias("text"))
+    return pages.narrative_pages(told, book)
+
+
+@_query("""WITH a AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS alias FROM part UNION SELECT 'NOWHERE'), h AS (SELECT a.alias, p_brand, sum(p_size) AS v FROM a JOIN part ON contains(upper(p_name), alias) AND p_size <= 3 GROUP BY ALL),
+  m AS (SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS v FROM part GROUP BY p_brand), g AS (SELECT alias, count(DISTINCT h.p_brand) AS n, list_sort(list(DISTINCT h.p_brand)) AS l, sum(m.v) AS amount FROM h JOIN m USING (p_brand) GROUP BY alias)
+  SELECT a.alias, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'sole' WHEN n <= 8 THEN 'ambiguous' ELSE 'too_many' END AS tier, CASE WHEN n <= 8 THEN array_to_string(l, ',') END AS programs, amount, CASE WHEN length(a.alias) = 3 THEN 'Brand#1' END AS seeded, length(a.alias) = 3 AND NOT coalesce(list_contains(l, 'Brand#1'), false) AS seed_conflict FROM a LEFT JOIN g USING (alias)""")
+def alias_candidates(t):
+    """Programs whose title contains an alias, with their money and what a seed says already."""
+    aliases = t("part").select(F.substring_index("p_name", " ", 1).alias("alias")).unionByName(t("region").limit(1).select(F.lit("nowhere").alias("alias"))).distinct()
+    titles = t("part").where("p_size <= 3").select(c("p_brand").alias("pe_bli"), c("p_name").alias("title"))
+    money = t("part").select(c("p_brand").alias("pe_bli"), c("p_size").alias("amount"))
+    seeded = aliases.where(F.char_length("alias") == 3).select("alias", F.lit("Brand#1").alias("pe_bli"))
+    return pages.alias_candidates(aliases, titles, money=money, seeded=seeded).withColumn("programs", F.array_join("programs", ",")).drop("mentions")
+
+
+@_query("""WITH n AS (SELECT p_brand AS pe, p_partkey, 'Improved KC-' || (p_size % 10 + 10) || ' Tanker' AS title FROM part), d AS (SELECT pe, 'KC-' || (CAST(regexp_extract(title, '[0-9]+') AS INT)) AS name, title FROM n)
+  SELECT pe AS pe_bli, lower(name) AS key, name, count(*) OVER (PARTITION BY lower(name)) > 1 AS ambiguous FROM (SELECT DISTINCT pe, name FROM d) UNION ALL SELECT pe, lower(title), title, count(*) OVER (PARTITION BY title) > 1 FROM (SELECT DISTINCT pe, title FROM n)""")
+def lexicon_candidates(t):
+    """Names that titles use or are, and whether several programs have them."""
+    told = t("part").select(c("p_brand").alias("pe_bli"), F.concat(F.lit("Improved KC-"), _text(c("p_size") % 10 + 10), F.lit(" Tanker")).alias("title"), F.lit("nothing named here").alias("body")).distinct()
+    return pages.lexicon_candidates(told).drop("quotes")
+
+
+@_query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderkey % 3 <> 0)
+  SELECT o_orderkey AS page_id, 'program ' || o_custkey AS program, CAST(2023 AS INT) AS fy, CAST(5.25 AS DOUBLE) AS rate_pct, v * 1000000 AS outlays_usd, CAST(round(v * 1000000 * 5.25 / 100) AS BIGINT) AS derived_improper_amount_usd FROM o""")
+def payment_rates(t):
+    """Improper-payment pages to yearly rates; a year needs both its outlays and its rate."""
+    card = F.concat(F.lit('<div class="metrics-summary" data-year="2023">Outlays $'), _text(F.round("o_totalprice").cast("bigint")), F.lit(" M</div>"))
+    chart = F.when(c("o_orderkey") % 3 != 0, F.lit('<h2>Rates FY 2023</h2><canvas data-improper="5.25" data-unknown="1.0">')).otherwise("")
+    later = F.lit('<h2>Rates FY 2024</h2><canvas data-improper="9.9">')
+    rows = t("orders").select(c("o_orderkey").alias("page_id"), F.concat(F.lit("program "), _text("o_custkey")).alias("program"), F.lit("agency").alias("agency"), F.concat(card, chart, later).alias("html"))
+    found = pages.payment_rates(rows)
+    return found.select("page_id", "program", "fy", "rate_pct", c("outlays_usd").cast("bigint").alias("outlays_usd"), c("derived_improper_amount_usd").cast("bigint").alias("derived_improper_amount_usd"))
+
+
+@_query("""SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN '097' WHEN page_id % 3 = 1 THEN '017' END AS agency_code, page_id % 3 <> 2 AS mapped FROM pages""")
+def title_map(t):
+    """Areas beside a curated map, with typographic signs and case evened out."""
+    shown = F.concat(F.lit("DoD’s  “area”  "), _text(c("page_id") % 3))
+    areas = t("pages").select("page_id", "url", shown.alias("area_title"))
+    curated = t("region").where("r_regionkey < 2").select(F.concat(F.lit("dod's \"AREA\" "), _text("r_regionkey")).alias("area_title"), F.when(c("r_regionkey") == 0, "097").otherwise("017").alias("agency_code"))
+    return gates.title_map(areas, curated).select("page_id", "url", "agency_code", "mapped")
+
+
+@_query(f"""WITH {_DERIVED}, f AS (SELECT l_orderkey AS k, CAST(l_orderkey AS VARCHAR) AS fact_id, CASE WHEN l_orderkey % 2 = 0 THEN 'difference' ELSE 'sum' END AS operation FROM d),
+  p AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY operation ORDER BY md5('0|' || fact_id), fact_id) <= 40) SELECT fact_id, operation, CASE WHEN k % 5 = 0 THEN 'mismatch' ELSE 'ok' END AS verdict FROM p""")
+def citation_sample(t):
+    """A repeatable sample of derived facts, recomputed."""
+    return phase_gates.citation_sample(_facts(t), _derived(t), 40).select("fact_id", "operation", "verdict")
+
+
+@_query("""SELECT CAST(o_orderkey AS VARCHAR) AS fact_id, CAST(round(o_totalprice * 100) AS BIGINT) AS left_value, CAST(round(o_totalprice * 100) AS BIGINT) + 1 AS right_value FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0""")
+def export_disagreements(t):
+    """Facts that two exports give differently."""
+    rows = t("orders").select("o_orderkey", _text("o_orderkey").alias("fact_id"), S.cents(c("o_totalprice")).alias("value"))
+    return phase_gates.export_disagreements(rows, rows.where("o_orderkey % 3 <> 0").withColumn("value", c("value") + F.when(c("o_orderkey") % 4 == 0, 1).otherwise(0)))
+
+
+@_query("""WITH r AS (SELECT * FROM (VALUES ('feed_claims', 2), ('rivers_conserve', 1), ('districts_once', 0), ('aliases_route', 1), ('volumes_ingested', 1)) AS v(gate, k)), b AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_brand FROM part)),
+  a AS (SELECT count(*) AS n FROM (SELECT p_type FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) > 1)), v AS (SELECT count(DISTINCT p_size) AS n FROM part WHERE p_size % 4 = 0), e AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_type FROM part)),
+  g AS (SELECT gate, CASE gate WHEN 'feed_claims' THEN 2 * (SELECT n FROM b) WHEN 'rivers_conserve' THEN (SELECT n FROM e) WHEN 'districts_once' THEN 0 WHEN 'aliases_route' THEN (SELECT n FROM a) ELSE (SELECT n FROM v) END AS violations FROM r)
+  SELECT gate, violations, CASE WHEN gate = 'feed_claims' THEN 'warn' ELSE 'error' END AS severity, violations = 0 OR gate = 'feed_claims' AS passed FROM g""")
+def site_gates(t):
+    """What pages claim against recomputes, with planted faults, as one report."""
+    part = t("part")
+    events = part.groupBy("p_brand").agg(F.sum("p_size").alias("v"))
+    edges = part.groupBy("p_type").agg(F.sum("p_size").alias("v")).select(F.explode(F.array(
+        F.struct(F.lit("TOTAL").alias("node_from"), c("p_type").alias("node_to"), c("v").alias("amount")), F.struct(c("p_type").alias("node_from"), F.concat(c("p_type"), F.lit("|x")).alias("node_to"), (c("v") + 1).alias("amount")))).alias("e")).select("e.*")
+    awards = part.select(c("p_type").alias("pop_state"), c("p_brand").alias("pop_district"), c("p_partkey").alias("award_id_piid"), c("p_size").alias("total_obligation"))
+    totals = awards.groupBy("pop_state", "pop_district").agg(F.sum("total_obligation").alias("total_obligation"))
+    volumes = part.groupBy(c("p_size").alias("document_id")).agg(F.count("*").alias("n_rows"))
+    found = phase_gates.site_gates(
+        events, events.withColumn("v", c("v") + 1), edges, totals, awards.unionByName(awards), part.select(c("p_type").alias("alias"), c("p_brand").alias("pe_bli")), volumes, volumes.withColumn("n_rows", c("n_rows") + F.when(c("document_id") % 4 == 0, 1).otherwise(0))
+    )
+    return phase_gates.report(part.sparkSession, found, ("feed_claims",))
+
+
+@_query(f"""WITH {_EDGES}, r AS (SELECT one AS src, own AS dst, max(fiscal_year) AS later FROM n WHERE taken_back GROUP BY ALL),
+  x AS (SELECT src, dst FROM s WHERE EXISTS (SELECT 1 FROM r WHERE least(r.src, r.dst) = least(s.src, s.dst) AND greatest(r.src, r.dst) = greatest(s.src, s.dst) AND later > s.fiscal_year) OR EXISTS (SELECT 1 FROM s b WHERE b.src = s.dst AND b.dst = s.src AND b.fiscal_year > s.fiscal_year)),
+  g AS (SELECT 'chains_one_to_one' AS gate, (SELECT count(*) FROM (SELECT src FROM s GROUP BY src HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT dst FROM s GROUP BY dst HAVING count(*) > 1)) AS violations
+    UNION ALL SELECT 'points_equal_facts', (SELECT count(*) FROM orders WHERE o_orderkey % 8 = 0) UNION ALL SELECT 'no_retraction', (SELECT count(*) FROM x) UNION ALL SELECT 'seed_ratified', (SELECT count(*) FROM s WHERE relation = 'renamed'))
+  SELECT gate, violations, 'error' AS severity, violations = 0 AS passed FROM g""")
+def store_gates(t):
+    """A published lineage with forks, money off its facts, retracted edges and a seed without evidence."""
+    told = _narratives(t)
+    edges = succession.stated_edges(told)
+    points = t("orders").select(_text("o_orderkey").alias("fact_id"), S.cents(c("o_totalprice")).alias("amount"), "o_orderkey")
+    facts = points.select("fact_id", (c("amount") + F.when(c("o_orderkey") % 8 == 0, 1).otherwise(0)).alias("amount"))
+    seeded = edges.select(c("evidence_fact_id").alias("fact_id"), F.when(c("relation") == "renamed", "gone").otherwise(c("evidence_sentence")).alias("evidence_sentence"), F.lit("y").alias("verdict"), "src", "dst")
+    return phase_gates.report(told.sparkSession, phase_gates.store_gates(edges, edges, told, points.drop("o_orderkey"), facts, seeded))
+
+
+@_query("""SELECT 'orders' AS dataset, kind, only_left, only_right, repeated, l AS export_rows, r AS ledger_rows, only_left = 0 AND only_right = 0 AND repeated = 0 AND l = r AS passed FROM (
+  SELECT o_orderpriority AS kind, count(*) FILTER (o_orderkey % 7 = 0 AND o_orderpriority = '1-URGENT') AS only_left, count(*) FILTER (o_orderkey % 5 = 0 AND o_orderpriority <> '2-HIGH') AS only_right, CAST(0 AS BIGINT) AS repeated,
+    count(*) FILTER (o_orderkey % 5 <> 0 OR o_orderpriority = '2-HIGH') AS l, count(*) FILTER (o_orderkey % 7 <> 0 OR o_orderpriority <> '1-URGENT') AS r FROM (SELECT DISTINCT o_orderkey, o_orderpriority FROM orders WHERE NOT (o_orderkey % 35 = 0)) GROUP BY ALL)""")
+def integrity_gate(t):
+    """Ids of an export against the ledger's, with both row counts."""
+    rows = t("orders").where("o_orderkey % 35 <> 0").select(c("o_orderpriority").alias("kind"), "o_orderkey").distinct()
+    export = rows.where("o_orderkey % 5 <> 0 OR kind = '2-HIGH'")
+    return gates.integrity_gate({"orders": (export, rows.where("o_orderkey % 7 <> 0 OR kind <> '1-URGENT'"))}, "kind", "o_orderkey")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
-from tallyspark.operators import chains, gates, ledger
+from tallyspark.operators import chains, gates, ledger, succession
 from tallyspark.operators.graph import connected_components
 from tallyspark.plans import marts
 
@@ -54,9 +54,18 @@ def influence_gates(influence: DataFrame, families: DataFrame, mentions: DataFra
         "tier_holds": retiered.where(~F.col("tier").eqNullSafe(F.col("tier_now"))),
         "no_negative": influence.where("lobbying_total_usd < 0"),
         "mentions_have_filings": DQ.orphans(mentions, filings, ["filing_uuid"]),
+        "families_known": DQ.orphans(influence, families, ["family_key"]),
     }
 
 
+def mention_coverage(mentions: DataFrame, programs: DataFrame) -> DataFrame:
+    """How many programs are mentioned at all, by evidence, beside all programs; orphaned mentions count as unknown."""
+    named = mentions.select("pe_bli", "evidence").distinct().join(programs.select("pe_bli", F.lit(True).alias("is_known")).distinct(), "pe_bli", "left")
+    total = programs.agg(F.countDistinct("pe_bli").alias("programs"))
+    counts = named.groupBy("evidence").agg(F.count(F.when(F.col("is_known"), 1)).alias("mentioned"), F.count(F.when(F.col("is_known").isNull(), 1)).alias("unknown"))
+    return counts.crossJoin(F.broadcast(total))  # one row
+
+
 def state_gates(rows: DataFrame, categories: DataFrame, jurisdictions: list[str], least: int = 1) -> dict[str, DataFrame]:
     """Every state row has a source, and at least ``least`` (category, year) are comparable in all jurisdictions.
 
@@ -82,6 +91,46 @@ def decade_gates(series: DataFrame, recomputed: DataFrame, editions: DataFrame)
     }
 
 
+def decade_gates_from_lake(series: DataFrame, lines: DataFrame, documents: DataFrame, anchor_edition: int) -> dict[str, DataFrame]:
+    """The decade gates with the recompute made from the lake itself, and the diffs recomputed from it too."""
+    again = marts.decade_series(lines, documents, anchor_edition)
+    key = ["pe_bli", "account", "organization", "from_edition", "to_edition", "diff_kind", "delta"]
+    found = decade_gates(series, again, lines.select(F.col("fiscal_year").alias("edition")).join(again.select("edition").distinct(), "edition", "left_semi"))
+    return found | {"diff_recompute": DQ.symmetric_difference(marts.book_diff(series).select(*key), marts.book_diff(again).select(*key))}
+
+
+def store_gates(edges: DataFrame, chain_edges: DataFrame, narratives: DataFrame, points: DataFrame, facts: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:
+    """What a published lineage may not hold: forks in chains, money that isn't its fact's, edges that narratives take
+    back or turn round later, seeded edges whose evidence is gone.
+
+    points and facts: fact_id, amount; verdicts: fact_id, evidence_sentence, verdict.
+    """
+    forks = [DQ.not_unique(chain_edges.select(end), [end]).select(F.col(end).cast("string").alias("node")) for end in ("src", "dst")]
+    standing = succession.drop_superseded(edges, narratives).select("src", "dst")
+    seeded = verdicts.where("verdict = 'y'")
+    return {
+        "chains_one_to_one": forks[0].unionByName(forks[1]),
+        "points_equal_facts": DQ.values_disagree(points, facts, ["fact_id"], "amount"),
+        "no_retraction": edges.select("src", "dst").join(standing, ["src", "dst"], "left_anti"),
+        "seed_ratified": seeded.join(gates.ratified_edges(seeded, narratives).select("fact_id", "evidence_sentence"), ["fact_id", "evidence_sentence"], "left_anti"),
+    }
+
+
+def site_gates(events: DataFrame, recomputed_events: DataFrame, edges: DataFrame, district_totals: DataFrame, district_awards: DataFrame, aliases: DataFrame, volumes: DataFrame, ingested: DataFrame) -> dict[str, DataFrame]:
+    """What pages claim against recomputes: feed events, rivers, districts, aliases that lead to one program, volumes.
+
+    district_awards: pop_state, pop_district, award_id_piid, total_obligation; aliases: alias, pe_bli; volumes and
+    ingested: document_id, n_rows.
+    """
+    return {
+        "feed_claims": DQ.symmetric_difference(events, recomputed_events),
+        "rivers_conserve": DQ.flow_imbalance(edges),
+        "districts_once": DQ.double_counted(district_totals, district_awards, ["pop_state", "pop_district"], "award_id_piid", "total_obligation"),
+        "aliases_route": DQ.several_values(aliases, ["alias"], "pe_bli"),
+        "volumes_ingested": DQ.values_disagree(volumes, ingested, ["document_id"], "n_rows"),
+    }
+
+
 def lineage_gates(edges: DataFrame, narratives: DataFrame, families: DataFrame, stored: DataFrame) -> dict[str, DataFrame]:
     """Evidence verbatim, families exactly the components of the edges, store equal to the lake as a multiset."""
     found = connected_components(edges, "src", "dst")
@@ -96,10 +145,15 @@ def lineage_gates(edges: DataFrame, narratives: DataFrame, families: DataFrame,
     }
 
 
-def reconciliation_gaps(lines: DataFrame, details: DataFrame, gaps: DataFrame) -> dict[str, DataFrame]:
+def reconciliation_gaps(lines: DataFrame, details: DataFrame, gaps: DataFrame, checks: DataFrame | None = None) -> dict[str, DataFrame]:
     """Programs neither detailed nor declared a gap, and details that failed a check without saying so."""
     listed = lines.where((F.col("pe_bli") != marts.SUBTOTAL) & F.col("title").isNotNull()).select("pe_bli").distinct()
     silent = details.where(F.col("reconciled").isNull())
+    if checks is not None:
+        # a detail that isn't reconciled needs a check of its own that failed
+        key = ["document_id", "pe_bli", "scenario"]
+        failed = checks.where(~F.col("passed")).select(*key).distinct()
+        silent = silent.unionByName(details.where(~F.col("reconciled")).join(failed, key, "left_anti"))
     return {"uncovered": listed.join(details.select("pe_bli").unionByName(gaps.select("pe_bli")).distinct(), "pe_bli", "left_anti"), "silent_unreconciled": silent}
 
 
@@ -135,6 +189,12 @@ def citation_sample(facts: DataFrame, derived: DataFrame, n: int, seed: int = 0)
     return ledger.verify_derived(stratified_sample(derived, ["operation"], ["fact_id"], n, seed), facts)
 
 
+def export_disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Facts (fact_id, value) that two exports both hold and give different values."""
+    joined = a.select("fact_id", F.col("value").alias("left_value")).join(b.select("fact_id", F.col("value").alias("right_value")), "fact_id")
+    return joined.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+
+
 def excluded_coverage(lines: DataFrame, programs: DataFrame, top: int = 10) -> DataFrame:
     """The largest programs that a page leaves out, beside the share of money it covers."""
     return A.coverage(lines, programs, ["pe_bli"], "amount_thousands", top)

@@ -281,11 +281,11 @@ def subawards(t):
     return staging.subawards(rows)
 
 
-@_query("""SELECT p_partkey, p_brand || p_size AS pe_bli, CASE WHEN p_size % 3 = 0 AND p_type = 'STANDARD' THEN 'new ' || p_type ELSE p_type END AS title FROM part""")
+@_query("""SELECT p_partkey, p_brand || '-' || p_size AS pe_bli, CASE WHEN p_size % 3 = 0 AND p_type = 'STANDARD' THEN 'new ' || p_type ELSE p_type END AS title FROM part""")
 def retitle(t):
     """Curated titles only where the source still has the title they were written for."""
-    lines = t("part").select("p_partkey", F.concat("p_brand", _text("p_size")).alias("pe_bli"), c("p_type").alias("title"))
-    overrides = t("part").where("p_size % 3 = 0").select(F.concat("p_brand", _text("p_size")).alias("pe_bli"), F.lit("STANDARD").alias("source_title"), F.lit("new STANDARD").alias("new_title")).distinct()
+    lines = t("part").select("p_partkey", F.concat_ws("-", "p_brand", _text("p_size")).alias("pe_bli"), c("p_type").alias("title"))
+    overrides = t("part").where("p_size % 3 = 0").select(F.concat_ws("-", "p_brand", _text("p_size")).alias("pe_bli"), F.lit("STANDARD").alias("source_title"), F.lit("new STANDARD").alias("new_title")).distinct()
     return staging.retitle(lines, overrides)
 
 

@@ -25,7 +25,7 @@ def test_decade_and_influence(spark):
     families = spark.createDataFrame([("F", 9.0), ("G", 1.0)], "family_key string, total_obligation double")
     mentions = spark.createDataFrame([("x",)], "filing_uuid string")
     tiers = spark.createDataFrame([("a", "a")], "tier string, tier_now string")
-    assert verdicts(spark, G.influence_gates(money, families, mentions, mentions.limit(0), tiers, top=1)) == {"top_families_covered": True, "tier_holds": True, "no_negative": True, "mentions_have_filings": False}
+    assert verdicts(spark, G.influence_gates(money, families, mentions, mentions.limit(0), tiers, top=1)) == {"top_families_covered": True, "tier_holds": True, "no_negative": True, "mentions_have_filings": False, "families_known": True}
 
 
 def test_lineage_partition_is_compared_without_labels(spark):
