@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.functions.lineage import new_folder, written
+from tallyspark.functions.lineage import discard, new_folder, written
 from tallyspark.llm.decontamination import decontaminate
 from tallyspark.llm.mixing import mix
 from tallyspark.llm.near_dedup import drop_near_duplicates
@@ -48,12 +48,18 @@ STAGES = [
     ("token_output", packed_tokens),
 ]
 
-ORACLE_SQL = None  # tokens and alignment aren't SQL's; tests hold the stages against brute force
+ORACLE_SQL = None  # tokens and alignment aren't SQL's; a test holds every stage and the result against plain loops
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; each result but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole of ``documents``; each result but the last is written and read again.
+
+    A stage's files are deleted once the next stage's are written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
