@@ -81,6 +81,19 @@ def qualified_lookup(rows: DataFrame, table: DataFrame, keys: list[str], qualifi
     return joined.select(*rows.columns, F.when(F.col(qualifier).isNull(), F.col("only_value")).otherwise(F.col("exact_value")).alias(value))
 
 
+def fallback_chain(rows: DataFrame, lookups: list[tuple[DataFrame, list[str], str]], value: str) -> DataFrame:
+    """``rows`` with the value of the first lookup (table, keys, column) that knows it, and which one that was, from 1.
+
+    Each table has one row a key. Rows that no lookup knows keep a null; each step is one left join.
+    """
+    found = rows
+    for k, (table, keys, column) in enumerate(lookups):
+        found = found.join(table.select(*keys, F.col(column).alias(f"found_{k}")), keys, "left")
+    names = [f"found_{k}" for k in range(len(lookups))]
+    step = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k + 1)) for k, n in enumerate(names)])
+    return found.select(*rows.columns, F.coalesce(*names).alias(value), step.alias(f"{value}_step"))
+
+
 def list_member_join(lines: DataFrame, awards: DataFrame, member: str, listed: str, separator: str = ";") -> DataFrame:
     """Rows whose delimited list holds the line's value, as one exploded equi join instead of a scan per line."""
     exploded = awards.withColumn(member, F.explode(F.array_distinct(F.transform(F.split(listed, separator), lambda x: F.trim(x)))))

@@ -12,8 +12,8 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, entities, gates, joins, ledger, links, matching, pages, picks, succession
-from tallyspark.plans import marts, phase_gates
-from tallyspark.plans.driver_tables import BUDGET_LINES, LINES, _budget_lines, _lines, _query
+from tallyspark.plans import marts, phase_gates, staging
+from tallyspark.plans.driver_tables import _SERIES, BUDGET_LINES, LINES, ORACLE_SQL, _budget_lines, _lines, _query, _series
 from tallyspark.plans.spending_queries import AWARD_LINKS, TX, XWALK, _award_links, _text, _tx, _xwalk
 from tallyspark.sources import tables
 
@@ -537,8 +537,6 @@ def nested_filings(t):
   SELECT family_key, CASE WHEN CAST(substr(family_key, 2) AS INT) % 4 = 0 THEN 'The ' || family_key || ' company' ELSE display_name END AS display_name, v AS total_obligation FROM e""".replace("XWALK", XWALK))
 def display_labels(t):
     """Entities under their curated names."""
-    from tallyspark.plans import staging
-
     named = staging.dim_entities(_xwalk(t))
     aliases = t("nation").select(F.concat(F.lit("F"), _text(c("n_nationkey") * 4)).alias("family_key"), F.concat(F.lit("The F"), _text(c("n_nationkey") * 4), F.lit(" company")).alias("display_name"))
     return entities.display_labels(named, aliases).select("family_key", "display_name", "total_obligation")
@@ -718,3 +716,222 @@ def integrity_gate(t):
     rows = t("orders").where("o_orderkey % 35 <> 0").select(c("o_orderpriority").alias("kind"), "o_orderkey").distinct()
     export = rows.where("o_orderkey % 5 <> 0 OR kind = '2-HIGH'")
     return gates.integrity_gate({"orders": (export, rows.where("o_orderkey % 7 <> 0 OR kind <> '1-URGENT'"))}, "kind", "o_orderkey")
+
+
+# staging, families and phase gates --------------------------------------------------------------------------------
+
+
+def _landed(t, condition: str, prefix: str, state: str) -> DataFrame:
+    """Award rows as they land, all text, under one source's column names."""
+    rows = _lines(t).where(condition).join(t("supplier"), c("l_suppkey") == c("s_suppkey"))
+    return rows.select(
+        F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber")).alias(f"{prefix}_transaction_unique_key"), F.when(c("l_linenumber") == 7, "soon").otherwise(_text(c("l_shipdate").cast("date"))).alias("action_date"), _text("ship_year").alias("fy"),
+        F.when(c("l_linenumber") == 6, "").otherwise(_text("cents")).alias("federal_action_obligation"), F.when(c("l_suppkey") % 5 == 0, "").otherwise(_text("l_suppkey")).alias("recipient_uei"), F.lower("s_name").alias("recipient_name"),
+        F.when(c("l_suppkey") % 3 == 0, "").otherwise("PU").alias("recipient_parent_uei"), F.lit("parent").alias("recipient_parent_name"), F.lit("agency").alias("awarding_agency_name"), F.lit("sub").alias("awarding_sub_agency_name"), F.lit("336411").alias("naics_code"),
+        F.lit("1510").alias("product_or_service_code"), F.concat(F.lit("S"), _text("s_nationkey")).alias(f"primary_place_of_performance_state_{state}"), F.lit("90").alias("prime_award_transaction_place_of_performance_cd_current"),
+        F.when(c("l_orderkey") % 4 == 0, "").otherwise(F.concat(F.lit("A"), _text("l_orderkey"))).alias("award_id_piid"), F.lit("http://x").alias("usaspending_permalink"), F.concat(F.lit("K"), _text("l_orderkey")).alias(f"{prefix}_award_unique_key"),
+    )
+
+
+@_query(f"""SELECT l_orderkey || '-' || l_linenumber AS transaction_key, CASE WHEN l_returnflag = 'R' THEN 'assistance' ELSE 'contract' END AS award_type, CASE WHEN l_linenumber <> 7 THEN strftime(l_shipdate, '%Y-%m-%d') END AS action_date, ship_year AS fiscal_year, CASE WHEN l_linenumber <> 6 THEN CAST(cents AS DOUBLE) END AS obligation,
+  CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_suppkey AS VARCHAR) END AS recipient_uei, upper(s_name) AS recipient_name, CASE WHEN l_suppkey % 3 <> 0 THEN 'PU' END AS recipient_parent_uei, 'PARENT' AS recipient_parent_name, 'agency' AS awarding_agency_name, 'sub' AS awarding_sub_agency_name,
+  CASE WHEN l_returnflag <> 'R' THEN '336411' END AS naics_code, CASE WHEN l_returnflag <> 'R' THEN '1510' END AS product_or_service_code, 'S' || s_nationkey AS pop_state, '90' AS pop_district, CASE WHEN l_returnflag <> 'R' AND l_orderkey % 4 <> 0 THEN 'A' || l_orderkey END AS award_id_piid, 'http://x' AS usaspending_permalink, 'K' || l_orderkey AS award_unique_key
+  FROM {LINES} JOIN supplier ON l_suppkey = s_suppkey""")
+def award_transactions(t):
+    """Contracts and assistance under one schema."""
+    both = staging.award_transactions(_landed(t, "l_returnflag <> 'R'", "contract", "code"), _landed(t, "l_returnflag = 'R'", "assistance", "name"))
+    return both.withColumn("action_date", F.date_format("action_date", "yyyy-MM-dd"))
+
+
+@_query("""SELECT p_brand AS pe_bli, CASE WHEN p_size % 6 <> 0 THEN CAST(2000 + p_size AS INT) END AS fiscal_year, CAST(round(p_retailprice * 100) AS DOUBLE) AS amount_thousands, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS INT) END AS source_document_id FROM part""")
+def budget_lines_typed(t):
+    """Budget lines from text; what is no number is null."""
+    rows = t("part").select(c("p_brand").alias("pe_bli"), F.when(c("p_size") % 6 == 0, "FY").otherwise(_text(c("p_size") + 2000)).alias("fiscal_year"), _text(S.cents(c("p_retailprice"))).alias("amount_thousands"), F.when(c("p_size") % 4 == 0, "").otherwise(_text("p_size")).alias("source_document_id"))
+    return staging.budget_lines(rows)
+
+
+@_query("""SELECT p_brand AS pe_bli, CAST(2000 + p_size AS INT) AS fiscal_year, CASE WHEN p_size % 5 <> 0 THEN p_size::DOUBLE END AS amount_millions, CAST(p_size AS INT) AS document_id, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 2 = 0 END AS reconciled FROM part""")
+def budget_details_typed(t):
+    """Budget details from text; an unknown check stays unknown."""
+    told = F.when(c("p_size") % 7 == 0, F.lit(None)).when(c("p_size") % 2 == 0, " True ").otherwise("no")
+    rows = t("part").select(c("p_brand").alias("pe_bli"), _text(c("p_size") + 2000).alias("fiscal_year"), F.when(c("p_size") % 5 == 0, "n/a").otherwise(_text("p_size")).alias("amount_millions"), _text("p_size").alias("document_id"), told.alias("reconciled"))
+    return staging.budget_details(rows)
+
+
+@_query(f"""WITH t AS ({ORACLE_SQL["budget_trajectory"]}), g AS (SELECT *, CASE WHEN count(CASE WHEN fy_2000_total IS NOT NULL THEN organization END) OVER (PARTITION BY pe_bli, account) > 1 THEN organization END AS org FROM t),
+  s AS (SELECT pe_bli, account, org AS organization, CAST(sum(fy_1998_actuals) AS BIGINT) AS fy_1998_actuals, CAST(sum(fy_1999_total) AS BIGINT) AS fy_1999_total, CAST(sum(fy_2000_total) AS BIGINT) AS fy_2000_total FROM g GROUP BY pe_bli, account, org)
+  SELECT *, fy_2000_total - fy_1999_total AS change, round(100.0::DOUBLE * (fy_2000_total - fy_1999_total) / nullif(fy_1999_total, 0), 2) + 0 AS pct_change FROM s""")
+def program_trajectory(t):
+    """Trajectory by program, organisations kept apart where a program has several in the newest slot."""
+    slots = ["fy_1998_actuals", "fy_1999_total", "fy_2000_total"]
+    return marts.program_trajectory(marts.budget_trajectory(_budget_lines(t), slots), slots)
+
+
+@_query(f"""WITH d AS ({ORACLE_SQL["book_diff"]}), p AS (SELECT *, round(100.0::DOUBLE * (to_amount - from_amount) / nullif(from_amount, 0), 2) AS pct FROM d WHERE diff_kind = 'request_vs_actuals' AND from_amount >= 50000) SELECT * FROM p WHERE abs(pct) >= 25""")
+def gap_events(t):
+    """Requests whose actuals came out far off."""
+    return marts.gap_events(marts.book_diff(_series(t)))
+
+
+@_query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'uei' WHEN s_suppkey % 4 = 3 THEN 'uei' ELSE 'name' END AS method, CASE s_suppkey % 4 WHEN 0 THEN 'P' || s_nationkey WHEN 1 THEN 'PARENT ' || s_nationkey WHEN 2 THEN 'OWN ' || s_suppkey ELSE CASE WHEN s_suppkey % 8 = 3 THEN 'UNKNOWN' ELSE 'U' || s_suppkey END END AS key FROM supplier""")
+def family_keys(t):
+    """The family of a recipient: the parent's id, a normalised name, its own id."""
+    kind = c("s_suppkey") % 4
+    parent_id, parent_name = F.when(kind == 0, F.concat(F.lit("P"), _text("s_nationkey"))).otherwise(" "), F.when(kind == 1, F.concat(F.lit("The Parent "), _text("s_nationkey"), F.lit(" Inc.")))
+    own_id, own_name = F.when(c("s_suppkey") % 8 != 3, F.concat(F.lit("U"), _text("s_suppkey"))), F.when(kind == 2, F.concat(F.lit("Own "), _text("s_suppkey"), F.lit(" Capital"))).otherwise("LLC")
+    return t("supplier").select("s_suppkey", S.family_of(parent_id, parent_name, own_id, own_name).alias("f")).select("s_suppkey", "f.method", "f.key")
+
+
+_MEMBERS = """e AS (SELECT 'FAM' || n_regionkey AS family, replace(upper(n_name), '_', ' ') AS a, replace(upper(n_name), '_', ' ') || ' NEXT ' || (n_nationkey % 3) AS b, '20' || (10 + n_nationkey) AS effective_date, n_nationkey FROM nation),
+  known AS (SELECT a AS k FROM e WHERE n_nationkey % 4 <> 0 UNION SELECT b FROM e WHERE n_nationkey % 6 <> 0), m AS (SELECT family, effective_date, 'from' AS role, a AS family_key FROM e WHERE a IN (FROM known) UNION ALL SELECT family, effective_date, 'to', b FROM e WHERE b IN (FROM known)
+    UNION ALL SELECT 'OTHER', effective_date, 'from', a FROM e WHERE n_nationkey % 7 = 1 AND a IN (FROM known) UNION ALL SELECT 'OTHER', effective_date, 'to', b FROM e WHERE n_nationkey % 7 = 1 AND b IN (FROM known))"""
+
+
+def _members(t) -> DataFrame:
+    old, new = F.concat("n_name", F.lit(", Inc.")), F.concat("n_name", F.lit(" Next "), _text(c("n_nationkey") % 3), F.lit(" Corp"))
+    events = t("nation").select(F.concat(F.lit("FAM"), _text("n_regionkey")).alias("family"), old.alias("from_name"), new.alias("to_name"), F.concat(F.lit("20"), _text(c("n_nationkey") + 10)).alias("effective_date"), "n_nationkey")
+    known = events.where("n_nationkey % 4 <> 0").select(S.normalized_name(c("from_name")).alias("family_key")).unionByName(events.where("n_nationkey % 6 <> 0").select(S.normalized_name(c("to_name")).alias("family_key")))
+    twice = events.where("n_nationkey % 7 = 1").withColumn("family", F.lit("OTHER"))
+    return entities.resolve_families(events.unionByName(twice), known)
+
+
+@_query(f"WITH {_MEMBERS} SELECT * FROM m")
+def family_members(t):
+    """Members of curated events that the warehouse knows."""
+    return _members(t)
+
+
+@_query(f"WITH {_MEMBERS} SELECT family_key, count(DISTINCT family) AS families FROM m GROUP BY family_key HAVING count(DISTINCT family) > 1")
+def conflicting_members(t):
+    """Keys that events put into several families."""
+    return entities.conflicting_members(_members(t))
+
+
+@_query(f"""WITH {_MEMBERS}, a AS (SELECT family, min(family_key) AS anchor FROM m GROUP BY family) SELECT m.family, family_key, role, effective_date FROM m JOIN a USING (family) WHERE role = 'from' OR family_key <> anchor QUALIFY row_number() OVER (PARTITION BY m.family, family_key ORDER BY role, effective_date) = 1""")
+def member_arrivals(t):
+    """When each member joined its family."""
+    found = _members(t)
+    return entities.member_arrivals(found, found.groupBy("family").agg(F.min("family_key").alias("family_key")))
+
+
+@_query(f"WITH {_EDGES} SELECT evidence_fact_id AS fact_id, evidence_sentence FROM s WHERE relation = 'realigned'")
+def ratified_edges(t):
+    """Edges judged true whose evidence still stands in its narrative."""
+    told = _narratives(t)
+    verdicts = succession.stated_edges(told).select(c("evidence_fact_id").alias("fact_id"), "evidence_sentence", F.when(c("relation") == "renamed", "n").otherwise("y").alias("verdict"))
+    return gates.ratified_edges(verdicts, told).select("fact_id", "evidence_sentence")
+
+
+@_query("""SELECT p_partkey, r_name FROM part JOIN region ON p_size % 5 = r_regionkey AND (r_regionkey % 2 = 0 OR p_brand = 'Brand#1' || r_regionkey)""")
+def optional_scope(t):
+    """A rule without a scope holds for all rows of its key, one with a scope for that alone."""
+    rules = t("region").select("r_name", "r_regionkey", F.when(c("r_regionkey") % 2 == 1, F.concat(F.lit("Brand#1"), _text("r_regionkey"))).alias("scope"))
+    return t("part").join(rules, (c("p_size") % 5 == c("r_regionkey")) & joins.optional_scope(c("scope"), c("p_brand"))).select("p_partkey", "r_name")
+
+
+@_query("""WITH a AS (SELECT p_brand, p_size, max(p_partkey) AS v FROM part WHERE p_size < 10 GROUP BY ALL), b AS (SELECT p_brand, min(p_partkey) AS v FROM part WHERE p_brand < 'Brand#2' GROUP BY ALL), d AS (SELECT p_type, count(*) AS v FROM part WHERE p_type < 'P' GROUP BY ALL)
+  SELECT p_partkey, coalesce(a.v, b.v, d.v) AS v, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN d.v IS NOT NULL THEN 3 END AS v_step FROM part p LEFT JOIN a ON a.p_brand = p.p_brand AND a.p_size = p.p_size LEFT JOIN b ON b.p_brand = p.p_brand LEFT JOIN d ON d.p_type = p.p_type""")
+def fallback_chain(t):
+    """The first of three lookups that knows a row."""
+    part = t("part")
+    by_both = part.where("p_size < 10").groupBy("p_brand", "p_size").agg(F.max("p_partkey").alias("v"))
+    by_brand = part.where("p_brand < 'Brand#2'").groupBy("p_brand").agg(F.min("p_partkey").alias("v"))
+    by_type = part.where("p_type < 'P'").groupBy("p_type").agg(F.count("*").alias("v"))
+    found = joins.fallback_chain(part.select("p_partkey", "p_brand", "p_size", "p_type"), [(by_both, ["p_brand", "p_size"], "v"), (by_brand, ["p_brand"], "v"), (by_type, ["p_type"], "v")], "v")
+    return found.select("p_partkey", "v", "v_step")
+
+
+@_query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P' OR NOT o_totalprice > 10000 OR year(o_orderdate) NOT BETWEEN 1993 AND 1999")
+def dq_breaks(t):
+    """Rows where a span, a floor or a state doesn't hold."""
+    holds = (c("o_orderstatus") != "P") & (c("o_totalprice") > 10000) & F.year("o_orderdate").between(1993, 1999)
+    return DQ.breaks(t("orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"), holds).select("o_orderkey", "o_orderstatus")
+
+
+@_query("SELECT 'lowest status' AS question, 'Z' AS expected, min(o_orderstatus) AS actual FROM orders UNION ALL SELECT 'no rows', 'x', NULL")
+def golden_answers(t):
+    """Golden questions asked in SQL; two of them are stale."""
+    orders = t("orders")
+    orders.createOrReplaceTempView("golden_orders")
+    return gates.golden_answers(orders.sparkSession, [
+        ("lowest status", "SELECT min(o_orderstatus) AS v FROM golden_orders", "Z"), ("some orders", "SELECT count(*) > 0 AS v FROM golden_orders", "true"),
+        ("a price", "SELECT max(1.50D) AS v FROM golden_orders", "1.5"), ("no rows", "SELECT o_orderkey FROM golden_orders WHERE false", "x"),
+    ])
+
+
+def _reported(t, found: dict[str, DataFrame]) -> DataFrame:
+    return phase_gates.report(t("region").sparkSession, found).select("gate", "violations", "passed")
+
+
+@_query(f"""WITH j AS (SELECT t.obligation, x.family_key FROM {TX} t LEFT JOIN {XWALK} x ON x.recipient_uei = t.recipient_uei), g AS (SELECT 'resolved_money' AS gate, CASE WHEN (SELECT sum(CASE WHEN family_key IS NOT NULL THEN obligation ELSE 0 END)::DOUBLE / sum(obligation) FROM j) < 0.95 THEN 1 ELSE 0 END AS violations UNION ALL SELECT 'places', 0
+  UNION ALL SELECT 'golden_in_one_family', (SELECT count(*) FROM (SELECT s_nationkey % 3 FROM supplier WHERE s_suppkey % 6 <> 0 GROUP BY ALL HAVING count(DISTINCT s_suppkey % 17) > 1))) SELECT gate, violations, violations = 0 AS passed FROM g""")
+def entity_gates(t):
+    """Resolved money, places, and golden companies in one family."""
+    named = _xwalk(t).join(t("supplier").select(_text("s_suppkey").alias("recipient_uei"), F.concat(F.lit("Golden "), _text(c("s_nationkey") % 3), F.lit(" Inc")).alias("golden")), "recipient_uei").withColumn("recipient_name", c("golden"))
+    golden = t("region").select(F.concat(F.lit("GOLDEN "), _text("r_regionkey")).alias("name"))
+    return _reported(t, phase_gates.entity_gates(_tx(t), named, golden))
+
+
+@_query(f"""WITH h AS (SELECT * FROM ({ORACLE_SQL["hhi_by_brand"]})), g AS (SELECT 'payments_floor' AS gate, CASE WHEN (SELECT count(*) FROM part) < 50 THEN 1 ELSE 0 END AS violations UNION ALL SELECT 'areas_mapped', CASE WHEN (SELECT count(*) FILTER (p_size % 4 <> 0)::DOUBLE / count(*) FROM part) < 0.8 THEN 1 ELSE 0 END UNION ALL SELECT 'hhi_range', (SELECT count(*) FROM h WHERE hhi NOT BETWEEN 0 AND 10000)) SELECT gate, violations, violations = 0 AS passed FROM g""")
+def oversight_gates(t):
+    """A floor of rows, mapped areas, the range of the concentration index."""
+    held = A.concentration(_lines(t).join(t("part"), c("l_partkey") == c("p_partkey")), ["p_brand"], "l_suppkey", "cents")
+    return _reported(t, phase_gates.oversight_gates(t("part"), t("part").select((c("p_size") % 4 != 0).alias("mapped")), held, 50))
+
+
+@_query("""WITH f AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY round(s_acctbal * 100) DESC, CAST(s_suppkey AS VARCHAR)) AS rn FROM supplier), g AS (SELECT 'top_families_covered' AS gate, CASE WHEN (SELECT count(*) FILTER (k % 7 <> 0)::DOUBLE / count(*) FROM f WHERE rn <= 50) < 0.85 THEN 1 ELSE 0 END AS violations
+  UNION ALL SELECT 'tier_holds', (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0) UNION ALL SELECT 'no_negative', (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 0 AND round(s_acctbal * 100) < 0) UNION ALL SELECT 'mentions_have_filings', (SELECT count(*) FROM orders WHERE o_orderkey % 9 = 0) UNION ALL SELECT 'families_known', 0)
+  SELECT gate, violations, violations = 0 AS passed FROM g""")
+def influence_gates(t):
+    """Coverage of the largest families, tiers, signs and orphans."""
+    families = t("supplier").select(_text("s_suppkey").alias("family_key"), S.cents(c("s_acctbal")).alias("total_obligation"), "s_suppkey")
+    influence = families.where("s_suppkey % 7 <> 0").select("family_key", c("total_obligation").alias("lobbying_total_usd"))
+    mentions = t("orders").select(_text("o_orderkey").alias("filing_uuid"))
+    tiers = t("supplier").select(F.lit("exact").alias("tier"), F.when(c("s_suppkey") % 5 == 0, "alias").otherwise("exact").alias("tier_now"))
+    return _reported(t, phase_gates.influence_gates(influence, families.drop("s_suppkey"), mentions, t("orders").where("o_orderkey % 9 <> 0").select(_text("o_orderkey").alias("filing_uuid")), tiers))
+
+
+@_query(f"""WITH {_SERIES}, gates AS (SELECT 'edition_coverage' AS gate, (SELECT count(*) FROM (SELECT DISTINCT fiscal_year FROM b WHERE fiscal_year IN (SELECT edition FROM series) EXCEPT SELECT DISTINCT edition FROM series WHERE edition <> 1997)) AS violations UNION ALL SELECT 'edition_leakage', 0 UNION ALL SELECT 'grain_unique', 0
+  UNION ALL SELECT 'recompute', (SELECT count(*) FROM series WHERE edition = 1997) UNION ALL SELECT 'no_line_keys_in_diffs', 0 UNION ALL SELECT 'diff_recompute', (SELECT count(*) FROM ({ORACLE_SQL["book_diff"]}) WHERE from_edition = 1997 OR to_edition = 1997)) SELECT gate, violations, violations = 0 AS passed FROM gates""")
+def decade_gates(t):
+    """A series that lost an edition, against the recompute from the lake."""
+    documents = t("supplier").select(c("s_suppkey").alias("id"), F.concat(F.lit("h"), _text("s_suppkey")).alias("sha256"))
+    return _reported(t, phase_gates.decade_gates_from_lake(_series(t).where("edition <> 1997"), _budget_lines(t), documents, 2000))
+
+
+@_query("""WITH g AS (SELECT 'uncovered' AS gate, (SELECT count(*) FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 1) AND p_brand <> 'Brand#1')) AS violations UNION ALL SELECT 'silent_unreconciled', (SELECT count(*) FROM part WHERE p_size = 1 AND (p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 0)))) SELECT gate, violations, violations = 0 AS passed FROM g""")
+def reconciliation_gaps(t):
+    """Programs without details or a declared gap, and details that are unreconciled without a failed check."""
+    lines = t("part").select(c("p_brand").alias("pe_bli"), c("p_name").alias("title"))
+    state = F.when(c("p_partkey") % 3 == 0, F.lit(None)).when(c("p_partkey") % 3 == 1, F.lit(False)).otherwise(F.lit(True))
+    details = t("part").where("p_size = 1").select(c("p_brand").alias("pe_bli"), c("p_partkey").alias("document_id"), F.lit("PriorYear").alias("scenario"), state.alias("reconciled"))
+    checks = details.select("document_id", "pe_bli", "scenario", (c("document_id") % 2 == 0).alias("passed"))
+    gaps = t("region").limit(1).select(F.lit("Brand#1").alias("pe_bli"))
+    return _reported(t, phase_gates.reconciliation_gaps(lines, details, gaps, checks))
+
+
+@_query(f"""WITH {_EDGES}, u AS (SELECT DISTINCT * FROM (SELECT src AS node, dst AS other FROM s UNION ALL SELECT dst, src FROM s)), g AS (SELECT 'evidence_verbatim' AS gate, 0 AS violations UNION ALL SELECT 'family_partition', 0 UNION ALL SELECT 'store_equals_lake', (SELECT count(*) FROM s WHERE relation = 'renamed')) SELECT gate, violations, violations = 0 AS passed FROM g""")
+def lineage_gates(t):
+    """Evidence, families as components, and a store that lost edges."""
+    from tallyspark.operators.graph import connected_components
+
+    told = _narratives(t)
+    edges = succession.stated_edges(told)
+    families = connected_components(edges, "src", "dst").select("node", F.xxhash64("component").alias("family"))
+    return _reported(t, phase_gates.lineage_gates(edges, told, families, edges.where("relation <> 'renamed'")))
+
+
+@_query("""WITH l AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size > 25 GROUP BY ALL), d AS (SELECT p_brand, least(5, count(*)) AS n FROM part WHERE p_size <= 25 AND p_partkey % 3 <> 0 GROUP BY ALL), e AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size = 2 GROUP BY ALL)
+  SELECT b.p_brand AS pe_bli, coalesce(l.n, 0) AS n_lines, coalesce(d.n, 0) AS n_projects, coalesce(e.n, 0) AS n_events FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN l USING (p_brand) LEFT JOIN d USING (p_brand) LEFT JOIN e USING (p_brand)""")
+def program_bundle(t):
+    """One document a program: its lines, its largest projects in the ledger, its events."""
+    part = t("part")
+    brand = c("p_brand").alias("pe_bli")
+    lines = part.where("p_size > 25").select(brand, c("p_size").alias("fiscal_year"), c("p_type").alias("amount_type"), c("p_partkey").alias("amount_thousands"))
+    details = part.where("p_size <= 25").select(brand, _text("p_partkey").alias("project_number"), c("p_retailprice").alias("amount_millions"), _text("p_partkey").alias("fact_id"))
+    found = gates.program_bundle(
+        part.select(brand).distinct().withColumn("title", F.lit("t")), lines, details, part.where("p_partkey % 3 <> 0").select(_text("p_partkey").alias("fact_id")), lines.where("false").select("pe_bli", F.lit("a").alias("award_piid"), F.lit("high").alias("confidence")),
+        events=part.where("p_size = 2").select(brand, c("p_partkey").alias("event")),
+    )
+    size = lambda name: F.coalesce(F.json_array_length(F.get_json_object("document", f"$.{name}")), F.lit(0))
+    return found.select("pe_bli", size("lines").cast("bigint").alias("n_lines"), size("projects").cast("bigint").alias("n_projects"), size("events").cast("bigint").alias("n_events"))
