@@ -25,7 +25,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound so that memory stays flat on any corpus."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
