@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tallyspark.plans import evidence_queries, spending_queries  # noqa: F401  they register their queries
+from tallyspark.plans import evidence_queries, spending_queries, storage_queries  # noqa: F401  they register their queries
 from tallyspark.plans.driver_tables import ORACLE_SQL, QUERIES
 from tests import oracle
 
