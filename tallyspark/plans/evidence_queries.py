@@ -300,12 +300,12 @@ def match_articles(t):
     return matching.match_articles(items, _mention_terms(t), "filing", "text", "p_brand")
 
 
-@_query("""WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_orderkey % 40 < 2) SELECT p_brand, 'title_tokens' AS evidence, 'QUUXLY' AS matched, count(*) AS n FROM f, (SELECT DISTINCT p_brand FROM part) WHERE n = 3 GROUP BY p_brand""")
+@_query("""SELECT p_brand, CASE WHEN l_linenumber = 4 THEN 'hunch' ELSE 'title_tokens' END AS evidence, CASE WHEN l_linenumber = 3 THEN 'QUUXLY' ELSE 'FROBBER|FRIGATE' END AS matched, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber IN (3, 4) GROUP BY ALL""")
 def dq_weak_evidence(t):
-    """Mentions of one stop word, which no gate may let through."""
-    brands = t("part").select("p_brand").distinct()
-    orders = t("lineitem").where("l_orderkey % 40 < 2").select("l_orderkey", "l_linenumber").distinct()
-    marked = orders.join(F.broadcast(brands), F.lit(True)).select("p_brand", F.lit("title_tokens").alias("evidence"), F.when(c("l_linenumber") == 3, "QUUXLY").otherwise("FROBBER|FRIGATE").alias("matched"))  # 25 brands
+    """Mentions of one stop word or of no accepted kind, which no gate may let through."""
+    rows = t("lineitem").join(t("part"), c("l_partkey") == c("p_partkey"))
+    matched = F.when(c("l_linenumber") == 3, "QUUXLY").otherwise("FROBBER|FRIGATE")
+    marked = rows.select("p_brand", F.when(c("l_linenumber") == 4, "hunch").otherwise("title_tokens").alias("evidence"), matched.alias("matched"))
     return DQ.weak_evidence(marked, ["code", "alias", "title_tokens"], ["QUUXLY"]).groupBy("p_brand", "evidence", "matched").agg(F.count("*").alias("n"))
 
 
@@ -935,3 +935,26 @@ def program_bundle(t):
     )
     size = lambda name: F.coalesce(F.json_array_length(F.get_json_object("document", f"$.{name}")), F.lit(0))
     return found.select("pe_bli", size("lines").cast("bigint").alias("n_lines"), size("projects").cast("bigint").alias("n_projects"), size("events").cast("bigint").alias("n_events"))
+
+
+@_query("""WITH p AS (SELECT 'x' || p_partkey AS pe_bli, p_partkey % 4 AS kind, p_name, p_size FROM part)
+  SELECT pe_bli, 'N' AS org, 'R-2' AS exhibit_family, 2 AS project_count, p_size::DOUBLE AS prior_millions, p_size % 2 = 0 AND p_size % 3 <> 0 AS fully_reconciled, p_size % 2 = 0 AS reconciled_in_scope, 'A1' AS account, 'title A1' AS account_title, 'T1 ' || p_name AS title FROM p WHERE kind <> 2
+  UNION ALL SELECT pe_bli, 'N', NULL, 0, NULL, NULL, NULL, 'A2', 'title A2', 'T2 ' || p_name FROM p WHERE kind = 1""")
+def dim_programs(t):
+    """The program dimension: details counted once over two volumes, the account by the prior amount, a row of its own for an account no detail reaches."""
+    key, kind = F.concat(F.lit("x"), _text("p_partkey")), c("p_partkey") % 4
+    row = lambda condition, account, slot, amount, title: t("part").where(condition).select(
+        F.lit(2026).alias("fiscal_year"), key.alias("pe_bli"), F.lit(account).alias("account"), F.lit(f"title {account}").alias("account_title"), F.lit("N").alias("organization"), F.lit(slot).alias("amount_type"), amount.alias("amount_thousands"), F.concat(F.lit(title), c("p_name")).alias("title")
+    )
+    lines = row("true", "A1", "fy_2026_total", F.lit(5.0), "T1 ")
+    for more in (row("true", "A1", "fy_2024_actuals", c("p_size") * 1000.0, "T1 "), row("p_partkey % 4 = 1", "A2", "fy_2026_total", F.lit(9.0), "T2 "), row("p_partkey % 4 = 1", "A2", "fy_2024_actuals", F.lit(0.5), "T2 ")):
+        lines = lines.unionByName(more)
+    even = c("p_size") % 2 == 0
+    facts = F.array(
+        F.struct(F.lit(None).cast("string").alias("project_number"), F.lit("PriorYear").alias("scenario"), c("p_size").cast("double").alias("amount_millions"), F.lit("x").alias("xml_path"), F.lit(True).alias("reconciled")),
+        *[F.struct(F.lit(k).alias("project_number"), F.lit("PriorYear").alias("scenario"), (c("p_size") / 2).alias("amount_millions"), F.lit(f"x{k}").alias("xml_path"), even.alias("reconciled")) for k in ("1", "2")],
+        F.struct(F.lit(None).cast("string").alias("project_number"), F.lit("AllPriorYears").alias("scenario"), F.lit(9.0).alias("amount_millions"), F.lit("x").alias("xml_path"), (c("p_size") % 3 != 0).alias("reconciled")),
+    )
+    details = t("part").where(kind != 2).select(key.alias("pe_bli"), F.lit(2026).alias("fiscal_year"), F.lit(None).cast("string").alias("account"), F.lit("N").alias("org"), F.lit("R-2").alias("exhibit_family"), F.inline(facts))
+    told = t("part").where("false").select(key.alias("pe_bli"), F.lit(2026).alias("fiscal_year"), c("p_name").alias("title"))
+    return marts.dim_programs(lines, details.unionByName(details), told, 2026, "fy_2026_total", "fy_2024_actuals")
