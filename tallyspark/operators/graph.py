@@ -12,17 +12,18 @@ from tallyspark.operators.joins import counted_join
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of the node and its neighbours.
 
-    A node with more neighbours than a partition's share is joined by broadcast, so a star's hub fills no task.
+    A node with more neighbours than a partition's share is joined by broadcast, so a star's hub fills no task. The
+    minima are shuffled once for all branches of that join.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     larger = F.count(F.when(F.col("v") > F.col("u"), 1))
-    least = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), larger.alias("n")).where("n > 0"))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), larger.alias("n")).where("n > 0")
     return counted_join(both.where("v > u"), least, ["u"], "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     moved = counted_join(edges, least.where("n > 1"), ["u"], "n", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
