@@ -253,7 +253,9 @@ def test_near_classes_of_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6]  # the repeated row once
 
 
-def test_alignment_is_the_longest_common_run_of_words():
+@pytest.mark.parametrize("segment", [1 << 14, 7, 1])
+def test_alignment_is_the_longest_common_run_of_words(segment, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SEGMENT", segment)
     rng = random.Random(4)
     for _ in range(300):
         a = [rng.randrange(12) for _ in range(rng.randint(1, 40))]
