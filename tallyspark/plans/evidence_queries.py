@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
-from tallyspark.operators import chains, entities, gates, joins, ledger, links, matching, pages, picks, succession
+from tallyspark.operators import chains, entities, gates, joins, ledger, links, matching, pages, succession
 from tallyspark.plans import marts, phase_gates, staging
 from tallyspark.plans.driver_tables import _SERIES, BUDGET_LINES, LINES, ORACLE_SQL, _budget_lines, _lines, _query, _series
 from tallyspark.plans.spending_queries import AWARD_LINKS, TX, XWALK, _award_links, _text, _tx, _xwalk
