@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import decontamination, line_dedup, merkle, mixing, near_dedup, quality, secrets, sharding, token_counts, token_output
+from tallyspark.llm import alignment, decontamination, line_dedup, merkle, mixing, near_dedup, quality, secrets, sharding, token_counts, token_output
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1_query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_binary_output": token_output.op8_query,
     "op9_document_fingerprints": merkle.op9_query,
     "op10_line_dedup": line_dedup.op10_query,
+    "op11_tokenizer_alignment": alignment.op11_query,
 }
 
 ORACLE_SQL = {
