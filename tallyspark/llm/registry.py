@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.llm import alignment, decontamination, line_dedup, manifest, merkle, mixing, near_dedup, quality, secrets, sharding, token_counts, token_output
+from tallyspark.llm import alignment, decontamination, line_dedup, manifest, merkle, mixing, near_dedup, quality, secrets, sharding, token_counts, token_output, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.op1_query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_query,
     "op11_tokenizer_alignment": alignment.op11_query,
     "op12_merkle_manifest": manifest.op12_query,
+    "op13_warc": warc.op13_query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_source_mixing": mixing.OP5_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op12_merkle_manifest": manifest.OP12_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
