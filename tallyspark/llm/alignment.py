@@ -63,7 +63,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Sides:
     """Both tokenizers: the tokens of texts as ``length << ID_BITS | id``, and the bytes of each id."""
 
-    REMEMBERED = 500_000  # chunks in each of two generations
+    REMEMBERED = 300_000  # chunks in each of two generations
     LONG = 64  # longer chunks aren't remembered
     CUT, MARK = f"([^{WHITE}])([ \n])", "\x01"
 
