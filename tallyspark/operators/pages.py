@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.matching import money_mentions
 from tallyspark.operators.picks import carry_forward
-from tallyspark.sources.tables import paragraphs
+from tallyspark.sources.html import elements, paragraphs
 
 # Exhibit markers on budget-book pages.
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
-# What a contract number, a defined acronym and a designator look like in announcements and narratives.
+# What a contract number, a defined acronym and a designator look like in announcements and narratives; how many
+# characters before a number may name it as one that is referred to.
 CONTRACT_NUMBER = r"\b([A-Z][A-Z0-9]{4,5}[- ]?\d{2}[- ]?[A-Z][- ]?[A-Z0-9]{4})\b"
-REFERRED = r"(?:(?i:contract ).{0,3}?|(?i:to contract).{0,19}?)"
+LOOK_BACK, LOOK_BACK_NEAR = 30, 12
 ACRONYM = r"\b([A-Z][A-Za-z0-9&/.-]*(?:[ -][A-Z0-9][A-Za-z0-9&/.-]*){1,7}\s+\([A-Z]{2,10}[0-9]{0,3}\))"
 DESIGNATOR = r"\b((?:AN/[A-Z]{3}-\d{1,3}[A-Z]?|[A-Z]{1,4}-\d{1,4}[A-Z]?|(?:DDG|CVN|SSN|SSBN|LPD|LHA|LCS|FFG|T-AO)\s?\d{2,4}))\b"
 
@@ -76,24 +77,44 @@ def announcement_date(html: Column) -> Column:
     return F.when(month > 0, F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(2), 2, "0")), "yyyy-MM-dd"))
 
 
+def contract_numbers(text: Column) -> Column:
+    """Every contract number of a text in order: as it is written, bare, and whether the text refers to it or awards it.
+
+    A number that ``contract`` stands right before, or ``to contract`` shortly before, is referred to. Each occurrence is
+    judged by what stands before it.
+    """
+    written = F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1)
+    between = F.split(text, CONTRACT_NUMBER)
+
+    def one(number: Column, k: Column) -> Column:
+        # a number takes 13 characters at least, so what stands up to LOOK_BACK before lies in the last three stretches
+        near = [F.coalesce(F.concat(F.get(between, k - back), F.get(written, k - back)), F.lit("")) for back in (2, 1)]
+        before = F.lower(F.right(F.concat(*near, F.get(between, k)), F.lit(LOOK_BACK)))
+        refers = F.contains(F.right(before, F.lit(LOOK_BACK_NEAR)), F.lit("contract ")) | F.contains(before, F.lit("to contract"))
+        bare = F.regexp_replace(number, "[- ]", "")
+        return F.struct(number.alias("raw"), bare.alias("piid"), F.when(refers, "referenced").otherwise("award").alias("role"))
+
+    return F.transform(written, one)
+
+
 def contract_records(articles: DataFrame, services: list[str]) -> DataFrame:
     """Award paragraphs of announcement articles (article_id, html): day, service header carried forward, numbers, amounts.
 
-    A contract number that ``contract`` stands right before, or ``to contract`` shortly before, is one that the award
-    refers to; any other is an award's own.
+    ``numbers`` has every number with its role, ``piids`` the different ones, ``referenced`` those that are referred to
+    at least once. A header is short, begins with a service and names no money.
     """
     text = F.col("text")
     rows = paragraphs(articles, "article_id", "html").where("text <> ''")
-    head = F.upper(F.regexp_replace(text, r"[ *.]+$", ""))
+    head = F.upper(F.regexp_replace(text, r"[ *]+$", ""))
     is_head = head.rlike("^(" + "|".join(services) + ")") & (F.char_length(head) < 60) & ~F.contains(text, F.lit("$"))
-    placed = carry_forward(rows.withColumn("head", F.when(is_head, head)), ["article_id"], "pos", "head", "service")
-    bare = lambda n: F.regexp_replace(n, "[- ]", "")
-    raw = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1), bare))
-    referred = F.transform(F.regexp_extract_all(text, F.lit(REFERRED + CONTRACT_NUMBER), 1), bare)
-    found = placed.where(~is_head).select(
-        "article_id", "pos", "service", F.trim(F.substring_index("text", ",", 1)).alias("contractor"), raw.alias("piids"), F.array_intersect(raw, referred).alias("referenced"),
-        F.slice(money_mentions(text), 1, 4).alias("amounts"), "text",
-    ).where(F.size("piids") > 0)
+    named = F.when(is_head, F.regexp_replace(head, r"\.+$", ""))
+    placed = carry_forward(rows.withColumn("head", named), ["article_id"], "pos", "head", "service")
+    contractor = F.regexp_replace(F.substring_index("text", ",", 1), r"^[ *]+|[ *]+$", "")
+    found = placed.where(~is_head).withColumn("numbers", contract_numbers(text)).where(F.size("numbers") > 0)
+    piids = F.array_distinct(F.transform("numbers", lambda n: n["piid"]))
+    referenced = F.array_distinct(F.transform(F.filter("numbers", lambda n: n["role"] == "referenced"), lambda n: n["piid"]))
+    amounts = F.slice(money_mentions(text), 1, 4)
+    found = found.select("article_id", "pos", "service", contractor.alias("contractor"), "numbers", piids.alias("piids"), referenced.alias("referenced"), amounts.alias("amounts"), "text")
     return found.join(articles.select("article_id", announcement_date(F.col("html")).alias("announced")), "article_id")
 
 
@@ -144,17 +165,33 @@ def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, mo
 def payment_rates(pages: DataFrame) -> DataFrame:
     """Improper-payment pages (page_id, program, agency, html) to yearly rates with the amount they imply.
 
-    One pass reads outlays per year from the summary cards, one the exact rates from the chart of each year; a year
-    needs both. The amount is the rounded share of the outlays.
+    The pages' elements are read once. Outlays are the first amount in a summary card, whose year is its ``data-year`` or
+    the year it names; exact rates are attributes of a chart, whose year is that of the heading before it, in its own
+    card where there are cards. A year needs both. The amount is the rounded share of the outlays.
     """
-    html = F.coalesce("html", F.lit(""))
-    cards = pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(r'(?s)(<div[^>]*metrics-summary[^>]*data-year="\d{4}".*?</div>)'), 1)).alias("card"))
-    outlays = cards.select("page_id", F.regexp_extract("card", r'data-year="(\d{4})"', 1).cast("int").alias("fy"), F.get(money_mentions(_spelled(F.col("card"))), F.lit(0)).alias("outlays_usd"))
-    outlays = outlays.where(F.col("outlays_usd").isNotNull()).groupBy("page_id", "fy").agg(F.max("outlays_usd").alias("outlays_usd"))
-    charts = pages.select("page_id", "program", "agency", F.explode(F.regexp_extract_all(html, F.lit(r"(?s)(<h2[^>]*>[^<]*FY\s*\d{4}.*?<canvas[^>]*>)"), 1)).alias("chart"))
-    attribute = lambda name: F.regexp_extract("chart", name + r'="([^"]*)"', 1).try_cast("double")
-    rates = charts.select("page_id", "program", "agency", F.regexp_extract("chart", r"FY\s*(\d{4})", 1).cast("int").alias("fy"), attribute("data-improper").alias("rate_pct"), attribute("data-unknown").alias("unknown_rate_pct"))
-    return rates.where(F.col("rate_pct").isNotNull()).join(outlays, ["page_id", "fy"]).withColumn("derived_improper_amount_usd", F.round(F.col("outlays_usd") * F.col("rate_pct") / 100))
+    rows = elements(pages, "page_id", "html")
+    has = lambda name: F.array_contains(F.split(F.coalesce(F.col("attributes")["class"], F.lit("")), r"\s+"), name)
+    named = F.regexp_extract("text", r"FY\s*(\d{4})", 1).try_cast("int")
+    marked = rows.select(
+        "page_id", "node", "last", "tag", "attributes", "text",
+        F.when((F.col("tag") == "div") & has("metrics-summary"), F.struct("last", F.col("attributes")["data-year"].try_cast("int").alias("fy"), "node")).alias("summary"),
+        F.when(has("usa-card__body"), F.col("node")).alias("body"), F.when(F.col("tag") == "h2", named).alias("heading"),
+    )
+    order = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marked.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("summary", "body")})
+    in_summary = placed.where(F.col("node") <= F.col("summary.last"))
+    first_amount = F.min(F.when(F.col("amount").isNotNull(), F.struct("node", "amount")))["amount"]
+    first_year = F.min(F.when(F.col("named").isNotNull(), F.struct("node", "named")))["named"]
+    read = in_summary.withColumn("amount", F.get(money_mentions(_spelled(F.col("text"))), F.lit(0))).withColumn("named", named)
+    cards = read.groupBy("page_id", F.col("summary.node").alias("card")).agg(F.coalesce(F.max("summary.fy"), first_year).alias("fy"), first_amount.alias("outlays_usd"))
+    outlays = cards.where(F.col("outlays_usd").isNotNull() & F.col("fy").isNotNull()).groupBy("page_id", "fy").agg(F.max("outlays_usd").alias("outlays_usd"))
+    in_card = Window.partitionBy("page_id", "body").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    charts = placed.withColumn("fy", F.last("heading", ignorenulls=True).over(in_card)).where("tag = 'canvas'")
+    attribute = lambda name: F.col("attributes")[name].try_cast("double")
+    rates = charts.select("page_id", "fy", attribute("data-improper").alias("rate_pct"), attribute("data-unknown").alias("unknown_rate_pct"))
+    found = rates.where(F.col("rate_pct").isNotNull()).join(outlays, ["page_id", "fy"]).join(pages.select("page_id", "program", "agency"), "page_id")
+    amount = F.round(F.col("outlays_usd") * F.col("rate_pct") / 100)
+    return found.select("page_id", "fy", "program", "agency", "rate_pct", "unknown_rate_pct", "outlays_usd", amount.alias("derived_improper_amount_usd"))
 
 
 def _spelled(text: Column) -> Column:

@@ -13,7 +13,7 @@ from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, entities, gates, graph, joins, ledger, links, matching, picks
 from tallyspark.plans import marts
-from tallyspark.sources import tables
+from tallyspark.sources import html, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -419,13 +419,19 @@ def page_links(t):
     return t("pages").select("page_id", F.posexplode(found).alias("pos", "href"))
 
 
-@_query(r"""WITH p AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<br\s*/?>|$)', 1) AS all_p FROM pages),
+# The blocks that the provided pages have; any of their tags ends a paragraph.
+_BLOCK_TAGS = "</?(?:p|li|ul|nav|div|article|h1|footer|body|html)(?:\\s[^>]*)?>"
+
+
+@_query(rf"""WITH read AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS html FROM pages),
+  p AS (SELECT page_id, regexp_split_to_array(html, '(?i)<p(?:\s[^>]*)?>')[2:] AS all_p FROM read),
   q AS (SELECT page_id, unnest(all_p) AS raw, generate_subscripts(all_p, 1) AS pos FROM p),
-  c AS (SELECT page_id, CAST(pos - 1 AS INT) AS pos, replace(replace(replace(replace(replace(regexp_replace(raw, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM q)
-  SELECT page_id, pos, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, CAST(len(regexp_extract_all(t, '\$\s?[0-9][0-9,]*')) AS INT) AS n_amounts FROM c""")
+  c AS (SELECT page_id, CAST(pos - 1 AS INT) AS pos, regexp_replace(regexp_extract(raw, '(?is)^(.*?)(?:{_BLOCK_TAGS}|$)', 1), '(?s)<[^>]*>', ' ', 'g') AS tagless FROM q),
+  d AS (SELECT page_id, pos, replace(replace(replace(replace(replace(tagless, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM c)
+  SELECT page_id, pos, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, CAST(len(regexp_extract_all(t, '\$\s?[0-9][0-9,]*')) AS INT) AS n_amounts FROM d""")
 def page_paragraphs(t):
     """Clean paragraphs of every page with the money they name."""
-    return tables.paragraphs(t("pages"), "page_id", "html").select("page_id", "pos", "text", F.size(matching.money_mentions(F.col("text"))).alias("n_amounts"))
+    return html.paragraphs(t("pages"), "page_id", "html").select("page_id", "pos", "text", F.size(matching.money_mentions(F.col("text"))).alias("n_amounts"))
 
 
 @_query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, m AS b FROM (SELECT o_custkey, min(o_custkey) OVER (PARTITION BY l_partkey, l_shipdate) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE o_custkey <> m),

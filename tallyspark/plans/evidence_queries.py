@@ -574,20 +574,36 @@ def gate_b(t):
 
 
 def _articles(t) -> DataFrame:
-    """Announcement articles made of orders: a title with its day, a service header, award paragraphs."""
-    lead = F.concat(F.lit("<title>Contracts For "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit('</title><p class="h">'), F.when(c("o_orderstatus") == "F", "NAVY").otherwise("ARMY"), F.lit("</p>"))
+    """Announcement articles made of orders: a title with its day, a service header, award paragraphs with marks and breaks.
+
+    A quarter of the awards names the same number twice, awarded and referred to; paragraphs may stay open.
+    """
+    lead = F.concat(
+        F.lit("<!DOCTYPE html><title>Contracts For "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit("</title><script>var a = '<p>$1 (X00000-11-C-2222)</p>';</script><!-- <p>NAVY</p> -->"),
+        F.lit('<p class="h" title="a > b"><strong>'), F.when(c("o_orderstatus") == "F", "NAVY").otherwise("ARMY"), F.lit("</strong> *</p>"),
+    )
     number = F.lpad(_text(c("o_orderkey") % 10000), 4, "0")
-    award = F.concat(F.lit("<p>Firm "), _text("o_custkey"), F.lit(", Town, was awarded a $1.5 million order (W912AB-24-C-"), number, F.lit(")"), F.when(c("o_custkey") % 2 == 0, F.concat(F.lit(" under contract N00019-20-D-"), number)).otherwise(F.lit("")), F.lit(" and $20,000 more.</p>"))
-    return t("orders").select(c("o_orderkey").alias("article_id"), F.concat(lead, award, F.lit("<p>No number here.</p>")).alias("html"))
+    award = F.concat(
+        F.lit("<p><b>Firm</b>"), _text("o_custkey"), F.lit(", Town<br>was awarded a $1.5 million order (<i>W912AB-24-C-"), number, F.lit("</i>)"),
+        F.when(c("o_custkey") % 2 == 0, F.concat(F.lit("<br/>under contract<span> N00019-20-D-"), number, F.lit("</span>"))).otherwise(F.lit("")), F.lit(" and $20,000 more."),
+        F.when(c("o_custkey") % 4 == 0, F.concat(F.lit("<br>It adds to contract W912AB-24-C-"), number)).otherwise(F.lit("</p>")),
+    )
+    return t("orders").select(c("o_orderkey").alias("article_id"), F.concat(lead, award, F.lit("<p>No number here.<div>W912AB-24-C-0000 stands in no paragraph</div>")).alias("html"))
 
 
-@_query("""SELECT o_orderkey AS article_id, CASE WHEN o_orderstatus = 'F' THEN 'NAVY' ELSE 'ARMY' END AS service, 'Firm ' || o_custkey AS contractor, 'W912AB24C' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') || CASE WHEN o_custkey % 2 = 0 THEN ',N0001920D' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE '' END AS piids,
-  CASE WHEN o_custkey % 2 = 0 THEN 'N0001920D' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') ELSE '' END AS referenced, '1500000,20000' AS amounts, strftime(o_orderdate, '%Y-%m-%d') AS announced FROM orders""")
+@_query("""WITH o AS (SELECT *, lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS n, o_custkey % 2 = 0 AS two, o_custkey % 4 = 0 AS four FROM orders)
+  SELECT o_orderkey AS article_id, CASE WHEN o_orderstatus = 'F' THEN 'NAVY' ELSE 'ARMY' END AS service, 'Firm ' || o_custkey AS contractor,
+    'W912AB24C' || n || ':award' || CASE WHEN two THEN ',N0001920D' || n || ':referenced' ELSE '' END || CASE WHEN four THEN ',W912AB24C' || n || ':referenced' ELSE '' END AS numbers,
+    'W912AB24C' || n || CASE WHEN two THEN ',N0001920D' || n ELSE '' END AS piids,
+    CASE WHEN two THEN 'N0001920D' || n ELSE '' END || CASE WHEN four THEN ',W912AB24C' || n ELSE '' END AS referenced,
+    '1500000,20000' AS amounts, strftime(o_orderdate, '%Y-%m-%d') AS announced FROM o""")
 def contract_records(t):
-    """Award paragraphs of articles with their day, service, numbers (own and referred to) and money."""
+    """Award paragraphs of articles with their day, service, numbers (awarded and referred to) and money."""
     found = pages.contract_records(_articles(t), ["NAVY", "ARMY"])
-    own = F.filter("piids", lambda n: ~F.array_contains("referenced", n))
-    return found.select("article_id", "service", "contractor", F.array_join(F.concat(own, c("referenced")), ",").alias("piids"), F.array_join("referenced", ",").alias("referenced"), F.array_join("amounts", ",").alias("amounts"), F.date_format("announced", "yyyy-MM-dd").alias("announced"))
+    roles = F.transform("numbers", lambda n: F.concat(n["piid"], F.lit(":"), n["role"]))
+    lists = {"numbers": roles, "piids": c("piids"), "referenced": c("referenced"), "amounts": c("amounts")}
+    joined = [F.array_join(value, ",").alias(name) for name, value in lists.items()]
+    return found.select("article_id", "service", "contractor", *joined, F.date_format("announced", "yyyy-MM-dd").alias("announced"))
 
 
 def _fact_rows(t) -> DataFrame:
@@ -643,9 +659,10 @@ def lexicon_candidates(t):
   SELECT o_orderkey AS page_id, 'program ' || o_custkey AS program, CAST(2023 AS INT) AS fy, CAST(5.25 AS DOUBLE) AS rate_pct, v * 1000000 AS outlays_usd, CAST(round(v * 1000000 * 5.25 / 100) AS BIGINT) AS derived_improper_amount_usd FROM o""")
 def payment_rates(t):
     """Improper-payment pages to yearly rates; a year needs both its outlays and its rate."""
-    card = F.concat(F.lit('<div class="metrics-summary" data-year="2023">Outlays $'), _text(F.round("o_totalprice").cast("bigint")), F.lit(" M</div>"))
-    chart = F.when(c("o_orderkey") % 3 != 0, F.lit('<h2>Rates FY 2023</h2><canvas data-improper="5.25" data-unknown="1.0">')).otherwise("")
-    later = F.lit('<h2>Rates FY 2024</h2><canvas data-improper="9.9">')
+    year = F.when(c("o_orderkey") % 2 == 0, F.lit(" data-year='2023' title='5 > 4'>")).otherwise(F.lit("><p>FY 2023 outlays"))
+    card = F.concat(F.lit('<!-- $7 M --><div\n class="card metrics-summary"'), year, F.lit("<p>Outlays <b>$"), _text(F.round("o_totalprice").cast("bigint")), F.lit("</b> M</div><div>$8 M</div>"))
+    chart = F.when(c("o_orderkey") % 3 != 0, F.lit('<div class="usa-card__body"><h2>Rates <em>FY</em> 2023</h2><canvas data-note="a>b" data-improper="5.25" data-unknown="1.0"></canvas></div>')).otherwise("")
+    later = F.lit('<div class="usa-card__body"><h2>Rates FY 2024</h2><canvas data-improper="9.9"></div><div class="usa-card__body"><canvas data-improper="1.1"></div>')
     rows = t("orders").select(c("o_orderkey").alias("page_id"), F.concat(F.lit("program "), _text("o_custkey")).alias("program"), F.lit("agency").alias("agency"), F.concat(card, chart, later).alias("html"))
     found = pages.payment_rates(rows)
     return found.select("page_id", "program", "fy", "rate_pct", c("outlays_usd").cast("bigint").alias("outlays_usd"), c("derived_improper_amount_usd").cast("bigint").alias("derived_improper_amount_usd"))

@@ -118,19 +118,6 @@ def melt_and_sum(wide: DataFrame, ids: list[str], *, key: str = "pe_bli", add: s
     return rows.groupBy(*ids, "amount_type").agg(F.sum("amount").alias("amount"), F.array_sort(F.collect_list("cell")).alias("cells"))
 
 
-def paragraphs(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, text) of every paragraph of every page, tags removed and the commonest entities resolved."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|<br\s*/?>|(?=<p[\s>])|$)"), 1)
-    return pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, "pos", clean_html(F.col("raw")).alias("text"))
-
-
-def clean_html(raw: Column) -> Column:
-    text = F.regexp_replace(raw, "(?s)<[^>]*>", "")
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
 def write_mart(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 

@@ -8,7 +8,7 @@ from tallyspark.operators import aggregates as A
 from tallyspark.operators import gates, joins, links, matching, succession
 from tallyspark.operators.graph import connected_components
 from tallyspark.plans import marts
-from tallyspark.sources import tables
+from tallyspark.sources import html, tables
 from tallyspark.streaming.ingest import ingest_new_files, read_ingested
 
 
@@ -40,7 +40,7 @@ def test_a_null_time_is_never_the_latest(spark):
 
 def test_paragraphs_with_attributes(spark):
     pages = spark.createDataFrame([(1, '<P class="x">One &amp; two<br/><pre>no</pre><p>three<p id=4>four</p>')], "k int, html string")
-    assert [r.text for r in tables.paragraphs(pages, "k", "html").orderBy("pos").collect()] == ["One & two", "three", "four"]
+    assert [r.text for r in html.paragraphs(pages, "k", "html").orderBy("pos").collect()] == ["One & two", "three", "four"]
 
 
 def test_a_batch_tried_again_adds_nothing(spark, tmp_path):
@@ -141,3 +141,35 @@ def test_tier_precision_and_catch_alls(spark):
     assert rows(links.tier_precision(tags, found)) == [(2, 1, 0.5)]
     titles = spark.createDataFrame([("Items Less Than $5 Million",), ("other support",), ("Brother",), (None,), ("x <$5M",)], "t string")
     assert [r[0] for r in titles.select(matching.is_catch_all(F.col("t"))).collect()] == [True, True, False, False, True]
+
+
+def test_elements_of_odd_pages():
+    read = lambda page, *tags: [e["text"] for e in html.elements_of(page, frozenset(tags))]
+    assert read("<p><b>Lockheed</b>Martin Corp., Fort Worth<br>is awarded\n $5,000,000 contract (N00019-24-C-0001).</p>", "p") == ["Lockheed Martin Corp., Fort Worth is awarded $5,000,000 contract (N00019-24-C-0001)."]
+    assert read("<p title='a > b </p>'>x<!-- </p><p>no --> y &amp; z&nbsp;!</p>", "p") == ["x y & z !"]
+    assert read("<p>a<script>'<p>b</p>'</script>c<style>p{}</style><div>d<p>e</div>f</p>", "p", "div") == ["a c", "d", "e"]
+    assert read("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>", "li", "td") == ["a", "b", "c", "d", "e", "f", "g"]
+    assert read("<p>a<b>b<p>c</b>d</p></i></p>", "p", "b") == ["a b", "b", "c d"]
+    assert read(None, "p") == read("", "p") == read("no tags", "p") == [] and read("<p", "p") == []
+    nodes = [(e["tag"], e["node"], e["last"], e["nth"], e["attributes"]) for e in html.elements_of('<div A="1" a=2><p>x<br></p></div><p hidden>')]
+    assert nodes == [("div", 0, 2, 0, {"a": "1"}), ("p", 1, 2, 0, {}), ("br", 2, 2, 0, {}), ("p", 3, 3, 1, {"hidden": ""})]
+
+
+def test_deep_and_long_pages_take_time_by_their_length():
+    import time
+
+    began = time.time()
+    for page in ("<b>" * 60_000 + "x", "<div>" * 60_000 + "</x>" * 60_000, "<div>" * 60_000 + "x" + "</div>" * 60_000, "<p>word <i>a</i>" * 60_000, "<li>" * 60_000):
+        assert html.elements_of(page, frozenset(["p"])) is not None
+    assert time.time() - began < 30
+
+
+def test_records_after_line_breaks_and_roles_by_occurrence(spark):
+    from tallyspark.operators import pages
+
+    text = "<p><b>Lockheed</b>Martin Corp., Fort Worth<br>is awarded a $5,000,000 contract (N00019-24-C-0001). It modifies <i>to contract</i> N00019-20-D-0002 and again (N00019-24-C-0001), contract N00019-24-C-0001.</p>"
+    rows = spark.createDataFrame([("a", "<p>NAVY<br></p>" + text), ("b", None)], "article_id string, html string")
+    (row,) = pages.contract_records(rows, ["NAVY"]).collect()
+    assert (row.service, row.contractor, row.amounts) == ("NAVY", "Lockheed Martin Corp.", [5000000])
+    assert [(n.piid, n.role) for n in row.numbers] == [("N0001924C0001", "referenced"), ("N0001920D0002", "referenced"), ("N0001924C0001", "award"), ("N0001924C0001", "referenced")]
+    assert row.piids == row.referenced == ["N0001924C0001", "N0001920D0002"]

@@ -8,7 +8,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, entities, graph, joins, ledger, links, matching, picks
-from tallyspark.sources import tables
+from tallyspark.sources import html, tables
 from tallyspark.streaming.ingest import ingest_new_files
 
 
@@ -177,7 +177,7 @@ def test_sources(spark, tmp_path):
         tables.read_seed(spark, str(tmp_path / "seed.csv"), schema, keys=["key"])
     assert tables.read_seed(spark, str(tmp_path / "seed.csv"), schema, keys=["key", "kind"], vocabulary={"kind": ["x", "y"]}).count() == 2
     pages = spark.createDataFrame([(1, "<p>A &amp; B<br><p>c</p>")], "k int, html string")
-    assert [r.text for r in tables.paragraphs(pages, "k", "html").orderBy("pos").collect()] == ["A & B", "c"]
+    assert [r.text for r in html.paragraphs(pages, "k", "html").orderBy("pos").collect()] == ["A & B", "c"]
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):
