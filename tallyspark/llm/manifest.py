@@ -150,8 +150,11 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """``rows`` written in order, each with its place in ``row``; equal rows are dealt by where they come from."""
-    numbered = rows.withColumn("came_from", F.monotonically_increasing_id())
+    """``rows`` written in order, each with its place in ``row``; equal rows are dealt by where they come from.
+
+    They are written before they are ordered, as the ranges take a look at all of them first.
+    """
+    numbered = written(rows.withColumn("came_from", F.monotonically_increasing_id()), "manifest-rows")
     ordered = numbered.repartitionByRange(*order, "came_from").sortWithinPartitions(*order, "came_from").drop("came_from")
     return written(ordered.withColumn("row", F.monotonically_increasing_id()), "manifest-order")
 
