@@ -58,7 +58,9 @@ def records(pages: DataFrame, *, revisit_from: int = REVISIT_FROM) -> DataFrame:
     sized = sized.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha2("payload", 256)})
     smallest = F.min(F.struct(F.col("page_id").isNull(), "page_id"))
     repeated = sized.where(F.col("payload_bytes") >= revisit_from).groupBy(F.col("payload_digest").alias("digest")).agg(F.count("*").alias("n"), smallest["page_id"].alias("first_id"))
-    joined = sized.join(repeated.where("n > 1"), F.col("payload_digest") == F.col("digest"), "left")
+    # written first, so that Spark knows its size: where little repeats, it is broadcast and no payload moves
+    repeated = written(repeated.where("n > 1"), "repeated-payloads")
+    joined = sized.join(repeated, F.col("payload_digest") == F.col("digest"), "left")
     revisits = F.col("digest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     response_id, revisit_id = (_record_id(F.lit(kind), F.col(c), F.col("payload_digest")) for kind, c in (("response", "page_id"), ("revisit", "page_id")))
     return joined.select(
