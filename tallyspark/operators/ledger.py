@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ def gate_b(details: DataFrame, documents: DataFrame, lines: DataFrame, candidate
     amount_thousands; candidates: edition, scenario, priority, amount_type.
 
     A program without an amount of its own for a scenario is checked by the sum of its projects. Any candidate type
-    may match, in a consolidated volume of any one organisation; for the request of the edition's own year the total
-    less the reconciliation counts too, after the others. No line at all matches an explicit 0 only.
+    may match, in a consolidated volume of any one organisation; for the requests of the edition's own year, whole and
+    base, the total less the reconciliation counts too, after the others. No line at all matches an explicit 0 only. A
+    scenario without candidates gets no verdict.
     """
     live = details.where(~F.coalesce("superseded", F.lit(False)))
     key = ["document_id", "pe_bli", "scenario"]
@@ -62,10 +65,9 @@ def gate_b(details: DataFrame, documents: DataFrame, lines: DataFrame, candidate
 
     years = candidates.select("edition").distinct()
     total, less = F.concat(F.lit("fy_"), F.col("edition"), F.lit("_total")), F.concat(F.lit("fy_"), F.col("edition"), F.lit("_reconciliation_request"))
-    request = F.lit("BudgetYearOne")
     types = candidates.select("edition", "scenario", "priority", "amount_type", F.lit(1).alias("sign"))
-    for amount_type, sign in ((total, 1), (less, -1)):
-        types = types.unionByName(years.select("edition", request.alias("scenario"), F.lit(1 << 20).alias("priority"), amount_type.alias("amount_type"), F.lit(sign).alias("sign")))
+    for request, (amount_type, sign) in product(("BudgetYearOne", "BudgetYearOneBase"), ((total, 1), (less, -1))):
+        types = types.unionByName(years.select("edition", F.lit(request).alias("scenario"), F.lit(1 << 20).alias("priority"), amount_type.alias("amount_type"), F.lit(sign).alias("sign")))
     sums = lines.groupBy("exhibit", F.col("fiscal_year").alias("edition"), "organization", F.col("account").alias("line_account"), "pe_bli", "amount_type").agg(F.sum(F.col("amount_thousands").cast("decimal(38,6)")).alias("thousands"))
     typed = sums.join(types, ["edition", "amount_type"]).withColumnsRenamed({"exhibit": "line_exhibit", "pe_bli": "line_pe", "scenario": "line_scenario"})
     of_line = (

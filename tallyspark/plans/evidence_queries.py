@@ -552,22 +552,43 @@ def display_alias_defects(t):
     return entities.display_alias_defects(rows, _xwalk(t), ["sourced"], ["measured", "pin"])
 
 
-@_query("""WITH d AS (SELECT p_partkey AS document_id, p_brand AS pe_bli, CASE WHEN p_size % 5 = 0 THEN 'P' ELSE 'N' END AS basis, p_size FROM part),
-  l AS (SELECT p_brand AS pe_bli, 'O' || (p_size % 2) AS org, CAST(sum(p_size) AS BIGINT) AS total, CAST(sum(CASE WHEN p_size % 7 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS less, count(*) FILTER (p_size % 7 = 0) AS m FROM part GROUP BY ALL),
-  a AS (SELECT document_id, d.pe_bli, CASE WHEN d.basis = 'P' THEN 'projects' ELSE 'program' END AS basis, CASE p_size % 3 WHEN 0 THEN l.total WHEN 1 THEN l.total - l.less ELSE l.total + 1 END AS amount, p_size % 2 AS org, l.total, l.less, l.m FROM d JOIN l ON l.pe_bli = d.pe_bli AND l.org = 'O' || (d.p_size % 2))
-  SELECT document_id, pe_bli, basis, CAST(amount AS BIGINT) AS amount, CASE WHEN amount = total THEN 'fy_2026_total' WHEN m > 0 AND amount = total - less THEN 'total_minus_reconciliation' ELSE 'fy_2026_total' END AS candidate, amount = total OR (m > 0 AND amount = total - less) AS passed FROM a""")
+@_query("""WITH l AS (
+    SELECT p_brand AS pe_bli, p_size % 2 AS org, CAST(sum(p_size) AS BIGINT) AS total, CAST(sum(CASE WHEN p_size % 7 = 0 THEN p_size ELSE 0 END) AS BIGINT) AS less,
+      count(*) FILTER (p_size % 7 = 0) AS m, CAST(sum(p_size) FILTER (p_size % 4 = 0) AS BIGINT) AS base FROM part GROUP BY ALL
+  ), d AS (
+    SELECT p_partkey AS document_id, p_brand AS pe_bli, CASE WHEN p_size % 5 = 0 THEN 'projects' ELSE 'program' END AS basis, l.*,
+      CASE p_size % 3 WHEN 0 THEN total WHEN 1 THEN total - less ELSE total + 1 END AS whole, CASE p_size % 3 WHEN 0 THEN coalesce(base, 0) WHEN 1 THEN total - less ELSE total + 1 END AS part_of_it
+    FROM part JOIN l ON l.pe_bli = p_brand AND l.org = p_size % 2
+  ), a AS (
+    SELECT document_id, pe_bli, basis, 'BudgetYearOne' AS scenario, whole AS amount, total, less, m, CAST(NULL AS BIGINT) AS base FROM d
+    UNION ALL SELECT document_id, pe_bli, basis, 'BudgetYearOneBase', part_of_it, total, less, m, base FROM d
+  ), j AS (SELECT *, CASE WHEN amount = total THEN 'fy_2026_total' WHEN amount = base THEN 'fy_2026_base' WHEN m > 0 AND amount = total - less THEN 'total_minus_reconciliation' END AS fitting FROM a)
+  SELECT document_id, pe_bli, scenario, basis, CAST(amount AS BIGINT) AS amount, coalesce(fitting, 'fy_2026_total') AS candidate, fitting IS NOT NULL AS passed FROM j""")
 def gate_b(t):
-    """Program amounts against the books: any candidate type, or the total less the reconciliation, project sums where a program has no row."""
+    """Program amounts against the books: any candidate type of either request, or the total less the reconciliation, project sums where a program has no row."""
     part = t("part")
-    sums = part.groupBy("p_brand", (c("p_size") % 2).alias("side")).agg(F.sum("p_size").alias("total"), F.sum(F.when(c("p_size") % 7 == 0, c("p_size")).otherwise(0)).alias("less"))
+    of = lambda divisor: F.sum(F.when(c("p_size") % divisor == 0, c("p_size")).otherwise(0))
+    sums = part.groupBy("p_brand", (c("p_size") % 2).alias("side")).agg(F.sum("p_size").alias("total"), of(7).alias("less"), of(4).alias("base"))
     keyed = part.withColumn("side", c("p_size") % 2).join(sums, ["p_brand", "side"])
-    amount = F.when(c("p_size") % 3 == 0, c("total")).when(c("p_size") % 3 == 1, c("total") - c("less")).otherwise(c("total") + 1)
-    details = keyed.select(c("p_partkey").alias("document_id"), c("p_brand").alias("pe_bli"), F.lit("BudgetYearOne").alias("scenario"), F.when(c("p_size") % 5 == 0, "1").alias("project_number"), F.lit(None).cast("string").alias("account"), amount.alias("amount_millions"), F.lit(False).alias("superseded"))
-    documents = part.select(c("p_partkey").alias("document_id"), F.lit("R-1").alias("exhibit"), F.concat(F.lit("O"), _text(c("p_size") % 2)).alias("org"), F.lit(2026).alias("fiscal_year"), F.lit(False).alias("consolidated"))
-    row = lambda amount_type, condition: part.where(condition).select(F.lit("R-1").alias("exhibit"), F.lit(2026).alias("fiscal_year"), F.concat(F.lit("O"), _text(c("p_size") % 2)).alias("organization"), F.lit("1").alias("account"), c("p_brand").alias("pe_bli"), F.lit(amount_type).alias("amount_type"), (c("p_size") * 1000).alias("amount_thousands"))
-    lines = row("fy_2026_total", "true").unionByName(row("fy_2026_reconciliation_request", "p_size % 7 = 0"))
-    candidates = marts.scenario_candidates(part.limit(1).select(F.lit(2026).alias("edition")))
-    return ledger.gate_b(details, documents, lines, candidates).select("document_id", "pe_bli", "basis", c("amount").cast("bigint").alias("amount"), "candidate", "passed")
+
+    def detail(scenario, first):
+        amount = F.when(c("p_size") % 3 == 0, c(first)).when(c("p_size") % 3 == 1, c("total") - c("less")).otherwise(c("total") + 1)
+        project = F.when(c("p_size") % 5 == 0, "1").alias("project_number")
+        return keyed.select(c("p_partkey").alias("document_id"), c("p_brand").alias("pe_bli"), F.lit(scenario).alias("scenario"), project, F.lit(None).cast("string").alias("account"), amount.alias("amount_millions"), F.lit(False).alias("superseded"))
+
+    details = detail("BudgetYearOne", "total").unionByName(detail("BudgetYearOneBase", "base")).unionByName(detail("AllPriorYears", "total"))
+    org = F.concat(F.lit("O"), _text(c("p_size") % 2))
+    documents = part.select(c("p_partkey").alias("document_id"), F.lit("R-1").alias("exhibit"), org.alias("org"), F.lit(2026).alias("fiscal_year"), F.lit(False).alias("consolidated"))
+
+    def row(amount_type, condition):
+        return part.where(condition).select(
+            F.lit("R-1").alias("exhibit"), F.lit(2026).alias("fiscal_year"), org.alias("organization"), F.lit("1").alias("account"),
+            c("p_brand").alias("pe_bli"), F.lit(amount_type).alias("amount_type"), (c("p_size") * 1000).alias("amount_thousands"),
+        )
+
+    lines = row("fy_2026_total", "true").unionByName(row("fy_2026_reconciliation_request", "p_size % 7 = 0")).unionByName(row("fy_2026_base", "p_size % 4 = 0"))
+    candidates = marts.scenario_candidates(part.sparkSession.createDataFrame([(2026,)], "edition int"))
+    return ledger.gate_b(details, documents, lines, candidates).select("document_id", "pe_bli", "scenario", "basis", c("amount").cast("bigint").alias("amount"), "candidate", "passed")
 
 
 # pages and gates --------------------------------------------------------------------------------------------------

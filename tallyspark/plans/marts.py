@@ -25,6 +25,7 @@ SCENARIOS = {
         "fy_%d_total_pb_requests_with_cr_adj_base_oco_emergency",
     ],
     ("BudgetYearOne", 0): ["fy_%d_total", "fy_%d_disc_request", "fy_%d_request", "fy_%d_total_base_oco"],
+    ("BudgetYearOneBase", 0): ["fy_%d_disc_request", "fy_%d_total", "fy_%d_request", "fy_%d_base"],
 }
 KINDS = {"PriorYear": "actuals", "CurrentYear": "enacted", "BudgetYearOne": "request"}
 
@@ -91,7 +92,8 @@ def decade_series(lines: DataFrame, documents: DataFrame, anchor_edition: int, t
     )
     # every pattern is a year and a word, so a slug meets its pattern by the word and how far its year lies back
     slug = lambda k: F.regexp_extract("amount_type", r"^fy_(\d{4})_(.+)$", k)
-    patterns = lines.sparkSession.createDataFrame([(w[len("fy_%d_"):], back, scenario, k) for (scenario, back), words in SCENARIOS.items() for k, w in enumerate(words, 1)], "word string, years_back int, scenario string, priority int")
+    words = [(w[len("fy_%d_"):], back, scenario, k) for (scenario, back), words in SCENARIOS.items() if scenario in KINDS for k, w in enumerate(words, 1)]
+    patterns = lines.sparkSession.createDataFrame(words, "word string, years_back int, scenario string, priority int")
     dated = programs.withColumn("word", slug(2)).withColumn("years_back", F.col("fiscal_year") - slug(1).try_cast("int"))
     matched = dated.join(F.broadcast(patterns), ["word", "years_back"])  # a few literal rows
     hashes = documents.select(F.col("id").alias("source_document_id"), "sha256")
