@@ -11,8 +11,7 @@
    the target (which settles the common factor of the odds), and ``FILL_ROUNDS`` rounds then add the largest unused
    document that still fits.
 4. While a source has unused documents that fit its gap, these alone are ranked and cut again, so a document that
-   is too long for the gap keeps none behind it out. Each round takes one document at least. Only the registered
-   query stops before this step, as its SQL does.
+   is too long for the gap keeps none behind it out. Each round takes one document at least.
 
 No source is sorted as a whole. Sizes are summed by (source, bin of the Pareto variable), with as many bins as keep a
 bin of the largest source at about ``ROWS_A_BIN`` rows (``BINS`` at least); a window over those sums finds the bin that
@@ -83,11 +82,10 @@ def length_odds(size: Column) -> Column:
     return F.when(size >= 200, 4.0).when(size >= 50, 2.0).otherwise(1.0)
 
 
-def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0, odds=length_odds, until_full: bool = True) -> DataFrame:
+def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: float = 1.5, most: float = 2.0, odds=length_odds) -> DataFrame:
     """``sized``: doc_id, source, size and mark (tells rows of one id apart). Adds source_size, target, copies.
 
     ``odds`` gives a document's own inclusion odds, above 0, from its size.
-    Without ``until_full``, a source may end with unused documents that fit its gap.
     """
     per_source = targets(sized, weights=weights, epochs=epochs, most=most)
     bins_each = max(BINS, (sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0) // ROWS_A_BIN)
@@ -154,8 +152,7 @@ def pareto_mix(sized: DataFrame, *, seed: int = 0, weights=WEIGHTS, epochs: floa
         rounds.append(gaps.select("of_source", "fit"))
     fits = reduce(DataFrame.unionByName, rounds).groupBy("of_source").agg(F.collect_list("fit").alias("fits"))
     taken = chosen.join(beside(fits), same, "left").withColumn("extra", F.col("extra") | F.coalesce(F.array_contains("fits", F.col("as_fit")), F.lit(False)))
-    if until_full:
-        taken = _filled(taken.drop("of_source"), beside)
+    taken = _filled(taken.drop("of_source"), beside)
     return taken.select("doc_id", "source", "size", "mark", "source_size", "target", (F.col("whole") + F.col("extra").cast("int")).cast("bigint").alias("copies"))
 
 
@@ -207,11 +204,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def op5_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit(""))).alias("mark"))
-    return pareto_mix(sized, until_full=False).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return pareto_mix(sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP5_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS mark
   FROM documents
 ), totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
@@ -262,8 +259,24 @@ targets AS (
   SELECT u.source, f.gap - f.size AS gap, u.size, u.v, u.doc_id, u.mark FROM unused u JOIN fit2 f ON u.source IS NOT DISTINCT FROM f.source
   WHERE u.size <= f.gap - f.size AND (u.size, u.v, u.doc_id, u.mark) < (f.size, f.v, f.doc_id, f.mark)
   QUALIFY row_number() OVER (PARTITION BY u.source ORDER BY u.size DESC, u.v DESC, u.doc_id DESC, u.mark DESC) = 1
-), fits AS (SELECT doc_id, mark FROM fit1 UNION ALL SELECT doc_id, mark FROM fit2 UNION ALL SELECT doc_id, mark FROM fit3)
-SELECT doc_id, size, source_size, target,
-       (size * (whole::BIGINT + (extra OR (doc_id, mark) IN (SELECT (doc_id, mark) FROM fits))::BIGINT))::BIGINT AS taken
-FROM chosen
+), fits AS (SELECT doc_id, mark FROM fit1 UNION ALL SELECT doc_id, mark FROM fit2 UNION ALL SELECT doc_id, mark FROM fit3
+), taken AS (
+  SELECT * EXCLUDE (extra), extra OR (doc_id, mark) IN (SELECT (doc_id, mark) FROM fits) AS extra FROM chosen
+), gap3 AS (
+  SELECT source, need - coalesce(sum(size) FILTER (extra), 0) AS gap FROM taken GROUP BY source, need
+), left_over AS (  -- one pass over these in rank order, each taken if it fits what is still missing
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, doc_id, mark) AS pos FROM (
+    SELECT t.source, rank, doc_id, mark, sum(size) AS size FROM taken t JOIN gap3 g ON t.source IS NOT DISTINCT FROM g.source
+    WHERE NOT extra AND rest > 0 AND size > 0 AND size <= gap GROUP BY ALL)
+), filling_up AS (
+  SELECT source, gap, 0::BIGINT AS pos FROM gap3
+  UNION ALL
+  SELECT source, gap - size, pos FROM (
+    SELECT f.source, f.gap, l.size, l.pos, row_number() OVER (PARTITION BY f.source ORDER BY l.pos) AS k
+    FROM filling_up f JOIN left_over l ON l.source IS NOT DISTINCT FROM f.source AND l.pos > f.pos AND l.size <= f.gap) WHERE k = 1
+), more AS (
+  SELECT doc_id, mark, l.source FROM filling_up f JOIN left_over l ON l.source IS NOT DISTINCT FROM f.source AND l.pos = f.pos
+)
+SELECT t.doc_id, size, source_size, target, (size * (whole::BIGINT + (extra OR m.mark IS NOT NULL)::BIGINT))::BIGINT AS taken
+FROM taken t LEFT JOIN more m ON m.source IS NOT DISTINCT FROM t.source AND m.doc_id IS NOT DISTINCT FROM t.doc_id AND m.mark = t.mark
 """

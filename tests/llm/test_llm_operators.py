@@ -434,6 +434,20 @@ def test_mixture_sql_keeps_a_source_without_a_name(spark, tmp_path):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("first", [0, 1000, 2000])
+def test_mixture_query_comes_near_a_target_that_one_document_dominates(spark, tmp_path, first):
+    import duckdb
+
+    texts = ["word " * 20_000] + ["word " * 50] * 400 + ["word " * 90] * 300
+    rows = [(first + k, t, "en", "a" if k < 401 else "b", 1) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.op5_query(spark, str(tmp_path)).collect()]
+    assert abs(sum(r[-1] for r in got if r[2] == 40_000) - next(r[3] for r in got if r[2] == 40_000)) <= 50
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got) == sorted(con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken FROM ({mixing.OP5_SQL})").fetchall())
+
+
 def brute_mix(rows):
     """Copies by (doc_id) of (doc_id, text, source) rows with ids of their own, by the module's text in plain loops."""
     space, copies = re.compile("[^\\x20\\x09-\\x0D]+"), {}
