@@ -1,7 +1,7 @@
 """A uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-1. Rows are keyed (id, bytes, CRC-32) and written once; the writer's partitions, folded into at most
-   ``blocks`` of them, are the senders.
+1. Rows are keyed (id, bytes, CRC-32), numbered and written once; the writer's partitions, folded into at most
+   ``blocks`` of them, are the senders. The number is part of both hashes, so equal rows are dealt like any others.
 2. For sender and shard the matrix draws how many rows go across: the exact multivariate hypergeometric law
    given the senders' row counts and the shards' sizes, which differ by one at most. The matrix holds
    ``blocks x shards`` counts whatever the input's size; only it is drawn outside Spark.
@@ -15,7 +15,7 @@ Any row lands in any shard and slot with equal probability, every shard's size i
 same written partitions agree. Law: ``rows``.
 
 Defined cases: a null text has no bytes (size 8) and the CRC-32 of an empty string; null or repeated ids are
-ordinary rows; equal rows may change places; with fewer rows than shards some stay empty; no rows give none. Other
+ordinary rows; with fewer rows than shards some stay empty; no rows give none. Other
 columns pass through, whatever their names but ``shard`` and ``slot``, which are set.
 """
 
@@ -116,9 +116,10 @@ def _ranked(rows: DataFrame, group: str, seed: int, key: list[str], largest: int
 
 
 def shard(rows: DataFrame, key: list[str], *, shards: int = SHARDS, seed: int = 0, blocks: int = BLOCKS) -> DataFrame:
-    """Add ``shard`` and ``slot`` to narrow rows. ``key``: the columns that tell rows apart, for the hashes."""
-    sender, of_sender, upto, local = (unused(rows, stem) for stem in ("sender", "of_sender", "upto", "local"))
-    sent = written(rows.withColumn(sender, F.pmod(F.spark_partition_id(), F.lit(blocks))), "shard-rows")
+    """Add ``shard`` and ``slot`` to narrow rows. ``key``: columns for the hashes, beside the row's number."""
+    sender, of_sender, upto, local, number = (unused(rows, stem) for stem in ("sender", "of_sender", "upto", "local", "number"))
+    numbered = rows.withColumns({sender: F.pmod(F.spark_partition_id(), F.lit(blocks)), number: F.monotonically_increasing_id()})
+    sent, key = written(numbered, "shard-rows"), [*key, number]
     counts = {r[0]: r[1] for r in sent.groupBy(sender).count().collect()}  # at most `blocks` rows
     senders, total = sorted(counts), sum(counts.values())
     sizes = [total // shards + (k < total % shards) for k in range(shards)]
@@ -131,7 +132,7 @@ def shard(rows: DataFrame, key: list[str], *, shards: int = SHARDS, seed: int =
         .withColumn("shard", F.size(F.filter(upto, lambda n: n <= F.col(local))))
         .drop(sender, of_sender, upto, local)
     )
-    return _ranked(dealt, "shard", 2 * seed + 2, key, sizes[0], "slot")
+    return _ranked(dealt, "shard", 2 * seed + 2, key, sizes[0], "slot").drop(number)
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

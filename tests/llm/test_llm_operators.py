@@ -632,6 +632,16 @@ def test_shards_in_many_bins_are_the_same_as_in_one_order(spark, monkeypatch):
     assert all(abs(sum(r.doc_id for r in binned if r["shard"] == k) / 400 - 1000) < 150 for k in range(5))
 
 
+def test_equal_rows_are_dealt_to_all_shards_and_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_BIN", 100)
+    rows = spark.range(1200).select(F.when(F.col("id") >= 600, F.col("id")).otherwise(0).alias("doc_id"), F.lit(8).alias("size")).coalesce(2)
+    got = sharding.shard(rows, ["doc_id", "size"]).collect()
+    equal = Counter(r["shard"] for r in got if r.doc_id == 0)
+    assert len(equal) == 24 and all(10 <= n <= 40 for n in equal.values()) and equal.total() == 600
+    slots = [r.slot for r in got if r.doc_id == 0]
+    assert 20 < sum(slots) / 600 < 29 and all(sorted(r.slot for r in got if r["shard"] == k) == list(range(50)) for k in range(24))
+
+
 def test_sharding_query_against_the_texts(spark, tmp_path):
     texts, _ = corpus(seed=30, n=70)
     texts += ["é" * 5, "", None]
