@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import partitions_of
+from tallyspark.operators.scans import last_known
 
 
 def _and(conditions: list[Column]) -> Column:
@@ -34,20 +36,42 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"right_{k}" for k in keys])
 
 
-def band_join(left: DataFrame, right: DataFrame, keys: list[str], distance: Column, tolerance: float, how: str = "inner") -> DataFrame:
-    """Equal keys and a distance under the tolerance, which stays a residual of the hash or merge join."""
-    renamed = right.select(*[F.col(k).alias(f"right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    on = _and([F.col(k) == F.col(f"right_{k}") for k in keys]) & (F.abs(distance) < tolerance)
-    joined = left.join(renamed, on, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"right_{k}" for k in keys])
+def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_value: Column, right_value: Column, tolerance: float, how: str = "inner", *, null_safe: bool = False) -> DataFrame:
+    """Equal keys, and values less than ``tolerance`` apart; null values are near nothing.
 
-
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+    Values are put into bins, and a row meets only rows of its key in bins near its own: a key of many rows is spread over
+    its bins, and costs what its rows near each other do. Where only the left rows are asked for (``left_semi``,
+    ``left_anti``), a bin of the right side is its smallest and largest value, so no pair is made at all. For ``inner``
+    and ``left`` the columns of both sides but the right keys are kept, and must not clash.
+    """
+    value, near, bin_, of_bin = (unused(left, stem) for stem in ("band_value", "band_near", "band_bin", "band_of_bin"))
+    of_key = [f"right_{k}" for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(r)) if null_safe else F.col(k) == F.col(r) for k, r in zip(keys, of_key, strict=True)]
+    only_left = how in ("left_semi", "left_anti")
+    # two values less than the tolerance apart lie in bins of half of it that are two apart at most, and any two of one bin are
+    # near; bins of twice the tolerance, a little wider for rounding, are met by a row of the other side in two
+    width = tolerance / 2 if only_left else 2 * tolerance * (1 + 1e-6)
+    place = lambda v: F.floor(v.cast("double") / F.lit(float(width)))
+    binned = left.withColumn(value, left_value).withColumn(bin_, place(F.col(value)))
+    named = right.select(*[F.col(k).alias(r) for k, r in zip(keys, of_key, strict=True)], *[c for c in right.columns if c not in keys], right_value.alias(near)).where(F.col(near).isNotNull())
+    if not only_left:
+        reach = [place(F.col(near).cast("double") + sign * tolerance * (1 + 1e-7)) for sign in (-1, 1)]
+        copies = named.withColumn(of_bin, F.explode(F.sequence(*reach)))
+        on = _and([*same, F.col(bin_) == F.col(of_bin), F.abs(F.col(value) - F.col(near)) < tolerance])
+        return binned.join(copies, on, how).drop(value, near, bin_, of_bin, *of_key)
+    ends = named.groupBy(*of_key, place(F.col(near)).alias(near + "_bin")).agg(F.min(near).alias("band_least"), F.max(near).alias("band_most"))
+    copies = ends.withColumn(of_bin, F.explode(F.sequence(F.col(near + "_bin") - 2, F.col(near + "_bin") + 2)))
+    is_near = (F.abs(F.col(value) - F.col("band_least")) < tolerance) | (F.abs(F.col(value) - F.col("band_most")) < tolerance) | (F.col(bin_) == F.col(near + "_bin"))
+    return binned.join(copies, _and([*same, F.col(bin_) == F.col(of_bin), is_near]), how).drop(value, bin_)
+
+
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], *, share: int | None = None) -> DataFrame:
     """For each left row the values of the latest right row of its keys at or before it, else null.
 
-    Both sides meet in one exchange on the keys and one ordered pass carries the last right row forward, so no
-    range join multiplies rows. At equal times the right row counts; of right rows at one time the largest
-    values win. A null time is no time: such a right row is never found, and a left row without a time finds none.
+    Both sides meet in one order by keys and time, and one pass carries the last right row forward, so no range join
+    multiplies rows; a key with more rows than ``share`` is passed over in ranges. At equal times the right row
+    counts; of right rows at one time the largest values win. A null time is no time: such a right row is never found,
+    and a left row without a time finds none.
     """
     rights = right.where(F.col(right_time).isNotNull()).groupBy(*keys, right_time).agg(F.max(F.struct(*values)).alias("as_of_pick")).select(
         *keys, F.col(right_time).alias("as_of_at"), F.lit(0).alias("as_of_side"), F.struct(F.col(right_time).alias("as_of_time"), *[F.col(f"as_of_pick.{v}").alias(v) for v in values]).alias("as_of_row")
@@ -55,9 +79,9 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     others = [c for c in left.columns if c not in keys]
     lefts = left.select(*keys, F.col(left_time).alias("as_of_at"), F.lit(1).alias("as_of_side"), F.struct(*others).alias("as_of_left"))
     both = lefts.unionByName(rights, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("as_of_at", "as_of_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("as_of_row", F.last("as_of_row", ignorenulls=True).over(order)).where("as_of_side = 1")
-    return found.select(*keys, *[F.col(f"as_of_left.{c}").alias(c) for c in others], "as_of_row.as_of_time", *[f"as_of_row.{v}" for v in values])
+    order = [F.col("as_of_at"), F.col("as_of_side")]
+    found = last_known(both, keys, order, F.col("as_of_row"), "as_of_found", share=share).where("as_of_side = 1")
+    return found.select(*keys, *[F.col(f"as_of_left.{c}").alias(c) for c in others], "as_of_found.as_of_time", *[f"as_of_found.{v}" for v in values])
 
 
 def edition_join(rows: DataFrame, keys: list[str], edition: str, offset: int, values: list[str], *, to_rows: DataFrame | None = None, also_equal: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.operators.scans import last_known
+
 
 def pick_first(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key; the order must be total for the result to be the same every time."""
@@ -33,16 +35,15 @@ def stratified_sample(df: DataFrame, strata: list[str], key: list[str], n: int,
     return pick_first(df, strata, [drawn, *[F.col(k) for k in key]], n)
 
 
-def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, name: str, *, share: int | None = None) -> DataFrame:
     """The last known value at or before each row, as a section header holds for the lines under it."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return last_known(df, keys, [F.col(order)], F.col(value), name, share=share)
 
 
-def previous_period(df: DataFrame, keys: list[str], period: str, value: str, name: str) -> DataFrame:
-    """The value of the period just before; null where that period is missing."""
-    w = Window.partitionBy(*keys).orderBy(period)
-    return df.withColumn(name, F.when(F.lag(period).over(w) == F.col(period) - 1, F.lag(value).over(w)))
+def previous_period(df: DataFrame, keys: list[str], period: str, value: str, name: str, *, share: int | None = None) -> DataFrame:
+    """The value of the period just before; null where that period is missing. A key has a row a period."""
+    found = last_known(df, keys, [F.col(period)], F.struct(F.col(period).alias("at"), F.col(value).alias("v")), name, before=True, share=share)
+    return found.withColumn(name, F.when(F.col(name)["at"] == F.col(period) - 1, F.col(name)["v"]))
 
 
 def upsert(standing: DataFrame, batch: DataFrame, keys: list[str], rank: Column) -> DataFrame:

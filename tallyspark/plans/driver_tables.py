@@ -253,10 +253,20 @@ def specific_then_general(t):
 def band_join(t):
     """Parts whose retail price lies near their mean line price."""
     unit = _lines(t).groupBy("l_partkey").agg((F.sum("cents").cast("double") / F.sum(F.round("l_quantity").cast("bigint"))).alias("unit"))
-    found = joins.band_join(t("part").withColumnRenamed("p_partkey", "key"), unit.withColumnRenamed("l_partkey", "key"), ["key"], F.col("unit") / 100.0 - F.col("p_retailprice"), 700)
+    found = joins.band_join(t("part").withColumnRenamed("p_partkey", "key"), unit.withColumnRenamed("l_partkey", "key"), ["key"], F.col("p_retailprice"), F.col("unit") / 100.0, 700)
     return found.select(F.col("key").alias("p_partkey"), "p_brand", F.round("unit", 2).alias("unit"))
 
 
+@_query("""SELECT p.p_partkey, count(q.p_partkey) AS n_near, CAST(min(q.p_partkey) AS BIGINT) AS first_near
+  FROM part p LEFT JOIN part q ON nullif(p.p_size, 1) IS NOT DISTINCT FROM nullif(q.p_size, 1) AND abs(p.p_retailprice - q.p_retailprice) < 2.5 AND p.p_brand = q.p_brand AND q.p_partkey % 2 = 0 GROUP BY p.p_partkey""")
+def band_partners(t):
+    """How many even parts of a part's size and brand lie within a price band; a size that is unknown is a size."""
+    sized = t("part").select("p_partkey", "p_retailprice", "p_brand", F.nullif(c("p_size"), F.lit(1)).alias("size"))
+    others = sized.where("p_partkey % 2 = 0").select(c("p_partkey").alias("near_part"), c("p_retailprice").alias("near_price"), "p_brand", "size")
+    found = joins.band_join(sized, others, ["size", "p_brand"], c("p_retailprice"), c("near_price"), 2.5, "left", null_safe=True)
+    return found.groupBy("p_partkey").agg(F.count("near_part").alias("n_near"), F.min("near_part").alias("first_near"))
+
+
 @_query("""WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL)
   SELECT event_id, user_id, o.o_orderkey, o.o_orderdate AS as_of_time FROM events ASOF LEFT JOIN o ON events.user_id = o.o_custkey AND events.ts - INTERVAL 9000 DAY >= o.o_orderdate""")
 def asof_orders(t):
@@ -271,7 +281,7 @@ def asof_orders(t):
 def semi_tolerance(t):
     """Orders whose total lies within a tolerance of their lines' sum."""
     sums = _lines(t).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("cents").alias("v"))
-    return joins.band_join(t("orders"), sums, ["o_orderkey"], F.col("v") - S.cents(F.col("o_totalprice")), 5_000_000, "left_semi").select("o_orderkey", "o_custkey")
+    return joins.band_join(t("orders"), sums, ["o_orderkey"], S.cents(F.col("o_totalprice")), F.col("v"), 5_000_000, "left_semi").select("o_orderkey", "o_custkey")
 
 
 @_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)")
