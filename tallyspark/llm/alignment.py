@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions.lineage import written
 
 ID_BITS, SIDE = 20, 1 << 31  # ids stay below 2 ** 20, and tokens below 2 ** 11 bytes
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 LARGE_GROUP = 1 << 14
 # The white space that the byte-level rule's \s knows.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -63,7 +63,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Sides:
     """Both tokenizers: the tokens of texts as ``length << ID_BITS | id``, and the bytes of each id."""
 
-    REMEMBERED = 300_000  # chunks in each of two generations
+    REMEMBERED = 500_000  # chunks in each of two generations
     LONG = 64  # longer chunks aren't remembered
     CUT, MARK = f"([^{WHITE}])([ \n])", "\x01"
 

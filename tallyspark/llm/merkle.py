@@ -7,7 +7,9 @@ inner node is the SHA-256 of its level and its children, and the root also takes
 roots mean equal texts; where roots differ, walking down the branches that differ finds the edits.
 
 A stored tree (column ``tree``) holds the sections and paragraphs with 12 bytes of each paragraph's hash, and 4 bytes
-and the size of each leaf. ``likeness`` and ``locate_edits`` need nothing but two stored trees, no text.
+and the size of each leaf. ``likeness`` and ``locate_edits`` need nothing but two stored trees, no text. Two different
+leaves of one size look alike there by chance once in 2 ** 32, so two texts of 10 ** 5 leaves each share about two leaves
+by chance: an error of ``likeness`` of about 0.00002. Roots are whole digests and have no such error.
 
 Likeness: the code points under leaves in common (as multisets), twice, over both texts' code points; 1 for two
 empty texts. It is symmetric and 1 for equal roots.
@@ -16,8 +18,8 @@ The next document is needed beside each document. Texts are range-partitioned an
 next document is the next row; the last row of a partition waits, and those few rows are joined to the first
 row of the following partition afterwards. No other exchange moves text.
 
-Defined cases: null is an empty text; rows with a null id come last, rows of one id are ordered by text; a
-lone document follows itself; an empty table gives no rows; ids of any size are kept exactly.
+Defined cases: null is an empty text; rows with a null id come last, rows of one id stand in the order of a hash of
+their text; a lone document follows itself; an empty table gives no rows; ids of any size are kept exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.lineage import written
+from tallyspark.llm.token_output import in_order
 
 PIECE = re.compile(r"[^.!?]{1,96}[.!?]{0,32}|[.!?]{1,128}")
 SECTION_MASK, SECTION_MOST = 7, 64
@@ -155,8 +158,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     Digests are hexadecimal; ``tree`` is the stored tree of the document.
     """
-    order = [F.col("doc_id").asc_nulls_last()]
-    placed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    placed = in_order(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
     def scan(batches):
         """Finished rows, then the partition's first and last text for the seams."""

@@ -19,8 +19,8 @@ any file system it knows works; the folder must be shared.
 
 Encoding remembers the ids of words (see ``Encoder``), which saves most of the tokenizer's work.
 
-Defined cases: null and empty texts hold only the end id; rows with a null id come last; rows of one id are
-ordered by text; an empty table writes no file and returns no rows. Ids of any size are kept exactly: they reach
+Defined cases: null and empty texts hold only the end id; rows with a null id come last; rows of one id stand in
+the order of a hash of their text; an empty table writes no file and returns no rows. Ids of any size are kept exactly: they reach
 the Python functions as text, since a batch with a null would turn whole numbers into floating ones.
 """
 
@@ -215,6 +215,16 @@ def save(folder: str, name: str, content: bytes) -> str:
     return f"{folder}/{name}"
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of ascending id, null last; rows of one id by a hash of their text, equal ones by where they come from.
+
+    So an id, or a row, that is there any number of times is split over partitions.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.col("hash"), F.col("came_from")]
+    rows = docs.select("doc_id", "text").withColumns({"hash": F.xxhash64("text"), "came_from": F.monotonically_increasing_id()})
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 MANIFEST = "path string, partition int, part int, n_docs bigint, n_ids bigint"
 
 
@@ -242,8 +252,7 @@ def write_tokens(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         if doc_ids:
             yield close()
 
-    order = [F.col("doc_id").asc_nulls_last()]
-    sorted_docs = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    sorted_docs = in_order(docs)
     return cut_lineage(sorted_docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(write, MANIFEST))
 
 

@@ -248,3 +248,19 @@ def test_archives_of_others_are_read():
         list(warc.read_stream(io.BufferedReader(io.BytesIO(record[:-7]))))
     with pytest.raises(ValueError, match="not a WARC record"):
         list(warc.read_stream(io.BufferedReader(io.BytesIO(b"HTTP/1.1 200 OK\r\n"))))
+
+
+def test_an_id_that_most_rows_have_is_split_and_stays_in_order(spark):
+    from tallyspark.llm import token_output
+
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 < 6, F.lit(500)).when(F.col("id") % 10 == 6, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 10 < 4, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, False)  # else so few rows become one partition
+    try:
+        placed = token_output.in_order(rows.repartition(3)).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    sizes = Counter(r.part for r in placed)
+    assert len(sizes) == 4 and max(sizes.values()) < 700 and len({r.part for r in placed if r.doc_id == 500 and r.text == "same"}) > 1
+    ids = [r.doc_id for r in sorted(placed, key=lambda r: r.row)]
+    assert ids == sorted(ids, key=lambda k: (k is None, k or 0)) and Counter((r.doc_id, r.text) for r in placed) == Counter(map(tuple, rows.collect()))
