@@ -31,6 +31,35 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\d,.])(\d[\d,]*(?:\.\d+)?)(?!\d)"), 1))
 
 
+def _judged(met: DataFrame, pages: DataFrame, item: str, checks: dict[str, Column]) -> DataFrame:
+    """Each candidate page of an item with ``checks`` of what was asked for against the page's text.
+
+    met: document_id, page, the item, and what the checks read as ``asked``. All that is asked of a page is gathered first,
+    so its text moves and is read once, whatever the number of candidates; the checks may use ``text``, ``even``,
+    ``words``, ``page_exhibit`` and the fields of ``asked``.
+    """
+    what = [c for c in met.columns if c not in ("document_id", "page", item)]
+    gathered = met.groupBy("document_id", "page").agg(F.collect_list(F.struct(item, *what)).alias("asked"))
+    told = pages.select("document_id", "page", "text").join(gathered, ["document_id", "page"]).withColumns({
+        "even": _evened(F.col("text")), "words": F.array_distinct(F.split("text", "[^A-Za-z0-9]+")), "page_exhibit": F.regexp_extract("text", EXHIBIT, 1),
+    })
+    each = F.transform("asked", lambda a: F.struct(a[item].alias(item), *[F.coalesce(check(a), F.lit(False)).alias(name) for name, check in checks.items()]))
+    return told.select("page", F.explode(each).alias("x")).select("page", "x.*")
+
+
+def _narrowed(found: DataFrame, item: str, ties: list[str]) -> DataFrame:
+    """The first page of each item after narrowing by one tie-break after another, never to none: page, left, candidate_pages."""
+    one = Window.partitionBy(item)
+    kept = found.withColumn("candidate_pages", F.count("*").over(one))
+    for tie in ties:
+        kept = kept.withColumn("any_left", F.max(tie).over(one)).where(F.col(tie) | ~F.col("any_left"))
+    return kept.groupBy(item).agg(F.min("page").alias("page"), F.count("*").alias("left"), F.max("candidate_pages").alias("candidate_pages"))
+
+
+def _evened(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
 def fact_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
     """The page of each fact (fact_id, document_id, pe_bli, project_number, exhibit, amount_millions).
 
@@ -39,31 +68,64 @@ def fact_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
     remaining page is taken, ``unique`` if it is the only one.
     """
     amount = F.col("amount_millions")
-    asked = facts.where(amount.isNotNull() & (amount != 0)).select("fact_id", "document_id", "pe_bli", "project_number", "exhibit", F.explode(renderings(amount)).alias("number"))
+    wanted = facts.where(amount.isNotNull() & (amount != 0))
+    asked = wanted.select("fact_id", "document_id", "pe_bli", "project_number", "exhibit", F.explode(renderings(amount)).alias("number"))
     # numbers meet without the text they are in; only pages that print a wanted number are read for the rest
     printed = pages.select("document_id", "page", F.explode(numbers(F.col("text"))).alias("number"))
     met = asked.join(printed, ["document_id", "number"]).drop("number").distinct()
-    told = pages.select("document_id", "page", "text", F.regexp_extract("text", EXHIBIT, 1).alias("page_exhibit"))
-    found = met.join(told, ["document_id", "page"]).where(F.contains("text", F.col("pe_bli")))
-    words = F.split("text", "[^A-Za-z0-9]+")
-    found = found.withColumn("on_exhibit", F.coalesce(F.col("page_exhibit") == F.col("exhibit"), F.lit(False))).withColumn("on_project", F.coalesce(F.array_contains(words, F.col("project_number")), F.lit(False)))
-    fact = Window.partitionBy("fact_id")
-    kept = found.withColumn("candidate_pages", F.count("*").over(fact)).withColumn("any_exhibit", F.max("on_exhibit").over(fact))
-    kept = kept.where(F.col("on_exhibit") | ~F.col("any_exhibit")).withColumn("any_project", F.max("on_project").over(fact))
-    kept = kept.where(F.col("on_project") | ~F.col("any_project"))
-    picked = kept.groupBy("fact_id").agg(F.min("page").alias("page"), F.count("*").alias("left"), F.max("candidate_pages").alias("candidate_pages"))
-    joined = facts.select("fact_id", "amount_millions").join(picked, "fact_id", "left")
+    found = _judged(met, pages, "fact_id", {
+        "names": lambda a: F.contains(F.col("text"), a["pe_bli"]), "on_exhibit": lambda a: F.col("page_exhibit") == a["exhibit"],
+        "on_project": lambda a: F.array_contains(F.col("words"), a["project_number"]),
+    }).where("names")
+    joined = facts.select("fact_id", "amount_millions").join(_narrowed(found, "fact_id", ["on_exhibit", "on_project"]), "fact_id", "left")
     state = F.when(amount == 0, "zero_amount").when(F.col("page").isNull(), "unresolved").when(F.col("left") == 1, "unique").otherwise("ambiguous_first")
     return joined.select("fact_id", "page", state.alias("resolution"), F.coalesce("candidate_pages", F.lit(0)).alias("candidate_pages"))
 
 
-def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = 8) -> DataFrame:
-    """First page whose text, white space evened out, holds a narrative's opening words (narrative_id, document_id, body)."""
-    even = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    opening = F.array_join(F.slice(F.split(even(F.col("body")), " "), 1, words), " ")
-    asked = narratives.select("narrative_id", "document_id", opening.alias("opening")).where("opening <> ''")
-    found = asked.join(pages.select("document_id", "page", even(F.col("text")).alias("even")), "document_id").where(F.contains("even", F.col("opening")))
-    return found.groupBy("narrative_id").agg(F.min("page").alias("page"))
+SHINGLE = 8
+OPENING = 12  # fixed value: how many words of a narrative are looked for
+
+
+def _shingles(words: Column, lengths: list[int]) -> Column:
+    """Hashes of all runs of each of ``lengths`` words, each once."""
+    size = F.size(words)
+    run = lambda n: lambda k: F.xxhash64(F.lit(n), F.array_join(F.slice(words, k, n), " "))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), run(n))).otherwise(none) for n in lengths])))
+
+
+def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENING) -> DataFrame:
+    """The page of each narrative (narrative_id, document_id, body; by choice pe_bli, project_number, exhibit).
+
+    A page is a candidate where the narrative's opening words stand, white space evened out. Pages are indexed by hashes
+    of their runs of ``SHINGLE`` words (and of as many as shorter openings have), which openings meet in an equi join by
+    their first run; only then is a page read for the whole opening. Candidates are narrowed to pages that name the
+    code, then to the exhibit and the project, never to none.
+    """
+    given = [c for c in ("pe_bli", "project_number", "exhibit") if c in narratives.columns]
+    opening = F.slice(F.split(_evened(F.col("body")), " "), 1, words)
+    asked = narratives.where(_evened(F.col("body")) != "").select("narrative_id", "document_id", *given, opening.alias("opening"))
+    short = [r.n for r in asked.select(F.least(F.size("opening"), F.lit(SHINGLE)).alias("n")).distinct().collect()]  # 8 lengths at most
+    lengths = sorted(short)
+    if not lengths:
+        return narratives.select("narrative_id", F.lit(None).cast("int").alias("page"), F.lit("unresolved").alias("resolution"), F.lit(0).cast("bigint").alias("candidate_pages"))
+    size = F.least(F.size("opening"), F.lit(SHINGLE))
+    first = F.xxhash64(size, F.array_join(F.slice("opening", F.lit(1), size), " "))
+    keyed = asked.withColumn("shingle", first)
+    index = pages.select("document_id", "page", F.explode(_shingles(F.split(_evened(F.col("text")), " "), lengths)).alias("shingle"))
+    index = index.join(keyed.select("document_id", "shingle").distinct(), ["document_id", "shingle"], "left_semi")
+    met = index.join(keyed, ["document_id", "shingle"]).drop("shingle")
+    spaced = lambda text: F.concat(F.lit(" "), text, F.lit(" "))
+    checks = {"names": lambda a: F.contains(spaced(F.col("even")), spaced(F.array_join(a["opening"], " ")))}
+    ties = {
+        "pe_bli": ("on_code", lambda a: F.contains(F.col("even"), a["pe_bli"])), "exhibit": ("on_exhibit", lambda a: F.col("page_exhibit") == a["exhibit"]),
+        "project_number": ("on_project", lambda a: F.array_contains(F.col("words"), a["project_number"])),
+    }
+    checks |= {name: check for column, (name, check) in ties.items() if column in given}
+    found = _judged(met, pages, "narrative_id", checks).where("names")
+    joined = narratives.select("narrative_id").join(_narrowed(found, "narrative_id", [n for n in checks if n != "names"]), "narrative_id", "left")
+    state = F.when(F.col("page").isNull(), "unresolved").when(F.col("left") == 1, "unique").otherwise("ambiguous_first")
+    return joined.select("narrative_id", "page", state.alias("resolution"), F.coalesce("candidate_pages", F.lit(0)).alias("candidate_pages"))
 
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()

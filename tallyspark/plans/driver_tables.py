@@ -261,9 +261,9 @@ def band_join(t):
   FROM part p LEFT JOIN part q ON nullif(p.p_size, 1) IS NOT DISTINCT FROM nullif(q.p_size, 1) AND abs(p.p_retailprice - q.p_retailprice) < 2.5 AND p.p_brand = q.p_brand AND q.p_partkey % 2 = 0 GROUP BY p.p_partkey""")
 def band_partners(t):
     """How many even parts of a part's size and brand lie within a price band; a size that is unknown is a size."""
-    sized = t("part").select("p_partkey", "p_retailprice", "p_brand", F.nullif(c("p_size"), F.lit(1)).alias("size"))
-    others = sized.where("p_partkey % 2 = 0").select(c("p_partkey").alias("near_part"), c("p_retailprice").alias("near_price"), "p_brand", "size")
-    found = joins.band_join(sized, others, ["size", "p_brand"], c("p_retailprice"), c("near_price"), 2.5, "left", null_safe=True)
+    sized = t("part").select("p_partkey", "p_retailprice", "p_brand", F.nullif(F.col("p_size"), F.lit(1)).alias("size"))
+    others = sized.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("near_part"), F.col("p_retailprice").alias("near_price"), "p_brand", "size")
+    found = joins.band_join(sized, others, ["size", "p_brand"], F.col("p_retailprice"), F.col("near_price"), 2.5, "left", null_safe=True)
     return found.groupBy("p_partkey").agg(F.count("near_part").alias("n_near"), F.min("near_part").alias("first_near"))
 
 
@@ -414,7 +414,7 @@ def contiguous_containment(t):
 @_query(r"""WITH w AS (SELECT item_id, regexp_split_to_array(upper(text), '[^A-Z0-9]+') AS a FROM benchmark),
   t AS (SELECT item_id, term, min(place) AS place FROM (SELECT item_id, unnest(a) AS term, generate_subscripts(a, 1) AS place FROM w) WHERE length(term) >= 9 GROUP BY item_id, term),
   d AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(upper(text), '[^A-Z0-9]+'))) AS term FROM documents)
-  SELECT doc_id, item_id, 'title_tokens' AS evidence, string_agg(term, '|' ORDER BY place) AS matched FROM d JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 2""")
+  SELECT doc_id, item_id, 'multi_token' AS evidence, string_agg(term, '|' ORDER BY place) AS matched FROM d JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 2""")
 def mention_tiers(t):
     """Documents that mention an item by two telling words or more; a word counts for every item that has it."""
     terms = matching.title_terms(t("benchmark"), "item_id", "text", least=9)

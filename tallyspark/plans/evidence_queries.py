@@ -285,7 +285,7 @@ def _mention_texts(t) -> DataFrame:
   b AS (SELECT DISTINCT p_brand AS pe, CAST(substr(p_brand, 7) AS INT) AS b FROM part), h AS (SELECT DISTINCT filing, pe, 'code' AS kind, upper(pe) AS term FROM f JOIN b ON f.p_brand = b.pe WHERE n = 1
     UNION SELECT filing, pe, 'alias', 'JOINT F-' || b.b || ' FIGHTER' FROM f JOIN b ON b.b = f.b WHERE n = 2 UNION SELECT filing, pe, 'title', 'QUUXLY' FROM f, b WHERE n = 3 OR n > 3 UNION SELECT filing, pe, 'title', 'FROBBER' FROM f, b WHERE n > 3),
   g AS (SELECT filing, pe, bool_or(kind = 'code') AS c, max(term) FILTER (kind = 'alias') AS a, count(DISTINCT term) FILTER (kind = 'title') AS k FROM h GROUP BY ALL)
-  SELECT filing, pe AS p_brand, CASE WHEN c THEN 'code' WHEN a IS NOT NULL THEN 'alias' ELSE 'title_tokens' END AS evidence, CASE WHEN c THEN upper(pe) WHEN a IS NOT NULL THEN a ELSE 'FROBBER|QUUXLY' END AS matched FROM g WHERE c OR a IS NOT NULL OR k >= 2""")
+  SELECT filing, pe AS p_brand, CASE WHEN c THEN 'pe_literal' WHEN a IS NOT NULL THEN 'alias' ELSE 'multi_token' END AS evidence, CASE WHEN c THEN upper(pe) WHEN a IS NOT NULL THEN a ELSE 'FROBBER|QUUXLY' END AS matched FROM g WHERE c OR a IS NOT NULL OR k >= 2""")
 def program_mentions(t):
     """Filings that name programs: by code, by an alias of several words, or by two title words that programs share."""
     return matching.mentions(_mention_texts(t), _mention_terms(t), "filing", "description", "p_brand").drop("snippet")
@@ -300,13 +300,13 @@ def match_articles(t):
     return matching.match_articles(items, _mention_terms(t), "filing", "text", "p_brand")
 
 
-@_query("""SELECT p_brand, CASE WHEN l_linenumber = 4 THEN 'hunch' ELSE 'title_tokens' END AS evidence, CASE WHEN l_linenumber = 3 THEN 'QUUXLY' ELSE 'FROBBER|FRIGATE' END AS matched, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber IN (3, 4) GROUP BY ALL""")
+@_query("""SELECT p_brand, CASE WHEN l_linenumber = 4 THEN 'hunch' ELSE 'multi_token' END AS evidence, CASE WHEN l_linenumber = 3 THEN 'QUUXLY' ELSE 'FROBBER|FRIGATE' END AS matched, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber IN (3, 4) GROUP BY ALL""")
 def dq_weak_evidence(t):
     """Mentions of one stop word or of no accepted kind, which no gate may let through."""
     rows = t("lineitem").join(t("part"), c("l_partkey") == c("p_partkey"))
     matched = F.when(c("l_linenumber") == 3, "QUUXLY").otherwise("FROBBER|FRIGATE")
-    marked = rows.select("p_brand", F.when(c("l_linenumber") == 4, "hunch").otherwise("title_tokens").alias("evidence"), matched.alias("matched"))
-    return DQ.weak_evidence(marked, ["code", "alias", "title_tokens"], ["QUUXLY"]).groupBy("p_brand", "evidence", "matched").agg(F.count("*").alias("n"))
+    marked = rows.select("p_brand", F.when(c("l_linenumber") == 4, "hunch").otherwise("multi_token").alias("evidence"), matched.alias("matched"))
+    return DQ.weak_evidence(marked, ["pe_literal", "alias", "multi_token"], ["QUUXLY"]).groupBy("p_brand", "evidence", "matched").agg(F.count("*").alias("n"))
 
 
 @_query(r"""WITH r AS (SELECT s_suppkey AS report_id, 'S' || (s_nationkey % 4) AS service, CASE WHEN s_suppkey % 2 = 0 THEN lower(p.p_name) ELSE p.p_name || ' program of the future' END AS name, p.p_name || ' (NEW)' AS full_name FROM supplier JOIN part p ON p_partkey = s_suppkey),
@@ -647,12 +647,24 @@ def fact_pages(t):
     return pages.fact_pages(_fact_rows(t), book)
 
 
-@_query("""WITH n AS (SELECT 'n' || p_partkey AS narrative_id, p_partkey % 9 AS d, p_partkey % 50 AS k FROM part) SELECT n.narrative_id, min(g.p_partkey) AS page FROM n JOIN part g ON g.p_partkey % 9 = n.d AND g.p_partkey % 50 = n.k GROUP BY ALL""")
+@_query("""WITH n AS (SELECT 'n' || p_partkey AS narrative_id, p_partkey % 9 AS d, p_partkey % 50 AS k, p_partkey % 2 AS pe, p_size % 3 AS pr FROM part),
+  j AS (SELECT narrative_id, p_partkey AS page, p_size % 2 = pe AS on_code, p_partkey % 3 = pr AS on_project FROM n JOIN part g ON g.p_partkey % 9 = n.d AND g.p_partkey % 50 = n.k AND g.p_size <> 7),
+  c AS (SELECT *, count(*) OVER w AS n_pages, bool_or(on_code) OVER w AS any_code FROM j WINDOW w AS (PARTITION BY narrative_id)),
+  e AS (SELECT *, bool_or(on_project) OVER (PARTITION BY narrative_id) AS any_project FROM c WHERE on_code OR NOT any_code),
+  p AS (SELECT narrative_id, min(page) AS page, count(*) AS kept, max(n_pages) AS n_pages FROM e WHERE on_project OR NOT any_project GROUP BY narrative_id)
+  SELECT n.narrative_id, page, CASE WHEN page IS NULL THEN 'unresolved' WHEN kept = 1 THEN 'unique' ELSE 'ambiguous_first' END AS resolution, coalesce(n_pages, 0) AS candidate_pages
+  FROM n LEFT JOIN p USING (narrative_id)""")
 def narrative_pages(t):
-    """The first page with a narrative's opening words, white space evened out."""
-    opening = lambda gap: F.concat(F.lit("This"), F.lit(gap), F.lit("effort number "), _text(c("p_partkey") % 50), F.lit(" funds the work on many"), F.lit(gap), F.lit("parts"))
-    told = t("part").select(F.concat(F.lit("n"), _text("p_partkey")).alias("narrative_id"), (c("p_partkey") % 9).alias("document_id"), F.concat(opening(" "), F.lit(" and what follows "), _text("p_partkey")).alias("body"))
-    book = t("part").select((c("p_partkey") % 9).alias("document_id"), c("p_partkey").alias("page"), F.concat(F.lit("Page head. "), opening("\n  "), F.lit(" and more")).alias("text"))
+    """The page with a narrative's opening words, white space evened out, narrowed to its code and project."""
+    opening = lambda gap: F.concat(F.lit("This"), F.lit(gap), F.lit("effort number "), _text(c("p_partkey") % 50), F.lit(" funds the work on many"), F.lit(gap), F.lit("parts of it"))
+    code, project = (lambda n: F.concat(F.lit("060"), _text(n), F.lit("A"))), (lambda n: F.concat(F.lit("P"), _text(n)))
+    told = t("part").select(
+        F.concat(F.lit("n"), _text("p_partkey")).alias("narrative_id"), (c("p_partkey") % 9).alias("document_id"), code(c("p_partkey") % 2).alias("pe_bli"), project(c("p_size") % 3).alias("project_number"),
+        F.lit("R-2").alias("exhibit"), F.concat(opening(" "), F.lit(" and what follows "), _text("p_partkey")).alias("body"),
+    )
+    head = F.concat(F.lit("Page of "), code(c("p_size") % 2), F.lit(", project "), project(c("p_partkey") % 3), F.lit(". "))
+    shown = F.when(c("p_size") == 7, F.concat(F.lit("No"), opening(" "))).otherwise(F.concat(opening("\n  "), F.lit(" and what else"))) # a word that only ends in the first one is another word
+    book = t("part").select((c("p_partkey") % 9).alias("document_id"), c("p_partkey").alias("page"), F.concat(head, shown, F.lit(" and more")).alias("text"))
     return pages.narrative_pages(told, book)
 
 

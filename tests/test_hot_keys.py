@@ -80,3 +80,52 @@ def test_band_join_of_a_key_with_all_rows_makes_no_product(spark):
     same = left.withColumn("a", F.lit(5.0))
     assert joins.band_join(same, same.withColumnRenamed("a", "b"), ["k"], F.col("a"), F.col("b"), 1.5, "left_semi").count() == n
     assert time.time() - began < 120
+
+
+def test_terms_that_begin_alike_meet_by_their_rarest_word(spark):
+    """Ten thousand terms that begin with NAVY, and five thousand texts with NAVY AIR in them: fifty million pairs by the first word."""
+    from tallyspark.operators import matching
+
+    began = time.time()
+    words = F.concat(F.lit("NAVY AIR item"), F.col("id").cast("string"))
+    terms = spark.range(10_000).select(words.alias("term")).union(spark.createDataFrame([("navy",), ("AN/APG-81",), ("Air  Navy",), ("NAVY nothing",), ("--",)], "term string"))
+    texts = spark.range(5000).select(F.col("id").alias("i"), F.concat(F.lit("The Navy air item"), (F.col("id") * 3).cast("string"), F.lit(", the AN/APG-81's. Navy Air")).alias("t"))
+    got = matching.term_hits(texts, terms, "i", "t")
+    by_term = {r[0]: r[1] for r in got.groupBy(F.when(F.col("term").contains("item"), "items").otherwise(F.col("term")).alias("k")).count().collect()}
+    assert by_term == {"items": 3334, "navy": 5000, "AN/APG-81": 5000} and time.time() - began < 60
+
+
+def test_term_hits_equal_a_search_for_each_term(spark):
+    import re
+
+    from tallyspark.operators import matching
+
+    terms = ["F-35", "joint strike", "STRIKE", "a.b", "é", "\\Q", "x y", "Joint", "35"]
+    texts = ["the F-35 joint  strike", "f-35a Joint strike fighter", "a.b aXb", "x y", "x  y", "", None, "STRIKE-35", "xjoint", "a b a.b."]
+    want = {(k, t) for k, text in enumerate(texts) for t in terms if text and re.search(r"[A-Z0-9]", t.upper()) and re.search(rf"(?<![A-Z0-9]){re.escape(t.upper())}(?![A-Z0-9])", text.upper())}
+    got = matching.term_hits(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), spark.createDataFrame([(t,) for t in [*terms, "strike", None]], "term string"), "i", "t")
+    assert {(r.i, r.term) for r in got.collect()} == want | {(i, "strike") for i, t in want if t == "STRIKE"}
+
+
+def test_a_document_of_many_pages_and_narratives_is_no_product(spark):
+    """Ten thousand pages and as many narratives of one document would be a hundred million pairs."""
+    from tallyspark.operators import pages
+
+    began, x = time.time(), F.col("id")
+    body = lambda n, gap: F.concat_ws(gap, F.lit("This line number"), n.cast("string"), F.lit("tells what the money of the year is for in this book"))
+    book = spark.range(10_000).select(F.lit(1).alias("document_id"), x.cast("int").alias("page"), F.concat(F.lit("Head. "), body(x, "\n ")).alias("text"))
+    told = spark.range(10_000).select(x.alias("narrative_id"), F.lit(1).alias("document_id"), body(x * 2, " ").alias("body"))
+    got = {r.narrative_id: (r.page, r.resolution) for r in pages.narrative_pages(told, book).collect()}
+    assert got[7] == (14, "unique") and got[6000] == (None, "unresolved") and sum(p is not None for p, _ in got.values()) == 5000
+    assert time.time() - began < 90
+
+
+def test_short_and_odd_openings(spark):
+    from tallyspark.operators import pages
+
+    book = spark.createDataFrame([(1, 1, "One two three."), (1, 2, "zero one two\n\nthree four"), (1, 3, None), (2, 1, "one two")], "document_id int, page int, text string")
+    told = spark.createDataFrame([(1, 1, "one  two"), (2, 1, "two three four five"), (3, 1, None), (4, 1, "  "), (5, 2, "one"), (6, 2, "One"), (7, 1, "two three.")], "narrative_id int, document_id int, body string")
+    got = {r.narrative_id: (r.page, r.resolution, r.candidate_pages) for r in pages.narrative_pages(told, book).collect()}
+    nothing = (None, "unresolved", 0)
+    assert got == {1: (2, "unique", 1), 2: nothing, 3: nothing, 4: nothing, 5: (1, "unique", 1), 6: nothing, 7: (1, "unique", 1)}
+    assert {r.resolution for r in pages.narrative_pages(told.where("narrative_id = 3"), book).collect()} == {"unresolved"}

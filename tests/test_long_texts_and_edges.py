@@ -70,8 +70,8 @@ def test_terms_of_several_words_and_signs(spark):
     filings = spark.createDataFrame(texts, "f string, d string")
     found = {(r.f, r.p): (r.evidence, r.matched, r.snippet) for r in matching.mentions(filings, terms, "f", "d", "p").collect()}
     assert found == {
-        ("a", "P1"): ("alias", "JOINT STRIKE FIGHTER", "the joint strike fighter and more"), ("c", "P1"): ("alias", "F-35", "an f-35, yes"), ("d", "P1"): ("title_tokens", "GROUND|MIDCOURSE", "ground"),
-        ("g", "P2"): ("alias", "STATION", "a station p1"), ("g", "P1"): ("code", "P1", "a station p1"),
+        ("a", "P1"): ("alias", "JOINT STRIKE FIGHTER", "the joint strike fighter and more"), ("c", "P1"): ("alias", "F-35", "an f-35, yes"), ("d", "P1"): ("multi_token", "GROUND|MIDCOURSE", "ground"),
+        ("g", "P2"): ("alias", "STATION", "a station p1"), ("g", "P1"): ("pe_literal", "P1", "a station p1"),
     }
 
 
