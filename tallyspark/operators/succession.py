@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.lineage import written
 from tallyspark.functions.scalars import fact_id
 from tallyspark.operators.chains import drop_mirrored
 from tallyspark.operators.picks import pick_first
 
-# A program code; a clause, which a point between digits doesn't end; the rules in order of preference.
+# A program code; a clause, which a point between digits doesn't end; the rules in order of preference;
+# the last one holds for codes that stand before the last place where something is handed on.
 CODE = r"(\d{7}(?:[A-Z][A-Z0-9]{0,3})?)"
 # The quantifiers are possessive, so that a clause of any length is read without a step of recursion a character.
 CLAUSE = r"(?:[^.:]|(?<=\d)\.(?=\d))[^.:]*+(?:(?<=\d)\.(?=\d)[^.:]*+)*+(?:[.:]|$)"
 _PROGRAM = r"(?:PE|program element)\s+"
+HANDED_ON = rf"(?:transferred?|realign\w*)\s+to\s+{_PROGRAM}\d"
 RULES = [
     (rf"transferred?\s+from\s+{_PROGRAM}{CODE}", "from", "realigned"),
     (rf"realign\w*\s+from\s+{_PROGRAM}{CODE}", "from", "realigned"),
@@ -21,7 +24,7 @@ RULES = [
     (rf"formerly\s+{_PROGRAM}{CODE}", "from", "renamed"),
     (rf"transferred?\s+to\s+{_PROGRAM}{CODE}", "to", "realigned"),
     (rf"realign\w*\s+to\s+{_PROGRAM}{CODE}", "to", "realigned"),
-    (rf"(?<!to )(?<!from ){_PROGRAM}{CODE}(?=(?s:.*?)(?:transferred?|realign\w*)\s+to\s+{_PROGRAM}\d)", "from", "realigned"),
+    (rf"(?<!to )(?<!from ){_PROGRAM}{CODE}", "before handing on", "realigned"),
 ]
 # Verbs that make a clause worth reading, more of them than the rules know.
 VERBS = (
@@ -33,8 +36,9 @@ NEGATIONS = ["erroneously", "in error", "incorrectly", "realigned back", "transf
 def clauses(narratives: DataFrame, body: str = "body") -> DataFrame:
     """One row a clause with its position and the clause after it, beside the narrative's other columns."""
     others = [c for c in narratives.columns if c != body]
-    found = narratives.select(*others, F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(CLAUSE), 0).alias("all"))
-    return found.select(*others, "all", F.posexplode("all").alias("pos", "clause")).withColumn("following", F.get("all", F.col("pos") + 1)).drop("all")
+    found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(CLAUSE), 0)
+    paired = F.arrays_zip(found.alias("clause"), F.slice(found, 2, F.greatest(F.size(found), F.lit(1))).alias("following"))
+    return narratives.select(*others, F.posexplode(paired).alias("pos", "x")).select(*others, "pos", "x.clause", "x.following")
 
 
 def clause_candidates(narratives: DataFrame) -> DataFrame:
@@ -65,8 +69,13 @@ def _named_by(clause: Column, rank: int, pattern: str, relation: str) -> Column:
 
 
 def _matches(clause: Column, way: str) -> Column:
-    """All codes a clause names in one direction, as (rank of the rule, code, relation)."""
-    return F.concat(*[_named_by(clause, k, pattern, relation) for k, (pattern, direction, relation) in enumerate(RULES) if direction == way])
+    """All codes a clause names in one direction, as (rank of the rule, code, relation).
+
+    Where the clause last hands something on is found once, so its time goes with its length.
+    """
+    before = F.regexp_extract(clause, rf"(?is)^(.*){HANDED_ON}", 1)
+    told = {way: clause} | ({"before handing on": before} if way == "from" else {})
+    return F.concat(*[_named_by(told[direction], k, pattern, relation) for k, (pattern, direction, relation) in enumerate(RULES) if direction in told])
 
 
 def named_pairs(clause: Column) -> Column:
@@ -74,7 +83,9 @@ def named_pairs(clause: Column) -> Column:
     pair = lambda f, t: F.struct(
         f["code"].alias("src"), t["code"].alias("dst"), (f["rank"] * 100 + t["rank"]).alias("rank"), F.when(f["relation"] == "renamed", t["relation"]).otherwise(f["relation"]).alias("relation")
     )
-    crossed = F.flatten(F.transform(_matches(clause, "from"), lambda f: F.transform(_matches(clause, "to"), lambda t: pair(f, t))))
+    # an array of one element gives both lists a name, so the rules read the clause once and not once a pair
+    both = F.array(F.struct(_matches(clause, "from").alias("f"), _matches(clause, "to").alias("t")))
+    crossed = F.flatten(F.transform(both, lambda x: F.flatten(F.transform(x["f"], lambda f: F.transform(x["t"], lambda t: pair(f, t))))))
     return F.filter(crossed, lambda p: p["src"] != p["dst"])
 
 
@@ -92,12 +103,18 @@ def stated_edges(narratives: DataFrame) -> DataFrame:
         F.transform("froms", lambda f: F.struct(f["code"].alias("src"), own.alias("dst"), f["rank"].alias("rank"), f["relation"].alias("relation"))),
         F.transform("tos", lambda t: F.struct(own.alias("src"), t["code"].alias("dst"), (t["rank"] + 50).alias("rank"), t["relation"].alias("relation"))),
     )
-    pairs = read.withColumn("named", named_pairs(F.col("clause"))).withColumn("p", F.explode(F.when(F.size("named") > 0, F.col("named")).otherwise(F.filter(single, lambda p: p["src"] != p["dst"]))))
-    rows = pairs.select("fiscal_year", "fact_id", "pos", "clause", "following", F.col("p.src").alias("src"), F.col("p.dst").alias("dst"), F.col("p.rank").alias("rank"), F.col("p.relation").alias("relation"))
-    taken_back = has_negation(F.col("clause")) | (has_negation(F.col("following")) & (names_code(F.col("following"), F.col("src")) | names_code(F.col("following"), F.col("dst"))))
-    first = pick_first(rows.where(~taken_back), ["src", "dst"], [F.desc("fiscal_year"), F.asc_nulls_last("fact_id"), F.asc("pos"), F.asc("rank"), F.asc("clause")])
+    named = named_pairs(F.col("clause"))
+    pairs = read.withColumn("pairs", F.when(F.size(named) > 0, named).otherwise(F.filter(single, lambda p: p["src"] != p["dst"])))
+    # what the next clause names is looked up once a clause, and clauses are found again by their digest: a pair carries no text
+    names = F.array_distinct(F.when(has_negation(F.col("following")), F.split("following", "[^A-Za-z0-9]+")).otherwise(F.array().cast("array<string>")))
+    kept = pairs.where(~has_negation(F.col("clause"))).withColumn("back", names)
+    kept = kept.withColumn("pairs", F.filter("pairs", lambda p: ~F.array_contains("back", p["src"]) & ~F.array_contains("back", p["dst"])))
+    read = written(kept.where(F.size("pairs") > 0).select("fiscal_year", "fact_id", "pos", "clause", F.sha2("clause", 256).alias("told"), "pairs"), "stated-clauses")
+    rows = read.select("fiscal_year", "fact_id", "pos", "told", F.explode("pairs").alias("p")).select("fiscal_year", "fact_id", "pos", "told", "p.src", "p.dst", "p.rank", "p.relation")
+    first = pick_first(rows, ["src", "dst"], [F.desc("fiscal_year"), F.asc_nulls_last("fact_id"), F.asc("pos"), F.asc("rank"), F.asc("told")])
     told = F.trim("clause")
-    return first.select(
+    clause_texts = read.select("told", "clause").dropDuplicates(["told"])
+    return first.join(clause_texts, "told").select(
         "src", "dst", "fiscal_year", "relation", F.lit("stated").alias("confidence"), F.col("fact_id").alias("evidence_fact_id"), told.alias("evidence_sentence"),
         fact_id(F.col("src"), F.col("dst"), F.col("fiscal_year"), F.col("relation"), told).alias("edge_fact_id"),
     )

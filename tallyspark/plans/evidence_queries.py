@@ -132,6 +132,21 @@ def longest_path_steps(t):
     return chains.longest_path_steps(by_nation.unionByName(by_customer).distinct())
 
 
+@_query("""WITH RECURSIVE k AS (SELECT DISTINCT s_suppkey AS src, (s_suppkey * 17 + s_nationkey) % 97 AS dst FROM supplier WHERE s_suppkey <> (s_suppkey * 17 + s_nationkey) % 97),
+  nodes AS (SELECT s_suppkey AS node FROM supplier UNION SELECT (s_suppkey * 17 + s_nationkey) % 97 FROM supplier),
+  r(a, b) AS (SELECT src, dst FROM k UNION SELECT a, dst FROM r JOIN k ON b = src),
+  cycles AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+  held AS (SELECT node FROM cycles UNION SELECT r.b FROM r JOIN cycles ON r.a = node),
+  p(node, step) AS (SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT dst FROM k) UNION SELECT dst, step + 1 FROM p JOIN k ON src = node WHERE dst NOT IN (SELECT node FROM held)),
+  s AS (SELECT node, max(step) AS step FROM p GROUP BY node)
+  SELECT CAST(nodes.node AS BIGINT) AS node, CAST(coalesce(s.step, (SELECT coalesce(max(step), -1) + 1 FROM s)) AS INT) AS step, s.step IS NULL AS cyclic, CAST(component AS BIGINT) AS component
+  FROM nodes LEFT JOIN s USING (node) LEFT JOIN cycles USING (node)""")
+def layers_over_cycles(t):
+    """Layers of a graph with cycles: what lies on or behind one is parked, and each cycle is named by its smallest node."""
+    edges = t("supplier").select(c("s_suppkey").cast("bigint").alias("src"), ((c("s_suppkey") * 17 + c("s_nationkey")) % 97).cast("bigint").alias("dst"))
+    return chains.longest_path_steps(edges).join(chains.cycle_components(edges), "node", "left")
+
+
 @_query("""WITH RECURSIVE e AS (SELECT n_nationkey AS src, CASE WHEN n_nationkey % 5 = 4 THEN CASE WHEN n_regionkey = 4 THEN n_nationkey - 4 END ELSE n_nationkey + 1 END AS dst FROM nation), k AS (SELECT * FROM e WHERE dst IS NOT NULL AND src <> dst),
   o AS (SELECT * FROM k WHERE src IN (SELECT src FROM k GROUP BY src HAVING count(*) = 1) AND dst IN (SELECT dst FROM k GROUP BY dst HAVING count(*) = 1)),
   u AS (SELECT src AS a, dst AS b FROM o UNION SELECT dst, src FROM o), r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),

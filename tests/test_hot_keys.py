@@ -129,3 +129,62 @@ def test_short_and_odd_openings(spark):
     nothing = (None, "unresolved", 0)
     assert got == {1: (2, "unique", 1), 2: nothing, 3: nothing, 4: nothing, 5: (1, "unique", 1), 6: nothing, 7: (1, "unique", 1)}
     assert {r.resolution for r in pages.narrative_pages(told.where("narrative_id = 3"), book).collect()} == {"unresolved"}
+
+
+def steps_by_hand(edges):
+    """Layers by removing free nodes one layer after another; components by reachability."""
+    nodes = {n for e in edges for n in e if n is not None}
+    left, steps, k = {(a, b) for a, b in edges if a is not None and b is not None and a != b}, {}, 0
+    links = set(left)
+    while free := [n for n in nodes - set(steps) if not any(b == n for _, b in left)]:
+        steps |= {n: k for n in free}
+        left = {(a, b) for a, b in left if a not in steps}
+        k += 1
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in links:
+            reach[a] |= reach[b]
+    on_cycle = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes if any(m != n and m in reach[n] and n in reach[m] for m in nodes)}
+    return {n: (steps.get(n, k), n not in steps) for n in nodes}, on_cycle
+
+
+GRAPHS = [
+    [], [("a", "b")], [("a", "a")], [("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("b", "d")],
+    [("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "e"), ("x", "e"), ("e", "f"), ("f", "e"), ("q", "r"), (None, "z")],
+    [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("a", "f"), ("f", "g"), ("g", "h"), ("h", "f"), ("g", "i")],
+]
+
+
+@pytest.mark.parametrize("k", range(len(GRAPHS) + 3))
+def test_layers_and_cycles_equal_plain_loops(spark, k):
+    import random
+
+    from tallyspark.operators import chains
+
+    rng = random.Random(k)
+    edges = GRAPHS[k] if k < len(GRAPHS) else [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 25)}") for _ in range(8 + 12 * (k - len(GRAPHS)))]
+    steps, components = steps_by_hand(edges)
+    df = spark.createDataFrame(edges, "src string, dst string")
+    assert {r.node: (r.step, r.cyclic) for r in chains.longest_path_steps(df).collect()} == steps
+    assert {r.node: r.component for r in chains.cycle_components(df).collect()} == components
+
+
+def test_a_long_path_and_a_long_ring_take_few_rounds(spark):
+    from tallyspark.operators import chains
+
+    n, began = 10_000, time.time()
+    path = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = chains.longest_path_steps(path).agg(F.max("step"), F.count("*"), F.sum(F.abs(F.col("step") - F.col("node")))).first()
+    assert tuple(got) == (n, n + 1, 0) and time.time() - began < 120
+    ring = path.withColumn("dst", F.col("dst") % n)
+    assert [tuple(r) for r in chains.cycle_components(ring).groupBy("component").count().collect()] == [(0, n)]
+
+
+def test_clause_rules_take_time_by_the_clause(spark):
+    from tallyspark.operators import succession
+
+    names = " and ".join(f"PE {1000000 + k}A" for k in range(12_000))
+    df = spark.createDataFrame([(f"{names} were transferred to PE 0601102A as planned.",)], "clause string").coalesce(1)
+    began = time.time()
+    assert df.select(F.size(succession.named_pairs(F.col("clause"))).alias("n")).first().n == 12_000
+    assert time.time() - began < 10
