@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from tallyspark.functions import scalars as S
 from tallyspark.functions.lineage import new_folder
-from tallyspark.operators import gates, ledger
+from tallyspark.operators import gates, ledger, merges
 from tallyspark.plans.driver_tables import _query
 from tallyspark.sources import budget_xml, tables
 from tallyspark.streaming.ingest import ingest_new_files, read_ingested
@@ -83,22 +83,68 @@ def seed_table(t):
 
 @_query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(year(o_orderdate) AS VARCHAR) AS fy FROM orders WHERE o_custkey % 10 <> 0")
 def ingested_files(t):
-    """Landed files taken once by the stream, whatever was asked twice; rows without an id are set aside."""
+    """Landed files taken once, whatever was asked twice, landed again by another name, or forgotten by the stream; rows without an id are set aside."""
     rows = t("orders").select(F.when(c("o_custkey") % 10 != 0, c("o_orderkey").cast("string")).alias("id"), F.year("o_orderdate").cast("string").alias("fy"))
     spark = rows.sparkSession
-    landing, out, checkpoint = (new_folder(spark, n) for n in ("landing", "ingested", "ledger"))
+    landing, out, checkpoint, other = (new_folder(spark, n) for n in ("landing", "ingested", "stream", "stream"))
     schema = tables.text_schema("id", "fy")
-    for part in (0, 1):
-        rows.where(F.pmod(F.xxhash64("id", "fy"), F.lit(2)) == part).write.mode("append").option("header", True).csv(landing)
-        for _ in range(2):
-            ingest_new_files(spark, landing, out, checkpoint, schema, ["id"])
+    part = lambda k: rows.where(F.pmod(F.xxhash64("id", "fy"), F.lit(2)) == k)
+    for k, ledger_of in ((0, checkpoint), (1, checkpoint), (0, other)):
+        part(k).orderBy("id").coalesce(1).write.mode("append").option("header", True).csv(landing)
+        ingest_new_files(spark, landing, out, ledger_of, schema, ["id"])
     return read_ingested(spark, out, schema)
 
 
+@_query("""WITH RECURSIVE s AS (SELECT c_custkey, 'tokens' AS method, CAST(round(c_acctbal * 100) AS BIGINT) AS v FROM customer),
+  b AS (SELECT o_custkey AS c_custkey, CASE WHEN o_custkey % 3 = 0 THEN 'adjudicated' ELSE 'tokens' END AS method, CAST(max(o_orderkey) AS BIGINT) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL),
+  e AS (SELECT o_custkey AS c_custkey, 'tokens' AS method, CAST(min(o_orderkey) AS BIGINT) AS v FROM orders WHERE o_custkey % 2 = 0 GROUP BY ALL),
+  u AS (SELECT *, 0 AS n FROM s UNION ALL SELECT *, 1 FROM b UNION ALL SELECT *, 2 FROM e)
+  SELECT c_custkey, method, v FROM u QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY CASE method WHEN 'adjudicated' THEN 0 ELSE 1 END, n DESC) = 1""")
+def merged_table(t):
+    """A table in buckets of its keys after two batches, where a stronger method isn't overwritten by a weaker one."""
+    standing = t("customer").select(c("c_custkey").cast("bigint").alias("c_custkey"), F.lit("tokens").alias("method"), S.cents(c("c_acctbal")).alias("v"))
+    path, rank = new_folder(standing.sparkSession, "merged"), F.when(c("method") == "adjudicated", 0).otherwise(1)
+    merges.write_buckets(standing, path, ["c_custkey"], 16)
+    key = c("o_custkey").cast("bigint").alias("c_custkey")
+    first = t("orders").where("o_orderstatus = 'F'").groupBy(key).agg(F.max("o_orderkey").cast("bigint").alias("v")).select("c_custkey", F.when(c("c_custkey") % 3 == 0, "adjudicated").otherwise("tokens").alias("method"), "v")
+    second = t("orders").where("o_custkey % 2 = 0").groupBy(key).agg(F.min("o_orderkey").cast("bigint").alias("v")).select("c_custkey", F.lit("tokens").alias("method"), "v")
+    for batch in (first, second):
+        merges.upsert_into(path, batch, ["c_custkey"], 16, rank)
+    return merges.read_buckets(standing.sparkSession, path, standing.schema)
+
+
+@_query("""WITH b AS (SELECT o_custkey AS document_id, o_orderkey AS line, o_orderstatus = 'F' AS early FROM orders), n AS (SELECT DISTINCT document_id FROM b WHERE NOT early)
+  SELECT document_id, line, early AND document_id IN (SELECT document_id FROM n) AS superseded FROM b""")
+def superseded_table(t):
+    """A table in buckets of its documents after a batch: standing lines of the batch's documents are flagged, none is deleted."""
+    lines = t("orders").select(c("o_custkey").alias("document_id"), c("o_orderkey").alias("line"), F.lit(False).alias("superseded"), "o_orderstatus")
+    path = new_folder(lines.sparkSession, "superseded")
+    early = lines.where("o_orderstatus = 'F'").drop("o_orderstatus")
+    merges.write_buckets(early, path, ["document_id"], 16)
+    merges.supersede_into(path, lines.where("o_orderstatus <> 'F'").drop("o_orderstatus"), "document_id", 16)
+    return merges.read_buckets(lines.sparkSession, path, early.schema)
+
+
+@_query("SELECT p_partkey, p_brand, p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, CASE WHEN p_brand < 'Brand#2' THEN p_name END AS title FROM part")
+def reloaded_partitions(t):
+    """Editions reloaded with their titles: those whose sums don't drift are swapped in, one that drifts changes nothing."""
+    parts = t("part").select("p_partkey", "p_brand", "p_size", S.cents(c("p_retailprice")).alias("cents"), c("p_name").alias("title"))
+    spark, bare = parts.sparkSession, parts.withColumn("title", F.lit(None).cast("string"))
+    out = new_folder(spark, "editions")
+    bare.write.partitionBy("p_brand").parquet(out)
+    early = c("p_brand") < "Brand#2"
+    gates.reload_partition(bare.where(early), parts.where(early), out, new_folder(spark, "staging"), ["p_brand"], ["p_brand", "p_size"], "cents", ["title"])
+    try:
+        gates.reload_partition(bare.where(~early), parts.where(~early).withColumn("cents", c("cents") + 1), out, new_folder(spark, "staging"), ["p_brand"], ["p_brand", "p_size"], "cents", ["title"])
+    except ValueError:
+        return spark.read.schema(parts.schema).parquet(out)
+    raise AssertionError("a reload that drifts was taken")
+
+
 @_query("SELECT 'orders' AS dataset, count(*) AS n_rows, true AS has_bytes, 'All orders.' AS scope, true AS documented FROM orders UNION ALL SELECT 'nations', count(*), true, NULL, false FROM nation")
 def dataset_manifest(t):
     """Rows and bytes of exported datasets beside their scope."""
-    scopes = t("region").limit(1).select(F.lit("orders").alias("dataset"), F.lit("All orders.").alias("scope"))
+    scopes = t("orders").sparkSession.createDataFrame([("orders", "All orders.")], "dataset string, scope string")
     found = gates.manifest({"orders": t("orders"), "nations": t("nation")}, scopes)
     return found.select("dataset", "n_rows", (c("bytes") > 0).alias("has_bytes"), "scope", "documented")
 
