@@ -8,9 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that end a company's legal name.
-LEGAL_SUFFIXES = (
-    "INC INCORPORATED LLC LLP LP LTD LIMITED CORP CORPORATION CO COMPANY PLC GMBH SA AG PTY JV TRUST FOUNDATION REALTY"
-).split()
+LEGAL_SUFFIXES = [
+    "INC", "INCORPORATED", "LLC", "LLP", "LP", "LTD", "LIMITED", "CORP", "CORPORATION",
+    "CO", "COMPANY", "PLC", "GMBH", "SA", "AG", "PTY", "JV", "TRUST",
+    "FOUNDATION", "REALTY",
+]
 # Word sequences that name a division, in order of preference.
 DIVISIONS = [
     "AEROSPACE OPERATIONS I", "AEROSPACE OPERATIONS", "NORTH AMERICAN", "CAPITAL", "SYSTEMS CORPORATION", "SYSTEMS CORP",
@@ -18,9 +20,10 @@ DIVISIONS = [
     "TACTICAL SYSTEMS",
 ]
 # Heads too general to stand for a company alone.
-GENERIC_HEADS = (
-    "UNITED GENERAL NATIONAL AMERICAN GLOBAL FIRST ADVANCED INTERNATIONAL DELTA APEX ALPHA OMEGA PRECISION MARITIME"
-).split()
+GENERIC_HEADS = [
+    "UNITED", "GENERAL", "NATIONAL", "AMERICAN", "GLOBAL", "FIRST", "ADVANCED", "INTERNATIONAL", "DELTA",
+    "APEX", "ALPHA", "OMEGA", "PRECISION", "MARITIME",
+]
 # Agency prefix by the service letter that ends an account.
 ACCOUNT_AGENCIES = {"D": "097", "N": "017", "A": "021", "F": "057"}
 

@@ -128,7 +128,7 @@ def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENIN
     return joined.select("narrative_id", "page", state.alias("resolution"), F.coalesce("candidate_pages", F.lit(0)).alias("candidate_pages"))
 
 
-MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
 def announcement_date(html: Column) -> Column:
@@ -200,19 +200,19 @@ def lexicon_candidates(narratives: DataFrame, *, quotes: int = 3, around: int =
     return named.withColumn("ambiguous", F.count("*").over(Window.partitionBy("key")) > 1)
 
 
-def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, money: DataFrame | None = None, mentions: DataFrame | None = None, seeded: DataFrame | None = None, longest_list: int = 10_000) -> DataFrame:
+def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, money: DataFrame | None = None, mentions: DataFrame | None = None, seeded: DataFrame | None = None) -> DataFrame:
     """Programs whose title contains an alias anywhere, with how many there are and what that allows.
 
-    The aliases are a curated list of ``longest_list`` at most (more is an error), so each title is searched for all
-    of them in one pass. By choice beside each: the money (pe_bli, amount) and mentions (pe_bli, n) of its programs, the
+    An alias meets the titles that hold its first three letters (or all of a shorter one) in an equi join, and is then looked
+    for whole. By choice beside each: the money (pe_bli, amount) and mentions (pe_bli, n) of its programs, the
     program that the alias is ``seeded`` for (alias, pe_bli), and whether that isn't among the candidates.
     """
     terms = aliases.select(F.upper(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
-    listed = sorted(r.alias for r in terms.limit(longest_list + 1).collect())
-    if len(listed) > longest_list:
-        raise ValueError(f"more than {longest_list} aliases")
-    asked = F.array(*map(F.lit, listed)).cast("array<string>")
-    hits = titles.select("pe_bli", F.explode(F.filter(asked, lambda a: F.contains(F.upper("title"), a))).alias("alias")).distinct()
+    shown = titles.select("pe_bli", F.upper("title").alias("shown"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("shown") - n + 1, F.lit(1))), lambda k: F.substring(F.col("shown"), k, F.lit(n)))
+    begun = shown.where("shown IS NOT NULL").select("pe_bli", "shown", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, (1, 2, 3)))))).alias("begin"))
+    keyed = terms.select("alias", F.substring("alias", 1, 3).alias("begin"))
+    hits = begun.join(keyed, "begin").where(F.contains("shown", F.col("alias"))).select("pe_bli", "alias").distinct()
     beside = hits
     for table, column in ((money, "amount"), (mentions, "n")):
         beside = beside.withColumn(column, F.lit(None).cast("double")) if table is None else beside.join(table.groupBy("pe_bli").agg(F.sum(column).cast("double").alias(column)), "pe_bli", "left")

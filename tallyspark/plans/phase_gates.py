@@ -10,7 +10,7 @@ from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, gates, ledger, succession
 from tallyspark.operators.graph import connected_components
-from tallyspark.plans import marts
+from tallyspark.plans import marts, recompute
 
 
 def report(spark: SparkSession, violations: dict[str, DataFrame], warnings: tuple[str, ...] = ()) -> DataFrame:
@@ -91,12 +91,12 @@ def decade_gates(series: DataFrame, recomputed: DataFrame, editions: DataFrame)
     }
 
 
-def decade_gates_from_lake(series: DataFrame, lines: DataFrame, documents: DataFrame, anchor_edition: int) -> dict[str, DataFrame]:
-    """The decade gates with the recompute made from the lake itself, and the diffs recomputed from it too."""
-    again = marts.decade_series(lines, documents, anchor_edition)
-    key = ["pe_bli", "account", "organization", "from_edition", "to_edition", "diff_kind", "delta"]
+def decade_gates_from_lake(series: DataFrame, lines: DataFrame, anchor_edition: int) -> dict[str, DataFrame]:
+    """The decade gates with the recompute made from the lake by SQL of its own, and the diffs recomputed from that too."""
+    again = recompute.series(lines, anchor_edition)
+    key = ["pe_bli", "account", "organization", "from_edition", "to_edition", "diff_kind", F.col("delta").cast("decimal(20,3)").alias("delta")]
     found = decade_gates(series, again, lines.select(F.col("fiscal_year").alias("edition")).join(again.select("edition").distinct(), "edition", "left_semi"))
-    return found | {"diff_recompute": DQ.symmetric_difference(marts.book_diff(series).select(*key), marts.book_diff(again).select(*key))}
+    return found | {"diff_recompute": DQ.symmetric_difference(marts.book_diff(series).select(*key), recompute.diffs(again).select(*key))}
 
 
 def store_gates(edges: DataFrame, chain_edges: DataFrame, narratives: DataFrame, points: DataFrame, facts: DataFrame, verdicts: DataFrame) -> dict[str, DataFrame]:

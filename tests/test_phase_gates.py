@@ -52,3 +52,21 @@ def test_gaps_roll_down_and_windows(spark):
     derived = spark.createDataFrame([("d", "sum", ["f"], 1.0)], "fact_id string, operation string, inputs array<string>, value double")
     assert G.citation_sample(spark.createDataFrame([("f", 1.0)], "fact_id string, value double"), derived, 5).first().verdict == "ok"
     assert G.excluded_coverage(spark.createDataFrame([("p", 9), ("q", 1)], "pe_bli string, amount_thousands int"), spark.createDataFrame([("p",)], "pe_bli string")).first().covered_pct == 90.0
+
+
+def test_a_fault_in_the_decade_mart_turns_its_recompute_red(spark, monkeypatch):
+    from tallyspark.plans import marts
+
+    columns = "pe_bli string, title string, fiscal_year int, exhibit string, account string, organization string, budget_activity string, amount_type string, amount_thousands double, source_document_id int"
+    row = lambda code, year, kind, amount, account="1": (code, "t", year, "R-1", account, "D", "02", kind, amount, 1)
+    lines = spark.createDataFrame([
+        row("p", 2026, "fy_2026_total", 5.0), row("p", 2026, "fy_2026_request", 7.0), row("p", 2025, "fy_2025_total", 4.0), row("p", 2026, "fy_2024_actuals", 3.0),
+        row("q", 2026, "fy_2026_total", 1.0), row("q", 2026, "fy_2026_total", 2.0, "2"), row("p", 2027, "fy_2025_actuals", 9.0),
+    ], columns)
+    documents = spark.createDataFrame([(1, "h")], "id int, sha256 string")
+    good = verdicts(spark, G.decade_gates_from_lake(marts.decade_series(lines, documents, 2026), lines, 2026))
+    assert good["recompute"] and good["diff_recompute"] and good["grain_unique"]
+    turned = {key: slugs[::-1] for key, slugs in marts.SCENARIOS.items()}  # the last candidate first
+    monkeypatch.setattr(marts, "SCENARIOS", turned)
+    bad = verdicts(spark, G.decade_gates_from_lake(marts.decade_series(lines, documents, 2026), lines, 2026))
+    assert not bad["recompute"] and not bad["diff_recompute"]
