@@ -1,8 +1,8 @@
 """Benchmark decontamination: a hash set of normalised benchmark n-grams against every training window.
 
-The benchmark's windows form a hash set that is broadcast once to the scan of the texts. What the driver and a task
-hold is bounded by ``block_bytes`` (or by one item, if that is longer): a benchmark whose text is longer is cut into
-blocks of about that size, and one block after the other is collected, broadcast, scanned with and given up. Such a
+The benchmark's windows form a hash set that is broadcast once to the scan of the texts. It takes about five bytes for a
+byte of benchmark text, on the driver and in every Python worker, so ``block_bytes`` of text (or one item, if that is
+longer) bound what they hold: a benchmark whose text is longer is cut into blocks of about that size, and one block after the other is collected, broadcast, scanned with and given up. Such a
 scan keeps only the texts that it hits, by two hashes of the text, so equal texts share their hits; the blocks' hits
 are merged by those hashes and joined back. The number of scans grows with the benchmark, the memory doesn't. Every
 hash match is verified word by word before it counts.
@@ -15,64 +15,109 @@ every document clean. Other columns, whatever their names, pass through.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.columns import unused
 from tallyspark.functions.lineage import written
-from tallyspark.llm.words import WORD, words
+from tallyspark.llm.words import WORD, WordHashes, words
 
 HITS = "struct<n_words:bigint,items:array<string>,hit_from:array<int>,hit_to:array<int>>"
 _PRIME = 0x9E3779B97F4A7C15
+TOGETHER = 1 << 16
+_KNOWN = WordHashes()
 
 
 class NgramSet:
-    """Windows of ``window`` words (or a whole shorter item) by length: sorted hashes, then exact words."""
+    """Every window of ``window`` words (or a whole shorter item) of some items, in flat arrays.
+
+    A word is its rank among the items' words by hash; a window is a place in the items' words one after the other, under
+    the hash of its ranks. That is 16 bytes a window, beside each different word once. What matches by hash is compared
+    rank by rank, and the words themselves byte by byte.
+    """
 
     def __init__(self, items: list[tuple], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        exact: dict[int, dict[bytes, set]] = {}
+        numbers, sizes, names, seen = array("i"), [], [], {}
         for item_id, text in items:
             found = words(text)
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found], np.int64)
-            length = min(window, len(ids))
-            for at in range(len(ids) - length + 1) if length else ():
-                owners = exact.setdefault(length, {}).setdefault(ids[at : at + length].tobytes(), set())
-                if item_id is not None:
-                    owners.add(str(item_id))
-        self.exact = exact
-        self.hashes = {}
-        for length, table in exact.items():
-            rows = np.frombuffer(b"".join(table), np.int64).reshape(-1, length)
-            self.hashes[length] = np.unique(self._hash([rows[:, k] for k in range(length)]))
+            if found:
+                numbers.extend([seen.setdefault(w, len(seen)) for w in found])
+                sizes.append(len(found))
+                names.append(None if item_id is None else str(item_id))
+        hashes, self.seed = self._words_hashed(seen, 0), 0
+        while len(np.unique(hashes)) < len(seen):  # two words of one hash: another seed keeps them apart
+            self.seed += 1
+            hashes = self._words_hashed(seen, self.seed)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        by_number = list(seen)
+        kept = [by_number[k] for k in order.tolist()]
+        self.word_hashes, self.letters, self.ends = hashes[order], b"".join(kept), np.cumsum([0, *map(len, kept)])
+        self.names, self.tokens = names, rank[np.frombuffer(numbers, np.int32)] if len(numbers) else np.empty(0, np.int32)
+        self.first = np.cumsum([0, *sizes])
+        self.windows = {}
+        lengths = np.minimum(sizes, window)
+        for length in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == length)
+            places = np.concatenate([np.arange(self.first[k], self.first[k + 1] - length + 1, dtype=np.int32) for k in own])
+            hashed = self._hash([self.tokens[places + k] for k in range(length)])
+            order = np.argsort(hashed, kind="stable")
+            self.windows[length] = hashed[order], places[order]
+
+    @staticmethod
+    def _words_hashed(found, seed: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found))
 
     @staticmethod
     def _hash(columns: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(columns[0]), np.uint64)
         for column in columns:
-            total = total * np.uint64(_PRIME) + column.astype(np.uint64)
+            total = total * np.uint64(_PRIME) + column.astype(np.uint64) + np.uint64(1)
         return total
 
+    def _ranks(self, found: list[bytes]) -> np.ndarray:
+        """The rank of each word, -1 for words that no item has."""
+        hashed = _KNOWN.of(found) if self.seed == 0 else self._words_hashed(found, self.seed)
+        if not len(self.word_hashes):
+            return np.full(len(found), -1, np.int32)
+        place = np.minimum(np.searchsorted(self.word_hashes, hashed), len(self.word_hashes) - 1).astype(np.int32)
+        return np.where(self.word_hashes[place] == hashed, place, np.int32(-1))
+
     def scan(self, found: list[bytes], hit: np.ndarray, items: set) -> None:
         """Mark the words of each occurring window in ``hit`` and add the items it belongs to."""
-        ids = np.fromiter(map(self.vocabulary.get, found, repeat(0)), np.int64, len(found))
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for length, hashes in self.hashes.items():
-            starts = np.flatnonzero(unknown[length:] == unknown[:-length]) if len(ids) >= length else ()
+        ranks = self._ranks(found)
+        unknown = np.concatenate([[0], np.cumsum(ranks < 0)])
+        for length, (hashes, places) in self.windows.items():
+            starts = np.flatnonzero(unknown[length:] == unknown[:-length]) if len(ranks) >= length else ()
             if not len(starts):
                 continue
-            hashed = self._hash([ids[starts + k] for k in range(length)])
-            place = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
-            for at in starts[hashes[place] == hashed]:
-                owners = self.exact[length].get(ids[at : at + length].tobytes())
-                if owners is not None:
+            hashed = self._hash([ranks[starts + k] for k in range(length)])
+            low = np.searchsorted(hashes, hashed)
+            starts, low, hashed = (x[hashes[np.minimum(low, len(hashes) - 1)] == hashed] for x in (starts, low, hashed))
+            if len(starts):
+                self._verify(found, ranks, length, starts, low, np.searchsorted(hashes, hashed, side="right"), places, hit, items)
+
+    def _verify(self, found, ranks, length, starts, low, high, places, hit, items) -> None:
+        """Compare each start with every window of its hash; runs of equal windows are taken ``TOGETHER`` at a time."""
+        span = np.arange(length)
+        same_word = np.array([self.letters[self.ends[r] : self.ends[r + 1]] == w if r >= 0 else False for r, w in zip(ranks.tolist(), found, strict=True)])
+        wrong = np.concatenate([[0], np.cumsum(~same_word)])
+        right = wrong[starts + length] == wrong[starts]
+        for at, a, b in zip(starts[right].tolist(), low[right].tolist(), high[right].tolist(), strict=True):
+            for part in range(a, b, TOGETHER):
+                here = places[part : min(b, part + TOGETHER)]
+                here = here[(self.tokens[here[:, None] + span] == ranks[at : at + length]).all(axis=1)]
+                if len(here):
                     hit[at : at + length] = True
-                    items |= owners
+                    owners = np.unique(np.searchsorted(self.first, here, side="right") - 1).tolist()
+                    items.update(self.names[k] for k in owners if self.names[k] is not None)
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):

@@ -80,6 +80,35 @@ def test_decontamination_removes_documents_or_spans_and_keeps_columns(spark):
     assert decontamination.decontaminate(docs.limit(0), bench).count() == 0
 
 
+def test_a_set_of_windows_takes_a_few_bytes_a_letter():
+    import pickle
+    import random as chance
+
+    rng = chance.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(2000)]
+    size = sum(len(t) for _, t in items)
+    ngrams = decontamination.NgramSet(items, 10)
+    assert len(pickle.dumps(ngrams)) < 6 * size
+    found = words(items[7][1] + " " + items[8][1])
+    hit, owners = np.zeros(len(found), bool), set()
+    ngrams.scan(found, hit, owners)
+    assert hit.all() and owners == {"7", "8"}
+    empty = decontamination.NgramSet([(1, None), (2, "")], 10)
+    empty.scan(found, np.zeros(len(found), bool), owners)
+    assert owners == {"7", "8"}
+
+
+def test_windows_that_many_items_share_belong_to_all(monkeypatch):
+    monkeypatch.setattr(decontamination, "TOGETHER", 7)
+    shared = " ".join(f"w{k}" for k in range(12))
+    ngrams = decontamination.NgramSet([(k if k else None, f"{shared} {k}") for k in range(50)], 10)
+    found = words(f"x {shared} y")
+    hit, owners = np.zeros(len(found), bool), set()
+    ngrams.scan(found, hit, owners)
+    assert owners == {str(k) for k in range(1, 50)} and hit.tolist() == [False, *[True] * 12, False]
+
+
 # 2 ------------------------------------------------------------------------------------------------------------
 
 
