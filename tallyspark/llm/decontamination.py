@@ -31,7 +31,6 @@ from tallyspark.llm.words import WORD, WordHashes, words
 HITS = "struct<n_words:bigint,items:array<string>,hit_from:array<int>,hit_to:array<int>>"
 _PRIME = 0x9E3779B97F4A7C15
 TOGETHER = 1 << 16
-_KNOWN = WordHashes()
 
 
 class NgramSet:
@@ -43,6 +42,7 @@ class NgramSet:
     """
 
     def __init__(self, items: list[tuple], window: int):
+        self.known = None  # the scanning worker's memory of words, gone with the set
         numbers, sizes, names, seen = array("i"), [], [], {}
         for item_id, text in items:
             found = words(text)
@@ -84,7 +84,9 @@ class NgramSet:
 
     def _ranks(self, found: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for words that no item has."""
-        hashed = _KNOWN.of(found) if self.seed == 0 else self._words_hashed(found, self.seed)
+        if self.known is None:
+            self.known = WordHashes()
+        hashed = self.known.of(found) if self.seed == 0 else self._words_hashed(found, self.seed)
         if not len(self.word_hashes):
             return np.full(len(found), -1, np.int32)
         place = np.minimum(np.searchsorted(self.word_hashes, hashed), len(self.word_hashes) - 1).astype(np.int32)
