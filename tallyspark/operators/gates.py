@@ -130,12 +130,15 @@ def ratified_edges(verdicts: DataFrame, narratives: DataFrame) -> DataFrame:
 
 
 def evidence_breaks(edges: DataFrame, narratives: DataFrame) -> DataFrame:
-    """Stated edges whose sentence isn't verbatim in a clause of its narrative, or doesn't name an end."""
+    """Stated edges whose sentence isn't verbatim in a clause of its narrative, doesn't name an end, or names both ends
+    of other pairs by the clause rules and not those of the edge."""
     spoken = clauses(narratives.select("fact_id", "pe_bli", "body")).select(F.col("fact_id").alias("evidence_fact_id"), "pe_bli", F.trim("clause").alias("evidence_sentence")).distinct()
     joined = edges.join(spoken, ["evidence_fact_id", "evidence_sentence"], "left")
     sentence, own = F.col("evidence_sentence"), F.col("pe_bli")
     named = lambda end: names_code(sentence, F.col(end)) | (F.col(end) == own)
-    return joined.where(own.isNull() | ~(named("src") & named("dst")))
+    told = F.transform(named_pairs(F.coalesce(sentence, F.lit(""))), lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst")))
+    contradicted = (F.size(told) > 0) & ~F.array_contains(told, F.struct("src", "dst"))
+    return joined.where(own.isNull() | ~(named("src") & named("dst")) | contradicted)
 
 
 def title_map(areas: DataFrame, curated: DataFrame) -> DataFrame:

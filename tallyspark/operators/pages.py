@@ -11,11 +11,12 @@ from tallyspark.sources.html import elements, paragraphs
 
 # Exhibit markers on budget-book pages.
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
-# What a contract number, a defined acronym and a designator look like in announcements and narratives; how many
+# What a contract number, a defined acronym, a title that is a heading and a designator look like in announcements and narratives; how many
 # characters before a number may name it as one that is referred to.
 CONTRACT_NUMBER = r"\b([A-Z][A-Z0-9]{4,5}[- ]?\d{2}[- ]?[A-Z][- ]?[A-Z0-9]{4})\b"
 LOOK_BACK, LOOK_BACK_NEAR = 30, 12
 ACRONYM = r"\b([A-Z][A-Za-z0-9&/.-]*(?:[ -][A-Z0-9][A-Za-z0-9&/.-]*){1,7}\s+\([A-Z]{2,10}[0-9]{0,3}\))"
+TITLE_JUNK = r"(?i)^(accomplishments|plans|title|description|articulat|congressional|program change|other program funding|acquisition strategy|performance metrics|n/a|none)\b"
 DESIGNATOR = r"\b((?:AN/[A-Z]{3}-\d{1,3}[A-Z]?|[A-Z]{1,4}-\d{1,4}[A-Z]?|(?:DDG|CVN|SSN|SSBN|LPD|LHA|LCS|FFG|T-AO)\s?\d{2,4}))\b"
 
 
@@ -180,24 +181,35 @@ def contract_records(articles: DataFrame, services: list[str]) -> DataFrame:
     return found.join(articles.select("article_id", announcement_date(F.col("html")).alias("announced")), "article_id")
 
 
-def lexicon_candidates(narratives: DataFrame, *, quotes: int = 3, around: int = 60) -> DataFrame:
+def lexicon_candidates(narratives: DataFrame, programs: DataFrame | None = None, *, quotes: int = 3, around: int = 60, designator_around: int = 90, longest_quote: int = 220) -> DataFrame:
     """Names that narratives (pe_bli, title, body) define or use, per program, with a few quotes each.
 
-    A name that several programs have is ambiguous.
+    A defined acronym is a name with and without its words. Titles that are a form's headings name nothing, nor do
+    made keys (ending in -L and a number) or, if ``programs`` (pe_bli) is given, keys that aren't among it.
+    ``shared``: several programs have the name; ``ambiguous_key``: ``programs`` has the key more than once.
     """
-
-    def found(column: str, pattern: str, source: str) -> DataFrame:
-        names = narratives.select("pe_bli", F.coalesce(column, F.lit("")).alias("t"), F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(pattern), 1)).alias("name"))
+    told = narratives.where((F.col("pe_bli") != "") & ~F.col("pe_bli").rlike(r"-L\d+$"))
+    keys = told.select("pe_bli", F.lit(False).alias("ambiguous_key")).distinct() if programs is None else programs.groupBy("pe_bli").agg((F.count("*") > 1).alias("ambiguous_key"))
+    if programs is not None:
+        told = told.join(keys, "pe_bli", "left_semi")
+    told = told.withColumn("title", F.when(~F.trim("title").rlike(TITLE_JUNK), F.trim("title")))
+
+    def found(column: str, pattern: str, source: str, around: int) -> DataFrame:
+        names = told.select("pe_bli", F.coalesce(column, F.lit("")).alias("t"), F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(pattern), 1)).alias("name"))
         at = F.greatest(F.call_function("instr", F.col("t"), F.col("name")) - around, F.lit(1))
         return names.select("pe_bli", F.trim(F.regexp_replace("name", r"\s+", " ")).alias("name"), F.lit(source).alias("source"), F.substring(F.col("t"), at, F.char_length("name") + 2 * around).alias("quote"))
 
-    titles = narratives.where(F.trim(F.coalesce("title", F.lit(""))) != "").select("pe_bli", F.trim("title").alias("name"), F.lit("title").alias("source"), F.col("title").alias("quote"))
-    rows = titles.unionByName(found("body", ACRONYM, "acronym")).unionByName(found("title", DESIGNATOR, "designator-title")).unionByName(found("body", DESIGNATOR, "designator-body"))
-    rows = rows.where(F.char_length("name").between(3, 90)).withColumn("key", F.lower("name"))
+    titles = told.where(F.col("title") != "").select("pe_bli", F.regexp_replace("title", r"\s+", " ").alias("name"), F.lit("title").alias("source"), F.col("title").alias("quote"))
+    defined = found("body", ACRONYM, "acronym-def", around)
+    alone = defined.select("pe_bli", F.regexp_extract("name", r"\(([A-Z]+[0-9]*)\)$", 1).alias("name"), F.lit("acronym").alias("source"), "quote")
+    whole = told.select("pe_bli", "title").where("title IS NOT NULL").select("pe_bli", F.explode(F.regexp_extract_all("title", F.lit(DESIGNATOR), 1)).alias("name"), F.lit("designator-title").alias("source"), F.col("title").alias("quote"))
+    rows = titles.unionByName(defined).unionByName(alone).unionByName(whole).unionByName(found("body", DESIGNATOR, "designator-body", designator_around))
+    rows = rows.where(F.char_length("name").between(3, 90)).withColumn("key", F.lower("name")).withColumn("quote", F.substring("quote", 1, longest_quote))
     place = F.row_number().over(Window.partitionBy("pe_bli", "key").orderBy("source", "quote"))
     kept = rows.withColumn("place", place).where(F.col("place") <= quotes)
     named = kept.groupBy("pe_bli", "key").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("source", "quote"))).alias("quotes"))
-    return named.withColumn("ambiguous", F.count("*").over(Window.partitionBy("key")) > 1)
+    spread = named.groupBy("key").agg((F.count("*") > 1).alias("shared"))
+    return named.join(spread, "key").join(keys, "pe_bli").select("pe_bli", "key", "name", "quotes", "shared", "ambiguous_key")
 
 
 def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, money: DataFrame | None = None, mentions: DataFrame | None = None, seeded: DataFrame | None = None) -> DataFrame:

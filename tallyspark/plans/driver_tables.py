@@ -391,12 +391,12 @@ def pair_pick(t):
 @_query("""WITH a AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: length(x) > 3 AND x NOT IN ('small'))) AS w, p_size FROM part)
   SELECT a.p_brand, a.p_partkey AS line_key, b.p_partkey AS award_key, len(list_intersect(a.w, b.w)) AS overlap, array_to_string(list_sort(list_intersect(a.w, b.w)), ' ') AS shared,
     CASE WHEN len(list_intersect(a.w, b.w)) >= 2 THEN 'high' WHEN a.p_size % 10 = 0 THEN 'medium' ELSE 'low' END AS tier
-  FROM a JOIN a b ON a.p_brand = b.p_brand AND a.p_size % 10 = b.p_size % 10 AND a.p_size < b.p_size AND a.p_size <= 10""")
+  FROM a JOIN a b ON a.p_brand = b.p_brand AND a.p_size % 10 = b.p_size % 10 AND a.p_size < b.p_size""")
 def token_overlap_tier(t):
     """Shared telling words of lines and awards under one key, and the tier they give."""
     words = matching.tokens(F.concat_ws(" ", "p_name", "p_type"), longer_than=3, stop=matching.LINK_STOP_WORDS)
     part = t("part").withColumn("k", F.col("p_size") % 10).withColumn("words", words)
-    left = part.where("p_size <= 10").select("p_brand", "k", F.col("p_partkey").alias("line_key"), F.col("p_size").alias("line_size"), F.col("words").alias("line_words"))
+    left = part.select("p_brand", "k", F.col("p_partkey").alias("line_key"), F.col("p_size").alias("line_size"), F.col("words").alias("line_words"))
     right = part.select("p_brand", "k", F.col("p_partkey").alias("award_key"), F.col("p_size").alias("award_size"), F.col("words").alias("award_words"))
     paired = matching.token_overlap(left.withColumn("line", F.struct("line_key", "line_size")), right.withColumn("award", F.struct("award_key", "award_size")), "line", "award", "line_words", "award_words", ["p_brand", "k"])
     return paired.where("line.line_size < award.award_size").select("p_brand", "line.line_key", "award.award_key", "overlap", "shared", matching.overlap_tier(F.col("overlap"), F.col("line.line_size") % 10 == 0).alias("tier"))

@@ -440,7 +440,7 @@ def dq_values_disagree(t):
 def dq_pins(t):
     """Pinned totals that the table lacks or holds differently."""
     sums = _lines(t).join(t("part"), c("l_partkey") == c("p_partkey")).groupBy("p_brand").agg(F.sum("cents").alias("v"))
-    gone = t("region").limit(1).select(F.lit("gone").alias("p_brand"), F.lit(5).cast("bigint").alias("v"))
+    gone = t("part").sparkSession.createDataFrame([("gone", 5)], "p_brand string, v bigint")
     pins = sums.withColumn("v", c("v") + F.when(c("p_brand") > "Brand#2", 3).otherwise(0)).unionByName(gone)
     return DQ.differs_from_pins(sums, pins, ["p_brand"], "v")
 
@@ -683,24 +683,32 @@ def narrative_pages(t):
     return pages.narrative_pages(told, book)
 
 
-@_query("""WITH a AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS alias FROM part UNION SELECT 'NOWHERE'), h AS (SELECT a.alias, p_brand, sum(p_size) AS v FROM a JOIN part ON contains(upper(p_name), alias) AND p_size <= 3 GROUP BY ALL),
-  m AS (SELECT p_brand, CAST(sum(p_size) AS DOUBLE) AS v FROM part GROUP BY p_brand), g AS (SELECT alias, count(DISTINCT h.p_brand) AS n, list_sort(list(DISTINCT h.p_brand)) AS l, sum(m.v) AS amount FROM h JOIN m USING (p_brand) GROUP BY alias)
-  SELECT a.alias, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'sole' WHEN n <= 8 THEN 'ambiguous' ELSE 'too_many' END AS tier, CASE WHEN n <= 8 THEN array_to_string(l, ',') END AS programs, amount, CASE WHEN length(a.alias) = 3 THEN 'Brand#1' END AS seeded, length(a.alias) = 3 AND NOT coalesce(list_contains(l, 'Brand#1'), false) AS seed_conflict FROM a LEFT JOIN g USING (alias)""")
+@_query("""WITH n AS (SELECT p_name, p_name || ' ' || (p_size % 3) AS pe, p_size FROM part), a AS (SELECT DISTINCT upper(unnest([split_part(p_name, ' ', 1), p_name, pe])) AS alias FROM n UNION SELECT 'NOWHERE'),
+  m AS (SELECT pe, sum(p_size) AS v FROM n GROUP BY pe), g AS (SELECT alias, count(*) AS n, list_sort(list(pe)) AS l, CAST(sum(v) AS DOUBLE) AS amount FROM a JOIN m ON contains(upper(pe), alias) GROUP BY alias)
+  SELECT a.alias, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'sole' WHEN n <= 8 THEN 'ambiguous' ELSE 'too_many' END AS tier, CASE WHEN n <= 8 THEN array_to_string(l, ',') END AS programs, amount, CASE WHEN length(a.alias) = 3 THEN 'red ring 1' END AS seeded, length(a.alias) = 3 AND NOT coalesce(list_contains(l, 'red ring 1'), false) AS seed_conflict FROM a LEFT JOIN g USING (alias)""")
 def alias_candidates(t):
-    """Programs whose title contains an alias, with their money and what a seed says already."""
-    aliases = t("part").select(F.substring_index("p_name", " ", 1).alias("alias")).unionByName(t("region").limit(1).select(F.lit("nowhere").alias("alias"))).distinct()
-    titles = t("part").where("p_size <= 3").select(c("p_brand").alias("pe_bli"), c("p_name").alias("title"))
-    money = t("part").select(c("p_brand").alias("pe_bli"), c("p_size").alias("amount"))
-    seeded = aliases.where(F.char_length("alias") == 3).select("alias", F.lit("Brand#1").alias("pe_bli"))
-    return pages.alias_candidates(aliases, titles, money=money, seeded=seeded).withColumn("programs", F.array_join("programs", ",")).drop("mentions")
-
-
-@_query("""WITH n AS (SELECT p_brand AS pe, p_partkey, 'Improved KC-' || (p_size % 10 + 10) || ' Tanker' AS title FROM part), d AS (SELECT pe, 'KC-' || (CAST(regexp_extract(title, '[0-9]+') AS INT)) AS name, title FROM n)
-  SELECT pe AS pe_bli, lower(name) AS key, name, count(*) OVER (PARTITION BY lower(name)) > 1 AS ambiguous FROM (SELECT DISTINCT pe, name FROM d) UNION ALL SELECT pe, lower(title), title, count(*) OVER (PARTITION BY title) > 1 FROM (SELECT DISTINCT pe, title FROM n)""")
+    """Programs whose title contains an alias, with their money and what a seed says already: a title is a program's, a name several programs', a first word many's."""
+    title = F.concat("p_name", F.lit(" "), _text(c("p_size") % 3))
+    parts = t("part").select("p_name", title.alias("pe_bli"), c("p_size").alias("amount"))
+    aliases = parts.select(F.explode(F.array(F.substring_index("p_name", " ", 1), c("p_name"), c("pe_bli"))).alias("alias"))
+    aliases = aliases.unionByName(parts.sparkSession.createDataFrame([("nowhere",)], "alias string")).distinct()
+    seeded = aliases.where(F.char_length("alias") == 3).select("alias", F.lit("red ring 1").alias("pe_bli"))
+    found = pages.alias_candidates(aliases, parts.select("pe_bli", c("pe_bli").alias("title")), money=parts.select("pe_bli", "amount"), seeded=seeded)
+    return found.withColumn("programs", F.array_join("programs", ",")).drop("mentions")
+
+
+@_query("""WITH n AS (SELECT DISTINCT p_brand AS pe, CASE WHEN p_size % 10 = 9 THEN 'Plans for 2026' ELSE 'Improved KC-' || (p_size % 10 + 10) || ' Tanker' END AS title, 'RDS' || (p_size % 4) AS acronym FROM part WHERE p_brand <> 'Brand#5'),
+  d AS (SELECT pe, title AS name FROM n WHERE title NOT LIKE 'Plans%' UNION SELECT pe, regexp_extract(title, 'KC-[0-9]+') FROM n WHERE title NOT LIKE 'Plans%' UNION SELECT pe, acronym FROM n UNION SELECT pe, 'Rapid Data Stream (' || acronym || ')' FROM n)
+  SELECT pe AS pe_bli, lower(name) AS key, name, count(*) OVER (PARTITION BY lower(name)) > 1 AS shared, pe IN ('Brand#1', 'Brand#2') AS ambiguous_key FROM d""")
 def lexicon_candidates(t):
-    """Names that titles use or are, and whether several programs have them."""
-    told = t("part").select(c("p_brand").alias("pe_bli"), F.concat(F.lit("Improved KC-"), _text(c("p_size") % 10 + 10), F.lit(" Tanker")).alias("title"), F.lit("nothing named here").alias("body")).distinct()
-    return pages.lexicon_candidates(told).drop("quotes")
+    """Names that titles use or are and acronyms that bodies define, whether several programs have them and whether the key is that of several."""
+    title = F.when(c("p_size") % 10 == 9, F.lit("Plans for 2026")).otherwise(F.concat(F.lit("Improved KC-"), _text(c("p_size") % 10 + 10), F.lit(" Tanker")))
+    body = F.concat(F.lit("the work extends Rapid Data Stream (RDS"), _text(c("p_size") % 4), F.lit(") to more sites"))
+    made = F.when(c("p_brand") == "Brand#5", F.concat("p_brand", F.lit("-L12"))).otherwise(c("p_brand"))  # a made key names nothing
+    told = t("part").select(made.alias("pe_bli"), title.alias("title"), body.alias("body")).distinct()
+    twice = F.when(c("p_brand").isin("Brand#1", "Brand#2"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    programs = t("part").select(c("p_brand").alias("pe_bli"), twice.alias("orgs")).distinct().select("pe_bli", F.explode("orgs"))
+    return pages.lexicon_candidates(told, programs).drop("quotes")
 
 
 @_query("""WITH o AS (SELECT o_orderkey, o_custkey, CAST(round(o_totalprice) AS BIGINT) AS v FROM orders WHERE o_orderkey % 3 <> 0)
@@ -739,9 +747,10 @@ def export_disagreements(t):
     return phase_gates.export_disagreements(rows, rows.where("o_orderkey % 3 <> 0").withColumn("value", c("value") + F.when(c("o_orderkey") % 4 == 0, 1).otherwise(0)))
 
 
-@_query("""WITH r AS (SELECT * FROM (VALUES ('feed_claims', 2), ('rivers_conserve', 1), ('districts_once', 0), ('aliases_route', 1), ('volumes_ingested', 1)) AS v(gate, k)), b AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_brand FROM part)),
+@_query("""WITH r AS (SELECT * FROM (VALUES ('feed_claims', 2), ('rivers_conserve', 1), ('districts_once', 0), ('aliases_route', 1), ('volumes_ingested', 1), ('badges_hold', 1), ('programs_placed_once', 1)) AS v(gate, k)), b AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_brand FROM part)),
   a AS (SELECT count(*) AS n FROM (SELECT p_type FROM part GROUP BY p_type HAVING count(DISTINCT p_brand) > 1)), v AS (SELECT count(DISTINCT p_size) AS n FROM part WHERE p_size % 4 = 0), e AS (SELECT count(*) AS n FROM (SELECT DISTINCT p_type FROM part)),
-  g AS (SELECT gate, CASE gate WHEN 'feed_claims' THEN 2 * (SELECT n FROM b) WHEN 'rivers_conserve' THEN (SELECT n FROM e) WHEN 'districts_once' THEN 0 WHEN 'aliases_route' THEN (SELECT n FROM a) ELSE (SELECT n FROM v) END AS violations FROM r)
+  g AS (SELECT gate, CASE gate WHEN 'feed_claims' THEN 2 * (SELECT n FROM b) WHEN 'rivers_conserve' THEN (SELECT n FROM e) WHEN 'districts_once' THEN 0 WHEN 'aliases_route' THEN (SELECT n FROM a) WHEN 'volumes_ingested' THEN (SELECT n FROM v)
+    WHEN 'badges_hold' THEN (SELECT 2 * count(*) FROM (SELECT p_brand FROM part GROUP BY p_brand HAVING min(p_size) FILTER (WHERE p_partkey % 3 <> 0) > 1 AND count(*) FILTER (WHERE p_partkey % 3 = 0) > 0)) ELSE (SELECT count(DISTINCT p_brand) FROM part WHERE p_brand IN ('Brand#1', 'Brand#2')) END AS violations FROM r)
   SELECT gate, violations, CASE WHEN gate = 'feed_claims' THEN 'warn' ELSE 'error' END AS severity, violations = 0 OR gate = 'feed_claims' AS passed FROM g""")
 def site_gates(t):
     """What pages claim against recomputes, with planted faults, as one report."""
@@ -752,8 +761,13 @@ def site_gates(t):
     awards = part.select(c("p_type").alias("pop_state"), c("p_brand").alias("pop_district"), c("p_partkey").alias("award_id_piid"), c("p_size").alias("total_obligation"))
     totals = awards.groupBy("pop_state", "pop_district").agg(F.sum("total_obligation").alias("total_obligation"))
     volumes = part.groupBy(c("p_size").alias("document_id")).agg(F.count("*").alias("n_rows"))
+    # pages that take scenarios out of scope into their badge call programs partial that aren't; one program is on no list, one on both
+    brand, scope = c("p_brand").alias("pe_bli"), F.when(c("p_partkey") % 3 == 0, "AllPriorYears").otherwise("PriorYear")
+    details = part.select(brand, scope.alias("scenario"), ((c("p_partkey") % 3 != 0) & (c("p_size") > 1)).alias("reconciled"))
+    brands = details.select("pe_bli").distinct()
     found = phase_gates.site_gates(
-        events, events.withColumn("v", c("v") + 1), edges, totals, awards.unionByName(awards), part.select(c("p_type").alias("alias"), c("p_brand").alias("pe_bli")), volumes, volumes.withColumn("n_rows", c("n_rows") + F.when(c("document_id") % 4 == 0, 1).otherwise(0))
+        events, events.withColumn("v", c("v") + 1), edges, totals, awards.unionByName(awards), part.select(c("p_type").alias("alias"), c("p_brand").alias("pe_bli")), volumes, volumes.withColumn("n_rows", c("n_rows") + F.when(c("document_id") % 4 == 0, 1).otherwise(0)),
+        phase_gates.badges(details, ["PriorYear", "AllPriorYears"]), details, ["PriorYear"], brands.where("pe_bli = 'Brand#1'"), brands.where("pe_bli <> 'Brand#2'"),
     )
     return phase_gates.report(part.sparkSession, found, ("feed_claims",))
 
@@ -989,17 +1003,17 @@ def lineage_gates(t):
     return _reported(t, phase_gates.lineage_gates(edges, told, families, edges.where("relation <> 'renamed'")))
 
 
-@_query("""WITH l AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size > 25 GROUP BY ALL), d AS (SELECT p_brand, least(5, count(*)) AS n FROM part WHERE p_size <= 25 AND p_partkey % 3 <> 0 GROUP BY ALL), e AS (SELECT p_brand, count(*) AS n FROM part WHERE p_size = 2 GROUP BY ALL)
+@_query("""WITH l AS (SELECT p_brand, count(*) AS n FROM part GROUP BY ALL), d AS (SELECT p_brand, least(5, count(*)) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL), e AS (SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY ALL)
   SELECT b.p_brand AS pe_bli, coalesce(l.n, 0) AS n_lines, coalesce(d.n, 0) AS n_projects, coalesce(e.n, 0) AS n_events FROM (SELECT DISTINCT p_brand FROM part) b LEFT JOIN l USING (p_brand) LEFT JOIN d USING (p_brand) LEFT JOIN e USING (p_brand)""")
 def program_bundle(t):
     """One document a program: its lines, its largest projects in the ledger, its events."""
     part = t("part")
     brand = c("p_brand").alias("pe_bli")
-    lines = part.where("p_size > 25").select(brand, c("p_size").alias("fiscal_year"), c("p_type").alias("amount_type"), c("p_partkey").alias("amount_thousands"))
-    details = part.where("p_size <= 25").select(brand, _text("p_partkey").alias("project_number"), c("p_retailprice").alias("amount_millions"), _text("p_partkey").alias("fact_id"))
+    lines = part.select(brand, c("p_size").alias("fiscal_year"), c("p_type").alias("amount_type"), c("p_partkey").alias("amount_thousands"))
+    details = part.select(brand, _text("p_partkey").alias("project_number"), c("p_retailprice").alias("amount_millions"), _text("p_partkey").alias("fact_id"))
     found = gates.program_bundle(
         part.select(brand).distinct().withColumn("title", F.lit("t")), lines, details, part.where("p_partkey % 3 <> 0").select(_text("p_partkey").alias("fact_id")), lines.where("false").select("pe_bli", F.lit("a").alias("award_piid"), F.lit("high").alias("confidence")),
-        events=part.where("p_size = 2").select(brand, c("p_partkey").alias("event")),
+        events=part.select(brand, c("p_type").alias("event")).distinct(),
     )
     size = lambda name: F.coalesce(F.json_array_length(F.get_json_object("document", f"$.{name}")), F.lit(0))
     return found.select("pe_bli", size("lines").cast("bigint").alias("n_lines"), size("projects").cast("bigint").alias("n_projects"), size("events").cast("bigint").alias("n_events"))

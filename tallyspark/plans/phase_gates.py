@@ -116,18 +116,34 @@ def store_gates(edges: DataFrame, chain_edges: DataFrame, narratives: DataFrame,
     }
 
 
-def site_gates(events: DataFrame, recomputed_events: DataFrame, edges: DataFrame, district_totals: DataFrame, district_awards: DataFrame, aliases: DataFrame, volumes: DataFrame, ingested: DataFrame) -> dict[str, DataFrame]:
-    """What pages claim against recomputes: feed events, rivers, districts, aliases that lead to one program, volumes.
+def badges(details: DataFrame, in_scope: list[str]) -> DataFrame:
+    """(pe_bli, badge): reconciled if all of a program's details (pe_bli, scenario, reconciled) of scenarios in scope
+    are, partial if one isn't or none is known to be; programs without such details have no badge."""
+    own = details.where(F.col("scenario").isin(in_scope)).groupBy("pe_bli").agg(F.bool_and("reconciled").alias("all"))
+    return own.select("pe_bli", F.when(F.col("all"), "reconciled").otherwise("partial").alias("badge"))
+
+
+def site_gates(
+    events: DataFrame, recomputed_events: DataFrame, edges: DataFrame, district_totals: DataFrame, district_awards: DataFrame, aliases: DataFrame, volumes: DataFrame, ingested: DataFrame,
+    shown: DataFrame, details: DataFrame, in_scope: list[str], excluded: DataFrame, displayed: DataFrame,
+) -> dict[str, DataFrame]:
+    """What pages claim against recomputes: feed events, rivers, districts, aliases that lead to one program, volumes,
+    badges, and the programs that pages leave out.
 
     district_awards: pop_state, pop_district, award_id_piid, total_obligation; aliases: alias, pe_bli; volumes and
-    ingested: document_id, n_rows.
+    ingested: document_id, n_rows; shown: pe_bli, badge; details: pe_bli, scenario, reconciled; excluded and displayed:
+    pe_bli, where each program of the details must be in just one.
     """
+    listed = excluded.select("pe_bli", F.lit(1).alias("n")).distinct().unionByName(displayed.select("pe_bli", F.lit(1).alias("n")).distinct()).groupBy("pe_bli").agg(F.sum("n").alias("n"))
+    programs = details.select("pe_bli").distinct().join(listed, "pe_bli", "full_outer")
     return {
         "feed_claims": DQ.symmetric_difference(events, recomputed_events),
         "rivers_conserve": DQ.flow_imbalance(edges),
         "districts_once": DQ.double_counted(district_totals, district_awards, ["pop_state", "pop_district"], "award_id_piid", "total_obligation"),
         "aliases_route": DQ.several_values(aliases, ["alias"], "pe_bli"),
         "volumes_ingested": DQ.values_disagree(volumes, ingested, ["document_id"], "n_rows"),
+        "badges_hold": DQ.symmetric_difference(shown.select("pe_bli", "badge"), badges(details, in_scope)),
+        "programs_placed_once": programs.where(F.coalesce("n", F.lit(0)) != 1),
     }
 
 

@@ -248,13 +248,13 @@ def influence(t):
     return staging.influence(_filings(t), staging.dim_entities(_xwalk(t)))
 
 
-@_query(f"""WITH m AS (SELECT DISTINCT 'U' || (l_orderkey % 5000) AS filing_uuid, p_brand AS pe_bli FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 7),
+@_query(f"""WITH m AS (SELECT DISTINCT 'U' || (l_orderkey % 5000) AS filing_uuid, p_brand AS pe_bli FROM lineitem JOIN part ON l_partkey = p_partkey),
   f AS (SELECT * FROM {FILINGS} QUALIFY row_number() OVER (PARTITION BY filing_uuid ORDER BY filing_year DESC, client_name, registrant_name) = 1),
   a AS (SELECT filing_uuid, string_agg(issue, '; ' ORDER BY issue) AS issues FROM (SELECT DISTINCT 'U' || (o_orderkey % 5000) AS filing_uuid, o_orderpriority AS issue FROM orders) GROUP BY filing_uuid)
   SELECT m.filing_uuid, pe_bli, filing_year, client_name, registrant_name, issues FROM m LEFT JOIN f ON f.filing_uuid = m.filing_uuid LEFT JOIN a ON a.filing_uuid = m.filing_uuid""")
 def program_lobbying(t):
     """Mentions beside their filing, taken once, and its issue areas."""
-    found = t("lineitem").join(t("part"), c("l_partkey") == c("p_partkey")).where("p_size = 7").select(F.concat(F.lit("U"), _text(c("l_orderkey") % 5000)).alias("filing_uuid"), c("p_brand").alias("pe_bli")).distinct()
+    found = t("lineitem").join(t("part"), c("l_partkey") == c("p_partkey")).select(F.concat(F.lit("U"), _text(c("l_orderkey") % 5000)).alias("filing_uuid"), c("p_brand").alias("pe_bli")).distinct()
     activities = t("orders").select(F.concat(F.lit("U"), _text(c("o_orderkey") % 5000)).alias("filing_uuid"), c("o_orderpriority").alias("issue_display"))
     return staging.program_lobbying(found, _filings(t), activities).select("filing_uuid", "pe_bli", "filing_year", "client_name", "registrant_name", "issues")
 

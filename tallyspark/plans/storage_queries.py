@@ -162,7 +162,7 @@ def _book(t) -> DataFrame:
         amount("ProgramElementFunding", F.concat(amount("PriorYear", c("p_size").cast("string")), amount("CurrentYear", F.lit("n/a")))), amount("ProjectList", F.concat(project(1), project(2))), F.lit("</ProgramElement>"),
     )
     # a file a book of 500 parts at most, as a document has one root
-    rows = t("part").groupBy(F.floor(c("p_partkey") / 500).alias("book")).agg(F.concat(F.lit("<Book>"), F.array_join(F.collect_list(body), ""), F.lit("</Book>")).alias("value"))
+    rows = t("part").groupBy(F.floor(c("p_partkey") / 500).alias("book")).agg(F.concat(F.lit("<Book>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", body.alias("body")))), lambda x: x["body"]), ""), F.lit("</Book>")).alias("value"))
     path = new_folder(rows.sparkSession, "book")
     rows.write.partitionBy("book").text(path)
     return budget_xml.read_programs(rows.sparkSession, path)
@@ -171,10 +171,11 @@ def _book(t) -> DataFrame:
 _NUMBER = "'06' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'A'"
 
 
-@_query(f"""SELECT {_NUMBER} AS pe_bli, p AS project_number, CAST(2026 AS INT) AS fiscal_year, 'PriorYear' AS scenario, CAST(p_size * CASE p WHEN 'P2' THEN 2 ELSE 1 END AS DOUBLE) AS amount_millions FROM part, (VALUES (NULL), ('P1'), ('P2')) AS v(p)""")
+@_query(f"""SELECT {_NUMBER} AS pe_bli, p AS project_number, CAST(2026 AS INT) AS fiscal_year, 'PriorYear' AS scenario, CAST(p_size * CASE p WHEN 'P2' THEN 2 ELSE 1 END AS DOUBLE) AS amount_millions, 'ProgramElement[' || i || ']' || CASE p WHEN 'P1' THEN '/Project[0]' WHEN 'P2' THEN '/Project[1]' ELSE '' END AS xml_path
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey // 500 ORDER BY p_partkey) - 1 AS i FROM part), (VALUES (NULL), ('P1'), ('P2')) AS v(p)""")
 def book_funding(t):
     """Amounts of programs and projects from budget XML; text that is no number is left out."""
-    return budget_xml.funding(_book(t)).select("pe_bli", "project_number", "fiscal_year", "scenario", c("amount_millions").cast("double").alias("amount_millions"))
+    return budget_xml.funding(_book(t)).select("pe_bli", "project_number", "fiscal_year", "scenario", c("amount_millions").cast("double").alias("amount_millions"), "xml_path")
 
 
 @_query(f"""SELECT {_NUMBER} AS pe_bli, NULL AS project_number, 'mission_description' AS kind, 'Builds it.' AS body FROM part WHERE p_size % 2 = 0 UNION ALL SELECT {_NUMBER}, p, 'project_mission_description', 'Project ' || right(p, 1) || ' of ' || p_brand FROM part, (VALUES ('P1'), ('P2')) AS v(p)""")

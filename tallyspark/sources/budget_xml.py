@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tallyspark.functions.lineage import written
 
 # The funding columns of a program or project, in millions.
 SCENARIOS = ["AllPriorYears", "PriorYear", "CurrentYear", "BudgetYearOne", "BudgetYearOneBase", "BudgetYearOneOOC"]
@@ -29,10 +32,21 @@ SCHEMA = _fields(
 
 
 def read_programs(spark: SparkSession, path: str, row_tag: str = "ProgramElement") -> DataFrame:
-    """One nested row a program element of every file under ``path``; elements without a number are left out."""
+    """One nested row a program element of every file under ``path``; elements without a number are left out.
+
+    ``xml_path`` holds the element's place among those of its file that have a number, from 0. A file is read in blocks
+    of consecutive elements: an element's place is its place in its block after the sum of the blocks before. Rows are
+    read and parsed once and stay in the shared folder; files of one name in several folders are told apart.
+    """
     reader = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", True).schema(SCHEMA)
-    rows = reader.load(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    return rows.where(F.trim("ProgramElementNumber") != "").withColumn("xml_path", F.concat(F.lit("ProgramElement["), F.trim("ProgramElementNumber"), F.lit("]")))
+    rows = reader.load(path).where(F.trim("ProgramElementNumber") != "")
+    block = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    rows = written(rows.select("*", *block, F.monotonically_increasing_id().alias("_row")), "programs")
+    before = F.sum("n").over(Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    blocks = rows.groupBy("_path", "_start").agg(F.count("*").alias("n"), F.min("_row").alias("first"))
+    blocks = blocks.select("_path", "_start", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    placed = rows.join(blocks, ["_path", "_start"]).withColumn("file", F.element_at(F.split("_path", "/"), -1))
+    return placed.withColumn("xml_path", F.format_string("ProgramElement[%d]", F.col("_row") + F.col("shift"))).drop("_path", "_start", "_row", "shift")
 
 
 def programs(rows: DataFrame) -> DataFrame:

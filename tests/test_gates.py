@@ -68,6 +68,11 @@ def test_evidence_and_ratified(spark):
     assert gates.evidence_breaks(edges, told).count() == 0
     assert gates.evidence_breaks(edges.withColumn("evidence_sentence", F.lit("made up")), told).count() == 1
     assert gates.evidence_breaks(edges.withColumn("dst", F.lit("0699999A")), told).count() == 1
+    both = spark.createDataFrame([("0604000A", 2026, "f", "It was transferred from PE 0601000A and transferred to PE 0602000A by 0604000A.")], told.schema)
+    pair = succession.stated_edges(both)
+    assert [(r.src, r.dst) for r in pair.collect()] == [("0601000A", "0602000A")] and gates.evidence_breaks(pair, both).count() == 0
+    for src, dst in (("0602000A", "0601000A"), ("0601000A", "0604000A")):  # both named, but not as the rules read the sentence
+        assert gates.evidence_breaks(pair.withColumn("src", F.lit(src)).withColumn("dst", F.lit(dst)), both).count() == 1
     verdicts = spark.createDataFrame([("f", "It was transferred", "y"), ("f", "gone", "y"), ("f", "Done", "n")], "fact_id string, evidence_sentence string, verdict string")
     assert gates.ratified_edges(verdicts, told).count() == 1
 

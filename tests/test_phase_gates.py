@@ -70,3 +70,10 @@ def test_a_fault_in_the_decade_mart_turns_its_recompute_red(spark, monkeypatch):
     monkeypatch.setattr(marts, "SCENARIOS", turned)
     bad = verdicts(spark, G.decade_gates_from_lake(marts.decade_series(lines, documents, 2026), lines, 2026))
     assert not bad["recompute"] and not bad["diff_recompute"]
+
+
+def test_badges(spark):
+    rows = [("a", "PriorYear", True), ("a", "AllPriorYears", False), ("b", "PriorYear", False), ("c", "AllPriorYears", True), ("d", "PriorYear", None), ("e", "PriorYear", True), ("e", "PriorYear", None)]
+    details = spark.createDataFrame(rows, "pe_bli string, scenario string, reconciled boolean")
+    got = {r.pe_bli: r.badge for r in G.badges(details, ["PriorYear"]).collect()}
+    assert got == {"a": "reconciled", "b": "partial", "d": "partial", "e": "reconciled"}

@@ -60,7 +60,11 @@ def test_articles_lexicon_and_aliases(spark):
     assert [(r.service, r.contractor, r.piids, r.amounts) for r in got] == [("ARMY", "Acme Corp.", ["W58RGZ24C0001"], [12345678]), ("NAVY", "Beta LLC", ["N0001924C0002"], [1500000])]
     told = spark.createDataFrame([("p", "F-35 upgrade", "The Next Generation Jammer (NGJ) flies on the EA-18G and the EA-18G.")], "pe_bli string, title string, body string")
     names = {r.key for r in pages.lexicon_candidates(told).collect()}
-    assert {"f-35 upgrade", "f-35", "ea-18g", "the next generation jammer (ngj)"} <= names
+    assert names == {"f-35 upgrade", "f-35", "ea-18g", "the next generation jammer (ngj)", "ngj"}
+    more = told.unionByName(spark.createDataFrame([("q", "Plans and N/A", "No NGJ-12 here."), ("r-L3", "B-21", ""), ("", "B-21", ""), ("s", "B-21", None), ("q", None, None), (None, "B-21", "x")], told.schema))
+    programs = spark.createDataFrame([("p",), ("q",), ("q",), ("r-L3",), (None,)], "pe_bli string")  # s is no program; q is two
+    found = {(r.pe_bli, r.key): (r.shared, r.ambiguous_key) for r in pages.lexicon_candidates(more, programs).collect()}
+    assert found == {("p", k): (False, False) for k in names} | {("q", "ngj-12"): (False, True)}
     titles = spark.createDataFrame([("p", "Joint Strike Fighter"), ("q", "Strike Wing")], "pe_bli string, title string")
     aliases = spark.createDataFrame([("Joint Strike",), ("strike",), ("nope",), ("rike",)], "alias string")
     assert {r.alias: (r.candidates, r.tier) for r in pages.alias_candidates(aliases, titles).collect()} == {"JOINT STRIKE": (1, "sole"), "STRIKE": (2, "ambiguous"), "NOPE": (0, "none"), "RIKE": (2, "ambiguous")}  # anywhere in a title
