@@ -300,6 +300,23 @@ def test_alignment_is_the_longest_common_run_of_words(segment, monkeypatch):
         assert narrow <= wide and enough(narrow) == enough(wide)
 
 
+def test_rarity_table_matches_counts(spark, monkeypatch):
+    """Every cell holds the level of its commonest shingle of several classes, in whichever block it lies; no shingles give zeros."""
+    monkeypatch.setattr(near_dedup, "CELLS", 256)
+    monkeypatch.setattr(near_dedup, "CELL_BLOCK", 16)
+    rng = random.Random(3)
+    rows = [(rng.randrange(5), rng.randrange(-400, 400) // rng.choice([1, 40])) for _ in range(2000)] + [(7, 999)] * 50 + [(k, -1) for k in range(64)]
+    found = near_dedup._levels(spark.createDataFrame(rows, "class bigint, shingle bigint"))
+    texts, classes, want = Counter(s for _, s in rows), defaultdict(set), np.zeros(256, np.uint8)
+    for c, s in rows:
+        classes[s].add(c)
+    for s, n in texts.items():
+        if len(classes[s]) > 1:
+            want[s % 256] = max(want[s % 256], n.bit_length())
+    assert (found == want).all() and want.max() >= 7
+    assert not near_dedup._levels(spark.createDataFrame([], "class bigint, shingle bigint")).any()
+
+
 def test_near_classes_catch_planted_copies(spark):
     """Copies with 1 to 6 words in a hundred replaced, dropped or added: nine in ten at least are caught, and nothing else."""
     rng = random.Random(11)
