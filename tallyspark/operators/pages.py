@@ -32,29 +32,42 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\d,.])(\d[\d,]*(?:\.\d+)?)(?!\d)"), 1))
 
 
+def _classes(pages: DataFrame, made: Column, name: str) -> DataFrame:
+    """Each different text of a document once: text_key, its first page, how many pages have it (n_pages), what is ``made`` of it."""
+    return pages.groupBy("document_id", _text_key().alias("text_key"), made.alias(name)).agg(F.min("page").alias("page"), F.count("*").alias("n_pages"))
+
+
+def _text_key() -> Column:
+    return F.sha2("text", 256)
+
+
 def _judged(met: DataFrame, pages: DataFrame, item: str, checks: dict[str, Column]) -> DataFrame:
-    """Each candidate page of an item with ``checks`` of what was asked for against the page's text.
+    """Each candidate text of an item with ``checks`` of what was asked for against it: item, page, n_pages, the checks.
 
-    met: document_id, page, the item, and what the checks read as ``asked``. All that is asked of a page is gathered first,
-    so its text moves and is read once, whatever the number of candidates; the checks may use ``text``, ``even``,
-    ``words``, ``page_exhibit`` and the fields of ``asked``.
+    met: document_id, page, text_key, n_pages (of ``_classes``), and the item, a struct whose fields the checks read as
+    ``asked``. All that is asked of a text is gathered first, so it moves and is read once, whatever the number of candidates;
+    the checks may use ``text``, ``even``, ``words``, ``page_exhibit`` and the fields of ``asked``.
     """
-    what = [c for c in met.columns if c not in ("document_id", "page", item)]
-    gathered = met.groupBy("document_id", "page").agg(F.collect_list(F.struct(item, *what)).alias("asked"))
-    told = pages.select("document_id", "page", "text").join(gathered, ["document_id", "page"]).withColumns({
+    key = ["document_id", "page", "text_key"]
+    gathered = met.groupBy(*key, "n_pages").agg(F.collect_list(item).alias("asked"))
+    told = pages.select("document_id", "page", _text_key().alias("text_key"), "text").join(gathered, key).withColumns({
         "even": _evened(F.col("text")), "words": F.array_distinct(F.split("text", "[^A-Za-z0-9]+")), "page_exhibit": F.regexp_extract("text", EXHIBIT, 1),
     })
-    each = F.transform("asked", lambda a: F.struct(a[item].alias(item), *[F.coalesce(check(a), F.lit(False)).alias(name) for name, check in checks.items()]))
-    return told.select("page", F.explode(each).alias("x")).select("page", "x.*")
+    each = F.transform("asked", lambda a: F.struct(a.alias(item), *[F.coalesce(check(a), F.lit(False)).alias(name) for name, check in checks.items()]))
+    judged = told.select("page", "text_key", "n_pages", F.explode(each).alias("x")).select("page", "text_key", "n_pages", "x.*")
+    return judged.distinct()  # a page may be given twice
 
 
 def _narrowed(found: DataFrame, item: str, ties: list[str]) -> DataFrame:
-    """The first page of each item after narrowing by one tie-break after another, never to none: page, left, candidate_pages."""
+    """The first page of each item after narrowing by one tie-break after another, never to none: page, left, candidate_pages.
+
+    Candidates are first summed up by what they hold, so the windows see a few rows an item.
+    """
     one = Window.partitionBy(item)
-    kept = found.withColumn("candidate_pages", F.count("*").over(one))
+    kept = found.groupBy(item, *ties).agg(F.min("page").alias("page"), F.sum("n_pages").alias("n_pages")).withColumn("candidate_pages", F.sum("n_pages").over(one))
     for tie in ties:
         kept = kept.withColumn("any_left", F.max(tie).over(one)).where(F.col(tie) | ~F.col("any_left"))
-    return kept.groupBy(item).agg(F.min("page").alias("page"), F.count("*").alias("left"), F.max("candidate_pages").alias("candidate_pages"))
+    return kept.groupBy(item).agg(F.min("page").alias("page"), F.sum("n_pages").alias("left"), F.max("candidate_pages").alias("candidate_pages"))
 
 
 def _evened(text: Column) -> Column:
@@ -66,19 +79,21 @@ def fact_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
 
     pages: document_id, page, text. Candidates name the code and print the amount: printed numbers and renderings
     meet in an equi join. They are narrowed to the fact's exhibit, then to its project, never to none; the first
-    remaining page is taken, ``unique`` if it is the only one.
+    remaining page is taken, ``unique`` if it is the only one. Facts that ask for the same are looked up once, and so are
+    pages of the same text.
     """
     amount = F.col("amount_millions")
-    wanted = facts.where(amount.isNotNull() & (amount != 0))
-    asked = wanted.select("fact_id", "document_id", "pe_bli", "project_number", "exhibit", F.explode(renderings(amount)).alias("number"))
-    # numbers meet without the text they are in; only pages that print a wanted number are read for the rest
-    printed = pages.select("document_id", "page", F.explode(numbers(F.col("text"))).alias("number"))
+    # facts that ask for the same are one question, and pages of one text one place, so copies make no pairs
+    keyed = facts.withColumn("fact", F.struct("document_id", "pe_bli", "project_number", "exhibit", "amount_millions"))
+    asked = keyed.where(amount.isNotNull() & (amount != 0)).select("fact").distinct().select("fact", "fact.document_id", F.explode(renderings(F.col("fact.amount_millions"))).alias("number"))
+    # numbers meet without the text they are in; only texts that print a wanted number are read for the rest
+    printed = _classes(pages, numbers(F.col("text")), "printed").select("document_id", "page", "text_key", "n_pages", F.explode("printed").alias("number"))
     met = asked.join(printed, ["document_id", "number"]).drop("number").distinct()
-    found = _judged(met, pages, "fact_id", {
+    found = _judged(met, pages, "fact", {
         "names": lambda a: F.contains(F.col("text"), a["pe_bli"]), "on_exhibit": lambda a: F.col("page_exhibit") == a["exhibit"],
         "on_project": lambda a: F.array_contains(F.col("words"), a["project_number"]),
     }).where("names")
-    joined = facts.select("fact_id", "amount_millions").join(_narrowed(found, "fact_id", ["on_exhibit", "on_project"]), "fact_id", "left")
+    joined = keyed.select("fact_id", "amount_millions", "fact").join(_narrowed(found, "fact", ["on_exhibit", "on_project"]), "fact", "left")
     state = F.when(amount == 0, "zero_amount").when(F.col("page").isNull(), "unresolved").when(F.col("left") == 1, "unique").otherwise("ambiguous_first")
     return joined.select("fact_id", "page", state.alias("resolution"), F.coalesce("candidate_pages", F.lit(0)).alias("candidate_pages"))
 
@@ -101,21 +116,23 @@ def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENIN
     A page is a candidate where the narrative's opening words stand, white space evened out. Pages are indexed by hashes
     of their runs of ``SHINGLE`` words (and of as many as shorter openings have), which openings meet in an equi join by
     their first run; only then is a page read for the whole opening. Candidates are narrowed to pages that name the
-    code, then to the exhibit and the project, never to none.
+    code, then to the exhibit and the project, never to none. Narratives that open alike are looked up once, and so are
+    pages of the same text.
     """
     given = [c for c in ("pe_bli", "project_number", "exhibit") if c in narratives.columns]
     opening = F.slice(F.split(_evened(F.col("body")), " "), 1, words)
-    asked = narratives.where(_evened(F.col("body")) != "").select("narrative_id", "document_id", *given, opening.alias("opening"))
-    short = [r.n for r in asked.select(F.least(F.size("opening"), F.lit(SHINGLE)).alias("n")).distinct().collect()]  # 8 lengths at most
+    # narratives that open alike and ask for the same are one question, and pages of one text one place, so copies make no pairs
+    keyed = narratives.withColumn("told", F.when(_evened(F.col("body")) != "", F.struct("document_id", *given, opening.alias("opening"))))
+    short = [r.n for r in keyed.where("told IS NOT NULL").select(F.least(F.size("told.opening"), F.lit(SHINGLE)).alias("n")).distinct().collect()]  # 8 lengths at most
     lengths = sorted(short)
     if not lengths:
         return narratives.select("narrative_id", F.lit(None).cast("int").alias("page"), F.lit("unresolved").alias("resolution"), F.lit(0).cast("bigint").alias("candidate_pages"))
-    size = F.least(F.size("opening"), F.lit(SHINGLE))
-    first = F.xxhash64(size, F.array_join(F.slice("opening", F.lit(1), size), " "))
-    keyed = asked.withColumn("shingle", first)
-    index = pages.select("document_id", "page", F.explode(_shingles(F.split(_evened(F.col("text")), " "), lengths)).alias("shingle"))
-    index = index.join(keyed.select("document_id", "shingle").distinct(), ["document_id", "shingle"], "left_semi")
-    met = index.join(keyed, ["document_id", "shingle"]).drop("shingle")
+    size = F.least(F.size("told.opening"), F.lit(SHINGLE))
+    first = F.xxhash64(size, F.array_join(F.slice("told.opening", F.lit(1), size), " "))
+    asked = keyed.where("told IS NOT NULL").select("told").distinct().select("told", "told.document_id", first.alias("shingle"))
+    index = _classes(pages, _shingles(F.split(_evened(F.col("text")), " "), lengths), "shingles").select("document_id", "page", "text_key", "n_pages", F.explode("shingles").alias("shingle"))
+    index = index.join(asked.select("document_id", "shingle").distinct(), ["document_id", "shingle"], "left_semi")
+    met = index.join(asked, ["document_id", "shingle"]).drop("shingle")
     spaced = lambda text: F.concat(F.lit(" "), text, F.lit(" "))
     checks = {"names": lambda a: F.contains(spaced(F.col("even")), spaced(F.array_join(a["opening"], " ")))}
     ties = {
@@ -123,8 +140,8 @@ def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENIN
         "project_number": ("on_project", lambda a: F.array_contains(F.col("words"), a["project_number"])),
     }
     checks |= {name: check for column, (name, check) in ties.items() if column in given}
-    found = _judged(met, pages, "narrative_id", checks).where("names")
-    joined = narratives.select("narrative_id").join(_narrowed(found, "narrative_id", [n for n in checks if n != "names"]), "narrative_id", "left")
+    found = _judged(met, pages, "told", checks).where("names")
+    joined = keyed.select("narrative_id", "told").join(_narrowed(found, "told", [n for n in checks if n != "names"]), "told", "left")
     state = F.when(F.col("page").isNull(), "unresolved").when(F.col("left") == 1, "unique").otherwise("ambiguous_first")
     return joined.select("narrative_id", "page", state.alias("resolution"), F.coalesce("candidate_pages", F.lit(0)).alias("candidate_pages"))
 
