@@ -33,8 +33,14 @@ def numbers(text: Column) -> Column:
 
 
 def _classes(pages: DataFrame, made: Column, name: str) -> DataFrame:
-    """Each different text of a document once: text_key, its first page, how many pages have it (n_pages), what is ``made`` of it."""
-    return pages.groupBy("document_id", _text_key().alias("text_key"), made.alias(name)).agg(F.min("page").alias("page"), F.count("*").alias("n_pages"))
+    """Each different text of a document once: text_key, its first page, how many pages have it (n_pages), what is ``made`` of it.
+
+    Arrays made are exploded with ``explode_outer``: the filter that an ``explode`` brings is pushed below the grouping, and
+    would make them of every page.
+    """
+    # grouped by the text itself, so that the costly part is done after the shuffle, once a text and by all tasks
+    texts = pages.groupBy("document_id", "text").agg(F.min("page").alias("page"), F.count("*").alias("n_pages"))
+    return texts.select("document_id", "page", _text_key().alias("text_key"), "n_pages", made.alias(name))
 
 
 def _text_key() -> Column:
@@ -87,7 +93,7 @@ def fact_pages(facts: DataFrame, pages: DataFrame) -> DataFrame:
     keyed = facts.withColumn("fact", F.struct("document_id", "pe_bli", "project_number", "exhibit", "amount_millions"))
     asked = keyed.where(amount.isNotNull() & (amount != 0)).select("fact").distinct().select("fact", "fact.document_id", F.explode(renderings(F.col("fact.amount_millions"))).alias("number"))
     # numbers meet without the text they are in; only texts that print a wanted number are read for the rest
-    printed = _classes(pages, numbers(F.col("text")), "printed").select("document_id", "page", "text_key", "n_pages", F.explode("printed").alias("number"))
+    printed = _classes(pages, numbers(F.col("text")), "printed").select("document_id", "page", "text_key", "n_pages", F.explode_outer("printed").alias("number"))
     met = asked.join(printed, ["document_id", "number"]).drop("number").distinct()
     found = _judged(met, pages, "fact", {
         "names": lambda a: F.contains(F.col("text"), a["pe_bli"]), "on_exhibit": lambda a: F.col("page_exhibit") == a["exhibit"],
@@ -104,10 +110,14 @@ OPENING = 12  # fixed value: how many words of a narrative are looked for
 
 def _shingles(words: Column, lengths: list[int]) -> Column:
     """Hashes of all runs of each of ``lengths`` words, each once."""
-    size = F.size(words)
-    run = lambda n: lambda k: F.xxhash64(F.lit(n), F.array_join(F.slice(words, k, n), " "))
     none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.flatten(F.array(*[F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), run(n))).otherwise(none) for n in lengths])))
+
+    def runs(w: Column, n: int) -> Column:
+        run = lambda k: F.xxhash64(F.lit(n), F.array_join(F.slice(w, k, n), " "))
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), run)).otherwise(none)
+
+    # bound to a variable, the words are split once a text and not once a run
+    return F.array_distinct(F.flatten(F.flatten(F.transform(F.array(words), lambda w: F.array(*[runs(w, n) for n in lengths])))))
 
 
 def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENING) -> DataFrame:
@@ -130,7 +140,7 @@ def narrative_pages(narratives: DataFrame, pages: DataFrame, words: int = OPENIN
     size = F.least(F.size("told.opening"), F.lit(SHINGLE))
     first = F.xxhash64(size, F.array_join(F.slice("told.opening", F.lit(1), size), " "))
     asked = keyed.where("told IS NOT NULL").select("told").distinct().select("told", "told.document_id", first.alias("shingle"))
-    index = _classes(pages, _shingles(F.split(_evened(F.col("text")), " "), lengths), "shingles").select("document_id", "page", "text_key", "n_pages", F.explode("shingles").alias("shingle"))
+    index = _classes(pages, _shingles(F.split(_evened(F.col("text")), " "), lengths), "shingles").select("document_id", "page", "text_key", "n_pages", F.explode_outer("shingles").alias("shingle"))
     index = index.join(asked.select("document_id", "shingle").distinct(), ["document_id", "shingle"], "left_semi")
     met = index.join(asked, ["document_id", "shingle"]).drop("shingle")
     spaced = lambda text: F.concat(F.lit(" "), text, F.lit(" "))

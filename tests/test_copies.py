@@ -29,3 +29,13 @@ def test_fact_pages_ask_alike_facts_once(spark):
     got = {(r.fact_id[1:], r.page, r.resolution, r.candidate_pages) for r in found.collect()}
     assert got == {(str(k), 10, "ambiguous_first", 62) if k % 2 else (str(k), 90, "ambiguous_first", 62) for k in range(60)}
     assert rows_of_plan(found, "Join") < 500  # 60 facts by 62 pages are 3,720 pairs
+
+
+def test_narrative_pages_look_alike_openings_up_once(spark):
+    told = spark.createDataFrame([(k, 1, "A1" if k % 2 else None, "The work  goes on in many parts of the yard as it did " + str(k)) for k in range(60)] + [(99, 1, "A1", " ")], "narrative_id int, document_id int, pe_bli string, body string")
+    page = "The work goes on in many parts\nof the yard as it did"
+    book = spark.createDataFrame([(1, 10 + k, page) for k in range(60)] + [(1, 90, "A1: " + page), (1, 91, "No" + page)], "document_id int, page int, text string")
+    found = pages.narrative_pages(told, book)
+    got = {(r.narrative_id, r.page, r.resolution, r.candidate_pages) for r in found.collect()}
+    assert got == {(k, 90, "unique", 61) if k % 2 else (k, 10, "ambiguous_first", 61) for k in range(60)} | {(99, None, "unresolved", 0)}
+    assert rows_of_plan(found, "Join") < 500
