@@ -173,3 +173,11 @@ def test_records_after_line_breaks_and_roles_by_occurrence(spark):
     assert (row.service, row.contractor, row.amounts) == ("NAVY", "Lockheed Martin Corp.", [5000000])
     assert [(n.piid, n.role) for n in row.numbers] == [("N0001924C0001", "referenced"), ("N0001920D0002", "referenced"), ("N0001924C0001", "award"), ("N0001924C0001", "referenced")]
     assert row.piids == row.referenced == ["N0001924C0001", "N0001920D0002"]
+
+
+def test_letters_with_an_upper_case_of_several_letters_stay_one(spark):
+    texts = spark.createDataFrame([(1, "verschlossene und großzügig"), (2, "GROSSZÜGIG verschlossene"), (3, "die straße, ﬁnal")], "d int, text string")
+    titles = spark.createDataFrame([(7, "verschlossene großzügigkeiten")], "item int, title string")
+    assert {r.term for r in matching.title_terms(titles, "item", "title", least=3).collect()} == {"VERSCHLOSSENE", "GRO", "GIGKEITEN"}
+    terms = spark.createDataFrame([("GROSSZ",), ("VERSCHLOSSENE",), ("straße",), ("NAL",)], "term string")
+    assert sorted((r.d, r.term) for r in matching.term_hits(texts, terms, "d", "text").collect()) == [(1, "VERSCHLOSSENE"), (2, "GROSSZ"), (2, "VERSCHLOSSENE"), (3, "NAL"), (3, "straße")]
