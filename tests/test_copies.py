@@ -1,6 +1,6 @@
 """Questions and texts that repeat: one question, one place, and results as without copies."""
 
-from tallyspark.operators import pages
+from tallyspark.operators import links, matching, pages
 
 
 def rows_of_plan(df, node):
@@ -39,3 +39,12 @@ def test_narrative_pages_look_alike_openings_up_once(spark):
     got = {(r.narrative_id, r.page, r.resolution, r.candidate_pages) for r in found.collect()}
     assert got == {(k, 90, "unique", 61) if k % 2 else (k, 10, "ambiguous_first", 61) for k in range(60)} | {(99, None, "unresolved", 0)}
     assert rows_of_plan(found, "Join") < 500
+
+
+def test_token_overlap_compares_alike_rows_once(spark):
+    left = spark.createDataFrame([(k, "a", ["x", "y"]) for k in range(60)] + [(90, None, ["x"])], "l int, g string, lw array<string>")
+    right = spark.createDataFrame([(k, "a", ["y", "x", "z"]) for k in range(60)] + [(91, "a", None)], "r int, g string, rw array<string>")
+    found = matching.token_overlap(left, right, "l", "r", "lw", "rw", ["g"])
+    assert sorted((r.l, r.r, r.overlap, r.shared) for r in found.where("r < 90").collect()) == [(i, j, 2, "x y") for i in range(60) for j in range(60)]
+    assert found.where("r = 91").count() == 60
+    assert rows_of_plan(found, "Join") < 500  # not 3,600
