@@ -247,7 +247,7 @@ def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, mo
     program that the alias is ``seeded`` for (alias, pe_bli), and whether that isn't among the candidates.
     """
     terms = aliases.select(F.upper(F.trim("alias")).alias("alias")).where("alias <> ''").distinct()
-    shown = titles.select("pe_bli", F.upper("title").alias("shown"))
+    shown = titles.select("pe_bli", F.upper("title").alias("shown")).distinct()
     runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("shown") - n + 1, F.lit(1))), lambda k: F.substring(F.col("shown"), k, F.lit(n)))
     begun = shown.where("shown IS NOT NULL").select("pe_bli", "shown", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, (1, 2, 3)))))).alias("begin"))
     keyed = terms.select("alias", F.substring("alias", 1, 3).alias("begin"))

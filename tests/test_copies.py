@@ -48,3 +48,10 @@ def test_token_overlap_compares_alike_rows_once(spark):
     assert sorted((r.l, r.r, r.overlap, r.shared) for r in found.where("r < 90").collect()) == [(i, j, 2, "x y") for i in range(60) for j in range(60)]
     assert found.where("r = 91").count() == 60
     assert rows_of_plan(found, "Join") < 500  # not 3,600
+
+
+def test_alias_candidates_read_a_title_once(spark):
+    titles = spark.createDataFrame([("p1", "red ring")] * 60 + [("p2", "red bolt")], "pe_bli string, title string")
+    found = pages.alias_candidates(spark.createDataFrame([("red",), ("ring",)], "alias string"), titles)
+    assert sorted((r.alias, r.candidates, r.tier) for r in found.collect()) == [("RED", 2, "ambiguous"), ("RING", 1, "sole")]
+    assert rows_of_plan(found, "Generate") < 80
