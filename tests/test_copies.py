@@ -50,6 +50,16 @@ def test_token_overlap_compares_alike_rows_once(spark):
     assert rows_of_plan(found, "Join") < 500  # not 3,600
 
 
+def test_crosswalk_compares_alike_lines_once(spark):
+    lines = spark.createDataFrame([(k, "7", "radar upgrade kit", None) for k in range(60)], "line_id int, account string, title string, organization string")
+    awards = spark.createDataFrame([(f"A{k}", "7; 8;7", "radar upgrade", "army", k) for k in range(60)], "award_piid string, accounts string, description string, sub_agency string, obligation long")
+    aliases = spark.createDataFrame([("N", "navy")], "organization string, alias string")
+    found = links.crosswalk_awards(lines, awards, aliases)
+    got = sorted((r.line_id, r.matched_obligation, r.score, r.rationale, r.confidence) for r in found.collect())
+    assert got == [(i, j, 2, "radar upgrade", "high") for i in range(60) for j in range(60)]
+    assert rows_of_plan(found, "Join") < 700
+
+
 def test_alias_candidates_read_a_title_once(spark):
     titles = spark.createDataFrame([("p1", "red ring")] * 60 + [("p2", "red bolt")], "pe_bli string, title string")
     found = pages.alias_candidates(spark.createDataFrame([("red",), ("ring",)], "alias string"), titles)
