@@ -60,6 +60,15 @@ def test_crosswalk_compares_alike_lines_once(spark):
     assert rows_of_plan(found, "Join") < 700
 
 
+def test_oversight_candidates_match_alike_names_once(spark):
+    reports = spark.createDataFrame([(k, "S", "ship x", "Ship X (NEW)") for k in range(60)], "report_id int, service string, name string, full_name string")
+    programs = spark.createDataFrame([(f"p{k}", "O", "the ship x program") for k in range(60)] + [("p0", "O", "ship x"), ("q", "P", "ship x")], "slug string, org string, title string")
+    services = spark.createDataFrame([("S", "O")], "service string, org string")
+    found = matching.oversight_candidates(reports, programs, services)
+    assert sorted((r.report_id, int(r.slug[1:]), r.matched_on, r.rule) for r in found.collect()) == [(i, j, "Ship X", "A") for i in range(60) for j in range(60)]
+    assert rows_of_plan(found, "Join") < 900
+
+
 def test_alias_candidates_read_a_title_once(spark):
     titles = spark.createDataFrame([("p1", "red ring")] * 60 + [("p2", "red bolt")], "pe_bli string, title string")
     found = pages.alias_candidates(spark.createDataFrame([("red",), ("ring",)], "alias string"), titles)
