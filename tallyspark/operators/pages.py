@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.matching import money_mentions
-from tallyspark.operators.picks import carry_forward
-from tallyspark.sources.html import elements, paragraphs
+from tallyspark.sources.html import elements, elements_of_pages
 
 # Exhibit markers on budget-book pages.
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
@@ -173,10 +172,8 @@ def contract_numbers(text: Column) -> Column:
     A number that ``contract`` stands right before, or ``to contract`` shortly before, is referred to. Each occurrence is
     judged by what stands before it.
     """
-    written = F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1)
-    between = F.split(text, CONTRACT_NUMBER)
 
-    def one(number: Column, k: Column) -> Column:
+    def one(written: Column, between: Column, number: Column, k: Column) -> Column:
         # a number takes 13 characters at least, so what stands up to LOOK_BACK before lies in the last three stretches
         near = [F.coalesce(F.concat(F.get(between, k - back), F.get(written, k - back)), F.lit("")) for back in (2, 1)]
         before = F.lower(F.right(F.concat(*near, F.get(between, k)), F.lit(LOOK_BACK)))
@@ -184,28 +181,58 @@ def contract_numbers(text: Column) -> Column:
         bare = F.regexp_replace(number, "[- ]", "")
         return F.struct(number.alias("raw"), bare.alias("piid"), F.when(refers, "referenced").otherwise("award").alias("role"))
 
-    return F.transform(written, one)
+    # bound to a variable, the text is read once and not once a number
+    read = F.struct(F.regexp_extract_all(text, F.lit(CONTRACT_NUMBER), 1).alias("written"), F.split(text, CONTRACT_NUMBER).alias("between"))
+    return _bound(read, lambda x: F.transform(x["written"], lambda number, k: one(x["written"], x["between"], number, k)))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _stretches(rows: Column, marks: Column, no_mark: Column) -> Column:
+    """A list cut at its marks: (mark, rows) of what lies before the first (``no_mark``) and of each mark with what follows it.
+
+    marks: structs (at, mark) in order, ``at`` counting the list from 0. The stretches together are as long as the list.
+    """
+    all_marks = F.concat(F.array(F.struct(F.lit(0).alias("at"), no_mark.alias("mark"))), marks)
+
+    def cut(found):
+        after = lambda k: F.coalesce(F.get(found, k + 1)["at"], F.size(rows))
+        return F.transform(found, lambda m, k: F.struct(m["mark"].alias("mark"), F.slice(rows, m["at"] + 1, after(k) - m["at"]).alias("rows")))
+
+    return _bound(all_marks, cut)
 
 
 def contract_records(articles: DataFrame, services: list[str]) -> DataFrame:
     """Award paragraphs of announcement articles (article_id, html): day, service header carried forward, numbers, amounts.
 
     ``numbers`` has every number with its role, ``piids`` the different ones, ``referenced`` those that are referred to
-    at least once. A header is short, begins with a service and names no money.
+    at least once. A header is short, begins with a service and names no money; it holds up to the next one. An article is
+    read once and stays one row until its awards are listed, so nothing is shuffled.
     """
     text = F.col("text")
-    rows = paragraphs(articles, "article_id", "html").where("text <> ''")
-    head = F.upper(F.regexp_replace(text, r"[ *]+$", ""))
-    is_head = head.rlike("^(" + "|".join(services) + ")") & (F.char_length(head) < 60) & ~F.contains(text, F.lit("$"))
-    named = F.when(is_head, F.regexp_replace(head, r"\.+$", ""))
-    placed = carry_forward(rows.withColumn("head", named), ["article_id"], "pos", "head", "service")
+    # explodes are outer ones, as the filter that another brings would make the lists a second time
+    read = elements_of_pages(articles.select("article_id", announcement_date(F.col("html")).alias("announced"), "html"), "html", ["p"], ("nth", "text"))
+
+    def header(told: Column) -> Column:
+        head = F.upper(F.regexp_replace(told, r"[ *]+$", ""))
+        is_head = head.rlike("^(" + "|".join(services) + ")") & (F.char_length(head) < 60) & ~F.contains(told, F.lit("$"))
+        return F.when(is_head, F.regexp_replace(head, r"\.+$", ""))
+
+    rows = F.filter("elements", lambda e: e["text"] != "")
+    heads = lambda r: F.filter(F.transform(r, lambda e, k: F.struct(k.alias("at"), header(e["text"]).alias("mark"))), lambda m: m["mark"].isNotNull())
+    sections = _bound(rows, lambda r: _stretches(r, heads(r), F.lit(None).cast("string")))
+    placed = read.select("article_id", "announced", F.explode_outer(sections).alias("section"))
+    paragraphs = F.when(F.col("section.mark").isNull(), F.col("section.rows")).otherwise(F.slice("section.rows", 2, F.greatest(F.size("section.rows"), F.lit(1))))
+    placed = placed.select("article_id", "announced", F.col("section.mark").alias("service"), F.explode_outer(paragraphs).alias("p")).select("article_id", "announced", "service", F.col("p.nth").alias("pos"), "p.text")
     contractor = F.regexp_replace(F.substring_index("text", ",", 1), r"^[ *]+|[ *]+$", "")
-    found = placed.where(~is_head).withColumn("numbers", contract_numbers(text)).where(F.size("numbers") > 0)
+    found = placed.where(text.rlike(CONTRACT_NUMBER)).withColumn("numbers", contract_numbers(text))
     piids = F.array_distinct(F.transform("numbers", lambda n: n["piid"]))
     referenced = F.array_distinct(F.transform(F.filter("numbers", lambda n: n["role"] == "referenced"), lambda n: n["piid"]))
     amounts = F.slice(money_mentions(text), 1, 4)
-    found = found.select("article_id", "pos", "service", contractor.alias("contractor"), "numbers", piids.alias("piids"), referenced.alias("referenced"), amounts.alias("amounts"), "text")
-    return found.join(articles.select("article_id", announcement_date(F.col("html")).alias("announced")), "article_id")
+    return found.select("article_id", "pos", "service", contractor.alias("contractor"), "numbers", piids.alias("piids"), referenced.alias("referenced"), amounts.alias("amounts"), "text", "announced")
 
 
 def lexicon_candidates(narratives: DataFrame, programs: DataFrame | None = None, *, quotes: int = 3, around: int = 60, designator_around: int = 90, longest_quote: int = 220) -> DataFrame:

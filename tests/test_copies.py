@@ -84,3 +84,30 @@ def test_alias_candidates_read_a_title_once(spark):
     found = pages.alias_candidates(spark.createDataFrame([("red",), ("ring",)], "alias string"), titles)
     assert sorted((r.alias, r.candidates, r.tier) for r in found.collect()) == [("RED", 2, "ambiguous"), ("RING", 1, "sole")]
     assert rows_of_plan(found, "Generate") < 80
+
+
+def test_awards_of_an_article_need_no_shuffle(spark):
+    html = "<title>Contracts For May 3, 2024</title><p>Firm A, Town (W912AB-24-C-0001) $1<p>NAVY *</p><p>Firm B, Town (W912AB-24-C-0002) $2 million</p><p></p><p>Firm C (N00019-20-D-0003)<p>ARMY.</p><p>none</p>"
+    rows = spark.createDataFrame([("a", html), ("b", "<p>ARMY</p>"), ("c", None), ("d", "<p>Firm D, (W912AB-24-C-0004)</p>")], "article_id string, html string")
+    found = pages.contract_records(rows, ["NAVY", "ARMY"])
+    got = sorted((r.article_id, r.pos, r.service or "", r.contractor, str(r.announced)) for r in found.collect())
+    assert got == [("a", 0, "", "Firm A", "2024-05-03"), ("a", 2, "NAVY", "Firm B", "2024-05-03"), ("a", 4, "NAVY", "Firm C (N00019-20-D-0003)", "2024-05-03"), ("d", 0, "", "Firm D", "None")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    import random
+
+    from tallyspark.sources import html
+
+    bits = ["<p>", "</p>", "<div class='a' ID=\"b\" hidden>", "</div>", "<b>", "</b>", "<br/>", "a & b &amp;", "<script>x='</p>'</script>", "<STYLE>p{}</style>", "<!-- <p> -->", "<!doctype html>", "<!-->", "<a href=x>", "<", "<li>", "<ul>", "</ul>", "<p a='<'>"]
+    dealt, plain = random.Random(5), 0
+    for _ in range(2000):
+        page = "".join(dealt.choices(bits, k=dealt.randint(0, 8)))
+        parsed = html.Reader()
+        parsed.feed(page)
+        parsed.close()
+        told = [(e["node"], e["last"], e["tag"], e["nth"], e["attributes"], " ".join("".join(e["parts"][e["from"] : e["to"]]).split())) for e in parsed.found]
+        assert [(e["node"], e["last"], e["tag"], e["nth"], e["attributes"], e["text"]) for e in html.elements_of(page)] == told
+        plain += html.Reader().read_plain(page)
+    assert plain > 500
