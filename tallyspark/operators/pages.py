@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.operators.matching import money_mentions
-from tallyspark.sources.html import elements, elements_of_pages
+from tallyspark.sources.html import elements_of_pages
 
 # Exhibit markers on budget-book pages.
 EXHIBIT = r"Exhibit\s+(R-2A|R-2|R-1|R-3|R-4A|R-4|P-40A|P-40|P-1|P-5|P-3A|P-21|P-10)\b"
@@ -293,31 +293,40 @@ def alias_candidates(aliases: DataFrame, titles: DataFrame, most: int = 8, *, mo
 def payment_rates(pages: DataFrame) -> DataFrame:
     """Improper-payment pages (page_id, program, agency, html) to yearly rates with the amount they imply.
 
-    The pages' elements are read once. Outlays are the first amount in a summary card, whose year is its ``data-year`` or
-    the year it names; exact rates are attributes of a chart, whose year is that of the heading before it, in its own
-    card where there are cards. A year needs both. The amount is the rounded share of the outlays.
+    The pages' elements are read once, and a page stays one row until its rates are listed, so nothing is shuffled. Outlays
+    are the first amount in a summary card, whose year is its ``data-year`` or the year it names; exact rates are attributes
+    of a chart, whose year is that of the heading before it, in its own card where there are cards. A year needs both. The
+    amount is the rounded share of the outlays.
     """
-    rows = elements(pages, "page_id", "html")
-    has = lambda name: F.array_contains(F.split(F.coalesce(F.col("attributes")["class"], F.lit("")), r"\s+"), name)
-    named = F.regexp_extract("text", r"FY\s*(\d{4})", 1).try_cast("int")
-    marked = rows.select(
-        "page_id", "node", "last", "tag", "attributes", "text",
-        F.when((F.col("tag") == "div") & has("metrics-summary"), F.struct("last", F.col("attributes")["data-year"].try_cast("int").alias("fy"), "node")).alias("summary"),
-        F.when(has("usa-card__body"), F.col("node")).alias("body"), F.when(F.col("tag") == "h2", named).alias("heading"),
-    )
-    order = Window.partitionBy("page_id").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = marked.withColumns({c: F.last(c, ignorenulls=True).over(order) for c in ("summary", "body")})
-    in_summary = placed.where(F.col("node") <= F.col("summary.last"))
-    first_amount = F.min(F.when(F.col("amount").isNotNull(), F.struct("node", "amount")))["amount"]
-    first_year = F.min(F.when(F.col("named").isNotNull(), F.struct("node", "named")))["named"]
-    read = in_summary.withColumn("amount", F.get(money_mentions(_spelled(F.col("text"))), F.lit(0))).withColumn("named", named)
-    cards = read.groupBy("page_id", F.col("summary.node").alias("card")).agg(F.coalesce(F.max("summary.fy"), first_year).alias("fy"), first_amount.alias("outlays_usd"))
-    outlays = cards.where(F.col("outlays_usd").isNotNull() & F.col("fy").isNotNull()).groupBy("page_id", "fy").agg(F.max("outlays_usd").alias("outlays_usd"))
-    in_card = Window.partitionBy("page_id", "body").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    charts = placed.withColumn("fy", F.last("heading", ignorenulls=True).over(in_card)).where("tag = 'canvas'")
-    attribute = lambda name: F.col("attributes")[name].try_cast("double")
-    rates = charts.select("page_id", "fy", attribute("data-improper").alias("rate_pct"), attribute("data-unknown").alias("unknown_rate_pct"))
-    found = rates.where(F.col("rate_pct").isNotNull()).join(outlays, ["page_id", "fy"]).join(pages.select("page_id", "program", "agency"), "page_id")
+    read = elements_of_pages(pages.select("page_id", "program", "agency", "html"), "html", columns=("node", "last", "tag", "attributes", "text"))
+    has = lambda e, name: F.coalesce(F.array_contains(F.split(e["attributes"]["class"], r"\s+"), name), F.lit(False))
+    named = lambda e: F.get(F.regexp_extract_all(e["text"], F.lit(r"FY\s*(\d{4})"), 1), F.lit(0)).cast("int")  # noqa: E731  four digits: a failed cast costs an exception
+    first = lambda found: F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+    elements = F.col("elements")
+
+    # a summary card holds what stands in it, up to the next one
+    is_summary = lambda e: (e["tag"] == "div") & has(e, "metrics-summary")
+    summaries = F.transform(F.filter(elements, is_summary), lambda e: F.struct(e["node"].alias("at"), e.alias("mark")))
+    nothing = F.lit(None).cast(read.schema["elements"].dataType.elementType)
+
+    def card(s):
+        inside = F.filter(s["rows"], lambda e: e["node"] <= s["mark"]["last"])
+        amount = first(F.transform(inside, lambda e: F.get(money_mentions(_spelled(e["text"])), F.lit(0))))
+        return F.struct(F.coalesce(s["mark"]["attributes"]["data-year"].try_cast("int"), first(F.transform(inside, named))).alias("fy"), amount.alias("outlays_usd"))
+
+    cards = F.transform(F.filter(_stretches(elements, summaries, nothing), lambda s: s["mark"].isNotNull()), card)
+    # a heading's year holds up to the next heading with a year or the next card
+    marks = F.transform(
+        F.filter(elements, lambda e: has(e, "usa-card__body") | ((e["tag"] == "h2") & named(e).isNotNull())), lambda e: F.struct(e["node"].alias("at"), F.when(e["tag"] == "h2", named(e)).alias("mark"))
+    )
+    attribute = lambda e, name: e["attributes"][name].try_cast("double")
+    chart = lambda s: F.transform(
+        F.filter(s["rows"], lambda e: e["tag"] == "canvas"), lambda e: F.struct(s["mark"].alias("fy"), attribute(e, "data-improper").alias("rate_pct"), attribute(e, "data-unknown").alias("unknown_rate_pct"))
+    )
+    charts = F.filter(F.flatten(F.transform(_stretches(elements, marks, F.lit(None).cast("int")), chart)), lambda x: x["rate_pct"].isNotNull() & x["fy"].isNotNull())
+    outlays = lambda cards, fy: F.array_max(F.transform(F.filter(cards, lambda x: x["fy"] == fy), lambda x: x["outlays_usd"]))
+    rates = _bound(cards, lambda found: F.transform(charts, lambda x: F.struct(x["fy"].alias("fy"), x["rate_pct"].alias("rate_pct"), x["unknown_rate_pct"].alias("unknown_rate_pct"), outlays(found, x["fy"]).alias("outlays_usd"))))
+    found = read.select("page_id", "program", "agency", F.inline_outer(rates)).where("outlays_usd IS NOT NULL")  # an outer one brings no filter that makes the list again
     amount = F.round(F.col("outlays_usd") * F.col("rate_pct") / 100)
     return found.select("page_id", "fy", "program", "agency", "rate_pct", "unknown_rate_pct", "outlays_usd", amount.alias("derived_improper_amount_usd"))
 

@@ -95,6 +95,16 @@ def test_awards_of_an_article_need_no_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rates_of_a_page_need_no_shuffle(spark):
+    card = lambda year, amount: f"<div class='card metrics-summary' data-year='{year}'><p>of ${amount} M</p></div>"
+    chart = lambda head, rate: f"<div class='usa-card__body'>{head}<canvas data-improper='{rate}'></canvas></div>"
+    html = card(2022, 5) + card(2023, 7) + card(2023, 6) + chart("<h2>FY 2023</h2>", 10) + chart("", 50) + chart("<h2>Rates</h2><h2>FY 2022</h2><h2>no year</h2>", 20) + chart("<h2>FY 2021</h2>", 1) + "<h2>FY 2022</h2>" + chart("", 3)
+    rows = spark.createDataFrame([(1, "p", "a", html), (2, "p", "a", None), (3, "p", "a", card("soon", 1) + chart("<h2>FY 2022</h2>", 1))], "page_id int, program string, agency string, html string")
+    found = pages.payment_rates(rows)
+    assert sorted((r.page_id, r.fy, r.rate_pct, r.outlays_usd, r.derived_improper_amount_usd) for r in found.collect()) == [(1, 2022, 20.0, 5e6, 1e6), (1, 2023, 10.0, 7e6, 7e5)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plain_pages_are_read_as_by_the_parser():
     import random
 
