@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions.lineage import partitions_of
+
 
 def pct_change(new: Column, base: Column, digits: int = 2) -> Column:
     """Change in per cent; null where the base is null or 0."""
@@ -44,10 +46,17 @@ def collisions(df: DataFrame, key: list[str], slot: list[str], owner: str) -> Da
 
 
 def regrain(df: DataFrame, key: list[str], slot: list[str], owner: str, value: str) -> DataFrame:
-    """Sums by key and slot, with the owner kept in the grain only where the key collides, else null."""
-    clash = collisions(df, key, slot, owner).withColumn("collides", F.lit(True))
-    joined = df.join(clash, key, "left")
-    return joined.groupBy(*key, *slot, F.when(F.col("collides"), F.col(owner)).alias(owner)).agg(F.sum(value).alias(value), F.count("*").alias("n_rows"))
+    """Sums by key and slot, with the owner kept in the grain only where the key collides, else null.
+
+    Rows are dealt by key before anything is grouped: grains are nearly as many as rows, so a map that combines them before the
+    shuffle would hold a whole input split. That one exchange serves all groupings. A null key doesn't collide.
+    """
+    dealt = df.select(*key, *slot, owner, value).repartition(partitions_of(df.sparkSession), *key)  # a number, so that tasks aren't merged by compressed size
+    sums = dealt.groupBy(*key, *slot, owner).agg(F.sum(value).alias(value), F.count("*").alias("n_rows"))
+    owners = sums.withColumn("owners", F.count(owner).over(Window.partitionBy(*key, *slot)))
+    marked = owners.withColumn("collides", F.max(F.col("owners") > 1).over(Window.partitionBy(*key)))
+    collides = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key], F.col("collides"))
+    return marked.groupBy(*key, *slot, F.when(collides, F.col(owner)).alias(owner)).agg(F.sum(value).alias(value), F.sum("n_rows").alias("n_rows"))
 
 
 def hierarchy_edges(df: DataFrame, levels: list[str], value: str, root: str = "TOTAL") -> DataFrame:
