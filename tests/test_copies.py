@@ -121,3 +121,40 @@ def test_plain_pages_are_read_as_by_the_parser():
         assert [(e["node"], e["last"], e["tag"], e["nth"], e["attributes"], e["text"]) for e in html.elements_of(page)] == told
         plain += html.Reader().read_plain(page)
     assert plain > 500
+
+
+def operators_before_exchanges(df, names):
+    """How many nodes of these names the plan has below an exchange."""
+    below, todo = 0, [(df._jdf.queryExecution().executedPlan(), False)]
+    while todo:
+        plan, is_below = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            todo.append((plan.inputPlan(), is_below))
+            continue
+        below += is_below and plan.nodeName() in names
+        children = plan.children()
+        todo += [(children.apply(k), is_below or "Exchange" in plan.nodeName()) for k in range(children.size())]
+    return below
+
+
+def test_grains_are_dealt_before_they_are_summed(spark):
+    from tallyspark.operators import aggregates
+
+    rows = spark.createDataFrame([("p", 1, "a", 5), ("p", 1, "b", 6), ("p", 2, "a", 1), ("q", 1, "a", 7), ("q", 2, "b", 8), ("q", 2, None, 1), (None, 1, "a", 1), (None, 1, "b", 2)], "k string, s int, o string, v long")
+    found = aggregates.regrain(rows, ["k"], ["s"], "o", "v")
+    got = {tuple(r) for r in found.collect()}
+    assert got == {("p", 1, "a", 5, 1), ("p", 1, "b", 6, 1), ("p", 2, "a", 1, 1), ("q", 1, None, 7, 1), ("q", 2, None, 9, 2), (None, 1, None, 3, 2)}
+    assert operators_before_exchanges(found, ["HashAggregate"]) == 0
+
+
+def test_lobbyists_are_dealt_before_repeats_are_dropped(spark):
+    from tallyspark.sources import tables
+
+    person = {"lobbyist": {"first_name": "A", "last_name": "B"}, "covered_position": None}
+    rows = spark.createDataFrame(
+        [(u, 2024, "1", "2", {"name": "r"}, {"name": "k"}, [{"general_issue_code": "X", "description": "d", "government_entities": [{"name": "N"}], "lobbyists": [person, person]}] * 2) for u in ("u1", "u2", "u2", None, None)],
+        "filing_uuid string, filing_year int, income string, expenses string, registrant struct<name:string>, client struct<name:string>, lobbying_activities array<struct<general_issue_code:string,description:string,government_entities:array<struct<name:string>>,lobbyists:array<struct<lobbyist:struct<first_name:string,last_name:string>,covered_position:string>>>>",
+    )
+    found = tables.nested_filings(rows)[2]
+    assert sorted(map(str, (r.filing_uuid for r in found.collect()))) == ["None", "u1", "u2"]
+    assert operators_before_exchanges(found, ["HashAggregate"]) == 0
