@@ -132,7 +132,8 @@ def ratified_edges(verdicts: DataFrame, narratives: DataFrame) -> DataFrame:
 def evidence_breaks(edges: DataFrame, narratives: DataFrame) -> DataFrame:
     """Stated edges whose sentence isn't verbatim in a clause of its narrative, doesn't name an end, or names both ends
     of other pairs by the clause rules and not those of the edge."""
-    spoken = clauses(narratives.select("fact_id", "pe_bli", "body")).select(F.col("fact_id").alias("evidence_fact_id"), "pe_bli", F.trim("clause").alias("evidence_sentence")).distinct()
+    named = edges.select(F.col("evidence_fact_id").alias("fact_id")).distinct()  # only these narratives are cut into clauses
+    spoken = clauses(narratives.join(named, "fact_id", "left_semi").select("fact_id", "pe_bli", "body")).select(F.col("fact_id").alias("evidence_fact_id"), "pe_bli", F.trim("clause").alias("evidence_sentence")).distinct()
     joined = edges.join(spoken, ["evidence_fact_id", "evidence_sentence"], "left")
     sentence, own = F.col("evidence_sentence"), F.col("pe_bli")
     named = lambda end: names_code(sentence, F.col(end)) | (F.col(end) == own)

@@ -36,9 +36,10 @@ NEGATIONS = ["erroneously", "in error", "incorrectly", "realigned back", "transf
 def clauses(narratives: DataFrame, body: str = "body") -> DataFrame:
     """One row a clause with its position and the clause after it, beside the narrative's other columns."""
     others = [c for c in narratives.columns if c != body]
-    found = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(CLAUSE), 0)
-    paired = F.arrays_zip(found.alias("clause"), F.slice(found, 2, F.greatest(F.size(found), F.lit(1))).alias("following"))
-    return narratives.select(*others, F.posexplode(paired).alias("pos", "x")).select(*others, "pos", "x.clause", "x.following")
+    found = F.array(F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(CLAUSE), 0))
+    # bound to a variable, a text is cut once; an outer explode brings no filter that would cut it again
+    paired = F.flatten(F.transform(found, lambda x: F.transform(x, lambda clause, k: F.struct(clause.alias("clause"), F.get(x, k + 1).alias("following")))))
+    return narratives.select(*others, F.posexplode_outer(paired).alias("pos", "x")).where("pos IS NOT NULL").select(*others, "pos", "x.clause", "x.following")
 
 
 def clause_candidates(narratives: DataFrame) -> DataFrame:
@@ -78,15 +79,18 @@ def _matches(clause: Column, way: str) -> Column:
     return F.concat(*[_named_by(told[direction], k, pattern, relation) for k, (pattern, direction, relation) in enumerate(RULES) if direction in told])
 
 
-def named_pairs(clause: Column) -> Column:
-    """The pairs (src, dst, rank, relation) of a clause that names both ends by itself."""
+def _crossed(froms: Column, tos: Column) -> Column:
     pair = lambda f, t: F.struct(
         f["code"].alias("src"), t["code"].alias("dst"), (f["rank"] * 100 + t["rank"]).alias("rank"), F.when(f["relation"] == "renamed", t["relation"]).otherwise(f["relation"]).alias("relation")
     )
+    return F.filter(F.flatten(F.transform(froms, lambda f: F.transform(tos, lambda t: pair(f, t)))), lambda p: p["src"] != p["dst"])
+
+
+def named_pairs(clause: Column) -> Column:
+    """The pairs (src, dst, rank, relation) of a clause that names both ends by itself."""
     # an array of one element gives both lists a name, so the rules read the clause once and not once a pair
     both = F.array(F.struct(_matches(clause, "from").alias("f"), _matches(clause, "to").alias("t")))
-    crossed = F.flatten(F.transform(both, lambda x: F.flatten(F.transform(x["f"], lambda f: F.transform(x["t"], lambda t: pair(f, t))))))
-    return F.filter(crossed, lambda p: p["src"] != p["dst"])
+    return F.flatten(F.transform(both, lambda x: _crossed(x["f"], x["t"])))
 
 
 def stated_edges(narratives: DataFrame) -> DataFrame:
@@ -96,14 +100,17 @@ def stated_edges(narratives: DataFrame) -> DataFrame:
     program. A renamed from-rule yields to the to-rule's relation. A clause that takes itself back, or whose
     successor takes it back and names an end, states nothing.
     """
-    read = clauses(narratives).withColumn("froms", _matches(F.col("clause"), "from")).withColumn("tos", _matches(F.col("clause"), "to"))
+    # every rule needs a program's code; the rules read a clause once, as nothing is inlined or pushed below an explode
+    telling = clauses(narratives).where(F.col("clause").rlike(rf"(?i){_PROGRAM}{CODE}"))
+    both = F.array(F.struct(_matches(F.col("clause"), "from").alias("froms"), _matches(F.col("clause"), "to").alias("tos")))
+    read = telling.select("*", F.explode_outer(both).alias("both")).select(*telling.columns, "both.froms", "both.tos")
     read = read.where((F.size("froms") > 0) | (F.size("tos") > 0))
     own = F.col("pe_bli")
     single = F.concat(
         F.transform("froms", lambda f: F.struct(f["code"].alias("src"), own.alias("dst"), f["rank"].alias("rank"), f["relation"].alias("relation"))),
         F.transform("tos", lambda t: F.struct(own.alias("src"), t["code"].alias("dst"), (t["rank"] + 50).alias("rank"), t["relation"].alias("relation"))),
     )
-    named = named_pairs(F.col("clause"))
+    named = _crossed(F.col("froms"), F.col("tos"))
     pairs = read.withColumn("pairs", F.when(F.size(named) > 0, named).otherwise(F.filter(single, lambda p: p["src"] != p["dst"])))
     # what the next clause names is looked up once a clause, and clauses are found again by their digest: a pair carries no text
     names = F.array_distinct(F.when(has_negation(F.col("following")), F.split("following", "[^A-Za-z0-9]+")).otherwise(F.array().cast("array<string>")))

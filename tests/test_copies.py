@@ -158,3 +158,13 @@ def test_lobbyists_are_dealt_before_repeats_are_dropped(spark):
     found = tables.nested_filings(rows)[2]
     assert sorted(map(str, (r.filing_uuid for r in found.collect()))) == ["None", "u1", "u2"]
     assert operators_before_exchanges(found, ["HashAggregate"]) == 0
+
+
+def test_clauses_are_cut_and_read_once(spark):
+    from tallyspark.operators import succession
+
+    told = spark.createDataFrame([("0000009E", 2024, "f1", "Formerly PE 0000001E. Left as is. Transferred from PE 0000002E to PE 0000003E in 1.5 steps"), ("0000008E", 2024, "f2", None), ("0000007E", 2024, "f3", "")], "pe_bli string, fiscal_year int, fact_id string, body string")
+    cut = succession.clauses(told)
+    assert [(r.fact_id, r.pos, r.following) for r in cut.orderBy("pos").collect()] == [("f1", 0, " Left as is."), ("f1", 1, " Transferred from PE 0000002E to PE 0000003E in 1.5 steps"), ("f1", 2, None)]
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.src, r.dst, r.relation) for r in succession.stated_edges(told).collect()) == [("0000001E", "0000009E", "renamed"), ("0000002E", "0000009E", "realigned")]
