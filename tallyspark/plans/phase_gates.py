@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.lineage import written
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import assertions as DQ
 from tallyspark.operators import chains, gates, ledger, succession
@@ -93,7 +94,8 @@ def decade_gates(series: DataFrame, recomputed: DataFrame, editions: DataFrame)
 
 def decade_gates_from_lake(series: DataFrame, lines: DataFrame, anchor_edition: int) -> dict[str, DataFrame]:
     """The decade gates with the recompute made from the lake by SQL of its own, and the diffs recomputed from that too."""
-    again = recompute.series(lines, anchor_edition)
+    # each is read by several gates, and made from all lines once
+    series, again = written(series, "gated-series"), written(recompute.series(lines, anchor_edition), "recomputed-series")
     key = ["pe_bli", "account", "organization", "from_edition", "to_edition", "diff_kind", F.col("delta").cast("decimal(20,3)").alias("delta")]
     found = decade_gates(series, again, lines.select(F.col("fiscal_year").alias("edition")).join(again.select("edition").distinct(), "edition", "left_semi"))
     return found | {"diff_recompute": DQ.symmetric_difference(marts.book_diff(series).select(*key), recompute.diffs(again).select(*key))}

@@ -168,3 +168,13 @@ def test_clauses_are_cut_and_read_once(spark):
     assert [(r.fact_id, r.pos, r.following) for r in cut.orderBy("pos").collect()] == [("f1", 0, " Left as is."), ("f1", 1, " Transferred from PE 0000002E to PE 0000003E in 1.5 steps"), ("f1", 2, None)]
     assert cut._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert sorted((r.src, r.dst, r.relation) for r in succession.stated_edges(told).collect()) == [("0000001E", "0000009E", "renamed"), ("0000002E", "0000009E", "realigned")]
+
+
+def test_gates_read_a_series_that_was_made_once(spark):
+    from tallyspark.plans import marts, phase_gates
+
+    columns = "pe_bli string, title string, fiscal_year int, exhibit string, account string, organization string, budget_activity string, amount_type string, amount_thousands double, source_document_id int"
+    lines = spark.createDataFrame([("p", "t", 2026, "R-1", "1", "D", "02", "fy_2026_total", 5.0, 1)], columns)
+    series = marts.decade_series(lines, spark.createDataFrame([(1, "h")], "id int, sha256 string"), 2026)
+    found = phase_gates.decade_gates_from_lake(series, lines, 2026)
+    assert all(found[gate].inputFiles() for gate in ("edition_leakage", "grain_unique", "recompute", "diff_recompute"))
