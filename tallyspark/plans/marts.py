@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.functions.lineage import partitions_of
 from tallyspark.operators import aggregates as A
 from tallyspark.operators import joins, picks
 
@@ -210,13 +211,32 @@ def feed_events(
     )
 
 
-def district_programs(tx: DataFrame, links: DataFrame) -> DataFrame:
-    """Linked money by district and program; an award of two programs counts in both, so sums over programs overstate."""
+def district_program_rows(tx: DataFrame, links: DataFrame) -> DataFrame:
+    """A row for each transaction in a district and program that its award is linked to."""
     linked = links.where("confidence = 'high'").groupBy(F.col("award_piid").alias("award_id_piid"), "pe_bli").agg(F.min("program_title").alias("program_title"), F.min("organization").alias("organization"))
-    joined = tx.where(F.col("pop_district").isNotNull()).join(linked, "award_id_piid")
-    return joined.groupBy("pop_state", "pop_district", "pe_bli").agg(
-        F.min("program_title").alias("program_title"), F.min("organization").alias("organization"), F.countDistinct("transaction_key").alias("transaction_count"),
-        F.countDistinct("award_id_piid").alias("award_count"), F.countDistinct("recipient_uei").alias("recipient_count"), F.sum("obligation").alias("total_obligation"),
+    dealt = tx.where(F.col("pop_district").isNotNull()).repartition(partitions_of(tx.sparkSession), "award_id_piid")  # a number, so that tasks aren't merged by compressed size
+    return dealt.join(linked, "award_id_piid")
+
+
+def district_programs(tx: DataFrame, links: DataFrame) -> DataFrame:
+    """Linked money by district and program; an award of two programs counts in both, so sums over programs overstate.
+
+    Transactions (t), awards (a) and recipients (r) are told apart as rows of one narrow table, which Spark hashes; three distinct counts
+    beside a smallest text would be sorted, with every row written four times. Names and money go with the awards, which are fewest.
+    """
+    grain = ["pop_state", "pop_district", "pe_bli"]
+    text = lambda column, kind: F.col(column).cast("string").alias(kind)
+    rows = district_program_rows(tx, links).select(
+        *grain, F.struct("program_title", "organization").alias("names"), "obligation", text("transaction_key", "t"), text("award_id_piid", "a"), text("recipient_uei", "r")
+    )
+    with_award = lambda column: F.when(F.col("kind") == "a", F.col(column)).alias(column)
+    told = rows.unpivot([*grain, "names", "obligation"], ["t", "a", "r"], "kind", "key").select(*grain, "kind", "key", with_award("names"), with_award("obligation"))
+    once = told.groupBy(*grain, "kind", "key", "names").agg(F.sum("obligation").alias("obligation"))
+    counted = once.groupBy(*grain, "kind", "names").agg(F.count("key").alias("n"), F.sum("obligation").alias("obligation"))
+    number = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    return counted.groupBy(*grain).agg(
+        F.min("names.program_title").alias("program_title"), F.min("names.organization").alias("organization"), number("t").alias("transaction_count"),
+        number("a").alias("award_count"), number("r").alias("recipient_count"), F.sum("obligation").alias("total_obligation"),
     )
 
 
