@@ -214,8 +214,7 @@ def feed_events(
 def district_program_rows(tx: DataFrame, links: DataFrame) -> DataFrame:
     """A row for each transaction in a district and program that its award is linked to."""
     linked = links.where("confidence = 'high'").groupBy(F.col("award_piid").alias("award_id_piid"), "pe_bli").agg(F.min("program_title").alias("program_title"), F.min("organization").alias("organization"))
-    dealt = tx.where(F.col("pop_district").isNotNull()).repartition(partitions_of(tx.sparkSession), "award_id_piid")  # a number, so that tasks aren't merged by compressed size
-    return dealt.join(linked, "award_id_piid")
+    return tx.where(F.col("pop_district").isNotNull()).join(linked, "award_id_piid")
 
 
 def district_programs(tx: DataFrame, links: DataFrame) -> DataFrame:
@@ -226,7 +225,8 @@ def district_programs(tx: DataFrame, links: DataFrame) -> DataFrame:
     """
     grain = ["pop_state", "pop_district", "pe_bli"]
     text = lambda column, kind: F.col(column).cast("string").alias(kind)
-    rows = district_program_rows(tx, links).select(
+    dealt = tx.repartition(partitions_of(tx.sparkSession), "award_id_piid")  # a number, so that tasks aren't merged by compressed size
+    rows = district_program_rows(dealt, links).select(
         *grain, F.struct("program_title", "organization").alias("names"), "obligation", text("transaction_key", "t"), text("award_id_piid", "a"), text("recipient_uei", "r")
     )
     with_award = lambda column: F.when(F.col("kind") == "a", F.col(column)).alias(column)
