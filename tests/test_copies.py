@@ -60,6 +60,48 @@ def test_crosswalk_compares_alike_lines_once(spark):
     assert rows_of_plan(found, "Join") < 700
 
 
+def records_shuffled(df):
+    """Records that the executed exchanges wrote in all, each exchange once however often it is read."""
+    df.collect()
+    written, todo = {}, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            todo.append(plan.executedPlan())
+            continue
+        if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        if plan.nodeName() == "Exchange" and plan.metrics().contains("shuffleRecordsWritten"):
+            written[plan.id()] = plan.metrics().apply("shuffleRecordsWritten").value()
+        children = plan.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return sum(written.values())
+
+
+def test_pairs_of_unlike_rows_are_not_shuffled(spark):
+    lines = spark.createDataFrame([(k, "7", f"radar kit{k:05d}", "N") for k in range(200)], "line_id int, account string, title string, organization string")
+    awards = spark.createDataFrame([(f"A{k}", "7;8", f"radar kit{k:05d}", "navy", k) for k in range(200)], "award_piid string, accounts string, description string, sub_agency string, obligation long")
+    aliases = spark.createDataFrame([("N", "navy")], "organization string, alias string")
+    found = links.crosswalk_awards(lines, awards, aliases)
+    assert sorted((r.line_id, r.matched_obligation, r.confidence) for r in found.collect()) == [(i, j, "high" if i == j else "medium") for i in range(200) for j in range(200)]
+    assert records_shuffled(found) < 5000  # not 40,000
+
+
+def test_pairs_of_a_key_in_several_slices_are_whole(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import joins
+
+    rows = lambda n, member, own: spark.range(n).select(F.lit("a").alias("g"), F.col("id").alias(member), (F.col("id") % 7).alias(own))
+    few = lambda keys, member, own: spark.createDataFrame([(g, 1, 1) for g in keys], f"g string, {member} long, {own} long")
+    left, right = rows(2500, "l", "x").unionByName(few(["b", "c", None], "l", "x")), rows(1500, "r", "y").unionByName(few(["b", "d", None], "r", "y"))
+    cut = {r.g: (r.left_slices, r.right_slices) for r in joins.slices_of_pairs(left, right, ["g"], 64).collect()}
+    assert cut == {"a": (3, 2), "b": (1, 1)}
+    pairs = joins.pairs_of_alike(left, right, ["g"], "l", "r", {"z": F.col("x") * 10 + F.col("y")})
+    told = pairs.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("l") * F.col("r")).alias("s"), F.count(F.when(F.col("z") != F.col("l") % 7 * 10 + F.col("r") % 7, 1)).alias("wrong"))
+    assert {tuple(r) for r in told.collect()} == {("a", 2500 * 1500, sum(range(2500)) * sum(range(1500)), 0), ("b", 1, 1, 0)}
+
+
 def test_oversight_candidates_match_alike_names_once(spark):
     reports = spark.createDataFrame([(k, "S", "ship x", "Ship X (NEW)") for k in range(60)], "report_id int, service string, name string, full_name string")
     programs = spark.createDataFrame([(f"p{k}", "O", "the ship x program") for k in range(60)] + [("p0", "O", "ship x"), ("q", "P", "ship x")], "slug string, org string, title string")
