@@ -102,6 +102,21 @@ def test_pairs_of_a_key_in_several_slices_are_whole(spark):
     assert {tuple(r) for r in told.collect()} == {("a", 2500 * 1500, sum(range(2500)) * sum(range(1500)), 0), ("b", 1, 1, 0)}
 
 
+def test_pairs_are_written_out_in_pieces(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import joins
+
+    side = lambda member, own: spark.range(200).select(F.lit("a").alias("g"), F.col("id").alias(member), F.lit(1).alias(own)).unionByName(spark.createDataFrame([("a", None, 2)], f"g string, {member} long, {own} int"))
+    pairs = joins.pairs_of_alike(side("l", "x"), side("r", "y"), ["g"], "l", "r", {"z": F.col("x") + F.col("y")})
+    assert {(r.l, r.r, r.z) for r in pairs.collect()} == {(i, j, 2) for i in range(200) for j in range(200)}
+    assert pairs.count() == 40000
+    # pieces (one of 16 for each 16 of 200 rights, and one of none), their lefts, the pairs: no row becomes 40,000 rows at once
+    assert rows_of_plan(pairs, "Generate") - 40000 > 13 * 200
+    cut = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2]), (3, [])], "k int, m array<int>").select("k", joins.pieces("m", 2).alias("m"))
+    assert {r.k: r.m for r in cut.collect()} == {1: [[1, 2], [3, 4], [5]], 2: [[1, 2]], 3: [[]]}
+
+
 def test_oversight_candidates_match_alike_names_once(spark):
     reports = spark.createDataFrame([(k, "S", "ship x", "Ship X (NEW)") for k in range(60)], "report_id int, service string, name string, full_name string")
     programs = spark.createDataFrame([(f"p{k}", "O", "the ship x program") for k in range(60)] + [("p0", "O", "ship x"), ("q", "P", "ship x")], "slug string, org string, title string")
